@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Ids up to which a set of documents is broadcast to pick texts; beyond, the join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +35,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` with (or without) the distinct ids; broadcast only if they are few."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinolex.llm import decontam, html, langid, lm, media, mixing, quality, toxicity
+from sinolex.llm import decontam, html, jaccard, langid, lm, media, mixing, quality, toxicity
 from sinolex.llm.common import id_bucket, table
 
 
@@ -30,6 +30,10 @@ def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), id_bucket("doc_id", 7) != 2, lambda i: id_bucket(i, 7) == 2)
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op5_html, op6_media, op8_decontaminate, op9_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op4_jaccard, op5_html, op6_media, op8_decontaminate, op9_language, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinolex.llm import decontam, html, jaccard, langid, lm, media, mixing, quality, toxicity
+from sinolex.llm import decontam, html, jaccard, langid, lm, media, mixing, quality, substring, toxicity
 from sinolex.llm.common import id_bucket, table
 
 
@@ -42,6 +42,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.encode(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.removed(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,6 +64,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op4_jaccard, op5_html, op6_media, op8_decontaminate, op9_language, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op4_jaccard, op5_html, op6_media, op7_substring, op8_decontaminate, op9_language, op10_toxicity)}
 
 ORACLES: dict[str, str] = {}

@@ -1,4 +1,463 @@
-"""Registered queries and their SQL."""
+"""Registered queries over whole tables, with their SQL. White-space tokens stand for gold words."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sinolex.functions import charset, predicates as P
+from sinolex.operators import crf, dictionary, evaluate, features, rules, scoring, vocab
+from sinolex.operators.chars import char_features, chars, explode_chars, tag_to_word, word_to_tag, words_of
+from sinolex.operators.segment import Segmenter, SegmenterModel
+from sinolex.operators.tagging import Tagger, TaggerModel, tagset
+from sinolex.plans import fixtures, sql
+from sinolex.sources import lines
+from sinolex.streaming import text as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def load(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised tokens of all documents: (sent_id, pos, word)."""
+    return vocab.long_words(load(spark, sf_dir), "doc_id", words_of(charset.preprocess(F.col("text"))))
+
+
+WORDS_SQL = f"words AS (SELECT doc_id AS sent_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, {sql.WORDS.of(sql.PREPROCESS.of('text'))} AS w FROM documents))"
+FREQ_SQL = f"{WORDS_SQL}, freqs AS (SELECT word, count(*) AS freq FROM words GROUP BY word)"
+
+# Normalisation and predicates
+
+
+@query(f"SELECT doc_id, {sql.CONVERT.of('text')} AS clean FROM documents")
+def normalize_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).select("doc_id", charset.convert(F.col("text")).alias("clean"))
+
+
+@query(f"SELECT doc_id, {sql.MASK.of(sql.NORMALIZE.of('text'))} AS clean FROM documents")
+def normalize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).select("doc_id", charset.preprocess(F.col("text"), normalize_num_letter=True).alias("clean"))
+
+
+@query(f"SELECT lang, count(*) AS n_docs, sum(length(text) - length(regexp_replace(text, '{sql.OUTSIDE}', '', 'g')))::BIGINT AS n_unknown FROM documents GROUP BY lang")
+def exception_char_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left_out = F.length("text") - F.length(F.regexp_replace("text", f"[^{charset.ALLOWED}]", ""))
+    return load(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(left_out).cast("long").alias("n_unknown"))
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({sql.WORDS.of('text')}) AS word FROM documents) SELECT word, regexp_matches(word, '{sql.NUMBER}') AS is_number, regexp_matches(word, '{sql.re2(P.PURE_NUMBER)}') AS is_pure, regexp_matches(word, '{sql.TIME}') AS is_time, {sql.CHINESE.of('word')} AS is_chinese, {sql.NAME.of('word')} AS is_name FROM w")
+def word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = load(spark, sf_dir).select(F.explode(words_of(F.col("text"))).alias("word")).distinct()
+    w = F.col("word")
+    return words.select("word", P.is_number(w).alias("is_number"), P.is_pure_number(w).alias("is_pure"), P.has_time(w).alias("is_time"), P.has_chinese(w).alias("is_chinese"), P.is_name(w).alias("is_name"))
+
+
+@query(f"SELECT word, regexp_matches(word, '{sql.NUMBER}') AS is_number, regexp_matches(word, '{sql.TIME}') AS is_time, word LIKE '%百分之%' AS is_percent, {sql.CHINESE.of('word')} AS is_chinese, {sql.NAME.of('word')} AS is_name, {sql.PREPROCESS.of('word')} AS clean FROM (VALUES {fixtures.values(fixtures.ZH_WORDS)}) t(word)")
+def word_predicates_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("word")
+    return fixtures.words(spark).select("word", P.is_number(w).alias("is_number"), P.has_time(w).alias("is_time"), P.has_percent(w).alias("is_percent"), P.has_chinese(w).alias("is_chinese"), P.is_name(w).alias("is_name"), charset.preprocess(w).alias("clean"))
+
+
+# Corpus statistics
+
+
+@query("SELECT ch, count(*) AS freq FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE length(text) > 0) GROUP BY ch")
+def char_explode_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_chars(load(spark, sf_dir), "doc_id", "text").groupBy("ch").agg(F.count("*").alias("freq"))
+
+
+@query(f"WITH {WORDS_SQL} SELECT least(length(word), 11) AS len, count(*) AS n, count(*) / sum(count(*)) OVER () AS ratio FROM words GROUP BY 1")
+def word_length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.length_histogram(doc_words(spark, sf_dir))
+
+
+@query(f"WITH {FREQ_SQL} SELECT word, freq FROM freqs")
+def unigram_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.frequencies(doc_words(spark, sf_dir))
+
+
+@query(f"WITH {FREQ_SQL} SELECT word, freq FROM freqs WHERE {sql.tag_unigram('word', 'freq', 8, 5)}")
+def unigram_cleanse_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.unigrams(vocab.frequencies(doc_words(spark, sf_dir)), P.keep_tag_unigram(F.col("word"), F.col("freq"), 8, 5))
+
+
+@query(f"WITH {FREQ_SQL} SELECT sum(CASE WHEN {sql.unigram('word', 'freq', 2, 4, 5)} THEN freq ELSE 0 END) / sum(freq) AS kept_ratio FROM freqs")
+def unigram_kept_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.kept_ratio(vocab.frequencies(doc_words(spark, sf_dir)), P.keep_unigram(F.col("word"), F.col("freq"), 2, 4, 5, chinese=False))
+
+
+PAIRS_SQL = "pairs AS (SELECT pre, suf, count(*) AS freq FROM (SELECT word AS pre, lead(word) OVER (PARTITION BY sent_id ORDER BY pos) AS suf FROM words) WHERE suf IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"WITH {WORDS_SQL}, {PAIRS_SQL} SELECT pre, suf, freq FROM pairs")
+def adjacent_bigram_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.pairs(doc_words(spark, sf_dir))
+
+
+def _end(i: int) -> str:
+    return f"substr(pre, (CASE WHEN length(pre) >= {i} THEN length(pre) - {i} ELSE greatest(2 * length(pre) - {i}, 0) END) + 1)"
+
+
+KNOWN_SQL = f"known AS (SELECT word FROM freqs WHERE {sql.unigram('word', 'freq', 2, 4, 5)})"
+AMBIGUOUS_SQL = (
+    f"{FREQ_SQL}, {PAIRS_SQL}, {KNOWN_SQL}, amb AS (SELECT pre, suf, freq FROM pairs WHERE "
+    f"(pre IN (SELECT word FROM known) AND ({' OR '.join(f'substr(pre, -1) || substr(suf, 1, {i}) IN (SELECT word FROM known)' for i in (1, 2, 3))})) OR "
+    f"(suf IN (SELECT word FROM known) AND ({' OR '.join(f'{_end(i)} || substr(suf, 1, 1) IN (SELECT word FROM known)' for i in (1, 2, 3))})))"
+)
+
+
+def _ambiguous(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    words = doc_words(spark, sf_dir)
+    known = vocab.unigrams(vocab.frequencies(words), P.keep_unigram(F.col("word"), F.col("freq"), 2, 4, 5, chinese=False)).select("word")
+    return vocab.ambiguous(words, known), known
+
+
+@query(f"WITH {AMBIGUOUS_SQL} SELECT pre, suf, freq FROM amb")
+def ambiguous_bigram_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ambiguous(spark, sf_dir)[0]
+
+
+FILL_SQL = f"{AMBIGUOUS_SQL}, often AS (SELECT * FROM amb WHERE freq >= 2), filled AS (SELECT word FROM known UNION SELECT word FROM (SELECT pre AS word FROM often UNION SELECT suf FROM often) WHERE {sql.unigram('word', None, 2, 4)})"
+
+
+@query(f"WITH {FILL_SQL} SELECT pre, suf, freq FROM often WHERE pre IN (SELECT word FROM filled) AND suf IN (SELECT word FROM filled)")
+def bigram_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amb, known = _ambiguous(spark, sf_dir)
+    return vocab.back_fill(amb, known, 2, chinese=False)[1]
+
+
+@query(f"WITH {FILL_SQL} SELECT word FROM filled")
+def unigram_back_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    amb, known = _ambiguous(spark, sf_dir)
+    return vocab.back_fill(amb, known, 2, chinese=False)[0]
+
+
+PARTS_SQL = f"{FREQ_SQL}, tagged AS (SELECT word FROM freqs WHERE {sql.tag_unigram('word', 'freq', 8, 5)}), dict AS (SELECT DISTINCT unnest({sql.WORDS.of(sql.PREPROCESS.of('text'))}) AS word FROM benchmark), knownp AS (SELECT word FROM tagged UNION SELECT word FROM dict), openf AS (SELECT * FROM freqs WHERE word NOT IN (SELECT word FROM knownp)), cuts AS (SELECT word, freq, unnest(generate_series(1, length(word) - 1)) AS i FROM openf WHERE length(word) > 1), parts AS (SELECT part, sum(freq)::BIGINT AS freq FROM (SELECT substr(word, 1, i) AS part, freq FROM cuts UNION ALL SELECT substr(word, i + 1), freq FROM cuts) GROUP BY part)"
+
+
+def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark as a dictionary; the tag follows from the length."""
+    words = load(spark, sf_dir, "benchmark").select(F.explode(words_of(charset.preprocess(F.col("text")))).alias("word")).distinct()
+    return words.withColumn("tag", F.when(F.length("word") % 2 == 0, "n").otherwise("v"))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    words, dic = doc_words(spark, sf_dir), _dictionary(spark, sf_dir)
+    tagged = vocab.unigrams(vocab.frequencies(words), P.keep_tag_unigram(F.col("word"), F.col("freq"), 8, 5)).select("word")
+    return words, dic, tagged.union(dic.select("word")).distinct()
+
+
+@query(f"WITH {PARTS_SQL} SELECT part, freq FROM parts")
+def parts_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, _, known = _known(spark, sf_dir)
+    return vocab.part_frequencies(words, known)
+
+
+KIND_SQL = f"CASE WHEN {sql.CHINESE.of('part')} THEN 'chinese' WHEN regexp_matches(part, '{sql.re2(P.PURE_NUMBER)}') THEN 'number' ELSE 'other' END"
+
+
+@query(f"WITH {PARTS_SQL} SELECT part, freq, {KIND_SQL} AS kind FROM parts WHERE length(part) <= 4 AND freq >= CASE {KIND_SQL} WHEN 'chinese' THEN 300 WHEN 'number' THEN 40 ELSE 100 END")
+def parts_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, _, known = _known(spark, sf_dir)
+    return vocab.trim_parts(vocab.part_frequencies(words, known), numbers=40, others=100)
+
+
+@query(f"WITH {PARTS_SQL}, often AS (SELECT part FROM parts WHERE length(part) <= 4 AND freq >= 100), having_part AS (SELECT DISTINCT word FROM cuts WHERE substr(word, 1, i) IN (SELECT part FROM often) OR substr(word, i + 1) IN (SELECT part FROM often)) SELECT word, freq FROM openf WHERE word NOT IN (SELECT word FROM having_part)")
+def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, dic, known = _known(spark, sf_dir)
+    parts = vocab.trim_parts(vocab.part_frequencies(words, known), chinese=100, numbers=100, others=100)
+    return vocab.unknown_words(words, dic, known, parts)
+
+
+@query(f"WITH {WORDS_SQL} SELECT ch, count(*) AS freq FROM (SELECT unnest(string_split(word, '')) AS ch FROM words) WHERE NOT {sql.CHINESE.of('ch')} GROUP BY ch HAVING count(*) >= 10")
+def char_freq_nonchinese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.char_frequencies(doc_words(spark, sf_dir), 10)
+
+
+# Dictionaries
+
+DICT_SQL = f"dict AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN 'n' ELSE 'v' END AS tag FROM (SELECT DISTINCT unnest({sql.WORDS.of(sql.PREPROCESS.of('text'))}) AS word FROM benchmark)), hard AS (SELECT DISTINCT r_name AS word, 'ns' AS tag FROM region UNION SELECT 'the', 'u')"
+
+
+def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "region").select(F.col("r_name").alias("word"), F.lit("ns").alias("tag")).distinct().union(spark.createDataFrame([("the", "u")], "word string, tag string"))
+
+
+@query(f"WITH {WORDS_SQL}, {DICT_SQL} SELECT coalesce(h.tag, d.tag) AS dict_tag, count(*) AS n FROM words w LEFT JOIN dict d USING (word) LEFT JOIN hard h ON h.word = w.word GROUP BY 1")
+def dict_tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dictionary.look_up(doc_words(spark, sf_dir), _dictionary(spark, sf_dir), _hard(spark, sf_dir))
+    return found.groupBy("dict_tag").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WORDS_SQL}, {DICT_SQL} SELECT sent_id, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM dict) GROUP BY sent_id")
+def dict_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.without(doc_words(spark, sf_dir), _dictionary(spark, sf_dir)).groupBy("sent_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {WORDS_SQL}, {DICT_SQL}, t AS (SELECT word, CASE WHEN length(word) > 3 THEN 'a' ELSE 'b' END AS tag FROM words) SELECT t.tag, count(*) AS freq, count(*) FILTER (WHERE word NOT IN (SELECT word FROM dict)) AS freq_model FROM t GROUP BY 1")
+def tag_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = doc_words(spark, sf_dir).withColumn("tag", F.when(F.length("word") > 3, "a").otherwise("b"))
+    return vocab.tag_frequencies(tokens, _dictionary(spark, sf_dir))
+
+
+# Characters, tags, features
+
+
+@query(f"SELECT doc_id, coalesce(array_to_string(list_transform({sql.WORDS.of('text')}, lambda w: '0' || repeat('1', length(w) - 1)), ''), '') AS tags FROM documents")
+def word2tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).select("doc_id", F.array_join(word_to_tag(words_of(F.col("text"))).cast("array<string>"), "").alias("tags"))
+
+
+@query(f"SELECT doc_id, array_to_string({sql.WORDS.of('text')}, '|') AS words FROM documents")
+def tag2word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = words_of(F.col("text"))
+    rows = load(spark, sf_dir).select("doc_id", F.explode(F.array(F.struct(F.array_join(words, "").alias("t"), word_to_tag(words).alias("g")))).alias("x"))
+    return rows.select("doc_id", F.array_join(tag_to_word(F.col("x.t"), F.col("x.g")), "|").alias("words"))
+
+
+CHARS_SQL = "cs AS (SELECT conv_id, turn, c, i, length(text) AS n, text FROM (SELECT conv_id, turn, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM conversations WHERE length(text) > 0))"
+_SINGLE = " UNION ALL ".join(
+    ["SELECT conv_id, turn, i, 'c' || c AS feature FROM cs", "SELECT conv_id, turn, i, '[START]' FROM cs WHERE i = 0", "SELECT conv_id, turn, i, '[END]' FROM cs WHERE i = n - 1"]
+    + [f"SELECT conv_id, turn, i, '{a}' || substr(text, i + 1 - {k}, 1) FROM cs WHERE i >= {k} UNION ALL SELECT conv_id, turn, i, '{b}' || substr(text, i + 1 - {k}, 1) || '.' || c FROM cs WHERE i >= {k}" for k, a, b in ((1, "b", "bc"), (2, "a", "ac"), (3, "z", "zc"))]
+    + [f"SELECT conv_id, turn, i, '{a}' || substr(text, i + 1 + {k}, 1) FROM cs WHERE i < n - {k} UNION ALL SELECT conv_id, turn, i, '{b}' || c || '.' || substr(text, i + 1 + {k}, 1) FROM cs WHERE i < n - {k}" for k, a, b in ((1, "d", "cd"), (2, "e", "ce"), (3, "f", "cf"))]
+)
+FEATURES_SQL = f"{CHARS_SQL}, feats AS ({_SINGLE}), ff AS (SELECT feature, count(*) AS freq FROM feats GROUP BY feature)"
+TRIM_SQL = "CASE WHEN substr(feature, 1, 2) IN ('zc', 'cf') THEN freq > 8 WHEN substr(feature, 1, 2) IN ('ac', 'ce') THEN freq > 6 WHEN substr(feature, 1, 2) IN ('bc', 'cd') THEN freq > 4 WHEN substr(feature, 1, 2) IN ('wl', 'wr') THEN freq >= 3 ELSE freq >= 2 END"
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select(F.explode(F.flatten(char_features(F.col("text")))).alias("feature"))
+    return rows.groupBy("feature").agg(F.count("*").alias("freq"))
+
+
+@query(f"WITH {FEATURES_SQL} SELECT feature, freq FROM ff")
+def char_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir)
+
+
+@query(f"WITH {FEATURES_SQL} SELECT feature, freq FROM ff WHERE {TRIM_SQL}")
+def feature_freq_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.trim_features(_features(spark, sf_dir), 2, 4, 6, 8, 3)
+
+
+@query(f"WITH {FEATURES_SQL} SELECT feature, (row_number() OVER (ORDER BY freq DESC, feature))::INTEGER AS idx FROM ff WHERE {TRIM_SQL} UNION ALL SELECT '/', 0")
+def feature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vocab.index_features(feature_freq_trim(spark, sf_dir))
+
+
+SUBS_SQL = f"{AMBIGUOUS_SQL}, convs AS (SELECT conv_id, turn, text, unnest(generate_series(1, length(text))) AS i FROM conversations WHERE length(text) > 0), hits AS (SELECT conv_id, turn, i - 1 AS b, k AS n, substr(text, i, k) AS word FROM convs, (VALUES (2), (3), (4)) l(k) WHERE i + k - 1 <= length(text) AND substr(text, i, k) IN (SELECT word FROM known))"
+
+
+@query(f"WITH {SUBS_SQL}, ends AS (SELECT conv_id, turn, b + n - 1 AS pos, max_by(word, n) AS w FROM hits GROUP BY 1, 2, 3), starts AS (SELECT conv_id, turn, b AS pos, max_by(word, n) AS w FROM hits GROUP BY 1, 2, 3), f AS (SELECT 'v' || w AS feature FROM ends UNION ALL SELECT 'x' || w FROM starts UNION ALL SELECT 'wl' || length(e.w) || length(s.w) FROM ends e JOIN starts s ON e.conv_id = s.conv_id AND e.turn = s.turn AND e.pos + 1 = s.pos UNION ALL SELECT 'wr' || length(e.w) || length(s.w) FROM ends e JOIN starts s ON e.conv_id = s.conv_id AND e.turn = s.turn AND e.pos = s.pos - 1) SELECT feature, count(*) AS freq FROM f GROUP BY feature")
+def word_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = _ambiguous(spark, sf_dir)[1]
+    nodes = features.segment_features(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", known)
+    rows = nodes.select(F.explode("features").alias("feature")).where(F.col("feature").rlike(r"(?s)^(?:v|x|w[lr]\d).+|^w[lr]\d\d$"))
+    return rows.groupBy("feature").agg(F.count("*").alias("freq"))
+
+
+# Scores and evaluation
+
+
+def _letter_weights(spark: SparkSession) -> DataFrame:
+    """Weights of single characters by their code, and of the empty feature."""
+    rows = spark.range(97, 123).select(F.explode(F.array(F.lit("c"), F.lit("b"), F.lit("d"))).alias("side"), F.chr("id").alias("ch"), ((F.col("id") - 109) / 8.0).alias("w"))
+    rows = rows.select(F.concat("side", "ch").alias("feature"), F.when(F.col("side") == "c", F.array(F.col("w"), F.lit(0.25))).when(F.col("side") == "b", F.array(F.lit(0.5), F.col("w"))).otherwise(F.array(-F.col("w"), F.lit(0.125))).alias("weights"))
+    return rows.union(spark.createDataFrame([("/", [0.5, 0.75])], "feature string, weights array<double>"))
+
+
+_CODE = "(CASE WHEN {0} BETWEEN 'a' AND 'z' AND length({0}) = 1 AND ascii({0}) BETWEEN 97 AND 122 THEN (ascii({0}) - 109) / 8.0 END)"
+SCORE_SQL = f"{CHARS_SQL}, near AS (SELECT conv_id, turn, i, {_CODE.format('c')} AS c0, {_CODE.format('(CASE WHEN i > 0 THEN substr(text, i, 1) END)')} AS b0, {_CODE.format('(CASE WHEN i < n - 1 THEN substr(text, i + 2, 1) END)')} AS d0 FROM cs), scored AS (SELECT conv_id, turn, i AS pos, coalesce(c0, 0) + CASE WHEN b0 IS NULL THEN 0 ELSE 0.5 END - coalesce(d0, 0) + 0.5 AS s0, CASE WHEN c0 IS NULL THEN 0 ELSE 0.25 END + coalesce(b0, 0) + CASE WHEN d0 IS NULL THEN 0 ELSE 0.125 END + 0.75 AS s1 FROM near)"
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = features.segment_features(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return scoring.node_scores(nodes, ["conv_id", "turn", "pos"], F.broadcast(_letter_weights(spark)), 2)
+
+
+@query(f"WITH {SCORE_SQL} SELECT conv_id, turn, sum(CASE WHEN s1 > s0 THEN 1 ELSE 0 END)::BIGINT AS n_inside, sum(s0)::DOUBLE AS s0, sum(s1)::DOUBLE AS s1 FROM scored GROUP BY 1, 2")
+def sum_score_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scores(spark, sf_dir).select("conv_id", "turn", scoring.best(F.col("scores")).alias("tag"), F.col("scores")[0].alias("s0"), F.col("scores")[1].alias("s1"))
+    return rows.groupBy("conv_id", "turn").agg(F.sum("tag").alias("n_inside"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+
+
+@query(f"WITH {SCORE_SQL} SELECT sum(CASE WHEN s1 + CASE WHEN pos % 2 = 0 THEN 0.5 ELSE 0 END > s0 THEN 1 ELSE 0 END)::BIGINT AS n_inside, count(*) AS n FROM scored")
+def soft_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boosted = scoring.add_scores(F.col("scores"), F.array(F.lit(0.0), F.when(F.col("pos") % 2 == 0, 0.5)))
+    return _scores(spark, sf_dir).agg(F.sum(scoring.best(boosted)).alias("n_inside"), F.count("*").alias("n"))
+
+
+TAGS_SQL = f"gold AS (SELECT doc_id, unnest(string_split(g, ''))::INTEGER AS gold, generate_subscripts(string_split(g, ''), 1) - 1 AS pos FROM (SELECT doc_id, array_to_string(list_transform({sql.WORDS.of('text')}, lambda w: '0' || repeat('1', length(w) - 1)), '') AS g FROM documents) WHERE length(g) > 0), tags AS (SELECT doc_id, pos, gold, CASE WHEN pos % 5 = 0 OR pos % 7 = 3 THEN 0 ELSE gold END AS pred FROM gold)"
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold = load(spark, sf_dir).select("doc_id", word_to_tag(words_of(F.col("text"))).alias("gold")).where("size(gold) > 0")
+    return gold.withColumn("pred", F.transform("gold", lambda t, i: F.when((i % 5 == 0) | (i % 7 == 3), 0).otherwise(t)))
+
+
+def _chunks_sql(side: str) -> str:
+    return f"SELECT doc_id, part, min(pos) AS pos, count(*) AS len FROM (SELECT doc_id, pos, {side} AS tag, sum(CASE WHEN {side} = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM tags) WHERE part > 0 GROUP BY 1, 2"
+
+
+@query(f"WITH {TAGS_SQL}, g AS ({_chunks_sql('gold')}), p AS ({_chunks_sql('pred')}), n AS (SELECT (SELECT count(*) FROM g) AS n_gold, (SELECT count(*) FROM p) AS n_pred, (SELECT count(*) FROM g JOIN p USING (doc_id, pos, len)) AS n_correct) SELECT n_gold, n_pred, n_correct, n_correct / n_pred AS precision, n_correct / n_gold AS recall, 2 * (n_correct / n_pred) * (n_correct / n_gold) / (n_correct / n_pred + n_correct / n_gold) AS f1 FROM n")
+def chunk_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.f1(_tags(spark, sf_dir), "doc_id", "gold", "pred")
+
+
+@query(f"WITH {TAGS_SQL}, d AS (SELECT doc_id, sum(CASE WHEN gold = pred THEN 1 ELSE 0 END) AS same, count(*) AS n FROM tags GROUP BY doc_id) SELECT sum(same) / sum(n) AS token_acc, sum(CASE WHEN same = n THEN 1 ELSE 0 END) / count(*) AS sample_acc FROM d")
+def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.accuracy(_tags(spark, sf_dir), "gold", "pred")
+
+
+# Sources
+
+
+@query("SELECT event_id, props AS value, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def line_source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"), F.from_json("props", "k int")["k"].alias("k"))
+
+
+@query("SELECT doc_id, copy FROM documents, (SELECT unnest(generate_series(1, 3))::INTEGER AS copy)")
+def sample_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeat(load(spark, sf_dir).select("doc_id"), 3)
+
+
+@query(f"SELECT * FROM (VALUES {fixtures.tagset_values()}) t(grp, tag, name)")
+def pos_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagset(spark)
+
+
+# Rules
+
+_IP = r"(25[0-5]|2[0-4]\p{Nd}|[01]\p{Nd}{2}|[1-9]?\p{Nd})"
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(regexp_replace('￥' || text || '￥', '([^0-9])', '\\1\\1', 'g'), '[^0-9]{_IP}\\.\\.{_IP}\\.\\.{_IP}\\.\\.{_IP}[^0-9]')) AS n FROM documents")
+def rule_ip_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).select("doc_id", F.size(rules.extract(F.col("text"), "ip")).cast("long").alias("n"))
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(regexp_replace('￥' || text || '￥', '([^0-9a-zA-Z.\-])', '\1\1', 'g'), '[^0-9a-zA-Z.\-][a-zA-Z0-9_.-]+@@[a-zA-Z0-9_.-]+(\.[a-zA-Z0-9_.-]+)*\.[a-zA-Z0-9]{2,6}[^0-9a-zA-Z.\-]')) AS n FROM documents")
+def rule_email_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir).select("doc_id", F.size(rules.extract(F.col("text"), "email")).cast("long").alias("n"))
+
+
+def _hits(df: DataFrame, key: str, text: str, hits: Column) -> DataFrame:
+    return df.select(key, F.explode(hits).alias("h")).select(key, "h.s", "h.b", "h.e", "h.t")
+
+
+def _rule(name: str, table: str = "documents", key: str = "doc_id", text: str = "text"):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _hits(load(spark, sf_dir, table), key, text, rules.extract_phone(F.col(text)) if name == "tel" else rules.extract(F.col(text), name))
+
+    run.__name__ = f"rule_{name}"
+    return query()(run)
+
+
+rule_email, rule_ip, rule_id, rule_tel = _rule("email"), _rule("ip"), _rule("id"), _rule("tel")
+rule_url = _rule("url", "pages", "page_id", "html")
+
+
+@query()
+def rule_all_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(load(spark, sf_dir), "doc_id", "text", rules.resolve(rules.extract_info(F.col("text"))))
+
+
+@query("SELECT doc_id, text AS whole FROM documents")
+def rule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces between and inside hits, joined again: nothing is lost."""
+    hits = rules.resolve(rules.extract_info(F.col("text")))
+    return load(spark, sf_dir).select("doc_id", F.array_join(F.transform(rules.cut_by_rules(F.col("text"), hits), lambda p: p["s"]), "").alias("whole"))
+
+
+# Segmentation, tagging, models
+
+
+def _space_model(spark: SparkSession) -> SegmenterModel:
+    """Begins a word at white space and behind it."""
+    rows = [(s + c, [5.0, 0.0]) for s in "cb" for c in " \n"] + [("[START]", [5.0, 0.0]), ("/", [0.0, 1.0])]
+    return SegmenterModel(F.broadcast(spark.createDataFrame(rows, "feature string, weights array<double>")))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, array_to_string(regexp_extract_all(text, '[ \\n]|[^ \\n]+'), '|') AS words FROM conversations")
+def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return Segmenter(_space_model(spark)).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
+
+
+@query("SELECT conv_id * 1000 + turn AS id, text AS whole FROM conversations")
+def segment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With rules: words still join to the text."""
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return Segmenter(_space_model(spark), use_rules=True).segment(rows, "id", "text").select("id", F.array_join("words", "").alias("whole"))
+
+
+@query()
+def dict_boost_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _dictionary(spark, sf_dir).where("length(word) <= 8").select("word", F.lit(2.0).alias("weight"))
+    return dictionary.greedy(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words, 8)
+
+
+@query()
+def segment_user_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    words = _dictionary(spark, sf_dir).where("length(word) between 3 and 5").select("word", F.lit(3.0).alias("weight"), F.lit(0).alias("ord"))
+    return Segmenter(_space_model(spark)).with_words(words).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
+
+
+@query()
+def tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items tagged with a dictionary, a hard and a soft user dictionary and a small model."""
+    rows = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words_of(F.col("text")).alias("words"))
+    weights = spark.createDataFrame([("wk", [0.5, 0.0]), ("[START]", [0.0, 0.75]), ("ck", [0.25, 0.0]), ("/", [0.0, 0.125])], "feature string, weights array<double>")
+    empty = spark.createDataFrame([], "word string")
+    model = TaggerModel(weights, ["n", "v"], empty, spark.createDataFrame([], "part string"), spark.createDataFrame([], "ch string"))
+    default = _dictionary(spark, sf_dir).where("length(word) > 4")
+    soft = spark.createDataFrame([("of", "v", 2.0), ("the", "v", 1.0)], "word string, tag string, weight double")
+    tagged = Tagger(model, default, _hard(spark, sf_dir), soft).tag(rows, "id", "words")
+    return tagged.select("id", F.array_join(F.transform("tokens", lambda t: F.concat(t["word"], F.lit("/"), F.coalesce(t["tag"], F.lit("")))), " ").alias("tagged"))
+
+
+def _crf_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, crf.Weights]:
+    """Benchmark items as samples: the feature of a character is its class."""
+    kinds = F.transform(chars(F.col("text")), lambda c: F.array(F.when(c.rlike(r"\s"), 0).when(c.rlike("[aeiouAEIOU]"), 1).when(c.rlike("[a-zA-Z]"), 2).otherwise(3)))
+    w = crf.Weights.zeros(4, 2)
+    w.node[:] = [[2, -2], [-0.5, 0.5], [0.25, -0.25], [0.5, 0.5]]
+    w.edge[:] = [[-1, 1], [0.5, 0]]
+    w.ratio = 0.5
+    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sent_id"), kinds.alias("features")), w
+
+
+@query()
+def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, w = _crf_samples(spark, sf_dir)
+    return crf.decode(samples, w).select("sent_id", F.array_join(F.col("tags").cast("array<string>"), "").alias("tags"))
+
+
+@query()
+def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, w = _crf_samples(spark, sf_dir)
+    return crf.node_marginals(samples, w)
+
+
+@query("SELECT conv_id, turn, n FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)")
+def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the streaming job adds to each text keeps its length."""
+    rows = streams.annotate(load(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", F.length("clean").cast("long").alias("n"))

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sinolex.llm.common import durable
+
 WINDOW = 10
 #: Bytes of item words or windows up to which they are broadcast; beyond, joins shuffle.
 BROADCAST_BYTES = 32_000_000
@@ -48,26 +50,27 @@ def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", lengt
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW) -> DataFrame:
     """For each document row: its words and those inside any occurrence of a window, and the items found."""
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    wins = windows(items, length=length)
+    wins = durable(windows(items, length=length))
     spread = base.where(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(words(F.col("text"))).alias("at", "word"))
     vocabulary = wins.select(F.explode("w").alias("word")).distinct()
-    rarity = spread.select("word").join(small(vocabulary, "word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarity = durable(spread.select("word").join(small(vocabulary, "word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")))
     # the rarest word of each window, with its place in it
     placed = wins.select("window", F.posexplode("w").alias("offset", "word")).join(rarity, "word", "left")
     first = placed.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("p"))
     prefix = first.where("p.n > 0").join(wins, "window").select(F.col("p.word").alias("word"), F.col("p.offset").alias("offset"), "window", F.size("w").alias("len"), "items")
-    prefix = prefix.groupBy("word").agg(F.collect_list(F.struct("offset", "window", "len", "items")).alias("wins"), F.sum(F.length("window")).alias("size"))
+    prefix = durable(prefix.groupBy("word").agg(F.collect_list(F.struct("offset", "window", "len", "items")).alias("wins"), F.sum(F.length("window")).alias("size")))
     found = spread.join(small(prefix.select("word"), "word"), "word", "left_semi").groupBy("doc_id", "key", "word").agg(F.collect_list("at").alias("places"))
     # one row for each document: rare words with their places, and the windows they stand for
     per_doc = found.join(small_by(prefix, "size").drop("size"), "word").groupBy("doc_id", "key").agg(F.collect_list(F.struct("places", "wins")).alias("c"))
     rows = base.withColumn("n_words", F.coalesce(F.size(words(F.col("text"))), F.lit(0))).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key")), "left")
-    rows = rows.select("d.doc_id", "n_words", F.when(F.col("c").isNotNull(), words(F.col("text"))).alias("w"), "c")
+    # explode keeps Catalyst from folding the split into each comparison below
+    rows = rows.select("d.doc_id", "n_words", "c", F.explode(F.array(F.when(F.col("c").isNotNull(), words(F.col("text"))))).alias("w"))
 
     def fits(c: Column) -> Column:
         starts = F.flatten(F.transform(c["wins"], lambda v: F.transform(c["places"], lambda at: F.struct((at - v["offset"]).alias("at"), v["len"].alias("len"), v["window"].alias("window"), v["items"].alias("items")))))
         return F.filter(starts, lambda s: (s["at"] >= 0) & (s["at"] + s["len"] <= F.col("n_words")) & (F.concat_ws(" ", F.slice(F.col("w"), F.greatest(s["at"], F.lit(0)) + 1, s["len"])) == s["window"]))
 
-    rows = rows.withColumn("hits", F.flatten(F.transform("c", fits)))
+    rows = rows.select("doc_id", "n_words", F.explode(F.array(F.flatten(F.transform("c", fits)))).alias("hits"))
     held = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["len"] - 1))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     out = rows.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce(held, F.array().cast("array<int>")).alias("places"), F.coalesce(names, F.array().cast("array<string>")).alias("items"))

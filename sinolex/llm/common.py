@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,6 +19,7 @@ BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +44,52 @@ def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, or a longer one if a column has it."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+#: Rows of a batch between Spark and Python. Batches of many long texts would not fit beside each other in an executor.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def map_texts(df: DataFrame, keys: list[str], text: str, rows: Callable[[], Callable[[list], list]], out: str, at_once: int = 500) -> DataFrame:
+    """The columns ``keys`` of every row with what Python makes of its text.
+
+    ``rows()`` is called once for each task and gives a function from the texts of some rows to one tuple for each, with
+    the schema ``out``. Integers pass as text, since pandas would turn those beside nulls into floats.
+    """
+    import pandas as pd
+
+    small_batches(df.sparkSession)
+    whole = {k: isinstance(df.schema[k].dataType, IntegralType) for k in keys}
+    names = [f"__k{i}" for i in range(len(keys))]
+    given = [(F.col(f"`{k}`").cast("string") if whole[k] else F.col(f"`{k}`")).alias(n) for k, n in zip(keys, names, strict=True)]
+    made = StructType.fromDDL(out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        work = rows()
+        for batch in batches:
+            for at in range(0, len(batch), at_once):
+                part = batch.iloc[at : at + at_once].reset_index(drop=True)
+                done = pd.DataFrame(work(part["__text"].tolist()), columns=made.names)
+                yield pd.concat([part[names], done], axis=1)
+
+    fields = [StructField(n, StringType() if whole[k] else df.schema[k].dataType) for k, n in zip(keys, names, strict=True)]
+    done = df.select(*given, F.col(f"`{text}`").alias("__text")).mapInPandas(run, StructType(fields + made.fields))
+    return done.select(*[F.col(n).cast(df.schema[k].dataType).alias(k) for k, n in zip(keys, names, strict=True)], *made.names)
+
+
 def lower_words(text: str | None) -> list[bytes]:
     """Words of a text with A-Z in lower case, as UTF-8; none for null."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

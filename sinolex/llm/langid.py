@@ -16,7 +16,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sinolex.llm.common import map_texts
 
 DIMENSIONS = 512
 ORDER = 3
@@ -123,28 +124,22 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", dimensions: int
 
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang_col: str = "lang_pred", score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
-    """Adds the language and its cosine (0 if negative) to the columns ``keep`` (all by default)."""
-    keep = df.columns if keep is None else keep
+    """The columns ``keep`` (all by default, but for those of the same name) with the language and its cosine (0 if negative)."""
+    keep = [c for c in (df.columns if keep is None else keep) if c not in (lang_col, score_col)]
     names = list(prototypes)
     matrix = np.array([prototypes[n] for n in names], np.float32) if names else None
-    dimensions = matrix.shape[1] if names else DIMENSIONS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(dimensions)
-        for batch in batches:
-            found, scores = [], []
-            for t in batch["__text"]:
-                v = encoder.encode(t) if names else None
-                if v is None:
-                    found.append("und"), scores.append(0.0)
-                else:
-                    cosines = matrix @ v
-                    best = int(np.argmax(cosines))
-                    found.append(names[best]), scores.append(float(np.clip(cosines[best], 0, 1)))
-            out = batch.drop(columns="__text")
-            out[lang_col], out[score_col] = found, scores
-            yield out
-
-    kept = [c for c in keep if c not in (lang_col, score_col)]
-    fields = [df.schema[c] for c in kept] + [T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias("__text")).mapInPandas(run, T.StructType(fields))
+    def work():
+        encoder = Encoder(matrix.shape[1] if names else DIMENSIONS)
+
+        def one(text: str | None) -> tuple[str, float]:
+            v = encoder.encode(text) if names else None
+            if v is None:
+                return "und", 0.0
+            cosines = matrix @ v
+            best = int(np.argmax(cosines))
+            return names[best], float(np.clip(cosines[best], 0, 1))
+
+        return lambda texts: [one(t) for t in texts]
+
+    return map_texts(df, keep, text, work, f"`{lang_col}` string, `{score_col}` double")

@@ -12,13 +12,13 @@ import hashlib
 import io
 import wave
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sinolex.llm.common import map_texts
+
 BLOCK = 576
 PAD = b"\xff"
 RATE = 8000
@@ -83,22 +83,15 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 def encode(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Media columns of every row: the stored file, its fingerprints as time-coded arrays, and digests of what was read back."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                batch = whole.iloc[at : at + 500]
-                rows = []
-                for t in batch["__text"]:
-                    data = (t or "").encode("utf-8", "surrogatepass")
-                    media = to_wav(payload(data))
-                    back = from_wav(media)
-                    times, prints = fingerprint(back)
-                    rows.append((len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media, times, prints))
-                out = batch.drop(columns="__text").reset_index(drop=True)
-                yield pd.concat([out, pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media", "times", "prints"])], axis=1)
-
-    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, times array<int>, prints array<long>"
-    return df.select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)
+    def one(text: str | None) -> tuple:
+        data = (text or "").encode("utf-8", "surrogatepass")
+        media = to_wav(payload(data))
+        back = from_wav(media)
+        times, prints = fingerprint(back)
+        return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), media, times, prints
+
+    out = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media binary, times array<int>, prints array<long>"
+    return map_texts(df, keys, text, lambda: lambda texts: [one(t) for t in texts], out)
 
 
 def digest(media: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,14 +10,13 @@ is the share of good labels (0.5 without labels). Documents with several labels
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sinolex.llm.common import map_texts
+
 #: Labelled rows of each class that are used: half build the dictionary, half calibrate. This bounds what the driver reads.
 ROWS_PER_CLASS = 400
 DICTIONARY_BYTES = 110_000
@@ -95,12 +94,4 @@ class Model:
 
 def score(df: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """The columns ``keys`` with a score for each row."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = batch.drop(columns="__text")
-            out["score"] = [model.score(t) for t in batch["__text"]]
-            yield out
-
-    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + "score double"
-    return df.select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)
+    return map_texts(df, keys, text, lambda: lambda texts: [(model.score(t),) for t in texts], "score double")

@@ -11,12 +11,10 @@ share of toxic labels (0.5 without labels). Repeated rows stay; documents with s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from sinolex.llm.common import map_texts
 
 #: Labelled rows of each class that are used for training; this bounds what the driver reads.
 ROWS_PER_CLASS = 500
@@ -314,14 +312,9 @@ class Scorer:
 def score(df: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
     """The columns ``keys`` with a score for each row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work():
         scorer = Scorer(model) if model.trained else None
-        for whole in batches:
-            for at in range(0, len(whole), 64):
-                batch = whole.iloc[at : at + 64]
-                out = batch.drop(columns="__text")
-                out["score"] = scorer.score(batch["__text"].tolist()) if scorer else float(sigmoid(np.float64(model.offset)))
-                yield out
-
-    schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys) + "score double"
-    return df.select(*keys, F.col(text).alias("__text")).mapInPandas(run, schema)
+        constant = float(sigmoid(np.float64(model.offset)))
+        return lambda texts: [(x,) for x in scorer.score(texts).tolist()] if scorer else [(constant,)] * len(texts)
+
+    return map_texts(df, keys, text, work, "score double", 64)

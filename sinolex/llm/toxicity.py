@@ -121,7 +121,8 @@ class Model:
         pieces = [char_rows(w) for w in self.words]
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()}
         step, order = 0, np.flatnonzero(train)
-        for epoch in range(EPOCHS):
+        epochs = EPOCHS * max(1, min(4, round(600 / max(1, len(order)))))  # few rows need more passes for as many steps
+        for epoch in range(epochs):
             rng.shuffle(order)
             for at in range(0, len(order), 64):
                 chosen = order[at : at + 64]
@@ -132,7 +133,7 @@ class Model:
                 best = self.best(value, owner, len(chosen))
                 grads = self.backward(vectors, grid[best], mask[best], ys[chosen], word_rows, pieces)
                 step += 1
-                rate = 0.02 * (1 - epoch / EPOCHS) + 0.002
+                rate = 0.02 * (1 - epoch / epochs) + 0.002
                 for k, g in grads.items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
@@ -155,9 +156,10 @@ class Model:
         design, beta = np.stack((x, np.ones(len(x))), 1), np.array([1.0, 0.0])
         for _ in range(30):
             q = sigmoid(np.clip(design @ beta, -30, 30))
-            gradient = design.T @ (y - q) - 0.1 * (beta - [1, 0])
-            beta = beta + np.linalg.solve((design * (q * (1 - q))[:, None]).T @ design + 0.1 * np.eye(2), gradient)
-        return max(float(beta[0]), 1e-3), float(beta[1])
+            gradient = design.T @ (y - q) - 2 * (beta - [1, 0])
+            beta = beta + np.linalg.solve((design * (q * (1 - q))[:, None]).T @ design + 2 * np.eye(2), gradient)
+            beta = np.clip(beta, [0.1, -5], [5, 5])  # a few rows that are told apart cleanly would drive it off
+        return float(beta[0]), float(beta[1])
 
     @staticmethod
     def lay(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

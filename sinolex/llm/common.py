@@ -107,25 +107,34 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random number for each byte value at each of 64 places in a word.
+PLACES = 64
+_table = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 64, PLACES * 256, np.uint64, endpoint=False)
+
+
 def hash_text_words(data: bytes) -> np.ndarray:
     """A 64-bit hash for each white-space separated word of ``data``, computed on the whole array at once.
 
-    Each byte is mixed with its place in the word, the values of a word are summed and the sum is mixed again.
+    Each byte gives a random number by its value and place; a word's numbers are summed and mixed with its length.
     """
-    if not data:
-        return np.empty(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
-    inside = np.arange(len(raw), dtype=np.int64)
-    first = np.zeros(len(raw), np.int64)
-    first[starts] = starts
-    np.maximum.accumulate(first, out=first)
-    inside -= first
-    value = mix64((raw.astype(np.uint64) + np.uint64(1)) * _ODD + inside.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    value[space] = 0
-    total = np.add.reduceat(value, starts)
-    return mix64(total + (ends - starts).astype(np.uint64) * _ODD)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    places = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
+    value = _table[(places & (PLACES - 1)) * 256 + raw[~space]]
+    if len(far := np.flatnonzero(places >= PLACES)):
+        value[far] = mix64(value[far] + (places[far] // PLACES).astype(np.uint64) * _ODD)
+    return mix64(np.add.reduceat(value, first) + sizes.astype(np.uint64) * _ODD)
+
+
+def hash_runs(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each run of ``size`` neighbouring hashes."""
+    out = np.full(len(hashes) - size + 1, size, np.uint64)
+    for i in range(size):
+        out = out * _ODD + hashes[i : len(hashes) - size + 1 + i]
+    return mix64(out)

@@ -21,8 +21,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from sinolex.llm.common import durable, hash_text_words, mix64, of_ids
+from sinolex.llm.common import durable, hash_runs, hash_text_words, of_ids
 from sinolex.llm.components import components
 
 WORDS = 5
@@ -40,11 +41,7 @@ def ngrams(text: str | None, words: int = WORDS) -> np.ndarray:
     h = hash_text_words(text.encode("utf-8", "surrogatepass").lower()) if text else np.empty(0, np.uint64)
     if not len(h):
         return h
-    size = min(words, len(h))
-    out = np.full(len(h) - size + 1, size, np.uint64)
-    for i in range(size):
-        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
-    return np.unique(out)
+    return np.unique(hash_runs(h, min(words, len(h))))
 
 
 def needed(n: int, percent: int = PERCENT) -> int:
@@ -52,14 +49,14 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(grams: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
-    """The prefix of a set and how many of its n-grams must be shared. ``names``: frequent n-grams in order."""
+def prefix(grams: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int, int]:
+    """The prefix of a set, how many of its n-grams must be shared, and the frequency of the last. ``names``: frequent n-grams in order."""
     n = len(grams)
     freq = np.zeros(n, np.int64)
     if len(names):
         at = np.minimum(np.searchsorted(names, grams), len(names) - 1)
         freq = np.where(names[at] == grams, counts[at], 0)
-    by = np.lexsort((grams, freq))
+    by = np.lexsort((grams.view(np.int64), freq))
     running = np.cumsum(freq[by])
     base, best = n - needed(n, percent), None
     for matches in MATCHES:
@@ -69,7 +66,8 @@ def prefix(grams: np.ndarray, names: np.ndarray, counts: np.ndarray, percent: in
         cost = (base + matches) + met + n * met / matches
         if best is None or cost < best[0]:
             best = cost, matches
-    return grams[by[: base + best[1]]], best[1]
+    chosen = by[: base + best[1]]
+    return grams[chosen], best[1], int(freq[chosen[-1]])
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -82,9 +80,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 rows.append((len(g), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
             out = pd.DataFrame(rows, columns=["n", "s1", "s2"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "none", batch["none"].to_numpy())
             yield out
 
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long")
+    # a null id passes as 0 beside a mark, so that ids stay whole numbers in pandas
+    marked = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    made = marked.mapInPandas(run, "doc_id long, none boolean, n long, s1 long, s2 long")
+    return made.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n", "s1", "s2")
 
 
 def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,15 +118,15 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 def prefixes(texts: DataFrame, words: int, percent: int, names: np.ndarray, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, sizes, matches, grams = [], [], [], []
+            ids, sizes, matches, grams, last = [], [], [], [], []
             for i, text in zip(batch["doc_id"], batch["text"], strict=True):
                 g = ngrams(text, words)
                 if len(g):
-                    p, m = prefix(g, names, counts, percent)
-                    ids.append(i), sizes.append(len(g)), matches.append(m), grams.append(p.view(np.int64))
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": np.array(sizes, np.int32), "m": np.array(matches, np.int32), "grams": grams})
+                    p, m, f = prefix(g, names, counts, percent)
+                    ids.append(i), sizes.append(len(g)), matches.append(m), grams.append(p.view(np.int64)), last.append(f)
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "n": np.array(sizes, np.int64), "m": np.array(matches, np.int32), "last": np.array(last, np.int64), "grams": grams})
 
-    return texts.mapInPandas(run, "doc_id long, n int, m int, grams array<long>")
+    return texts.mapInPandas(run, "doc_id long, n long, m int, last long, grams array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -156,26 +158,51 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
     return durable(both.select("a", "b", "x", "y").mapInPandas(similar, "a long, b long").distinct())
 
 
-def star(postings: DataFrame, pivot) -> DataFrame:
-    """For each document its best pivot: of the lists it is in, each gives one document; the one met most often."""
-    pivots = postings.groupBy("gram").agg(pivot("doc_id").alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram", "pivot")
-    met = postings.join(pivots, "gram").where("doc_id != pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("shared"))
-    best = met.groupBy("doc_id").agg(F.max("shared").alias("most"))
-    chosen = met.join(best, "doc_id").where("shared = most").groupBy("doc_id").agg(F.min("pivot").alias("pivot"))
-    return chosen.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+def shareable(lists: DataFrame) -> DataFrame:
+    """Prefix n-grams that two documents hold: (gram, doc_id, n, pos, before), ``before``: how many such the document has earlier."""
+    grams = lists.select("doc_id", "n", F.posexplode("grams").alias("pos", "gram"))
+    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("gram")
+    order = Window.partitionBy("doc_id", "n").orderBy("pos")
+    return grams.join(shared, "gram").withColumn("before", F.row_number().over(order) - 1)
+
+
+def possible(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b, shared prefix n-grams) those that can be similar enough.
+
+    They must share as many as the smaller of their two choices. And all common n-grams up to the end of the prefix that
+    ends first are among the shared ones, so the rest of that set bounds what else they can have in common.
+    """
+    own = lists.select("doc_id", "n", "m", F.size("grams").alias("p"), F.struct("last", F.element_at("grams", -1).alias("gram")).alias("end"))
+    for side in "ab":
+        pairs = pairs.join(own.select(F.col("doc_id").alias(side), *[F.col(c).alias(c + side) for c in ("n", "m", "p", "end")]), side)
+    rest_of_first = F.when(F.col("enda") <= F.col("endb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
+    common = F.least(F.col("shared") + rest_of_first, "na", "nb")
+    enough = common * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
+    return pairs.where(enough & (F.col("shared") >= F.least("ma", "mb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)).select("a", "b", "shared")
 
 
-def rest(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs in different components that share enough of their prefixes."""
+def star(postings: DataFrame, lists: DataFrame, percent: int, pivot) -> DataFrame:
+    """For each document its best pivot, if possible: of the lists it is in, each gives one document, and the one met most often counts."""
+    pivots = postings.groupBy("gram").agg(pivot("doc_id").alias("b"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram", "b")
+    met = postings.select("gram", F.col("doc_id").alias("a")).join(pivots, "gram").where("a != b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    best = met.groupBy("a").agg(F.max(F.struct("shared", (-F.col("b")).alias("less"))).alias("x")).select("a", (-F.col("x.less")).alias("b"), "x.shared")
+    return possible(best, lists, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def rest(postings: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs in different components that can be similar enough."""
     mixed = postings.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("gram")
     rows = durable(postings.join(mixed, "gram"))
     # two sets that are similar enough are in one size class or in neighbouring ones
     size_class: Column = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    left = rows.select("gram", size_class.alias("k"), F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("m").alias("ma"))
-    right = rows.select("gram", F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("k"), F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    pairs = left.join(right, ["gram", "k"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent))
-    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min(F.least("ma", "mb")).alias("must"))
-    return shared.where("shared >= must").select("a", "b")
+    left = rows.select("gram", size_class.alias("k"), *[F.col(c).alias(d) for c, d in (("doc_id", "a"), ("label", "la"), ("n", "na"), ("pos", "ia"), ("before", "ca"))])
+    right = rows.select("gram", F.explode(F.array(size_class - 1, size_class, size_class + 1)).alias("k"), *[F.col(c).alias(d) for c, d in (("doc_id", "b"), ("label", "lb"), ("n", "nb"), ("pos", "ib"), ("before", "cb"))])
+    # before this n-gram only n-grams that some other document holds can be common, and behind it no more than either set has left
+    most = F.least("ca", "cb") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    alike = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (most * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+    pairs = left.join(right, ["gram", "k"]).where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike)
+    shared = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return possible(shared, lists, percent).select("a", "b")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -190,17 +217,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     texts = of_ids(docs.where(F.col("doc_id").isNotNull()), durable(copies), "left_anti")
     names, counts = frequent(texts, words)
     lists = durable(prefixes(texts, words, percent, names, counts))
-    grams = lists.select(F.explode("grams").alias("gram"), "doc_id", "n", "m")
-    shared = grams.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("gram")
-    postings = durable(grams.join(shared, "gram").withColumn("label", F.col("doc_id")))
+    postings = durable(shareable(lists).withColumn("label", F.col("doc_id")))
     edges = durable(twice)
     for pivot in (F.min, F.max):
-        found = verified(star(postings, pivot), texts, words, percent)
+        found = verified(star(postings, lists, percent, pivot), texts, words, percent)
         edges = durable(edges.union(found))
         labels = components(edges)
         named = postings.drop("label").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        postings = durable(named.select("gram", "doc_id", "n", "m", F.coalesce("component", "doc_id").alias("label")))
-    edges = edges.union(verified(rest(postings, percent), texts, words, percent))
+        postings = durable(named.select("gram", "doc_id", "n", "pos", "before", F.coalesce("component", "doc_id").alias("label")))
+    edges = edges.union(verified(rest(postings, lists, percent), texts, words, percent))
     labels = components(edges)
     # a document of several rows may be a copy in some and a first one in others
     owner = member.groupBy("doc_id").agg(F.min("first").alias("first"))

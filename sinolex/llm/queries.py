@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sinolex.llm import decontam, html, jaccard, langid, lm, media, mixing, quality, substring, toxicity
 from sinolex.llm.common import id_bucket, table
+from sinolex.llm.oracles import ORACLES  # noqa: F401
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op4_jaccard, op5_html, op6_media, op7_substring, op8_decontaminate, op9_language, op10_toxicity)}
-
-ORACLES: dict[str, str] = {}

@@ -57,8 +57,6 @@ class Encoder:
 
     def learn(self, keys: np.ndarray) -> None:
         """Adds vectors for n-grams that are not stored yet."""
-        if len(self.keys) + len(keys) > CACHE_ROWS:
-            self.clear()
         made = np.empty((len(keys), self.dimensions), np.float32)
         for i, key in enumerate(keys.tolist()):
             bound = np.ones(self.dimensions, np.int8)
@@ -88,12 +86,10 @@ class Encoder:
             spot = np.minimum(np.searchsorted(self.keys, part), max(len(self.keys) - 1, 0))
             new = part[self.keys[spot] != part] if len(self.keys) else part
             if len(new):
-                before = len(self.keys)
+                if len(self.keys) + len(new) > CACHE_ROWS:
+                    self.clear()
+                    new = part
                 self.learn(new)
-                if len(self.keys) < before + len(new):  # the store was emptied
-                    missing = np.setdiff1d(part, new)
-                    if len(missing):
-                        self.learn(missing)
                 spot = np.searchsorted(self.keys, part)
             total += counts[at : at + 8192].astype(np.float32) @ self.vectors[self.rows[spot]]
         norm = float(np.linalg.norm(total))

@@ -214,7 +214,7 @@ def test_expected_counts_by_enumeration():
 @pytest.mark.parametrize("top", [20, 100_000])
 def test_language_model(docs_of, monkeypatch, top):
     monkeypatch.setattr(lm, "TOP", top)
-    rows = [(i, made(EN if i % 2 else DE, RNG.randint(0, 60)), "en", "s") for i in range(60)] + [*AWKWARD, (3, "other text", "en", "s"), (4, "twice twice", "en", "s"), (4, "twice twice", "en", "s")]
+    rows = [(i, made(EN if i % 2 else DE, RNG.randint(0, 60)), "en", "s") for i in range(240)] + [*AWKWARD, (3, "other text", "en", "s"), (4, "twice twice", "en", "s"), (4, "twice twice", "en", "s")]
     docs = docs_of(rows)
     got = lm.score(docs, id_bucket("doc_id", 7) != 2, lambda i: id_bucket(i, 7) == 2).collect()
 

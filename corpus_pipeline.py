@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinolex.llm import decontam, jaccard, langid, mixing, substring
-from sinolex.llm.common import durable, id_bucket, of_ids, table
+from sinolex.llm.common import BROADCAST_IDS, durable, free, id_bucket, of_ids, table
 
 #: A text of at least LONG code points whose best cosine is below LEAST_SCORE is in no language that was learned.
 LONG = 400
@@ -21,9 +21,14 @@ LEAST_SCORE = 0.3
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter or text, and long ones that resemble no learned language."""
     prototypes = langid.train(docs.where(id_bucket("doc_id", 4) != 2))
-    found = langid.predict(docs, prototypes, lang_col="__lang", score_col="__score")
-    unlike = (F.length("text") >= LONG) & (F.col("__score") < LEAST_SCORE)
-    return found.where((F.col("__lang") != "und") & ~unlike).select(*docs.columns)
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("n"), "text")
+    found = langid.predict(keyed, prototypes, keep=["doc_id", "key", "n"])
+    unlike = (F.col("n") >= LONG) & (F.col("score") < LEAST_SCORE)
+    names = free("rejected_id", docs.columns), free("rejected_key", docs.columns)
+    rejected = durable(found.where((F.col("lang_pred") == "und") | unlike).select(F.col("doc_id").alias(names[0]), F.col("key").alias(names[1])).distinct())
+    # texts stay in Spark: only the rejected rows' keys come back from Python
+    hint = F.broadcast(rejected) if rejected.count() <= BROADCAST_IDS else rejected
+    return docs.join(hint, F.col("doc_id").eqNullSafe(F.col(names[0])) & (F.xxhash64("text") == F.col(names[1])), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +39,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1 or doc_id is null").drop("__n")
+    n = free("row_of_id", docs.columns)
+    return kept.withColumn(n, F.row_number().over(order)).where((F.col(n) == 1) | F.col("doc_id").isNull()).drop(n)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of earlier documents out; drops documents of which nothing is left."""
     others = [c for c in docs.columns if c != "doc_id"]
-    rows = substring.removed(docs, keep=others)
-    rows = rows.where("n_removed = 0 or n_removed < n_words")
-    changed = F.col("n_removed") > 0
-    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
+    words, lost, kept = (free(n, docs.columns) for n in ("words_before", "words_lost", "text_kept"))
+    rows = substring.removed(docs, keep=others, names=(words, lost, kept)).where((F.col(lost) == 0) | (F.col(lost) < F.col(words)))
+    changed = F.col(lost) > 0
+    new = {"text": F.when(changed, F.col(kept)).otherwise(F.col("text"))}
     if "n_chars" in others:
-        new["n_chars"] = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(changed, F.length(kept).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return rows.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,9 @@ part. A shard holds the stretches of words around its anchors in a compressed FM
 matrix streams every stretch against it and gives, window by window, the smallest document that holds the same words.
 Windows with a smaller document lose their words.
 
+Anchors of more than ``HOT`` documents would fill a shard. Their windows are taken one by one, equal ones are put together
+before they are shuffled, and the distinct windows are dealt to shards of their own by their words.
+
 Documents of the same words are searched once: all copies but the smallest lose everything if they hold a window.
 
 Null and empty texts have no words. Texts of fewer words than a window keep all. Rows that share a doc_id are no earlier
@@ -22,22 +25,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinolex.llm.common import durable, hash_text_words, mix64
+from sinolex.llm.common import durable, hash_runs, hash_text_words, map_texts
 from sinolex.llm.fmindex import FmIndex
 
 WINDOW = 50
 ANCHOR = 10
 #: Words of a shard, about.
 SHARD_WORDS = 400_000
+#: Documents of an anchor from which on its windows are dealt by their own words.
+HOT = 2000
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word run, and for each window the place of its anchor (the first at ties)."""
     if len(words) < window:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    runs = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        runs = mix64(runs * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - size + 1 + i])
+    runs = hash_runs(words, size)
     places = np.empty(len(words) - window + 1, np.int64)
     for at in range(0, len(places), 20_000):
         view = np.lib.stride_tricks.sliding_window_view(runs[at : at + 20_000 + window - size], window - size + 1)[: len(places) - at][:20_000]
@@ -45,40 +48,53 @@ def anchors(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tupl
     return runs, places
 
 
-def stretches(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last window of each run of windows with one anchor."""
-    edge = np.flatnonzero(np.diff(places)) + 1
-    return np.concatenate(([0], edge)), np.concatenate((edge, [len(places)])) - 1
+def stretches(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of windows with anchors of one hash; a repeated phrase is one run."""
+    edge = np.flatnonzero(names[1:] != names[:-1]) + 1
+    return np.concatenate(([0], edge)), np.concatenate((edge, [len(names)])) - 1
+
+
+def index_of(least: dict[bytes, int], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The smallest document of each group of index rows, and for each content the groups of its windows by backward search."""
+    sequences = [np.frombuffer(c, np.uint64) for c in least]
+    names, flat = np.unique(np.concatenate(sequences), return_inverse=True)
+    sequences = np.split(flat.astype(np.int64) + 1, np.cumsum([len(s) for s in sequences])[:-1])
+    index = FmIndex(sequences, window, len(names))
+    owner = np.full(index.n_groups, np.iinfo(np.int64).max)
+    for s, base, doc in zip(sequences, index.base.tolist(), least.values(), strict=True):
+        np.minimum.at(owner, index.place_group[base : base + len(s) - window + 1], doc)
+    return owner, index.match(sequences)
 
 
 def search(rows: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     """The windows of a shard's stretches that a smaller document holds: (doc_id, key, windows)."""
-    docs, contents = rows["doc_id"].to_numpy(), rows["words"].tolist()
+    docs, contents = rows["doc_id"].tolist(), rows["words"].tolist()
     least: dict[bytes, int] = {}
-    for d, c in zip(docs.tolist(), contents, strict=True):
+    for d, c in zip(docs, contents, strict=True):
         if d < least.get(c, d + 1):
             least[c] = d
-    kinds = list(least)
-    numbers = {c: i for i, c in enumerate(kinds)}
-    sequences = [np.frombuffer(c, np.uint64) for c in kinds]
-    names, flat = np.unique(np.concatenate(sequences), return_inverse=True)
-    sequences = np.split(flat.astype(np.int64) + 1, np.cumsum([len(s) for s in sequences])[:-1])
-    index = FmIndex(sequences, window, len(names))
-    owner = np.full(index.n_groups, np.iinfo(np.int64).max)
-    for s, base, c in zip(sequences, index.base.tolist(), kinds, strict=True):
-        np.minimum.at(owner, index.place_group[base : base + len(s) - window + 1], least[c])
-    groups = index.match(sequences)
+    owner, found = index_of(least, window)
+    groups = dict(zip(least, found, strict=True))
     out = []
-    for d, key, first, c in zip(docs.tolist(), rows["key"].tolist(), rows["first"].tolist(), contents, strict=True):
-        g = groups[numbers[c]]
+    for d, key, first, c in zip(docs, rows["key"].tolist(), rows["first"].tolist(), contents, strict=True):
+        g = groups[c]
         hit = np.flatnonzero((g >= 0) & (owner[g] < d))
         if len(hit):
             out.append((d, key, (hit + first).astype(np.int32)))
     return pd.DataFrame(out, columns=["doc_id", "key", "windows"])
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
-    """Every row with its words, those removed and the text that is kept, joined by one space; ``keep``: columns to carry."""
+def owners(rows: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
+    """The smallest document of each distinct window of a shard: (code, owner)."""
+    owner, found = index_of(dict(zip(rows["words"].tolist(), rows["least"].tolist(), strict=True)), window)
+    return pd.DataFrame({"code": rows["code"], "owner": [int(owner[g[0]]) for g in found]})
+
+
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "n_removed", "kept"), window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
+    """Every row with its words, those removed and the text that is kept, joined by one space.
+
+    ``keep``: columns to carry; ``names``: what the three new columns are called.
+    """
     keep = keep or []
     carried = [F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(keep)]
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("key"), F.col(text).alias("text"), *carried)
@@ -114,55 +130,72 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
 
     listed = durable(texts.mapInPandas(list_anchors, "doc_id long, key long, anchors array<long>"))
     single = listed.select("doc_id", "key", F.explode("anchors").alias("anchor"))
-    shared = single.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo != hi").select("anchor")
-    hits = durable(single.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_list("anchor").alias("anchors")))
-    total = hits.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
+    shared = single.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("docs")).where("lo != hi").select("anchor", (F.col("docs") > HOT).alias("hot"))
+    kinds = [F.collect_list(F.when(F.col("hot") == h, F.col("anchor"))).alias(n) for h, n in ((False, "anchors"), (True, "hot"))]
+    hits = durable(single.join(shared, "anchor").groupBy("doc_id", "key").agg(*kinds))
+    total, hot = hits.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
     shards = max(1, -(-total * (window + window // 2) // SHARD_WORDS))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out, held = [], 0
-            for d, key, t, wanted in zip(batch["doc_id"], batch["key"], batch["text"], batch["anchors"], strict=True):
-                words = hash_text_words(t.encode("utf-8", "surrogatepass"))
-                runs, places = anchors(words, window, size)
-                first, last = stretches(places)
-                names = runs[places[first]]
-                for i in np.flatnonzero(np.isin(names.view(np.int64), wanted)).tolist():
-                    out.append((int(names[i] % np.uint64(shards)), d, key, int(first[i]), words[first[i] : last[i] + window].tobytes()))
-                    held += int(last[i] - first[i]) + window
-                if held > 1_000_000:
-                    yield pd.DataFrame(out, columns=["shard", "doc_id", "key", "first", "words"])
-                    out, held = [], 0
-            yield pd.DataFrame(out, columns=["shard", "doc_id", "key", "first", "words"])
-
-    pieces = texts.join(hits, ["doc_id", "key"]).mapInPandas(cut, "shard long, doc_id long, key long, first int, words binary")
+    def cut(column: str, whole: bool):
+        """Stretches with an anchor of the column, as they are or window by window."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names_out = ["shard", "doc_id", "key", "first", "words"]
+            for batch in batches:
+                out, held = [], 0
+                for d, key, t, wanted in zip(batch["doc_id"], batch["key"], batch["text"], batch[column], strict=True):
+                    words = hash_text_words(t.encode("utf-8", "surrogatepass"))
+                    runs, places = anchors(words, window, size)
+                    first, last = stretches(runs[places])
+                    names = runs[places[first]]
+                    for i in np.flatnonzero(np.isin(names.view(np.int64), wanted)).tolist():
+                        shard = int(names[i] % np.uint64(shards))
+                        spans = [(int(first[i]), int(last[i]) + window)] if whole else [(at, at + window) for at in range(int(first[i]), int(last[i]) + 1)]
+                        for begin, end in spans:
+                            out.append((shard, d, key, begin, words[begin:end].tobytes()))
+                            held += end - begin
+                    if held > 500_000:
+                        yield pd.DataFrame(out, columns=names_out)
+                        out, held = [], 0
+                yield pd.DataFrame(out, columns=names_out)
+
+        return run
+
+    schema = "shard long, doc_id long, key long, first int, words binary"
+    found = texts.join(hits, ["doc_id", "key"])
+    pieces = found.where("size(anchors) > 0").select("doc_id", "key", "text", "anchors").mapInPandas(cut("anchors", True), schema)
     gone = pieces.groupBy("shard").applyInPandas(lambda rows: search(rows, window), "doc_id long, key long, windows array<int>")
+    if hot:
+        single = found.where("size(hot) > 0").select("doc_id", "key", "text", "hot").mapInPandas(cut("hot", False), schema)
+        distinct = single.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most")
+        distinct = distinct.select("words", "least", F.xxhash64("words").alias("code"))
+        dealt = durable(distinct.withColumn("shard", F.pmod("code", F.lit(max(1, hot * window // SHARD_WORDS)))))
+        named = dealt.groupBy("shard").applyInPandas(lambda rows: owners(rows, window), "code long, owner long")
+        places = single.select("doc_id", "key", "first", F.xxhash64("words").alias("code"))
+        gone = gone.union(places.join(named, "code").where("owner < doc_id").groupBy("doc_id", "key").agg(F.collect_list("first").alias("windows")))
     gone = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("windows")).alias("windows"))
     gone = gone.select("doc_id", "key", "windows", F.lit(False).alias("whole")).union(copies.select("doc_id", "key", F.lit(None).cast("array<int>"), F.lit(True)))
     joined = docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key")), "left")
-    joined = joined.select("d.doc_id", "text", "windows", "whole", *[f"__{i}" for i in range(len(keep))])
-
-    def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
-                rows = []
-                for t, starts, whole in zip(part["text"], part["windows"], part["whole"], strict=True):
-                    words = (t or "").encode("utf-8", "surrogatepass").split()
-                    n, lost = len(words), 0
-                    if whole is True or (whole is not None and whole == 1):
-                        words, lost = [], n
-                    elif starts is not None and len(starts):
-                        edge = np.zeros(n + 1, np.int64)
-                        starts = np.unique(np.asarray(starts))
-                        edge[starts] += 1
-                        np.add.at(edge, starts + window, -1)
-                        cover = np.cumsum(edge[:-1]) > 0
-                        words, lost = [w for w, c in zip(words, cover.tolist(), strict=True) if not c], int(cover.sum())
-                    rows.append((n, lost, b" ".join(words).decode("utf-8", "surrogatepass")))
-                out = part.drop(columns=["text", "windows", "whole"]).reset_index(drop=True)
-                yield pd.concat([out, pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])], axis=1)
-
-    schema = "doc_id long, " + "".join(f"`__{i}` {docs.schema[f'__{i}'].dataType.simpleString()}, " for i in range(len(keep))) + "n_words long, n_removed long, kept string"
-    made = joined.mapInPandas(drop, schema)
-    return made.select("doc_id", *[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_removed", "kept")
+    carried = [f"__{i}" for i in range(len(keep))]
+    joined = joined.select("d.doc_id", F.struct("text", "windows", "whole").alias("work"), *carried)
+
+    def drop(rows: list[dict]) -> list[tuple[int, int, str]]:
+        out = []
+        for row in rows:
+            words = (row["text"] or "").encode("utf-8", "surrogatepass").split()
+            n, lost, starts = len(words), 0, row["windows"]
+            if row["whole"]:
+                words, lost = [], n
+            elif starts is not None and len(starts):
+                edge = np.zeros(n + 1, np.int64)
+                starts = np.unique(np.asarray(starts))
+                edge[starts] += 1
+                np.add.at(edge, starts + window, -1)
+                cover = np.cumsum(edge[:-1]) > 0
+                words, lost = [w for w, c in zip(words, cover.tolist(), strict=True) if not c], int(cover.sum())
+            out.append((n, lost, b" ".join(words).decode("utf-8", "surrogatepass")))
+        return out
+
+    made = map_texts(joined, ["doc_id", *carried], "work", lambda: drop, "__n long, __lost long, __kept string")
+    new = [F.col(c).alias(name) for c, name in zip(("__n", "__lost", "__kept"), names, strict=True)]
+    return made.select("doc_id", *[F.col(i).alias(c) for i, c in zip(carried, keep, strict=True)], *new)

@@ -38,6 +38,7 @@ STRETCH = 512
 GROUP = 150_000
 END = b" "  # no word holds a space
 PSEUDO = 20.0
+NO_ID = 1 << 34
 
 
 def bucket(word: bytes) -> int:
@@ -62,19 +63,29 @@ def count_words(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
 
+class Ids(dict):
+    """Symbol numbers; a word without one has its class's."""
+
+    def __init__(self, top: list[bytes]):
+        super().__init__((w, i) for i, w in enumerate(top))
+        self.base = len(top)
+
+    def __missing__(self, word: bytes) -> int:
+        return self.base + bucket(word)
+
+
 class Symbols:
     """Which symbol a token is."""
 
     def __init__(self, top: list[bytes]):
-        self.ids = {w: i for i, w in enumerate(top)}
+        self.ids = Ids(top)
         self.n = len(top) + BUCKETS
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get, base = self.ids.get, len(self.ids)
-        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = base + bucket(words[i])
-        return out
+        return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
+
+    def __reduce__(self):
+        return Symbols, (list(self.ids),)
 
 
 class Hmm:
@@ -238,11 +249,15 @@ def baum_welch(df: DataFrame, symbols: Symbols, hmm: Hmm) -> None:
 
 def score(docs: DataFrame, training, held_out, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """Scores every row of ``docs``; learns from the rows for which the column ``training`` is true."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), training.alias("__train"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"), training.alias("__train"))
     learn = rows.where("__train").select("__text")
     counts = durable(count_words(learn))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "w").limit(TOP).toArrow()
+    # counts from which on words can be among the top: only those are sorted
+    often = [(r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(TOP).collect()]
+    held = np.cumsum([k for _, k in often])
+    limit = often[min(int(np.searchsorted(held, TOP)), len(often) - 1)][0] if often else 0
+    top = counts.where(F.col("n") >= limit).orderBy(F.desc("n"), "w").limit(TOP).toArrow()
     words = [bytes(w) for w in top.column("w").to_pylist()]
     if END not in words:
         words.append(END)
@@ -276,9 +291,9 @@ def score(docs: DataFrame, training, held_out, doc_id: str = "doc_id", text: str
                 found += new.keys()
                 times += new.values()
                 if len(ids) > 200_000:
-                    yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=batch["doc_id"].dtype), "key": keys, "w": found, "k": times})
+                    yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "key": np.array(keys, np.int64), "w": found, "k": times})
                     ids, keys, found, times = [], [], [], []
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=batch["doc_id"].dtype), "key": keys, "w": found, "k": times})
+            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "key": np.array(keys, np.int64), "w": found, "k": times})
 
     def forward(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -293,13 +308,14 @@ def score(docs: DataFrame, training, held_out, doc_id: str = "doc_id", text: str
                 out[["n_tokens", "known", "base", "path"]] = made
                 yield out.astype({"n_tokens": "int64", "known": "int64"})
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    keyed = rows.select("doc_id", F.coalesce(F.crc32("__text"), F.lit(-1)).alias("key"), "__text")
-    parts = keyed.mapInPandas(rares, f"doc_id {kind}, key long, w binary, k long")
+    # a null id passes as 0 with a key of its own, so that ids stay whole numbers in pandas
+    no_id = F.when(F.col("doc_id").isNull(), F.lit(NO_ID)).otherwise(F.lit(0))
+    keyed = rows.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), (F.coalesce(F.crc32("__text"), F.lit(1 << 32)) + no_id).alias("key"), "__text")
+    parts = keyed.mapInPandas(rares, "doc_id long, key long, w binary, k long")
     known = parts.join(rare, "w").groupBy("doc_id", "key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
-    paths = keyed.mapInPandas(forward, f"doc_id {kind}, key long, n_tokens long, known long, base double, path double")
-    joined = paths.alias("p").join(known.alias("r"), F.col("p.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("p.key") == F.col("r.key")), "left")
+    paths = keyed.mapInPandas(forward, "doc_id long, key long, n_tokens long, known long, base double, path double")
+    joined = paths.alias("p").join(known.alias("r"), (F.col("p.doc_id") == F.col("r.doc_id")) & (F.col("p.key") == F.col("r.key")), "left")
     # rows that share id and text have summed their words once for each of them
     same = F.count("*").over(Window.partitionBy("p.doc_id", "p.key"))
-    rows = joined.select("p.doc_id", "n_tokens", "known", "base", "path", (F.coalesce("r.k", F.lit(0)) / same).cast("long").alias("more"), (F.coalesce("r.logs", F.lit(0.0)) / same).alias("extra"))
+    rows = joined.select(F.when(F.col("p.key") < NO_ID, F.col("p.doc_id")).alias("doc_id"), "n_tokens", "known", "base", "path", (F.coalesce("r.k", F.lit(0)) / same).cast("long").alias("more"), (F.coalesce("r.logs", F.lit(0.0)) / same).alias("extra"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.col("extra")).alias("base_score"), (F.col("path") + F.col("extra")).alias("score"))

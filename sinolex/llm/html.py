@@ -7,14 +7,16 @@ such substrings cover is boilerplate. What is left is the text of pages that mar
 
 Articles that occur on many pages of a host are wanted, so a marked article is never dropped for being repeated.
 
-A null or empty page has empty text. Repeated rows are separate pages. Pages with a null url form one host. Hosts are cut
-into shards of about ``SHARD_PAGES`` pages, so that a host of any size is bounded in a task.
+A null or empty page has empty text. Repeated rows are separate pages. Pages with a null url form one host. The pages of a
+host of more than ``ARRAY_PAGES`` don't meet in one task: Spark groups the hashes of their runs over the whole host, which
+finds the same runs.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sinolex.llm.common import durable
+from sinolex.llm.common import durable, hash_runs, hash_text_words
 
 MIN_RUN = 8
 COVERED = 0.5
-SHARD_PAGES = 500
+#: Pages of a host up to which one suffix array holds it; beyond, its runs are grouped by hash.
+ARRAY_PAGES = 500
 #: Hosts up to which their page counts are broadcast; beyond, the join shuffles.
 BROADCAST_HOSTS = 100_000
 
@@ -119,43 +122,103 @@ def repeated(tokens: np.ndarray, pages: np.ndarray, length: int = MIN_RUN) -> np
     return np.cumsum(edge[:-1]) > 0
 
 
-def clean(shard: list[tuple[list[str], list[tuple[str, bool]]]]) -> list[str]:
-    """The main texts of one shard's pages."""
+def unmarked(rest: list[tuple[str, bool]], cover: np.ndarray) -> str:
+    """The blocks of a page that are neither furniture nor covered, given which of its tokens are."""
+    kept, at = [], 0
+    for text, furniture in rest:
+        end = at + len(text.split())
+        if not furniture and cover[at:end].sum() < COVERED * (end - at):
+            kept.append(text)
+        at = end
+    return "\n".join(kept)
+
+
+def clean(host: list[tuple[str, list[tuple[str, bool]]]]) -> list[str]:
+    """The main texts of all pages of a host: its suffix array decides on the other blocks."""
     ids: dict[str, int] = {}
-    stream: list[int] = []
-    owner: list[int] = []
-    spans: list[tuple[int, int, int]] = []
-    for p, (_, rest) in enumerate(shard):
-        for b, (text, _) in enumerate(rest):
-            at = len(stream)
-            stream += [ids.setdefault(w, len(ids)) for w in text.split()]
-            owner += [p] * (len(stream) - at)
-            spans.append((p, b, at))
-    total = np.concatenate(([0], np.cumsum(repeated(np.array(stream, np.int64), np.array(owner, np.int64)))))
-    ends = [s[2] for s in spans[1:]] + [len(stream)]
-    kept: list[list[str]] = [[] for _ in shard]
-    for (p, b, at), end in zip(spans, ends, strict=bool(spans)):
-        text, furniture = shard[p][1][b]
-        if not furniture and total[end] - total[at] < COVERED * (end - at):
-            kept[p].append(text)
-    return ["\n".join(main or kept[p]) for p, (main, _) in enumerate(shard)]
+    streams = [[ids.setdefault(w, len(ids)) for text, _ in rest for w in text.split()] for _, rest in host]
+    sizes = [len(s) for s in streams]
+    cover = repeated(np.array([i for s in streams for i in s], np.int64), np.repeat(np.arange(len(host)), sizes))
+    covers = np.split(cover, np.cumsum(sizes)[:-1]) if host else []
+    return [main or unmarked(rest, c) for (main, rest), c in zip(host, covers, strict=True)]
+
+
+def run_hashes(rest: list[tuple[str, bool]]) -> np.ndarray:
+    """A hash for each run of ``MIN_RUN`` tokens of a page's other blocks, in order."""
+    words = hash_text_words("\n".join(text for text, _ in rest).encode("utf-8", "surrogatepass"))
+    return hash_runs(words, MIN_RUN).view(np.int64) if len(words) >= MIN_RUN else np.empty(0, np.int64)
+
+
+def clean_by_hash(main: str, rest: list[tuple[str, bool]], shared: np.ndarray | None) -> str:
+    """The main text of one page, given the hashes of its runs that other pages of the host hold."""
+    if main:
+        return main
+    edge = np.zeros(sum(len(text.split()) for text, _ in rest) + 1, np.int64)
+    if shared is not None:
+        found = np.flatnonzero(np.isin(run_hashes(rest), shared))
+        np.add.at(edge, found, 1)
+        np.add.at(edge, found + MIN_RUN, -1)
+    return unmarked(rest, np.cumsum(edge[:-1]) > 0)
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(page_id, url, host, key, main, rest, named): the blocks of each page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [blocks(p) for p in batch["html"]]
+            out = batch[["page_id", "url", "host", "key"]].copy()
+            out["main"] = ["\n".join(main) for main, _ in made]
+            out["rest"] = [[text for text, _ in rest] for _, rest in made]
+            out["named"] = [[named for _, named in rest] for _, rest in made]
+            yield out
+
+    given = [rows.schema[c] for c in ("page_id", "url", "host", "key")]
+    new = T._parse_datatype_string("main string, rest array<string>, named array<boolean>").fields
+    return rows.mapInPandas(run, T.StructType([*given, *new]))
+
+
+def shared_runs(rows: DataFrame) -> DataFrame:
+    """(key, runs): for pages that mark no article the hashes of their runs that two or more pages of the host hold."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for host, key, page in zip(batch["host"], batch["key"], batch["html"], strict=True):
+                main, rest = blocks(page)
+                if len(found := np.unique(run_hashes(rest))):
+                    yield pd.DataFrame({"host": host, "key": key, "open": not main, "run": found})
+
+    runs = rows.mapInPandas(run, "host string, key long, open boolean, run long")
+    # a page gives each of its runs once, so rows are pages; repeated rows count as the pages they are
+    shared = runs.groupBy("host", "run").agg(F.count("*").alias("pages"), F.max("open").alias("open")).where("pages > 1 and open").select("host", "run")
+    return runs.where("open").join(shared, ["host", "run"]).groupBy("key").agg(F.collect_set("run").alias("runs"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row for each page: id, url, text, n_chars."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
+    kind = pages.schema[id_col].dataType
+    # whole numbers pass as text, since pandas would turn those beside nulls into floats
+    page_id = F.col(id_col).cast("string") if isinstance(kind, T.IntegralType) else F.col(id_col)
+    rows = pages.select(page_id.alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
-    rows = rows.withColumn("host", host)
-    shards = rows.groupBy("host").agg(F.ceil(F.count("*") / SHARD_PAGES).cast("int").alias("shards"))
-    shards = durable(shards)
-    few = shards.count() <= BROADCAST_HOSTS
-    rows = rows.join(F.broadcast(shards) if few else shards, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")))
-    # dealt anew by host and shard: a partitioning by host alone would serve the groups too, but put a large host in one task
-    rows = rows.repartition("host", "shard")
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        texts = clean([blocks(p) for p in batch["html"]])
+    rows = rows.withColumn("host", host).withColumn("key", F.xxhash64("page_id", "url", "html", F.col("page_id").isNull(), F.col("url").isNull()))
+    large = durable(rows.groupBy("host").count().where(F.col("count") > ARRAY_PAGES).select("host"))
+    n = large.count()
+    hint = F.broadcast(large) if n <= BROADCAST_HOSTS else large
+    schema = T.StructType([rows.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+
+    def made(batch: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
         return pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    schema = T.StructType([T.StructField("page_id", rows.schema["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return rows.groupBy("host", "shard").applyInPandas(run, schema)
+    def one_host(batch: pd.DataFrame) -> pd.DataFrame:
+        return made(batch, clean([(main, list(zip(rest, named, strict=True))) for main, rest, named in zip(batch["main"], batch["rest"], batch["named"], strict=True)]))
+
+    def one_page(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield made(batch, [clean_by_hash(main, list(zip(rest, named, strict=True)), runs) for main, rest, named, runs in zip(batch["main"], batch["rest"], batch["named"], batch["runs"], strict=True)])
+
+    out = parsed(rows.join(hint, "host", "left_anti") if n else rows).groupBy("host").applyInPandas(one_host, schema)
+    if n:
+        rest = rows.join(hint, "host", "left_semi")
+        out = out.union(parsed(rest).join(shared_runs(rest), "key", "left").mapInPandas(one_page, schema))
+    return out.withColumn("page_id", F.col("page_id").cast(kind))

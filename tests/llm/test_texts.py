@@ -157,6 +157,36 @@ def test_html(spark):
     assert html.extract(docs.limit(0)).collect() == []
 
 
+def test_html_runs_of_a_large_host(spark, monkeypatch):
+    rng = random.Random(3)
+    notices = [" ".join(f"n{k}x{i}" for i in range(12)) for k in range(40)]
+    # each notice is on two pages of the host, once a run over two blocks; an article page is one of the two for some
+    rows = []
+    for i in range(80):
+        k = i % 40
+        notice = f"<div>{notices[k]}</div>" if k % 3 else f"<div>{notices[k][: len(notices[k]) // 2]}</div><div>{notices[k][len(notices[k]) // 2 :]}</div>"
+        body = f"<p>story {i} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(9)) + "</p>"
+        rows.append((i, "http://big.example/p", notice + (f"<article>{body}</article>" if i % 7 == 0 else body)))
+    rows += [(None, "http://big.example/p", f"<p>{'same words on both rows of this page ' * 2}</p>")] * 2 + [(90, "http://other.example", f"<p>{notices[1]}</p>"), (2**60 + 1, "http://big.example/q", None)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+
+    def texts():
+        return sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in html.extract(docs).collect())
+
+    whole = texts()
+    monkeypatch.setattr(html, "ARRAY_PAGES", 3)
+    assert texts() == whole and len(whole) == len(rows)
+    got = dict(whole)
+    assert all(got[i].startswith(f"story {i} ") and "\n" not in got[i] for i in range(80))
+    assert got[-1] == "" and got[90] == notices[1] and got[2**60 + 1] == ""
+
+
+def test_html_pairs_on_a_host_of_many_pages(spark):
+    notice = " ".join(f"n{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, "http://big.example", f"<p>{notice} k{i // 2} {notice.replace('n', f'v{i // 2}n')}</p><p>{i} is alone</p>") for i in range(1202)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extract(docs).collect()} == {i: f"{i} is alone" for i in range(1202)}
+
+
 def test_repeated_runs_against_brute_force():
     rng = np.random.default_rng(1)
     for n, length in ((200, 3), (60, 8), (5, 8), (0, 2)):

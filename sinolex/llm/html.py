@@ -38,7 +38,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements of which only their own end tag says where they end.
 CONTAINERS = frozenset("article aside body button dialog div fieldset footer form head header main menu nav ol section select table template title ul noscript iframe svg figure details".split())
 FURNITURE = frozenset("aside button dialog footer form head iframe menu nav noscript select svg template title".split())
-NAMED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])", re.I)
+NAME = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+#: Whole class, id or role tokens made of such names only: ``cookie-notice``, not ``has-sidebar`` or ``related-work``.
+NAMED = re.compile(rf"(?:^|\s){NAME}(?:[_-]+{NAME})*(?=$|\s)", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?=$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
@@ -49,9 +52,9 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
     rest: list[tuple[str, bool]] = []
     if not page:
         return main, rest
-    stack: list[tuple[str, bool, bool]] = []  # element, inside an article, inside furniture
+    stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, inside a main or article, an article, furniture, merely named furniture
     pieces: list[str] = []
-    inside = furniture = False
+    inside = article = fixed = named = furniture = False
 
     def close() -> None:
         if pieces:
@@ -84,9 +87,13 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
         else:
             close()
             now_inside = inside or name in ("article", "main")
-            marks = any(NAMED.search(next(filter(None, a.groups()), "")) for a in ATTRIBUTE.finditer(m[4])) if m[4] and name not in ("body", "article", "main") else False
-            stack.append((name, now_inside, furniture or name in FURNITURE or marks or (name == "header" and not inside)))
-        inside, furniture = stack[-1][1:] if stack else (False, False)
+            marks = [found[0] for a in ATTRIBUTE.finditer(m[4]) for found in NAMED.finditer(next(filter(None, a.groups()), ""))] if m[4] and name not in ("body", "article", "main") else []
+            now_fixed = fixed or name in FURNITURE or (name == "header" and not inside) or any(map(COMMENTS.search, marks))
+            # a name around an article says how the page is laid out; inside one it says what is not its text
+            now_named = (named or bool(marks)) and (article or name not in ("article", "main"))
+            stack.append((name, now_inside, article or name == "article", now_fixed, now_named))
+        inside, article, fixed, named = stack[-1][1:] if stack else (False, False, False, False)
+        furniture = fixed or named
     if at < len(page):
         pieces.append(entities.unescape(page[at:]))
     close()
@@ -183,10 +190,12 @@ def shared_runs(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for host, key, page in zip(batch["host"], batch["key"], batch["html"], strict=True):
-                main, rest = blocks(page)
-                if len(found := np.unique(run_hashes(rest))):
-                    yield pd.DataFrame({"host": host, "key": key, "open": not main, "run": found})
+            made = [blocks(p) for p in batch["html"]]
+            found = [np.unique(run_hashes(rest)) for _, rest in made]
+            at = np.repeat(np.arange(len(made)), [len(f) for f in found])
+            still_open = np.array([not main for main, _ in made], bool)
+            run = np.concatenate([np.empty(0, np.int64), *found])
+            yield pd.DataFrame({"host": batch["host"].to_numpy()[at], "key": batch["key"].to_numpy()[at], "open": still_open[at], "run": run})
 
     runs = rows.mapInPandas(run, "host string, key long, open boolean, run long")
     # a page gives each of its runs once, so rows are pages; repeated rows count as the pages they are

@@ -157,6 +157,18 @@ def test_html(spark):
     assert html.extract(docs.limit(0)).collect() == []
 
 
+def test_html_wrappers_named_after_furniture(spark):
+    wrapped = {c: f'<div class="{c}"><article><p>Text</p></article></div>' for c in ("content has-sidebar", "content-sidebar-wrap", "no-sidebar", "with-header", "content sidebar")}
+    assert all(html.blocks(p)[0] == ["Text"] for p in wrapped.values())
+    inner = '<article><div class="article-header"><h1>Head</h1></div><section id="related-work"><p>Before</p></section><div class="related"><article>Teaser</article></div><div class="cookie-notice">Cookies</div></article>'
+    assert html.blocks(inner)[0] == ["Head", "Before"]
+    # comment sections and elements of furniture stay furniture
+    for around in ('<div class="comments">{}</div>', '<section id="comments"><div>{}</div></section>', "<aside>{}</aside>", '<nav class="x">{}</nav>'):
+        assert html.blocks(around.format("<article>Reply</article>")) == ([], [("Reply", True)])
+    docs = spark.createDataFrame([(i, "http://w.example", p) for i, p in enumerate(wrapped.values())], "page_id long, url string, html string")
+    assert {r["text"] for r in html.extract(docs).collect()} == {"Text"}
+
+
 def test_html_runs_of_a_large_host(spark, monkeypatch):
     rng = random.Random(3)
     notices = [" ".join(f"n{k}x{i}" for i in range(12)) for k in range(40)]

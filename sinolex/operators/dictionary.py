@@ -17,6 +17,11 @@ def upsert(entries: DataFrame, order: str = "ord") -> DataFrame:
     return rows.select(F.col("key").alias("word"), "weight")
 
 
+def longest(words: DataFrame) -> int:
+    """Characters of the longest word; 1 where there is none."""
+    return words.agg(F.max(F.length("word"))).first()[0] or 1
+
+
 def substrings(text: Column, shortest: int, longest: int) -> Column:
     """All substrings of a text by place (from 0) and length."""
     n = F.length(text)

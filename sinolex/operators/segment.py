@@ -31,12 +31,16 @@ class Segmenter:
 
     model: SegmenterModel
     user_words: DataFrame | None = None
-    longest: int = 5
     use_rules: bool = False
 
-    def with_words(self, entries: DataFrame, longest: int = 5) -> Segmenter:
-        """With more user words (word, weight, ord); earlier entries stay before later ones of the same key."""
-        return replace(self, user_words=entries, longest=longest)
+    def with_words(self, entries: DataFrame) -> Segmenter:
+        """With more user words (word, weight, ord) of any length; earlier entries stay before later ones of the same key."""
+        if self.user_words is None:
+            return replace(self, user_words=entries)
+        later = entries.select("word", "weight", F.struct(F.lit(1).alias("turn"), "ord").alias("ord"))
+        none = F.lit(None).cast(entries.schema["ord"].dataType)
+        earlier = dictionary.upsert(self.user_words).select("word", "weight", F.struct(F.lit(0).alias("turn"), none.alias("ord")).alias("ord"))
+        return replace(self, user_words=earlier.union(later))
 
     def pieces(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """(key, seg, piece, type): gaps, which are segmented, and rule hits, which are words."""
@@ -55,7 +59,7 @@ class Segmenter:
         if self.user_words is None:
             return scores
         words = dictionary.upsert(self.user_words)
-        more = dictionary.boosts(dictionary.greedy(rows, keys, "clean", words, self.longest), keys)
+        more = dictionary.boosts(dictionary.greedy(rows, keys, "clean", words, dictionary.longest(words)), keys)
         joined = scores.join(more, [*keys, "pos"], "left")
         return joined.select(*keys, "pos", scoring.add_scores(F.col("scores"), F.array("add_b", "add_i")).alias("scores"))
 

@@ -410,14 +410,14 @@ def segment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dict_boost_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = _dictionary(spark, sf_dir).where("length(word) <= 8").select("word", F.lit(2.0).alias("weight"))
-    return dictionary.greedy(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words, 8)
+    words = _dictionary(spark, sf_dir).select("word", F.lit(2.0).alias("weight"))
+    return dictionary.greedy(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words, dictionary.longest(words))
 
 
 @query()
 def segment_user_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    words = _dictionary(spark, sf_dir).where("length(word) between 3 and 5").select("word", F.lit(3.0).alias("weight"), F.lit(0).alias("ord"))
+    words = _dictionary(spark, sf_dir).select("word", F.lit(3.0).alias("weight"), F.lit(0).alias("ord"))
     return Segmenter(_space_model(spark)).with_words(words).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
 
 

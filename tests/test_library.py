@@ -264,6 +264,23 @@ def test_trained_segmenter(spark):
     assert "京大学" in {r["id"]: r["words"] for r in Segmenter(model).with_words(words).segment(texts, "id", "text").collect()}[0]
 
 
+def test_long_and_repeated_user_words(spark):
+    weights = spark.createDataFrame([("nothing", [0.0, 0.0])], "feature string, weights array<double>")
+    texts = column(spark, ["abcdefghxyz"])
+
+    def words(rows):
+        return spark.createDataFrame(rows, "word string, weight double, ord int")
+
+    def cut(segmenter):
+        return segmenter.segment(texts, "id", "text").first()["words"]
+
+    base = Segmenter(SegmenterModel(weights)).with_words(words([("abcdefgh", 2.0, 0), ("abc", 9.0, 1)]))
+    assert cut(base)[0] == "abcdefgh"
+    more = base.with_words(words([("xyz", 2.0, -1), ("abcdefgh", -5.0, -2)]))
+    assert cut(more) == ["abcdefgh", "xyz"] and cut(more.with_words(words([("xyz", -5.0, -9)]))) == ["abcdefgh", "xyz"]
+    assert cut(Segmenter(SegmenterModel(weights)).with_words(words([]))) == cut(Segmenter(SegmenterModel(weights)))
+
+
 def test_tagger(spark):
     tags = {"我们": "r", "他": "r", "他们": "r", "在": "p", "是": "v", "北京": "ns", "大学": "n", "学习": "v", "中文": "nz", "首都": "n", "学生": "n"}
     corpus = spark.createDataFrame([(i, [(w, tags[w]) for w in s]) for i, s in enumerate(GOLD)], "sent_id long, tokens array<struct<word:string,tag:string>>")

@@ -7,7 +7,7 @@ which the window would not fit, and the words at the remaining starts are compar
 
 Null and empty texts have no words: such documents have no hit and such items no window. An item of fewer words than a
 window is one window. Equal counts are ordered by the word. Repeated rows stay; rows that share a doc_id are told apart
-by their text. Items with a null id are left out.
+by their text. Items with a null id are left out, or with ``null_items`` count in all but the list of items.
 """
 
 from __future__ import annotations
@@ -39,18 +39,21 @@ def small(df: DataFrame, column: str) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", length: int = WINDOW) -> DataFrame:
+def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", length: int = WINDOW, null_items: bool = False) -> DataFrame:
     """Distinct windows: words in order, with the items that hold them."""
-    rows = items.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = (items if null_items else items.where(F.col(id_col).isNotNull())).where(F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
     rows = rows.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), F.lit(length)).alias("w"))
     return rows.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("window", F.concat_ws(" ", "w"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW) -> DataFrame:
-    """For each document row: its words and those inside any occurrence of a window, and the items found."""
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW, null_items: bool = False, keyed: bool = False) -> DataFrame:
+    """For each document row: its words and those inside any occurrence of a window, and the items found.
+
+    ``keyed`` adds ``key``, the hash of the row's text.
+    """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    wins = durable(windows(items, length=length))
+    wins = durable(windows(items, length=length, null_items=null_items))
     spread = base.where(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(words(F.col("text"))).alias("at", "word"))
     vocabulary = wins.select(F.explode("w").alias("word")).distinct()
     rarity = durable(spread.select("word").join(small(vocabulary, "word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")))
@@ -64,17 +67,17 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     per_doc = found.join(small_by(prefix, "size").drop("size"), "word").groupBy("doc_id", "key").agg(F.collect_list(F.struct("places", "wins")).alias("c"))
     rows = base.withColumn("n_words", F.coalesce(F.size(words(F.col("text"))), F.lit(0))).alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key")), "left")
     # explode keeps Catalyst from folding the split into each comparison below
-    rows = rows.select("d.doc_id", "n_words", "c", F.explode(F.array(F.when(F.col("c").isNotNull(), words(F.col("text"))))).alias("w"))
+    rows = rows.select("d.doc_id", "d.key", "n_words", "c", F.explode(F.array(F.when(F.col("c").isNotNull(), words(F.col("text"))))).alias("w"))
 
     def fits(c: Column) -> Column:
         starts = F.flatten(F.transform(c["wins"], lambda v: F.transform(c["places"], lambda at: F.struct((at - v["offset"]).alias("at"), v["len"].alias("len"), v["window"].alias("window"), v["items"].alias("items")))))
         return F.filter(starts, lambda s: (s["at"] >= 0) & (s["at"] + s["len"] <= F.col("n_words")) & (F.concat_ws(" ", F.slice(F.col("w"), F.greatest(s["at"], F.lit(0)) + 1, s["len"])) == s["window"]))
 
-    rows = rows.select("doc_id", "n_words", F.explode(F.array(F.flatten(F.transform("c", fits)))).alias("hits"))
+    rows = rows.select("doc_id", "key", "n_words", F.explode(F.array(F.flatten(F.transform("c", fits)))).alias("hits"))
     held = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["at"], h["at"] + h["len"] - 1))))
     names = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = rows.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce(held, F.array().cast("array<int>")).alias("places"), F.coalesce(names, F.array().cast("array<string>")).alias("items"))
-    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"))
+    out = rows.select("doc_id", "key", F.col("n_words").cast("long").alias("n_words"), F.coalesce(held, F.array().cast("array<int>")).alias("places"), F.coalesce(names, F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "n_words", F.size("places").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.size("places") > 0).alias("contaminated"), *["key"] * keyed)
 
 
 def small_by(df: DataFrame, column: str) -> DataFrame:

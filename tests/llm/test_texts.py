@@ -215,49 +215,98 @@ def test_repeated_runs_against_brute_force():
 
 
 def small_hmm(n=6, seed=2):
-    hmm = lm.Hmm(np.arange(1.0, n + 1), seed)
+    hmm = lm.Hmm(np.arange(1.0, n + 1))
     rng = np.random.default_rng(seed)
     hmm.start, hmm.move = rng.dirichlet(np.ones(lm.STATES)), rng.dirichlet(np.ones(lm.STATES), lm.STATES)
+    hmm.emit = rng.dirichlet(np.arange(1.0, n + 1), lm.STATES).T + 1e-3
+    hmm.emit /= hmm.emit.sum(axis=0)
     return hmm.ready()
 
 
-def test_forward_is_exact():
+@pytest.mark.parametrize("block", [3, 1_000_000])
+def test_forward_is_exact(monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK", block)
     hmm = small_hmm()
-    texts = [np.array([0, 3, 5, 1, 1]), np.array([2]), np.arange(40) % 6]
+    texts = [np.array([0, 3, 5, 1, 1]), np.array([2]), np.empty(0, np.int64), np.arange(40) % 6]
     for x, got in zip(texts, hmm.logprob(texts), strict=True):
-        a = hmm.start * hmm.emit[x[0]]
-        for s in x[1:]:
-            a = (a @ hmm.move) * hmm.emit[s]
-        assert abs(got - math.log10(a.sum())) < 1e-4
+        a, total = hmm.start, 0.0
+        for i, s in enumerate(x):
+            a = (a @ hmm.move if i else a) * hmm.emit[s]
+        total = math.log10(a.sum()) if len(x) else 0.0
+        assert abs(got - total) < 1e-4
+    assert hmm.logprob([]).tolist() == [] and hmm.expect([])[0].sum() == 0
 
 
-def test_expected_counts_by_enumeration():
+@pytest.mark.parametrize("block", [1, 2, 1_000_000])
+def test_expected_counts_by_enumeration(monkeypatch, block):
     from itertools import product
 
-    hmm, x = small_hmm(), np.array([0, 3, 5])
+    monkeypatch.setattr(lm, "BLOCK", block)
+    hmm, x = small_hmm(), np.array([0, 3, 5, 3])
     start, move, emit = np.zeros(lm.STATES), np.zeros((lm.STATES, lm.STATES)), np.zeros((6, lm.STATES))
     total = 0.0
-    for z in product(range(lm.STATES), repeat=3):
+    for z in product(range(lm.STATES), repeat=len(x)):
         p = hmm.start[z[0]] * hmm.emit[x[0], z[0]]
-        for i in (1, 2):
+        for i in range(1, len(x)):
             p *= hmm.move[z[i - 1], z[i]] * hmm.emit[x[i], z[i]]
         total += p
         start[z[0]] += p
-        for i in (1, 2):
+        for i in range(1, len(x)):
             move[z[i - 1], z[i]] += p
-        for i in range(3):
+        for i in range(len(x)):
             emit[x[i], z[i]] += p
-    got = hmm.expect([x, np.array([1])])
+    got = hmm.expect([np.array([1]), x])
     one = hmm.expect([np.array([1])])
     for a, b, c in zip(got, one, (start, move, emit), strict=True):
         assert np.allclose(a - b, c / total, atol=1e-4)
 
 
-@pytest.mark.parametrize("top", [20, 100_000])
-def test_language_model(docs_of, monkeypatch, top):
-    monkeypatch.setattr(lm, "TOP", top)
-    rows = [(i, made(EN if i % 2 else DE, RNG.randint(0, 60)), "en", "s") for i in range(240)] + [*AWKWARD, (3, "other text", "en", "s"), (4, "twice twice", "en", "s"), (4, "twice twice", "en", "s")]
-    docs = docs_of(rows)
+def test_whole_texts_are_trained_on_as_in_one_block(monkeypatch):
+    rng = np.random.default_rng(4)
+    hmm, texts = small_hmm(), [rng.integers(0, 6, n) for n in (700, 3, 0, 41, 41, 1300)]
+    whole = hmm.expect(texts)
+    monkeypatch.setattr(lm, "BLOCK", 100)
+    for a, b in zip(whole, hmm.expect(texts), strict=True):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-3)
+    assert abs(whole[2].sum() - sum(map(len, texts))) < 0.1 and abs(whole[1].sum() - sum(len(x) - 1 for x in texts if len(x))) < 0.1
+
+
+def test_neighbour_counts_give_the_states():
+    rng, groups = np.random.default_rng(0), np.arange(6)
+    emit = np.repeat(np.array([[0.5, 0.5, 0, 0, 0, 0], [0, 0, 0.5, 0.5, 0, 0], [0, 0, 0, 0, 0.5, 0.5]]), 1, axis=0)
+    move, pairs, z = np.array([[0.1, 0.9, 0], [0, 0.1, 0.9], [0.9, 0, 0.1]]), np.zeros((6, 6)), 0
+    last = 0
+    for _ in range(20_000):
+        z = rng.choice(3, p=move[z])
+        s = rng.choice(6, p=emit[z])
+        pairs[last, s] += 1
+        last = s
+    hmm = lm.Hmm(pairs.sum(0) + 1)
+    hmm.fit_pairs(pairs, groups)
+    model = hmm.emit @ (hmm.start[:, None] * hmm.move) @ hmm.emit.T
+    assert np.abs(model - pairs / pairs.sum()).max() < 0.01
+
+
+def test_shares_of_a_class_add_up_to_one():
+    rng = np.random.default_rng(1)
+    counts = [rng.integers(1, 6, rng.integers(0, 30)) for _ in range(8)]
+    every = np.concatenate(counts)
+    n1, n2 = int((every == 1).sum()), int((every == 2).sum())
+    words = np.array([len(c) for c in counts], float)
+    shares = lm.Shares(np.array([c.sum() for c in counts], float), words, n1, n2)
+    for b, c in enumerate(counts):
+        assert abs(sum(10 ** shares.log(b, int(k)) for k in c) + max(1, len(c)) * 10 ** shares.log(b, 0) - 1) < 1e-9
+    assert lm.Shares(np.zeros(3), np.zeros(3), 0, 0).log(1, 0) == 0
+
+
+@pytest.mark.parametrize(("share", "least"), [(1e-6, 4), (0.01, 2), (1e-6, 10**9)])
+def test_language_model(docs_of, monkeypatch, share, least):
+    monkeypatch.setattr(lm, "SHARE", share)
+    monkeypatch.setattr(lm, "LEAST", least)
+    # an open vocabulary: every fifth word is new
+    rows = [(i, " ".join(w if RNG.random() < 0.8 else f"{w}{RNG.randrange(10**9)}" for w in made(EN if i % 2 else DE, RNG.randint(0, 60)).split()), "en", "s") for i in range(240)]
+    rows += [*AWKWARD, (3, "other text", "en", "s"), (4, "twice twice", "en", "s"), (4, "twice twice", "en", "s")]
+    docs = docs_of(rows).withColumn("__train", F.lit(1)).withColumn("key", F.lit("k"))
     got = lm.score(docs, id_bucket("doc_id", 7) != 2, lambda i: id_bucket(i, 7) == 2).collect()
 
     def tokens(t):
@@ -269,10 +318,21 @@ def test_language_model(docs_of, monkeypatch, top):
     want = sorted((str(i), held(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for i, t, *_ in rows)
     assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5)) for r in got) == want
     scored = [r for r in got if r["held_out"] and r["n_tokens"] > 5]
-    assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
+    assert sum(r["n_known"] for r in scored) < 0.9 * sum(r["n_tokens"] for r in scored)
+    if (share, least) == (1e-6, 4):  # as in production
+        assert sum(r["score"] for r in scored) > sum(r["base_score"] for r in scored)
     assert all(r["score"] < 0 for r in got)
 
 
+def test_language_model_reads_a_very_long_text_whole(docs_of, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 500)
+    rows = [(i, made(EN, 40), "en", "s") for i in range(30)] + [(99, made(EN, 9000), "en", "s")]
+    small = {r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), F.lit(True), lambda i: F.lit(False)).collect()}
+    monkeypatch.setattr(lm, "BLOCK", 1_000_000)
+    whole = {r["doc_id"]: r["score"] for r in lm.score(docs_of(rows), F.lit(True), lambda i: F.lit(False)).collect()}
+    assert all(abs(small[i] - whole[i]) < 1e-3 * abs(whole[i]) for i in whole)
+
+
 def test_language_model_without_rows(docs_of):
     assert lm.score(docs_of([]), F.lit(True), lambda i: F.lit(False)).collect() == []
     rows = lm.score(docs_of(["a b", None]), F.lit(False), lambda i: F.lit(True)).collect()

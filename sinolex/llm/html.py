@@ -7,15 +7,18 @@ such substrings cover is boilerplate. What is left is the text of pages that mar
 
 Articles that occur on many pages of a host are wanted, so a marked article is never dropped for being repeated.
 
+Marks are read on every element: element names, and class, id or role tokens made of names of furniture only.
+
 A null or empty page has empty text. Repeated rows are separate pages. Pages with a null url form one host. The pages of a
-host of more than ``ARRAY_PAGES`` don't meet in one task: Spark groups the hashes of their runs over the whole host, which
-finds the same runs.
+host of more than ``ARRAY_BYTES`` don't meet in one task: Spark groups the hashes of their runs over the whole host, which
+finds the same runs. Pages are read in one pass, whole at any length. Columns other than the three named are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +31,8 @@ from sinolex.llm.common import durable, hash_runs, hash_text_words
 
 MIN_RUN = 8
 COVERED = 0.5
-#: Pages of a host up to which one suffix array holds it; beyond, its runs are grouped by hash.
-ARRAY_PAGES = 500
+#: Bytes of a host's pages up to which one suffix array holds it; beyond, its runs are grouped by hash.
+ARRAY_BYTES = 8_000_000
 #: Hosts up to which their page counts are broadcast; beyond, the join shuffles.
 BROADCAST_HOSTS = 100_000
 
@@ -37,13 +40,65 @@ BLOCKS = frozenset("address article aside blockquote body br button caption cent
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements of which only their own end tag says where they end.
 CONTAINERS = frozenset("article aside body button dialog div fieldset footer form head header main menu nav ol section select table template title ul noscript iframe svg figure details".split())
+#: Elements that such a start tag ends.
+ENDED_BY = {"p": BLOCKS - {"br"}, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])}
+RAW = frozenset(["script", "style", "textarea", "xmp"])
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 FURNITURE = frozenset("aside button dialog footer form head iframe menu nav noscript select svg template title".split())
-NAME = r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
-#: Whole class, id or role tokens made of such names only: ``cookie-notice``, not ``has-sidebar`` or ``related-work``.
-NAMED = re.compile(rf"(?:^|\s){NAME}(?:[_-]+{NAME})*(?=$|\s)", re.I)
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus)(?=$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAMES = frozenset("ad ads banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header masthead menu nav navbar navigation newsletter notice popup related share sharing sidebar social subscribe toolbar widget".split())
+STEMS = ("advert", "promo", "sponsor")
+COMMENTS = frozenset(["comment", "comments", "disqus"])
+TITLES = frozenset(["header", "banner", "masthead"])
+#: Possessive, so that a tag is read once; quoted values may hold ``>``.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+
+
+def names_of(attributes: str) -> list[frozenset]:
+    """The furniture names that whole class, id or role tokens are made of: ``cookie-notice``, not ``has-sidebar`` or ``related-work``."""
+    found = []
+    for m in ATTRIBUTE.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [x for x in re.split("[_-]+", token) if x]
+            if parts and all(x in NAMES or x.startswith(STEMS) for x in parts):
+                found.append(frozenset(parts))
+    return found
+
+
+def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, whether it ends, attributes) of each tag in one pass; comments and raw elements have no name.
+
+    A quote that is never closed is read as an ordinary character from there on, as are ``<`` that begin no tag.
+    """
+    at, pattern = 0, TAG
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif page.startswith(("<!", "<?"), at):
+            if (end := page.find(">", at)) < 0:
+                return
+            end += 1
+            yield at, end, "", False, ""
+        elif not page[at + 1 : at + 3].lstrip("/")[:1].isascii() or not page[at + 1 : at + 3].lstrip("/")[:1].isalpha():
+            at += 1
+            continue
+        else:
+            m = pattern.match(page, at)
+            if m is None:
+                pattern = PLAIN_TAG
+                if (m := pattern.match(page, at)) is None:
+                    return  # no tag ends behind this place
+            name, end = m[2].lower(), m.end()
+            if name in RAW and not m[1]:
+                close = re.compile(rf"</{name}\s*+>", re.I).search(page, end)
+                yield at, close.end() if close else len(page), "", False, ""
+                end = close.end() if close else len(page)
+            else:
+                yield at, end, name, bool(m[1]), m[3]
+        at = end
 
 
 def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
@@ -53,49 +108,70 @@ def blocks(page: str | None) -> tuple[list[str], list[tuple[str, bool]]]:
     if not page:
         return main, rest
     stack: list[tuple[str, bool, bool, bool, bool]] = []  # element, inside a main or article, an article, furniture, merely named furniture
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
+    hidden: list[str] = []  # furniture amid a block
     inside = article = fixed = named = furniture = False
 
     def close() -> None:
-        if pieces:
-            if text := " ".join("".join(pieces).split()):
-                if inside and not furniture:
-                    main.append(text)
-                else:
-                    rest.append((text, furniture))
-            pieces.clear()
+        for held, is_furniture in ((pieces, False), (hidden, True)):
+            if held:
+                if text := " ".join("".join(held).split()):
+                    if inside and not is_furniture:
+                        main.append(text)
+                    else:
+                        rest.append((text, is_furniture))
+                held.clear()
+
+    def end_of(name: str) -> None:
+        """Takes elements from the stack up to the last one of the name; ends of inline elements don't reach over containers."""
+        while stack and (name in CONTAINERS or stack[-1][0] not in CONTAINERS):
+            opened[gone := stack.pop()[0]] -= 1
+            if gone == name:
+                return
 
     at = 0
-    for m in TAG.finditer(page):
-        if m.start() > at:
-            pieces.append(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        name = m[3]
-        if name is None:
+    for begin, end, name, ends, attributes in tags(page):
+        if begin > at:
+            (hidden if furniture else pieces).append(entities.unescape(page[at:begin]))
+        at = end
+        if not name:
             continue
-        name = name.lower()
         if name in BLOCKS:
             close()
-        if name not in CONTAINERS:
-            continue
-        if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    close()
-                    del stack[i:]
-                    break
+        if ends:
+            if not opened[name]:
+                continue
+            if name in CONTAINERS:
+                close()
+            end_of(name)
         else:
-            close()
-            now_inside = inside or name in ("article", "main")
-            marks = [found[0] for a in ATTRIBUTE.finditer(m[4]) for found in NAMED.finditer(next(filter(None, a.groups()), ""))] if m[4] and name not in ("body", "article", "main") else []
-            now_fixed = fixed or name in FURNITURE or (name == "header" and not inside) or any(map(COMMENTS.search, marks))
+            while stack and name in ENDED_BY.get(stack[-1][0], ()):
+                end_of(stack[-1][0])
             # a name around an article says how the page is laid out; inside one it says what is not its text
-            now_named = (named or bool(marks)) and (article or name not in ("article", "main"))
-            stack.append((name, now_inside, article or name == "article", now_fixed, now_named))
+            is_main = name in ("article", "main")
+            marks = names_of(attributes) if attributes and not is_main and name not in ("body", "html") else []
+            if name in HEADINGS:
+                marks = [x for x in marks if not x <= TITLES]
+            elif name == "span":  # coloured program text has comments
+                marks = [x for x in marks if not x <= COMMENTS]
+            if name not in CONTAINERS and (name in VOID or not (marks or opened[name])):
+                if stack:
+                    inside, article, fixed, named = stack[-1][1:]
+                else:
+                    inside = article = fixed = named = False
+                furniture = fixed or named
+                continue
+            if name in CONTAINERS:
+                close()
+            up = stack[-1][1:] if stack else (False, False, False, False)
+            now_fixed = up[2] or name in FURNITURE or (name == "header" and not up[0]) or any(x & COMMENTS for x in marks)
+            stack.append((name, up[0] or is_main, up[1] or name == "article", now_fixed, (up[3] or bool(marks)) and (up[1] or not is_main)))
+            opened[name] += 1
         inside, article, fixed, named = stack[-1][1:] if stack else (False, False, False, False)
         furniture = fixed or named
     if at < len(page):
-        pieces.append(entities.unescape(page[at:]))
+        (hidden if furniture else pieces).append(entities.unescape(page[at:]))
     close()
     return main, rest
 
@@ -211,7 +287,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     rows = pages.select(page_id.alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = rows.withColumn("host", host).withColumn("key", F.xxhash64("page_id", "url", "html", F.col("page_id").isNull(), F.col("url").isNull()))
-    large = durable(rows.groupBy("host").count().where(F.col("count") > ARRAY_PAGES).select("host"))
+    large = durable(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > ARRAY_BYTES).select("host"))
     n = large.count()
     hint = F.broadcast(large) if n <= BROADCAST_HOSTS else large
     schema = T.StructType([rows.schema["page_id"], T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])

@@ -169,6 +169,105 @@ def test_html_wrappers_named_after_furniture(spark):
     assert {r["text"] for r in html.extract(docs).collect()} == {"Text"}
 
 
+def test_html_marks_on_every_element():
+    def text(inner):
+        return html.blocks(f"<article>{inner}</article>")[0]
+
+    assert text('<p class="ad">x</p><p>y</p>') == ["y"] and text('<p>x<br>y<p class="ad">z<br>zz</p>w') == ["x", "y", "w"]
+    assert text('<section id="related-work"><p>k</p></section><div class="share-price">s</div>') == ["k", "s"]
+    assert text('One <span class="ad">Buy <span>now</span> it</span> word<p class="promo-box">pro<p>Next') == ["One word", "pro", "Next"]
+    assert text('One <span class="promo">Buy</span> word<p class="sponsored">pro<p>Next') == ["One word", "Next"]
+    assert text('<ul class="menu"><li>a</li></ul><ul><li class="ad">q<li>w</ul>') == ["w"] and text("A <a role='share' href=x>Share</a> B") == ["A B"]
+    assert text('<h1 class="header">T</h1><pre>x <span class="comment"># c</span></pre><li class=comments>no') == ["T", "x # c"]
+    assert text("1 < 2 <b title='>'>&lt;b&gt;</b> <6") == ["1 < 2 <b> <6"]
+
+
+def test_html_reads_broken_pages_in_one_pass():
+    import time
+
+    for page in ('<a "x' * 200_000, "<a<a" * 200_000, "<div>" * 50_000 + "</section>" * 50_000, "<!--" * 200_000, "<script>" * 100_000, "<" * 500_000, '<p class="' + "advert_" * 100_000 + '!">x', "<a class  " * 100_000):
+        began = time.time()
+        html.blocks(page)
+        assert time.time() - began < 5, page[:20]
+    long = "<article>" + "<p>some words</p>" * 50_000 + "</article>"
+    assert len(html.blocks(long)[0]) == 50_000
+
+
+def random_page(rng, shared):
+    """HTML with its main blocks and its others (text, furniture)."""
+    parts, main, rest = [], [], []
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    def block(inside, marked=False):
+        text = rng.choice(shared) if rng.random() < 0.4 else words(rng.randint(1, 12))
+        tag = rng.choice(["p", "div", "h2", "blockquote"])
+        if marked or rng.random() < 0.2:
+            rest.append((text, True))
+            return f'<{tag} class="{rng.choice(["ad", "cookie-notice", "x comments", "share"])}">{text}</{tag}>'
+        (main.append(text) if inside else rest.append((text, False)))
+        return f"<{tag} class=plain>{text.replace(' ', rng.choice([' ', ' <b>', '  ', chr(10)]), 1)}</{tag}>"
+
+    nav = words(5)
+    rest.append((nav, True))
+    parts.append(f"<!doctype html><html><body><nav><a href=/>{nav}</a></nav><script>if (a<b) p('<p>no</p>')</script>")
+    parts += [block(False) for _ in range(rng.randint(0, 3))]
+    if rng.random() < 0.5:
+        parts.append("<article>" + "".join(block(True) for _ in range(rng.randint(0, 4))) + "</article>")
+    parts += [block(False) for _ in range(rng.randint(0, 3))]
+    parts.append("</body></html>")
+    return "".join(parts), main, rest
+
+
+@pytest.mark.parametrize("array_bytes", [1_000_000, 0, 4000])
+def test_html_against_brute_force(spark, monkeypatch, array_bytes):
+    monkeypatch.setattr(html, "ARRAY_BYTES", array_bytes)
+    rng = random.Random(array_bytes)
+    shared = [" ".join(f"s{k}x{i}" for i in range(rng.randint(3, 20))) for k in range(12)]
+    pages = [(i, f"https://h{rng.randrange(5)}.example/{i}", *random_page(rng, shared)) for i in range(90)]
+    rows = spark.createDataFrame([(i, url, page) for i, url, page, *_ in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.extract(rows).collect()}
+    streams = {i: (url.split("/")[2], [w for text, _ in rest for w in text.split()]) for i, url, _, _, rest in pages}
+
+    def runs(i):
+        words = streams[i][1]
+        return [tuple(words[k : k + html.MIN_RUN]) for k in range(len(words) - html.MIN_RUN + 1)]
+
+    held = Counter((streams[i][0], run) for i, *_ in pages for run in set(runs(i)))
+    decided = 0
+    for i, _, _, main, rest in pages:
+        cover = set()
+        for k, run in enumerate(runs(i)):
+            if held[streams[i][0], run] > 1:
+                cover |= set(range(k, k + html.MIN_RUN))
+        kept, at = [], 0
+        for text, furniture in rest:
+            n = len(text.split())
+            if not furniture and sum(w in cover for w in range(at, at + n)) < html.COVERED * n:
+                kept.append(text)
+            at += n
+        decided += not main and len(kept) < sum(not f for _, f in rest)
+        assert got[i] == "\n".join(main or kept), i
+    assert decided > 5
+
+
+def test_html_query_on_the_small_table(spark):
+    import html as entities
+    import re
+
+    from sinolex.llm import queries
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op5_html(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(pages)
+    for p in pages:
+        inner = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
+        want = [" ".join(entities.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|br|h1)>", inner)]
+        want = "\n".join(b for b in want if b)
+        assert (got[p["page_id"]]["text"], got[p["page_id"]]["n_chars"], got[p["page_id"]]["url"]) == (want, len(want), p["url"])
+
+
 def test_html_runs_of_a_large_host(spark, monkeypatch):
     rng = random.Random(3)
     notices = [" ".join(f"n{k}x{i}" for i in range(12)) for k in range(40)]
@@ -186,7 +285,7 @@ def test_html_runs_of_a_large_host(spark, monkeypatch):
         return sorted((-1 if r["page_id"] is None else r["page_id"], r["text"]) for r in html.extract(docs).collect())
 
     whole = texts()
-    monkeypatch.setattr(html, "ARRAY_PAGES", 3)
+    monkeypatch.setattr(html, "ARRAY_BYTES", 300)
     assert texts() == whole and len(whole) == len(rows)
     got = dict(whole)
     assert all(got[i].startswith(f"story {i} ") and "\n" not in got[i] for i in range(80))

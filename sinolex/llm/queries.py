@@ -12,7 +12,8 @@ from sinolex.llm.oracles import ORACLES  # noqa: F401
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"))
+    shards = F.array_join(F.transform("copies", lambda c: F.concat_ws(":", c["shard"].cast("string"), c["words"].cast("string"))), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.size("copies").alias("n_copies"), shards.alias("shards"))
 
 
 def labelled(spark: SparkSession, sf_dir: str, label: str, rows: int) -> list[tuple[str, int]]:

@@ -173,12 +173,57 @@ def test_mix_meets_targets(docs_of):
 
 
 def test_tree_splits_quotas_exactly(spark):
-    quotas = {1: 37, 2: 0, 3: 100, 4: 3}
-    rows = mixing.tree(spark.createDataFrame(list(quotas.items()), "rank int, quota long"), 3).collect()
-    ends = {r["place"]: r["ends"] for r in rows}
-    assert {k: e[-1] for k, e in ends.items()} == quotas
-    loads = [sum(e[j] - (e[j - 1] if j else 0) for e in ends.values()) for j in range(8)]
-    assert max(loads) - min(loads) <= 3
+    quotas = {1: 37, 2: 0, 3: 100, 4: 3, 7: 100_000}
+    for levels in (0, 3, 5):
+        rows = mixing.tree(spark.createDataFrame(list(quotas.items()), "rank int, quota long"), levels).collect()
+        held = defaultdict(list)
+        for r in sorted(rows, key=lambda r: r["shard"]):
+            held[r["rank"]] += range(r["start"], r["start"] + r["n"])
+        # the shards' ranges follow each other and cover every draw once
+        assert {k: held[k] for k in quotas} == {k: list(range(q)) for k, q in quotas.items()}
+        loads = defaultdict(int)
+        for r in rows:
+            loads[r["shard"]] += r["n"]
+        assert len(loads) == 1 << levels and max(loads.values()) - min(loads.values()) <= levels
+
+
+@pytest.mark.parametrize(("total", "good", "draws"), [(10, 4, 5), (60, 30, 7), (500, 250, 300), (7, 7, 3), (7, 0, 3), (3, 1, 0)])
+def test_hypergeometric_draws(spark, total, good, draws):
+    from math import comb
+
+    rows = spark.range(20_000).select((F.col("id") + 0.5).alias("i"))
+    x = mixing.hypergeometric(F.col("i") / 20_000, *[F.lit(v).cast("long") for v in (total, good, draws)])
+    got = {r["x"]: r["n"] / 20_000 for r in rows.select(x.alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()}
+    for k in range(draws + 1):
+        want = comb(good, k) * comb(total - good, draws - k) / comb(total, draws) if k <= good and draws - k <= total - good else 0
+        assert abs(got.get(k, 0) - want) < 2e-4, k
+
+
+def test_large_hypergeometric_draws(spark):
+    rows = spark.range(2000).select((F.col("id") + 0.5).alias("i"))
+    x = mixing.hypergeometric(F.col("i") / 2000, *[F.lit(v).cast("long") for v in (10**9, 4 * 10**8, 10**6)])
+    got = np.array([r["x"] for r in rows.select(x.alias("x")).collect()])
+    assert abs(got.mean() - 400_000) < 30 and abs(got.std() - (10**6 * 0.24 * 0.999) ** 0.5) < 10
+
+
+def test_mix_follows_the_tree(docs_of):
+    rows = [(i, text(RNG.randint(1, 60)), "en", f"s{i % 3}") for i in range(300)]
+    mixes = {levels: {r["doc_id"]: r for r in mixing.mix(docs_of(rows), levels=levels).collect()} for levels in (0, 2, 4)}
+    for levels, got in mixes.items():
+        words = defaultdict(int)
+        for r in got.values():
+            for c in r["copies"]:
+                words[c["shard"]] += c["words"]
+        assert len(words) == 1 << levels and min(words.values()) > 0.25 * max(words.values())
+        # documents of one source are in many shards, and what is taken doesn't depend on the tree
+        assert sum(r["taken"] for r in got.values()) == sum(r["taken"] for r in mixes[0].values())
+    assert any([c["shard"] for c in mixes[2][i]["copies"]] != [c["shard"] >> 2 for c in mixes[4][i]["copies"]] for i in mixes[2])
+
+
+def test_mix_of_many_sources(docs_of):
+    rows = [(i, text(8), "en", f"s{i % 150}") for i in range(900)]
+    got = mixing.mix(docs_of(rows)).collect()
+    assert len(got) == 900 and all(r["taken"] <= 2 * r["size"] for r in got) and len({c["shard"] for r in got for c in r["copies"]}) == 16
 
 
 def test_empty_tables(spark, docs_of):

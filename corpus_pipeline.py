@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinolex.llm import decontam, jaccard, langid, mixing, substring
-from sinolex.llm.common import BROADCAST_IDS, WORD, durable, free, id_bucket, of_ids, table
+from sinolex.llm.common import BROADCAST_IDS, WORD, durable, free, of_ids, table
 
 #: A text of at least LONG code points whose best cosine is below LEAST_SCORE is in no language that was learned.
 LONG = 400
@@ -44,8 +44,12 @@ def own_ids(docs: DataFrame, mark: str, like: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or text, and long ones that resemble no learned language."""
-    prototypes = langid.train(docs.where(id_bucket("doc_id", 4) != 2))
+    """Drops documents without a letter or text, and long ones that resemble no learned language.
+
+    Learns from all rows with text and lang. Null texts go; rows with equal (doc_id, text) are judged alike, a null id being
+    an id. Without a labelled row all documents go, as none is in a learned language. Any further columns stay.
+    """
+    prototypes = langid.train(docs)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("n"), "text")
     found = langid.predict(keyed, prototypes, keep=["doc_id", "key", "n"])
     unlike = (F.col("n") >= LONG) & (F.col("score") < LEAST_SCORE)
@@ -54,7 +58,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest document of each group, one with an id if there is any; of rows that share its doc_id, one."""
+    """Keeps the smallest document of each group, one with an id if there is any; of rows that share its doc_id, one.
+
+    Rows without an id are linked by an id made of their text, so of equal ones one stays. Null and empty texts have no
+    group and stay. Ties between rows of one id go by the text's hash, then the text. Any further columns stay.
+    """
     mark = free("made_id", docs.columns)
     rows = with_ids(docs, mark)
     groups = durable(jaccard.classes(rows))
@@ -68,7 +76,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes passages of earlier documents out; drops documents of which nothing is left."""
+    """Takes passages of earlier documents out; drops documents of which nothing is left.
+
+    Rows without an id count as later than those with one. Texts without a repeated passage, null and empty ones stay as
+    they are; changed texts have one space between words and their n_chars counted anew. Repeated rows of one id are no
+    earlier document for each other. Any further columns stay.
+    """
     mark = free("made_id", docs.columns)
     given, docs = docs, with_ids(docs, mark)
     others = [c for c in docs.columns if c != "doc_id"]
@@ -82,13 +95,20 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows that hold a window of a benchmark item, with ids or without."""
+    """Drops rows that hold a window of a benchmark item, with ids or without.
+
+    Null and empty texts stay; items without an id count as others. Without items nothing goes. Of rows that share an id
+    only those with a window go. Any further columns stay.
+    """
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), null_items=True, keyed=True)
     return without(docs, found.where("contaminated"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: for each document what is taken, and its copies with their shards and places."""
+    """The mix: for each document what is taken, and its copies with their shards and places.
+
+    Null texts have size 0 and a null source is a source of its own; an empty table gives an empty mix.
+    """
     return mixing.mix(docs)
 
 

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql.types import IntegralType, StringType, StructField, StructType
 
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same six bytes.
@@ -30,11 +31,19 @@ def id_bucket(doc_id: str | Column, n: int) -> Column:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a checkpoint in the folder that the cluster shares; sets a folder only where none is set."""
+    """Cuts lineage with a checkpoint in the folder that the cluster shares.
+
+    Sets a folder of its own only where none is set and the session has a single machine; on a cluster it raises.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sinolex-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sinolex-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -44,6 +53,18 @@ def of_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", how)
 
 
+#: Parts into which the rows of one group are dealt before they are joined with what is known of the group.
+SALTS = 64
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds the smallest ``value`` of the rows with equal ``keys``; a large group is spread over ``SALTS`` tasks."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(value), F.lit(SALTS)))
+    parts = salted.groupBy(*keys, "__salt").agg(F.min(value).alias("__least"))
+    least = parts.select(*keys, "__salt", F.min("__least").over(Window.partitionBy(*keys)).alias(name))
+    return salted.join(least, [*keys, "__salt"]).drop("__salt")
+
+
 def free(name: str, taken: list[str]) -> str:
     """The name, or a longer one if a column has it."""
     lower = {t.lower() for t in taken}

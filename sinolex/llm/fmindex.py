@@ -5,22 +5,33 @@ from __future__ import annotations
 import numpy as np
 
 
+class Bits:
+    """A packed bit vector with the number of ones before each 64 bits."""
+
+    def __init__(self, bit: np.ndarray):
+        padded = np.zeros(-(-(len(bit) + 1) // 64) * 64, np.uint8)
+        padded[: len(bit)] = bit
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.ones = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]))
+
+    def rank(self, places: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = places >> 6
+        below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
+        return self.ones[word] + np.bitwise_count(self.words[word] & below)
+
+
 class WaveletMatrix:
     """Rank over a sequence of small numbers: one packed bit vector for each bit of the numbers."""
 
     def __init__(self, values: np.ndarray, top: int):
         self.levels = max(1, int(top - 1).bit_length())
-        self.bits: list[np.ndarray] = []
-        self.ones: list[np.ndarray] = []
+        self.bits: list[Bits] = []
         self.zeros: list[int] = []
         n = len(values)
         for level in range(self.levels - 1, -1, -1):
             bit = (values >> level & 1).astype(bool)
-            padded = np.zeros(-(-(n + 1) // 64) * 64, np.uint8)
-            padded[:n] = bit
-            packed = np.packbits(padded, bitorder="little").view(np.uint64)
-            self.bits.append(packed)
-            self.ones.append(np.concatenate(([0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)[:-1])))
+            self.bits.append(Bits(bit))
             self.zeros.append(n - int(bit.sum()))
             values = np.concatenate((values[~bit], values[bit]))
         starts = np.zeros(top, np.int64)
@@ -28,9 +39,7 @@ class WaveletMatrix:
 
     def trace(self, symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
         for k in range(self.levels):
-            word = places >> 6
-            below = (np.uint64(1) << (places & 63).astype(np.uint64)) - np.uint64(1)
-            ones = self.ones[k][word] + np.bitwise_count(self.bits[k][word] & below)
+            ones = self.bits[k].rank(places)
             places = np.where(symbols >> (self.levels - 1 - k) & 1, self.zeros[k] + ones, places - ones)
         return places
 
@@ -42,8 +51,9 @@ class WaveletMatrix:
 class FmIndex:
     """Index of several sequences of word numbers (1 and up), sorted by their first ``depth`` words.
 
-    It holds the wavelet matrix of the Burrows-Wheeler transform, the symbol starts, and marks at the rows where the
-    first ``depth`` or ``depth - 1`` words change. It answers for patterns of up to ``depth`` words.
+    It holds the wavelet matrix of the Burrows-Wheeler transform, the symbol starts, and bit marks at the rows where the
+    first ``depth`` or ``depth - 1`` words change. It answers for patterns of up to ``depth`` words. Neither the text nor
+    its suffix order stays in memory.
     """
 
     def __init__(self, sequences: list[np.ndarray], depth: int, symbols: int):
@@ -53,23 +63,30 @@ class FmIndex:
         base = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         for at, s in zip(base, sequences, strict=True):
             text[at : at + len(s)] = s
-        self.base = base
         rank, short = self.sort(text, depth)
         order = np.argsort(rank, kind="stable")
         self.matrix = WaveletMatrix(text[order - 1], symbols + 1)
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols + 1))))
-        n = len(text)
-        ranks = rank[order]
-        fresh = np.concatenate(([True], ranks[1:] != ranks[:-1]))
-        self.group = np.cumsum(fresh) - 1  # rows with equal first words
-        firsts = np.flatnonzero(fresh)
-        self.place_group = np.empty(n, np.int64)
-        self.place_group[order] = self.group
+        self.n = len(text)
+        self.fresh, firsts = self.marks(rank[order])
         self.n_groups = len(firsts)
-        shorter = short[order]
-        edge = np.flatnonzero(np.concatenate(([True], shorter[1:] != shorter[:-1])))
-        which = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, n)))
-        self.wide_from, self.wide_to = edge[which], np.append(edge[1:], n)[which]
+        self.wide, edges = self.marks(short[order])
+        self.edges = np.append(edges, self.n)
+
+    @staticmethod
+    def marks(ranks: np.ndarray) -> tuple[Bits, np.ndarray]:
+        """Bits at the rows whose rank is new, and these rows."""
+        new = np.concatenate(([True], ranks[1:] != ranks[:-1]))
+        return Bits(new), np.flatnonzero(new)
+
+    def group(self, rows: np.ndarray) -> np.ndarray:
+        """Which group of rows with equal first ``depth`` words each row is in."""
+        return self.fresh.rank(rows + 1) - 1
+
+    def wider(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows that share all but the last of the first ``depth`` words."""
+        at = self.wide.rank(rows + 1) - 1
+        return self.edges[at], self.edges[at + 1]
 
     @staticmethod
     def sort(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +125,14 @@ class FmIndex:
         base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         end = sizes[todo].copy()  # where the match ends
         at = end.copy()  # where it begins
-        lo, hi = np.zeros(len(todo), np.int64), np.full(len(todo), len(self.group), np.int64)
+        lo, hi = np.zeros(len(todo), np.int64), np.full(len(todo), self.n, np.int64)
         found_query, found_place, found_group = [], [], []
         while len(todo):
             symbols = flat[base[todo] + at - 1]
             new_lo, new_hi = self.extend(symbols, lo, hi)
             good = (new_hi > new_lo) & (symbols > 0)
             at = at - good
-            lo, hi = np.where(good, new_lo, 0), np.where(good, new_hi, len(self.group))
+            lo, hi = np.where(good, new_lo, 0), np.where(good, new_hi, self.n)
             end = np.where(good, end, np.minimum(end - 1, end))
             at = np.where(good, at, end)
             full = good & (end - at == depth)
@@ -123,8 +140,8 @@ class FmIndex:
                 rows = lo[full]
                 found_query.append(todo[full])
                 found_place.append(at[full])
-                found_group.append(self.group[rows])
-                lo[full], hi[full] = self.wide_from[rows], self.wide_to[rows]
+                found_group.append(self.group(rows))
+                lo[full], hi[full] = self.wider(rows)
                 end = end - full
             # the window that would start at the next word to the left must end where the match ends
             more = np.where(good, at > 0, end >= depth) & (end >= depth)

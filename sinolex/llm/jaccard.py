@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sinolex.llm.common import durable, hash_runs, hash_text_words, of_ids
+from sinolex.llm.common import durable, hash_runs, hash_text_words, of_ids, with_least
 from sinolex.llm.components import components
 
 WORDS = 5
@@ -210,8 +210,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = durable(signatures(docs, words))
     full = base.where("n > 0 and doc_id is not null")
-    groups = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
-    member = durable(full.join(groups, ["s1", "s2"]).select("doc_id", "first"))
+    member = durable(with_least(full.select("doc_id", "s1", "s2"), ["s1", "s2"], "doc_id", "first").select("doc_id", "first"))
     copies = member.where("doc_id != first").select("doc_id").distinct()
     twice = member.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a != b").select("a", "b")
     texts = of_ids(docs.where(F.col("doc_id").isNotNull()), durable(copies), "left_anti")

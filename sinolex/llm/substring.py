@@ -25,15 +25,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinolex.llm.common import durable, hash_runs, hash_text_words, map_texts
+from sinolex.llm.common import durable, hash_runs, hash_text_words, map_texts, with_least
 from sinolex.llm.fmindex import FmIndex
 
 WINDOW = 50
 ANCHOR = 10
 #: Words of a shard, about.
-SHARD_WORDS = 400_000
-#: Documents of an anchor from which on its windows are dealt by their own words.
-HOT = 2000
+SHARD_WORDS = 100_000
+#: Documents of an anchor from which on its windows are dealt by their own words; those of fewer fit in a shard.
+HOT = 1000
 
 
 def anchors(words: np.ndarray, window: int = WINDOW, size: int = ANCHOR) -> tuple[np.ndarray, np.ndarray]:
@@ -55,15 +55,16 @@ def stretches(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index_of(least: dict[bytes, int], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The smallest document of each group of index rows, and for each content the groups of its windows by backward search."""
+    """For each content the groups of index rows that its windows lead to by backward search, and the smallest document of each group."""
     sequences = [np.frombuffer(c, np.uint64) for c in least]
     names, flat = np.unique(np.concatenate(sequences), return_inverse=True)
     sequences = np.split(flat.astype(np.int64) + 1, np.cumsum([len(s) for s in sequences])[:-1])
     index = FmIndex(sequences, window, len(names))
+    found = index.match(sequences)
     owner = np.full(index.n_groups, np.iinfo(np.int64).max)
-    for s, base, doc in zip(sequences, index.base.tolist(), least.values(), strict=True):
-        np.minimum.at(owner, index.place_group[base : base + len(s) - window + 1], doc)
-    return owner, index.match(sequences)
+    for groups, doc in zip(found, least.values(), strict=True):
+        np.minimum.at(owner, groups[groups >= 0], doc)
+    return owner, found
 
 
 def search(rows: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
@@ -113,8 +114,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
 
     signed = plain.where("text is not null and doc_id is not null").mapInPandas(sign, "doc_id long, key long, n long, s1 long, s2 long").where(f"n >= {window}")
     signed = durable(signed.drop("n"))
-    firsts = signed.groupBy("s1", "s2").agg(F.min("doc_id").alias("first"))
-    copies = durable(signed.join(firsts, ["s1", "s2"]).where("doc_id != first").select("doc_id", "key").distinct())
+    copies = durable(with_least(signed, ["s1", "s2"], "doc_id", "first").where("doc_id != first").select("doc_id", "key").distinct())
     few = copies.count() <= 500_000
     texts = plain.where("text is not null and doc_id is not null").join(F.broadcast(copies) if few else copies, ["doc_id", "key"], "left_anti")
 

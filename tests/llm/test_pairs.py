@@ -94,10 +94,11 @@ def test_fm_index_finds_windows_of_other_texts():
     sequences = [rng.integers(1, 5, n) for n in (30, 7, 100, 3)]
     index = fmindex.FmIndex(sequences, 6, 6)
     where = defaultdict(set)
-    for s, base in zip(sequences, index.base.tolist(), strict=True):
+    for s, found in zip(sequences, index.match(sequences), strict=True):
         for k in range(len(s) - 5):
-            where[tuple(s[k : k + 6].tolist())].add(int(index.place_group[base + k]))
-    assert all(len(g) == 1 for g in where.values())
+            where[tuple(s[k : k + 6].tolist())].add(int(found[k]))
+    groups = [next(iter(g)) for g in where.values()]
+    assert all(len(g) == 1 for g in where.values()) and len(set(groups)) == len(groups) and min(groups) >= 0
     queries = [rng.integers(1, 7, 200), sequences[2], rng.integers(1, 5, 5)]
     for q, found in zip(queries, index.match(queries), strict=True):
         assert [int(g) for g in found] == [next(iter(where.get(tuple(q[k : k + 6].tolist()), {-1}))) for k in range(len(q) - 5)]

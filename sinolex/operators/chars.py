@@ -35,8 +35,13 @@ def word_to_tag(words: Column) -> Column:
 def tag_to_word(text: Column, tags: Column) -> Column:
     """Words of a text by its tags. The first character begins a word whatever its tag."""
     starts = F.filter(F.transform(tags, lambda t, i: F.when((t == 0) | (i == 0), i + 1).otherwise(F.lit(0))), lambda i: i > 0)
-    words = let(starts, lambda s: F.transform(s, lambda at, k: F.substring(text, at, F.coalesce(F.try_element_at(s, k + 2), F.length(text) + 1) - at)))
-    return F.coalesce(words, F.array().cast("array<string>"))
+    both = F.struct(chars(text).alias("cs"), starts.alias("s"))
+
+    def cut(x: Column) -> Column:
+        n = F.size(x["cs"])
+        return F.transform(x["s"], lambda at, k: F.array_join(F.slice(x["cs"], at, F.greatest(F.coalesce(F.get(x["s"], k + 1), n + 1) - at, F.lit(0))), ""))
+
+    return F.coalesce(let(both, cut), F.array().cast("array<string>"))
 
 
 def char_features(text: Column) -> Column:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from sinolex.operators.chars import chars, let
+
 SPACES = "\t \r　"
 
 
@@ -23,14 +30,19 @@ def longest(words: DataFrame) -> int:
 
 
 def substrings(text: Column, shortest: int, longest: int) -> Column:
-    """All substrings of a text by place (from 0) and length."""
-    n = F.length(text)
+    """All substrings of a text by place (from 0) and length. Each is made from the characters, not by a walk from the text's start."""
+
+    def of(cs: Column) -> Column:
+        n = F.size(cs)
 
-    def at(i: Column) -> Column:
-        return F.transform(F.sequence(F.lit(shortest), F.lit(longest)), lambda k: F.when(i + k <= n, F.struct(i.alias("b"), k.alias("n"), text.substr(i + 1, k).alias("word"))))
+        def at(i: Column) -> Column:
+            sizes = F.sequence(F.lit(shortest), F.least(F.lit(longest), n - i))
+            return F.when(n - i >= shortest, F.transform(sizes, lambda k: F.struct(i.alias("b"), k.alias("n"), F.array_join(F.slice(cs, i + 1, k), "").alias("word")))).otherwise(F.array().cast("array<struct<b:int,n:int,word:string>>"))
 
-    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_compact(F.flatten(F.transform(places, at)))
+        places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(places, at))
+
+    return let(chars(text), of)
 
 
 def matches(df: DataFrame, keys: list[str], text: str, words: DataFrame, shortest: int, longest: int) -> DataFrame:
@@ -47,18 +59,27 @@ def longest_match(df: DataFrame, keys: list[str], text: str, words: DataFrame, l
 def greedy(df: DataFrame, keys: list[str], text: str, words: DataFrame, longest: int) -> DataFrame:
     """Matches of a scan from the left that takes the longest word and goes on behind it: (keys, b, n, weight).
 
-    Only places with a match are walked, in one fold for each text.
+    Only places with a match are walked, once for each text.
     """
-    found = longest_match(df, keys, text, words, longest).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "n", "weight"))).alias("m"))
-    kind = "array<struct<b:int,n:int,weight:double>>"
-    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("out"))
-
-    def step(state: Column, m: Column) -> Column:
-        keep = m["b"] >= state["end"]
-        taken = F.concat(state["out"], F.array(F.struct(m["b"].cast("int").alias("b"), m["n"].cast("int").alias("n"), m["weight"].cast("double").alias("weight"))))
-        return F.struct(F.when(keep, m["b"] + m["n"]).otherwise(state["end"]).alias("end"), F.when(keep, taken).otherwise(state["out"]).alias("out"))
-
-    return found.select(*keys, F.explode(F.aggregate("m", start, step)["out"]).alias("x")).select(*keys, "x.*")
+    found = longest_match(df, keys, text, words, longest).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("b").cast("int"), F.col("n").cast("int"), F.col("weight").cast("double")))).alias("m"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            matches = batch.column("m")
+            owner = np.repeat(np.arange(len(matches)), matches.value_lengths().to_numpy())
+            columns = matches.flatten().flatten()
+            kept, end, last = [], 0, -1
+            for i, (o, b, n) in enumerate(zip(owner.tolist(), columns[0].to_pylist(), columns[1].to_pylist(), strict=True)):
+                if o != last:
+                    last, end = o, 0
+                if b >= end:
+                    kept.append(i)
+                    end = b + n
+            at, of = pa.array(kept, pa.int64()), pa.array(owner[kept], pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(of) for k in keys], *[c.take(at) for c in columns]], names=[*keys, "b", "n", "weight"])
+
+    schema = StructType([*[found.schema[k] for k in keys], *StructType.fromDDL("b int, n int, weight double").fields])
+    return found.mapInArrow(walk, schema)
 
 
 def boosts(scan: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sinolex.operators.chars import let
+
 
 def tokens_of(tags: Column, names: list[str]) -> Column:
     """Tag numbers to tag names."""
@@ -13,30 +15,35 @@ def tokens_of(tags: Column, names: list[str]) -> Column:
 
 def chunks(tags: Column, begin: int = 0, inside: int = 1) -> Column:
     """(pos, len) of the chunks: each begins at a beginning and goes on while tags continue it."""
-    breaks = F.filter(F.transform(tags, lambda t, i: F.when(t != inside, i)), lambda i: i.isNotNull())
-    starts = F.filter(breaks, lambda i: F.element_at(tags, i + 1) == begin)
 
-    def size(i: Column) -> Column:
-        return F.struct(i.alias("pos"), (F.coalesce(F.array_min(F.filter(breaks, lambda b: b > i)), F.size(tags)) - i).alias("len"))
+    def of(ts: Column) -> Column:
+        breaks = F.filter(F.transform(ts, lambda t, i: F.when(t != inside, F.struct(i.alias("pos"), t.alias("tag")))), lambda x: x.isNotNull())
 
-    return F.transform(starts, size)
+        def ended(found: Column, size: Column) -> Column:
+            whole = F.transform(found, lambda x, k: F.struct(x["pos"].alias("pos"), (F.coalesce(F.get(found, k + 1)["pos"], size) - x["pos"]).alias("len"), x["tag"].alias("tag")))
+            return F.transform(F.filter(whole, lambda x: x["tag"] == begin), lambda x: F.struct(x["pos"].alias("pos"), x["len"].alias("len")))
 
+        return let(F.struct(breaks.alias("found"), F.size(ts).alias("size")), lambda x: let(x["found"], lambda f: ended(f, x["size"])))
+
+    return let(tags, of)
 
-def chunk_rows(df: DataFrame, key: str, tags: str) -> DataFrame:
-    """The chunks as rows, by running counts over exploded tags (for texts of any length)."""
-    from pyspark.sql.window import Window
 
-    rows = df.select(key, F.posexplode(tags).alias("pos", "tag"))
-    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("part", F.sum((F.col("tag") != 1).cast("int")).over(order))
-    whole = rows.groupBy(key, "part").agg(F.min("pos").alias("pos"), F.count("*").cast("int").alias("len"), F.min("tag").alias("first"))
-    return whole.where("first = 0").select(key, "pos", "len")
+def chunk_rows(df: DataFrame, key: str, tags: str) -> DataFrame:
+    """The chunks as rows."""
+    return df.select(key, F.explode(chunks(F.col(tags))).alias("c")).select(key, "c.*")
 
 
 def f1(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
-    """One row of micro-averaged figures over the corpus; null precision or recall without chunks, F1 0 without a correct one."""
-    g, p = chunk_rows(df, key, gold), chunk_rows(df, key, pred)
-    counts = g.agg(F.count("*").alias("n_gold")).join(p.agg(F.count("*").alias("n_pred"))).join(g.join(p, [key, "pos", "len"]).agg(F.count("*").alias("n_correct")))
+    """One row of micro-averaged figures over the corpus; null precision or recall without chunks, F1 0 without a correct one.
+
+    Chunks are counted inside each row; only the three counts are summed.
+    """
+    def coded(tags: str) -> Column:  # whole numbers are compared by hashing
+        return F.transform(chunks(F.col(tags)), lambda c: c["pos"].cast("long") * (1 << 32) + c["len"])
+
+    both = df.select(coded(gold).alias("g"), coded(pred).alias("p"))
+    sizes = {"n_gold": F.size("g"), "n_pred": F.size("p"), "n_correct": F.size(F.array_intersect("g", "p"))}
+    counts = both.agg(*[F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("long").alias(name) for name, n in sizes.items()])
     precision, recall = F.col("n_correct") / F.nullif("n_pred", F.lit(0)), F.col("n_correct") / F.nullif("n_gold", F.lit(0))
     score = F.when(F.col("n_correct") == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
     return counts.select("n_gold", "n_pred", "n_correct", precision.alias("precision"), recall.alias("recall"), score.alias("f1"))

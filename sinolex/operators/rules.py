@@ -18,6 +18,8 @@ RULES = {
     "cell": r"(?U)(?<=[^\d])((?:(?:\+86)?[- ]?)?1[3-9][0-9][- ]?\d{4}[- ]?\d{4})(?=[^\d])",
     "landline": r"(?U)(?<=[^\d])([(（]?0\d{2,3}[)） —-]{1,2}\d{7,8}|\d{3,4}[ -]\d{3,4}[ -]\d{4})(?=[^\d])",
 }
+#: What every hit of a rule holds; texts without it are not searched.
+SIGNS = {"url": r"://|www\.", "email": "@", "id": r"(?U)\d{6}(?:18|19|20)\d{9}", "ip": r"(?U)\d\.\d{1,3}\.\d{1,3}\.\d", "cell": r"(?U)1[3-9][0-9][- ]?\d{4}[- ]?\d{4}", "landline": r"(?U)\d[)） —-]{1,2}\d{7}|\d[ -]\d{3,4}[ -]\d{4}"}
 TYPES = {"url": "url", "email": "email", "id": "id", "ip": "ip", "cell": "tel", "landline": "tel"}
 
 
@@ -39,7 +41,7 @@ def extract(text: Column, rule: str, padded: bool = True) -> Column:
         pairs = F.transform(x["found"], lambda w, i: F.struct(F.get(x["gaps"], i).alias("gap"), w.alias("word")))
         return F.aggregate(pairs, start, add)["hits"]
 
-    return F.coalesce(let(both, offsets), F.array().cast(HIT))
+    return F.coalesce(F.when(text.rlike(SIGNS[rule]), let(both, offsets)), F.array().cast(HIT))
 
 
 def extract_phone(text: Column, padded: bool = True) -> Column:

@@ -63,13 +63,19 @@ class Segmenter:
         joined = scores.join(more, [*keys, "pos"], "left")
         return joined.select(*keys, "pos", scoring.add_scores(F.col("scores"), F.array("add_b", "add_i")).alias("scores"))
 
-    def segment(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """(key, words) for every row; null and empty texts have none. ``concat(words) = text``."""
+    def segment_typed(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, tokens of word and type) for every row; type names the rule that found the word, else it is null."""
+        kind = "array<struct<word:string,type:string>>"
         pieces = self.pieces(df, key, text)
         gaps = pieces.where("type is null and length(piece) > 0").select(key, "seg", "piece")
         scores = self.char_scores(gaps, [key, "seg"], "piece")
         tags = scores.select(key, "seg", "pos", (F.col("scores")[1] > F.col("scores")[0]).cast("int").alias("tag")).groupBy(key, "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t"))
-        cut = gaps.join(tags, [key, "seg"]).select(key, "seg", tag_to_word(F.col("piece"), F.col("t.tag")).alias("words"))
-        whole = pieces.where("type is not null").select(key, "seg", F.array("piece").alias("words"))
-        joined = cut.union(whole).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", "words"))).alias("s")).select(key, F.flatten("s.words").alias("words"))
-        return df.select(key).join(joined, key, "left").select(key, F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+        words = tag_to_word(F.col("piece"), F.col("t.tag"))
+        cut = gaps.join(tags, [key, "seg"]).select(key, "seg", F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("type"))).alias("tokens"))
+        whole = pieces.where("type is not null").select(key, "seg", F.array(F.struct(F.col("piece").alias("word"), "type")).alias("tokens"))
+        joined = cut.union(whole).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seg", "tokens"))).alias("s")).select(key, F.flatten("s.tokens").alias("tokens"))
+        return df.select(key).join(joined, key, "left").select(key, F.coalesce("tokens", F.array().cast(kind)).alias("tokens"))
+
+    def segment(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """(key, words) for every row; null and empty texts have none. ``concat(words) = text``."""
+        return self.segment_typed(df, key, text).select(key, F.col("tokens.word").alias("words"))

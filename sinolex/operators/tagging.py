@@ -49,10 +49,15 @@ class Tagger:
         """With the user's (word, tag, weight), which add to the model's scores."""
         return replace(self, soft=soft)
 
-    def tag(self, df: DataFrame, key: str, words: str, rule_tags: DataFrame | None = None) -> DataFrame:
-        """(key, tokens of word and tag) for every row; ``rule_tags``: (key, word, rule_tag) for any equal word of the text."""
-        raw = df.select(F.col(key), F.posexplode(words).alias("pos", "raw"))
-        tokens = raw.select(key, "pos", "raw", preprocess(F.col("raw")).alias("word") if self.model.params.get("norm_text", True) else F.col("raw").alias("word"))
+    def tag(self, df: DataFrame, key: str, words: str, rule_tags: DataFrame | None = None, types: str | None = None) -> DataFrame:
+        """(key, tokens of word and tag) for every row.
+
+        Tags by rule go before all others: ``types`` names an array beside the words, ``rule_tags`` has (key, word, rule_tag)
+        for any equal word of the text.
+        """
+        both = F.arrays_zip(F.col(words).alias("w"), (F.col(types) if types else F.transform(words, lambda _: F.lit(None).cast("string"))).alias("t"))
+        raw = df.select(F.col(key), F.posexplode(both).alias("pos", "x")).select(key, "pos", F.col("x.w").alias("raw"), F.col("x.t").alias("type"))
+        tokens = raw.select(key, "pos", "raw", "type", preprocess(F.col("raw")).alias("word") if self.model.params.get("norm_text", True) else F.col("raw").alias("word"))
         looked = dictionary.look_up(tokens, self.default, self.hard)
         info = features.word_info(tokens.select("word"), self.model.words, self.model.parts, self.model.chars)
         # neighbours are taken before dictionary words go, as they are context for the rest
@@ -71,6 +76,7 @@ class Tagger:
         if rule_tags is not None:
             rows = rows.join(rule_tags.select(key, F.col("word").alias("raw"), "rule_tag").dropDuplicates([key, "raw"]), [key, "raw"], "left")
             tag = F.coalesce(F.col("rule_tag"), tag)
+        tag = F.coalesce(F.col("type"), tag)
         done = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("raw").alias("word"), tag.alias("tag")))).alias("t"))
         done = done.select(key, F.transform("t", lambda x: F.struct(x["word"].alias("word"), x["tag"].alias("tag"))).alias("tokens"))
         return df.select(key).join(done, key, "left").select(key, F.coalesce("tokens", F.array().cast("array<struct<word:string,tag:string>>")).alias("tokens"))

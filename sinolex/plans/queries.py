@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sinolex.functions import charset, predicates as P
+from sinolex.engine import Engine
 from sinolex.operators import crf, dictionary, evaluate, features, rules, scoring, vocab
 from sinolex.operators.chars import char_features, chars, explode_chars, tag_to_word, word_to_tag, words_of
 from sinolex.operators.segment import Segmenter, SegmenterModel
@@ -178,7 +180,7 @@ def parts_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.trim_parts(vocab.part_frequencies(words, known), numbers=40, others=100)
 
 
-@query(f"WITH {PARTS_SQL}, often AS (SELECT part FROM parts WHERE length(part) <= 4 AND freq >= 100), having_part AS (SELECT DISTINCT word FROM cuts WHERE substr(word, 1, i) IN (SELECT part FROM often) OR substr(word, i + 1) IN (SELECT part FROM often)) SELECT word, freq FROM openf WHERE word NOT IN (SELECT word FROM having_part)")
+@query(f"WITH {PARTS_SQL}, often AS (SELECT part FROM parts WHERE length(part) <= 4 AND freq >= 100), pieces AS (SELECT word, substr(word, 1, i) AS part FROM cuts WHERE i <= 4 UNION ALL SELECT word, substr(word, i + 1) FROM cuts WHERE length(word) - i <= 4), having_part AS (SELECT DISTINCT word FROM pieces SEMI JOIN often USING (part)) SELECT word, freq FROM openf ANTI JOIN having_part USING (word)")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, dic, known = _known(spark, sf_dir)
     parts = vocab.trim_parts(vocab.part_frequencies(words, known), chinese=100, numbers=100, others=100)
@@ -362,15 +364,22 @@ def _hits(df: DataFrame, key: str, text: str, hits: Column) -> DataFrame:
     return df.select(key, F.explode(hits).alias("h")).select(key, "h.s", "h.b", "h.e", "h.t")
 
 
-def _rule(name: str, table: str = "documents", key: str = "doc_id", text: str = "text"):
+def _rule(name: str, table: str = "documents", key: str = "doc_id", text: str = "text", oracle: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _hits(load(spark, sf_dir, table), key, text, rules.extract_phone(F.col(text)) if name == "tel" else rules.extract(F.col(text), name))
 
     run.__name__ = f"rule_{name}"
-    return query()(run)
+    return query(oracle)(run)
 
 
-rule_email, rule_ip, rule_id, rule_tel = _rule("email"), _rule("ip"), _rule("id"), _rule("tel")
+_OCTET = r"(?:25[0-5]|2[0-4]\p{Nd}|[01]\p{Nd}{2}|[1-9]?\p{Nd})"
+_ID = r"(?:1[1-5]|2[1-3]|3[1-7]|4[1-6]|5[0-4]|6[1-5]|71|81|82|91)(?:0[0-9]|1[0-9]|2[0-9]|3[0-4]|4[0-3]|5[1-3]|90)(?:0[0-9]|1[0-9]|2[0-9]|3[0-9]|4[0-3]|5[1-7]|6[1-4]|7[1-4]|8[1-7])(?:18|19|20)\p{Nd}{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])\p{Nd}{3}[0-9xX]"
+_CELL = r"(?:(?:\+\+86)?(?:--|  )?)?1[3-9][0-9](?:--|  )?\p{Nd}{4}(?:--|  )?\p{Nd}{4}"
+_LANDLINE = r"(?:(?:\(\(|（（)?0\p{Nd}{2,3}(?:\)\)|））|  |——|--){1,2}\p{Nd}{7,8}|\p{Nd}{3,4}(?:  |--)\p{Nd}{3,4}(?:  |--)\p{Nd}{4})"
+rule_email = _rule("email", oracle=sql.hits("email", r"[^0-9a-zA-Z.\-]", r"(?:[a-zA-Z0-9.-]|__)+@@(?:[a-zA-Z0-9.-]|__)+(?:\.(?:[a-zA-Z0-9.-]|__)+)*\.[a-zA-Z0-9]{2,6}"))
+rule_ip = _rule("ip", oracle=sql.hits("ip", "[^0-9]", r"\.\.".join([_OCTET] * 4)))
+rule_id = _rule("id", oracle=sql.hits("id", "[^0-9a-zA-Z]", _ID))
+rule_tel = _rule("tel", oracle=f"{sql.hits('tel', r'[^\p{Nd}]', _CELL)} UNION ALL {sql.hits('tel', r'[^\p{Nd}]', _LANDLINE)}")
 rule_url = _rule("url", "pages", "page_id", "html")
 
 
@@ -408,32 +417,91 @@ def segment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Segmenter(_space_model(spark), use_rules=True).segment(rows, "id", "text").select("id", F.array_join("words", "").alias("whole"))
 
 
-@query()
+BENCH_WORDS_SQL = f"SELECT DISTINCT unnest({sql.WORDS.of(sql.PREPROCESS.of('text'))}) AS word FROM benchmark"
+
+
+@query(f"WITH RECURSIVE dw AS ({BENCH_WORDS_SQL}), tx AS (SELECT conv_id * 1000 + turn AS id, text AS txt FROM conversations), {sql.greedy('tx', 'dw')} SELECT id // 1000 AS conv_id, id % 1000 AS turn, b::INTEGER AS b, n::INTEGER AS n, 2.0::DOUBLE AS weight FROM scan")
 def dict_boost_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _dictionary(spark, sf_dir).select("word", F.lit(2.0).alias("weight"))
     return dictionary.greedy(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words, dictionary.longest(words))
 
 
-@query()
+#: A word begins at white space and behind it, where a user word begins, and behind one.
+USER_WORDS_SQL = (
+    f"WITH RECURSIVE dw AS (SELECT DISTINCT lower(word) AS word FROM ({BENCH_WORDS_SQL})), tx AS (SELECT conv_id * 1000 + turn AS id, text, {sql.PREPROCESS.of('text')} AS txt FROM conversations), {sql.greedy('tx', 'dw')}, "
+    "cs AS (SELECT id, i - 1 AS pos, substr(text, i, 1) AS c, substr(txt, i, 1) IN (' ', chr(10)) AS blank, i > 1 AND substr(txt, i - 1, 1) IN (' ', chr(10)) AS behind FROM (SELECT id, text, txt, unnest(generate_series(1, length(txt))) AS i FROM tx WHERE length(txt) > 0)), "
+    "edges AS (SELECT id, b AS pos FROM scan UNION SELECT id, b + n FROM scan), begun AS (SELECT cs.*, pos = 0 OR blank OR behind OR e.pos IS NOT NULL AS new FROM cs LEFT JOIN edges e USING (id, pos)) "
+    "SELECT t.id, coalesce(string_agg(CASE WHEN new AND pos > 0 THEN '|' ELSE '' END || c, '' ORDER BY pos), '') AS words FROM tx t LEFT JOIN begun USING (id) GROUP BY t.id"
+)
+
+
+@query(USER_WORDS_SQL)
 def segment_user_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     words = _dictionary(spark, sf_dir).select("word", F.lit(3.0).alias("weight"), F.lit(0).alias("ord"))
     return Segmenter(_space_model(spark)).with_words(words).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
 
 
-@query()
-def tag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items tagged with a dictionary, a hard and a soft user dictionary and a small model."""
-    rows = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words_of(F.col("text")).alias("words"))
+TAGS_OF_WORDS_SQL = (
+    f"dict AS (SELECT word, CASE WHEN length(word) % 2 = 0 THEN 'n' ELSE 'v' END AS tag FROM (SELECT DISTINCT unnest({sql.WORDS.of(sql.PREPROCESS.of('text'))}) AS word FROM benchmark) WHERE length(word) > 4), "
+    f"hard AS (SELECT DISTINCT r_name AS word, 'ns' AS tag FROM region UNION SELECT 'the', 'u'), t AS (SELECT id, pos, raw, {sql.PREPROCESS.of('raw')} AS word FROM toks), "
+    "scored AS (SELECT t.*, 0.5 + CASE WHEN length(word) BETWEEN 1 AND 3 THEN 0.25 ELSE 0 END AS n, 0.125 + CASE WHEN pos = 1 THEN 0.75 ELSE 0 END + CASE WHEN word = 'of' THEN 2 ELSE 0 END AS v FROM t), "
+    "tagged AS (SELECT s.id, s.pos, s.raw, coalesce(h.tag, d.tag, CASE WHEN v > n THEN 'v' ELSE 'n' END) AS tag FROM scored s LEFT JOIN hard h ON h.word = s.word LEFT JOIN dict d ON d.word = s.word)"
+)
+
+
+def _tagger(spark: SparkSession, sf_dir: str) -> Tagger:
+    """A default, a hard and a soft dictionary and a small model: nothing is known of the other words but their length and place."""
     weights = spark.createDataFrame([("wk", [0.5, 0.0]), ("[START]", [0.0, 0.75]), ("ck", [0.25, 0.0]), ("/", [0.0, 0.125])], "feature string, weights array<double>")
-    empty = spark.createDataFrame([], "word string")
-    model = TaggerModel(weights, ["n", "v"], empty, spark.createDataFrame([], "part string"), spark.createDataFrame([], "ch string"))
+    model = TaggerModel(F.broadcast(weights), ["n", "v"], *[spark.createDataFrame([], f"{c} string") for c in ("word", "part", "ch")])
     default = _dictionary(spark, sf_dir).where("length(word) > 4")
     soft = spark.createDataFrame([("of", "v", 2.0), ("the", "v", 1.0)], "word string, tag string, weight double")
-    tagged = Tagger(model, default, _hard(spark, sf_dir), soft).tag(rows, "id", "words")
+    return Tagger(model, default, _hard(spark, sf_dir), soft)
+
+
+def _written(tagged: DataFrame) -> DataFrame:
     return tagged.select("id", F.array_join(F.transform("tokens", lambda t: F.concat(t["word"], F.lit("/"), F.coalesce(t["tag"], F.lit("")))), " ").alias("tagged"))
 
 
+@query(f"WITH toks AS (SELECT doc_id AS id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {sql.WORDS.of('text')} AS w FROM documents)), {TAGS_OF_WORDS_SQL} SELECT d.doc_id AS id, coalesce(string_agg(raw || '/' || tag, ' ' ORDER BY pos), '') AS tagged FROM documents d LEFT JOIN tagged ON tagged.id = d.doc_id GROUP BY d.doc_id")
+def tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' words, tagged."""
+    rows = load(spark, sf_dir).select(F.col("doc_id").alias("id"), words_of(F.col("text")).alias("words"))
+    return _written(_tagger(spark, sf_dir).tag(rows, "id", "words"))
+
+
+@query(f"WITH toks AS (SELECT id, unnest(w) AS raw, generate_subscripts(w, 1) AS pos FROM (SELECT conv_id * 1000 + turn AS id, regexp_extract_all(text, '[ \\n]|[^ \\n]+') AS w FROM conversations)), {TAGS_OF_WORDS_SQL} SELECT c.conv_id * 1000 + c.turn AS id, coalesce(string_agg(raw || '/' || tag, ' ' ORDER BY pos), '') AS tagged FROM conversations c LEFT JOIN tagged ON tagged.id = c.conv_id * 1000 + c.turn GROUP BY 1")
+def cut_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to tagged words in one call: cut by the model, then tagged."""
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return _written(Engine(Segmenter(_space_model(spark)), _tagger(spark, sf_dir)).cut(rows, "id", "text"))
+
+
+RULE_TEXTS = ["a@b.com 110101199003077571", "￥13912345678，8.8.8.8", "tel 010-12345678 or 139-1234-5678", "none here", "", "x.y@site.org", "id11010119900307757X。", "go 10.0.0.1 https://a.example/x?y=1 now"]
+RULE_PIECES = [
+    ("a@b.com", "email"), (" ", None), ("110101199003077571", "id"), None, ("￥", None), ("13912345678", "tel"), ("，", None), ("8.8.8.8", "ip"), None, ("tel ", None), ("010-12345678", "tel"), (" or", None), (" 139-1234-5678", "tel"), None,
+    ("none here", None), None, None, ("x.y@site.org", "email"), None, ("id11010119900307757X。", None), None, ("go ", None), ("10.0.0.1", "ip"), (" ", None), ("https://a.example/x?y=1", "url"), (" now", None), None,
+]
+
+
+def _pieces_values() -> str:
+    rows, doc, k = [], 0, 0
+    for piece in RULE_PIECES:
+        if piece is None:
+            doc, k = doc + 1, 0
+        else:
+            rows.append(f"({doc}, {k}, {sql.quote(piece[0])}, {sql.quote(piece[1]) if piece[1] else 'NULL'})")
+            k += 1
+    return ", ".join(rows)
+
+
+@query(f"SELECT id, seg, piece, type FROM (VALUES {_pieces_values()}) t(id, seg, piece, type)")
+def rule_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of fixture texts of all kinds of rules, as stated by hand."""
+    texts = spark.createDataFrame(list(enumerate(RULE_TEXTS)), "id int, text string")
+    return streams.pieces(texts.withColumn("seg", F.lit(0))).select("id", (F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1).alias("seg"), "piece", "type")
+
+
 def _crf_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, crf.Weights]:
     """Benchmark items as samples: the feature of a character is its class."""
     kinds = F.transform(chars(F.col("text")), lambda c: F.array(F.when(c.rlike(r"\s"), 0).when(c.rlike("[aeiouAEIOU]"), 1).when(c.rlike("[a-zA-Z]"), 2).otherwise(3)))
@@ -444,16 +512,34 @@ def _crf_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, crf.Weigh
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sent_id"), kinds.alias("features")), w
 
 
-@query()
+CRF_SQL = (
+    "kinds AS (SELECT item_id AS sent_id, i, length(text) AS n, CASE WHEN regexp_matches(c, '[ \\t\\n\\f\\r\\v]') THEN 0 WHEN regexp_matches(c, '[aeiouAEIOU]') THEN 1 WHEN regexp_matches(c, '[a-zA-Z]') THEN 2 ELSE 3 END AS kind FROM (SELECT item_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark WHERE length(text) > 0)), "
+    "cs AS (SELECT sent_id, i, n, CASE kind WHEN 0 THEN 2 WHEN 1 THEN -0.5 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS y0, CASE kind WHEN 0 THEN -2 WHEN 1 THEN 0.5 WHEN 2 THEN -0.25 ELSE 0.5 END::DOUBLE AS y1 FROM kinds)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {CRF_SQL}, back AS (SELECT sent_id, i, y0 AS b0, y1 AS b1, 0 AS a0, 0 AS a1 FROM cs WHERE i = n UNION ALL SELECT c.sent_id, c.i, c.y0 + greatest(b0 - 0.5, b1 + 0.5), c.y1 + greatest(b0 + 0.25, b1), CASE WHEN b0 - 0.5 >= b1 + 0.5 THEN 0 ELSE 1 END, CASE WHEN b0 + 0.25 >= b1 THEN 0 ELSE 1 END FROM back r JOIN cs c ON c.sent_id = r.sent_id AND c.i = r.i - 1), "
+    "path AS (SELECT sent_id, i, CASE WHEN b0 >= b1 THEN 0 ELSE 1 END AS s FROM back WHERE i = 1 UNION ALL SELECT p.sent_id, p.i + 1, CASE p.s WHEN 0 THEN r.a0 ELSE r.a1 END FROM path p JOIN back r ON r.sent_id = p.sent_id AND r.i = p.i JOIN cs c ON c.sent_id = p.sent_id AND c.i = p.i + 1) "
+    "SELECT b.item_id AS sent_id, coalesce(string_agg(s, '' ORDER BY i), '') AS tags FROM benchmark b LEFT JOIN path ON path.sent_id = b.item_id GROUP BY b.item_id"
+)
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, w = _crf_samples(spark, sf_dir)
     return crf.decode(samples, w).select("sent_id", F.array_join(F.col("tags").cast("array<string>"), "").alias("tags"))
 
 
-@query()
+def _log_sum(a: str, b: str) -> str:
+    return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
+
+
+@query(
+    f"WITH RECURSIVE {CRF_SQL}, fwd AS (SELECT sent_id, i, y0 AS f0, y1 AS f1 FROM cs WHERE i = 1 UNION ALL SELECT c.sent_id, c.i, c.y0 + {_log_sum('f0 - 0.5', 'f1 + 0.25')}, c.y1 + {_log_sum('f0 + 0.5', 'f1')} FROM fwd f JOIN cs c ON c.sent_id = f.sent_id AND c.i = f.i + 1), "
+    f"bwd AS (SELECT sent_id, i, 0::DOUBLE AS g0, 0::DOUBLE AS g1, y0, y1 FROM cs WHERE i = n UNION ALL SELECT c.sent_id, c.i, {_log_sum('b.y0 + g0 - 0.5', 'b.y1 + g1 + 0.5')}, {_log_sum('b.y0 + g0 + 0.25', 'b.y1 + g1')}, c.y0, c.y1 FROM bwd b JOIN cs c ON c.sent_id = b.sent_id AND c.i = b.i - 1), "
+    f"probs AS (SELECT sent_id, i, f0 + g0 AS p0, f1 + g1 AS p1 FROM fwd JOIN bwd USING (sent_id, i)) SELECT sent_id, (i - 1)::INTEGER AS pos, tag, round(exp(CASE tag WHEN 0 THEN p0 ELSE p1 END - {_log_sum('p0', 'p1')}), 6) AS prob FROM probs, (VALUES (0), (1)) t(tag)"
+)
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, w = _crf_samples(spark, sf_dir)
-    return crf.node_marginals(samples, w)
+    return crf.node_marginals(samples, w).withColumn("prob", F.round("prob", 6))
 
 
 @query("SELECT conv_id, turn, n FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)")

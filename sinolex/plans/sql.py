@@ -52,3 +52,27 @@ def unigram(word: str, freq: str | None, word_min: int, word_max: int, trim: int
     """Without the need for a Chinese character."""
     good = f"length({word}) BETWEEN {word_min} AND {word_max} AND {PLAIN.of(word)} AND NOT {SEPARATED.of(word)}"
     return f"({good} AND NOT {NAME.of(word)})" if freq is None else f"({good} AND {freq} >= {trim} AND ({freq} >= {common} OR NOT {NAME.of(word)}))"
+
+
+def hits(rule: str, boundary: str, core: str) -> str:
+    """SELECT of (doc_id, s, b, e, t): what ``core`` matches between two ``boundary`` characters, as a check of the rules.
+
+    RE2 has no look-around, so boundary characters are doubled (in ``core`` as well) and matches marked; a place is the
+    length of what lies before it with pairs counted once, less the padding.
+    """
+    doubled = f"regexp_replace('￥' || text || '￥', '({boundary})', '\\1\\1', 'g')"
+    marked = f"regexp_replace({doubled}, '({boundary})({core})({boundary})', '\\1' || chr(1) || '\\2' || chr(1) || '\\3', 'g')"
+    size = f"(length(x) - length(regexp_replace(x, '{boundary.replace('[^', '[', 1)}', '', 'g')) / 2)"
+    return (
+        f"SELECT doc_id, substr(text, b + 1, n) AS s, b::INTEGER AS b, (b + n)::INTEGER AS e, '{rule}' AS t FROM (SELECT doc_id, text, k, n, (sum(n) OVER (PARTITION BY doc_id ORDER BY k) - n - 1)::BIGINT AS b FROM "
+        f"(SELECT doc_id, text, k, {size}::BIGINT AS n FROM (SELECT doc_id, text, unnest(p) AS x, generate_subscripts(p, 1) AS k FROM (SELECT doc_id, text, string_split({marked}, chr(1)) AS p FROM documents)))) WHERE k % 2 = 0"
+    )
+
+
+def greedy(texts: str, words: str) -> str:
+    """CTEs from ``texts`` (id, txt) and ``words`` (word) up to ``scan`` (id, b, n): longest words from the left."""
+    return (
+        f"places AS (SELECT id, txt, unnest(generate_series(1, length(txt))) AS i FROM {texts} WHERE length(txt) > 0), found AS (SELECT id, i - 1 AS b, max(k) AS n FROM places, (SELECT DISTINCT length(word) AS k FROM {words}) l WHERE i + k - 1 <= length(txt) AND substr(txt, i, k) IN (SELECT word FROM {words}) GROUP BY 1, 2), "
+        "linked AS (SELECT m.id, m.b, m.n, x.b AS nb FROM found m ASOF LEFT JOIN found x ON m.id = x.id AND m.b + m.n <= x.b), "
+        "scan AS (SELECT l.id, l.b, l.n, l.nb FROM linked l JOIN (SELECT id, min(b) AS b FROM linked GROUP BY id) f USING (id, b) UNION ALL SELECT l.id, l.b, l.n, l.nb FROM scan s JOIN linked l ON l.id = s.id AND l.b = s.nb)"
+    )

@@ -16,7 +16,7 @@ LEAST_PROB, LEAST_FREQ = 0.99, 0
 
 
 def read_lines(spark: SparkSession, path: str, schema: str | T.DataType | None = None, strip: bool = True, skip_empty: bool = True) -> DataFrame:
-    """(path, line, value[, data]): stripped lines; with a schema also the line parsed as JSON, null where it is none."""
+    """(path, value[, data]): stripped lines; with a schema also the line parsed as JSON, null where it is none."""
     rows = spark.read.text(path)
     text = F.regexp_replace("value", r"(?U)^\s+|\s+$", "") if strip else F.col("value")
     rows = rows.select(F.col("_metadata.file_path").alias("path"), text.alias("value"))
@@ -25,6 +25,20 @@ def read_lines(spark: SparkSession, path: str, schema: str | T.DataType | None =
     return rows if schema is None else rows.withColumn("data", F.from_json("value", schema))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): every line with its number in its file, from 0.
+
+    Lines are counted by block of a file; only the blocks' counts are summed up file by file.
+    """
+    block = F.col("_metadata.file_block_start").alias("block")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), block, "value").withColumn("at", F.monotonically_increasing_id())
+    ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy("path", "block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(ahead) - F.col("n"))
+    inside = Window.partitionBy("path", "block").orderBy("at")
+    numbered = rows.withColumn("k", F.row_number().over(inside) - 1).join(counts.drop("n"), ["path", "block"])
+    return numbered.select("path", (F.col("before") + F.col("k")).alias("line"), "value")
+
+
 def first_lines(lines: DataFrame, order: str, n: int, skip_empty: bool = True) -> DataFrame:
     """The first n lines by a line number; empty lines that are skipped count towards n."""
     kept = lines.where(F.col(order) < n)

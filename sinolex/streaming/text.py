@@ -21,9 +21,9 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pieces(df: DataFrame, text: str = "text") -> DataFrame:
-    """The texts' pieces between and inside rule hits, as rows."""
+    """The texts' pieces between and inside rule hits, as rows with their place ``at`` in the text's pieces."""
     hits = rules.resolve(rules.extract_info(F.col(text)))
-    return df.withColumn("p", F.explode(rules.cut_by_rules(F.col(text), hits))).select("*", F.col("p.s").alias("piece"), F.col("p.t").alias("type")).drop("p")
+    return df.select("*", F.posexplode(rules.cut_by_rules(F.col(text), hits)).alias("at", "p")).select("*", F.col("p.s").alias("piece"), F.col("p.t").alias("type")).drop("p")
 
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:

@@ -361,3 +361,52 @@ def test_entry_without_the_other_subpackage(monkeypatch):
 
 def test_oracle_fragments():
     assert duckdb.sql(f"SELECT {sql.PREPROCESS.of(sql.quote('Ａé⑪'))}").fetchall() == [("Aん9",)]
+
+
+def test_models_survive_the_disk_and_an_engine_is_made_of_them(spark, tmp_path):
+    from sinolex.engine import Engine
+    from sinolex.operators.segment import SegmenterModel
+    from sinolex.operators.tagging import TaggerModel
+    from sinolex.sources import models
+
+    weights = spark.createDataFrame([("c ", [5.0, 0.0]), ("b ", [5.0, 0.0]), ("[START]", [5.0, 0.0]), ("/", [0.0, 1.0])], "feature string, weights array<double>")
+    models.save_segmenter(SegmenterModel(weights, params={"norm_text": True}), str(tmp_path / "cut"))
+    tag_weights = spark.createDataFrame([("wk", [0.5, 0.0]), ("[START]", [0.0, 0.75]), ("/", [0.0, 0.125])], "feature string, weights array<double>")
+    none = [spark.createDataFrame([], f"{c} string") for c in ("word", "part", "ch")]
+    models.save_tagger(TaggerModel(tag_weights, ["n", "v"], *none, {"norm_text": True}), str(tmp_path / "tag"))
+    back = models.load_tagger(spark, str(tmp_path / "tag"))
+    assert back.tags == ["n", "v"] and back.params == {"norm_text": True} and {r["feature"]: list(r["weights"]) for r in back.weights.collect()} == {r["feature"]: list(r["weights"]) for r in tag_weights.collect()}
+    assert models.load_segmenter(spark, str(tmp_path / "cut")).words is None
+    (tmp_path / "words.txt").write_text("cdef\t4\n")
+    engine = Engine.init(spark, str(tmp_path / "cut"), str(tmp_path / "tag"), rules=True, user_words=str(tmp_path / "words.txt"))
+    texts = spark.createDataFrame([(1, "abcdefg a@b.com x"), (2, ""), (3, None), (4, "８.8.8.8")], "id long, text string")
+    got = {r["id"]: [(t["word"], t["tag"]) for t in r["tokens"]] for r in engine.cut(texts, "id", "text").collect()}
+    assert [w for w, _ in got[1]] == ["ab", "cdef", "g", " ", "a@b.com", " ", "x"] and got[1][4] == ("a@b.com", "email")
+    assert got[1][0] == ("ab", "v") and got[1][1] == ("cdef", "n") and got[2] == got[3] == [] and "".join(w for w, _ in got[4]) == "８.8.8.8"
+    more = engine.add_word("fg", 9.0).add_word_tag("ab", "ns").add_word_tag("x", "v", 5.0)
+    got = {r["id"]: [(t["word"], t["tag"]) for t in r["tokens"]] for r in more.cut(texts.where("id = 1"), "id", "text").collect()}
+    assert got[1][0] == ("ab", "ns") and got[1][-1] == ("x", "v")
+    assert {r["words"][0] for r in Engine(engine.segmenter).cut(texts.where("id = 1"), "id", "text").collect()} == {"ab"} and engine.tags().count() == 42
+
+
+def test_lines_have_numbers(spark, tmp_path):
+    from sinolex.sources import lines
+
+    for name, n in (("a.txt", 2500), ("b.txt", 3)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" if i % 5 else "\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        got = lines.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 2503 and all(r["value"] == (f"{r['path'].split('/')[-1]} {r['line']}" if r["line"] % 5 else "") for r in got)
+    first = lines.first_lines(lines.numbered_lines(spark, str(tmp_path / "b.txt")), "line", 2).collect()
+    assert [(r["line"], r["value"]) for r in first] == [(1, "b.txt 1")]
+
+
+def test_weight_statistics(spark):
+    from sinolex.operators import crf
+
+    rows = spark.createDataFrame([("a", [1.0, -2.0]), ("b", [0.5, 0.0])], "feature string, weights array<double>")
+    r = crf.weight_stats(rows).first()
+    assert (r["max_w"], r["min_w"], r["mean_w"], r["mean_abs_w"]) == (1.0, -2.0, -0.25, 1.75)

@@ -514,7 +514,7 @@ def _crf_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, crf.Weigh
 
 CRF_SQL = (
     "kinds AS (SELECT item_id AS sent_id, i, length(text) AS n, CASE WHEN regexp_matches(c, '[ \\t\\n\\f\\r\\v]') THEN 0 WHEN regexp_matches(c, '[aeiouAEIOU]') THEN 1 WHEN regexp_matches(c, '[a-zA-Z]') THEN 2 ELSE 3 END AS kind FROM (SELECT item_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark WHERE length(text) > 0)), "
-    "cs AS (SELECT sent_id, i, n, CASE kind WHEN 0 THEN 2 WHEN 1 THEN -0.5 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS y0, CASE kind WHEN 0 THEN -2 WHEN 1 THEN 0.5 WHEN 2 THEN -0.25 ELSE 0.5 END::DOUBLE AS y1 FROM kinds)"
+    "cs AS (SELECT sent_id, i, n, kind, CASE kind WHEN 0 THEN 2 WHEN 1 THEN -0.5 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS y0, CASE kind WHEN 0 THEN -2 WHEN 1 THEN 0.5 WHEN 2 THEN -0.25 ELSE 0.5 END::DOUBLE AS y1 FROM kinds)"
 )
 
 
@@ -532,16 +532,32 @@ def _log_sum(a: str, b: str) -> str:
     return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
 
 
-@query(
+PROBS_SQL = (
     f"WITH RECURSIVE {CRF_SQL}, fwd AS (SELECT sent_id, i, y0 AS f0, y1 AS f1 FROM cs WHERE i = 1 UNION ALL SELECT c.sent_id, c.i, c.y0 + {_log_sum('f0 - 0.5', 'f1 + 0.25')}, c.y1 + {_log_sum('f0 + 0.5', 'f1')} FROM fwd f JOIN cs c ON c.sent_id = f.sent_id AND c.i = f.i + 1), "
     f"bwd AS (SELECT sent_id, i, 0::DOUBLE AS g0, 0::DOUBLE AS g1, y0, y1 FROM cs WHERE i = n UNION ALL SELECT c.sent_id, c.i, {_log_sum('b.y0 + g0 - 0.5', 'b.y1 + g1 + 0.5')}, {_log_sum('b.y0 + g0 + 0.25', 'b.y1 + g1')}, c.y0, c.y1 FROM bwd b JOIN cs c ON c.sent_id = b.sent_id AND c.i = b.i - 1), "
-    f"probs AS (SELECT sent_id, i, f0 + g0 AS p0, f1 + g1 AS p1 FROM fwd JOIN bwd USING (sent_id, i)) SELECT sent_id, (i - 1)::INTEGER AS pos, tag, round(exp(CASE tag WHEN 0 THEN p0 ELSE p1 END - {_log_sum('p0', 'p1')}), 6) AS prob FROM probs, (VALUES (0), (1)) t(tag)"
+    f"both_ways AS (SELECT sent_id, i, f0 + g0 AS p0, f1 + g1 AS p1 FROM fwd JOIN bwd USING (sent_id, i)), probs AS (SELECT sent_id, i - 1 AS pos, tag, exp(CASE tag WHEN 0 THEN p0 ELSE p1 END - {_log_sum('p0', 'p1')}) AS prob FROM both_ways, (VALUES (0), (1)) t(tag))"
 )
+
+
+@query(f"{PROBS_SQL} SELECT sent_id, pos::INTEGER AS pos, tag, round(prob, 6) AS prob FROM probs")
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, w = _crf_samples(spark, sf_dir)
     return crf.node_marginals(samples, w).withColumn("prob", F.round("prob", 6))
 
 
+@query(f"{PROBS_SQL} SELECT kind AS feature, tag, round((sum(prob) - sum(CASE WHEN CASE WHEN pos % 3 = 0 THEN 0 ELSE 1 END = tag THEN 1 ELSE 0 END)) / count(DISTINCT sent_id), 6) AS gradient FROM probs JOIN cs USING (sent_id) WHERE cs.i = pos + 1 GROUP BY 1, 2")
+def crf_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gradient of the log loss by feature and tag, where every third character begins a word."""
+    samples, w = _crf_samples(spark, sf_dir)
+    node = crf.gradient(samples.withColumn("tags", F.transform("features", lambda _, i: (i % 3 != 0).cast("int"))), w)[0]
+    return spark.createDataFrame([(int(f), k, round(float(g), 6)) for f, row in node.items() for k, g in enumerate(row)], "feature int, tag int, gradient double")
+
+
+@query("WITH w AS (SELECT (i - 109) / 8.0 AS w FROM generate_series(97, 122) t(i)), cells AS (SELECT w AS x FROM w UNION ALL SELECT 0.25 FROM w UNION ALL SELECT 0.5 FROM w UNION ALL SELECT w FROM w UNION ALL SELECT -w FROM w UNION ALL SELECT 0.125 FROM w UNION ALL SELECT 0.5 UNION ALL SELECT 0.75) SELECT max(x)::DOUBLE AS max_w, min(x)::DOUBLE AS min_w, sum(x)::DOUBLE / 79 AS mean_w, sum(abs(x))::DOUBLE / 79 AS mean_abs_w FROM cells")
+def weight_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.weight_stats(_letter_weights(spark))
+
+
 @query("SELECT conv_id, turn, n FROM (SELECT conv_id, turn, length(text) AS n FROM conversations)")
 def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the streaming job adds to each text keeps its length."""

@@ -410,3 +410,18 @@ def test_weight_statistics(spark):
     rows = spark.createDataFrame([("a", [1.0, -2.0]), ("b", [0.5, 0.0])], "feature string, weights array<double>")
     r = crf.weight_stats(rows).first()
     assert (r["max_w"], r["min_w"], r["mean_w"], r["mean_abs_w"]) == (1.0, -2.0, -0.25, 1.75)
+
+
+def test_scores_by_table_and_by_join(spark, monkeypatch):
+    from sinolex.operators import scoring
+
+    nodes = spark.createDataFrame([(1, 0, ["a", "b", "z"]), (1, 1, ["b"]), (2, 0, []), (2, 1, None), (3, 0, ["z"]), (None, 0, ["a", "a", "b"])], "id long, pos int, features array<string>")
+    weights = spark.createDataFrame([("a", [1.0, -1.0]), ("b", [0.5, 0.25]), ("/", [8.0, 16.0])], "feature string, weights array<double>")
+    for miss in ("any", "all"):
+        got = {}
+        for bound in (200_000, 2):
+            monkeypatch.setattr(scoring, "LOCAL_WEIGHTS", bound)
+            got[bound] = sorted(map(str, scoring.node_scores(nodes, ["id", "pos"], weights, 2, miss=miss).collect()))
+        assert got[2] == got[200_000] and len(got[2]) == 6
+    rows = {(r["id"], r["pos"]): list(r["scores"]) for r in scoring.node_scores(nodes, ["id", "pos"], weights, 2).collect()}
+    assert rows == {(1, 0): [9.5, 15.25], (1, 1): [0.5, 0.25], (2, 0): [8, 16], (2, 1): [8, 16], (3, 0): [8, 16], (None, 0): [2.5, -1.75]}

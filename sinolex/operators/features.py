@@ -69,8 +69,8 @@ def _own_chars(w: Column, held: Column) -> list[Column]:
     return [*out, one("c6", -1, n >= 5), one("c5", -2, n > 5)]
 
 
-def tag_features(tokens: DataFrame, info: DataFrame, key: str = "sent_id") -> DataFrame:
-    """(key, pos, word, features) for every word, from what is known of it and of its two neighbours."""
+def tag_features(tokens: DataFrame, info: DataFrame, key: str = "sent_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, word, carried columns, features) for every word, from what is known of it and of its two neighbours."""
     rows = tokens.join(info, "word")
     order = Window.partitionBy(key).orderBy("pos")
     own = F.struct("word", "known", "lft", "rgt")
@@ -96,4 +96,4 @@ def tag_features(tokens: DataFrame, info: DataFrame, key: str = "sent_id") -> Da
     b, c, d = {"w": "v", "l": "bl", "r": "br"}, {"w": "w", "l": "cl", "r": "cr"}, {"w": "x", "l": "dl", "r": "dr"}
     out += [F.concat(F.lit(b[i] + c[j]), before[i], F.lit("*"), current[j]) for i in "wlr" for j in "wlr"]
     out += [F.concat(F.lit(c[i] + d[j]), current[i], F.lit("*"), after[j]) for i in "wlr" for j in "wlr"]
-    return rows.select(key, "pos", "word", F.array_compact(F.array(*out)).alias("features"))
+    return rows.select(key, "pos", "word", *carry, F.array_compact(F.array(*out)).alias("features"))

@@ -61,14 +61,13 @@ class Tagger:
         looked = dictionary.look_up(tokens, self.default, self.hard)
         info = features.word_info(tokens.select("word"), self.model.words, self.model.parts, self.model.chars)
         # neighbours are taken before dictionary words go, as they are context for the rest
-        nodes = features.tag_features(tokens.select(key, "pos", "word"), info, key).join(looked.where("dict_tag is not null").select(key, "pos"), [key, "pos"], "left_anti")
+        nodes = features.tag_features(looked.select(key, "pos", "word", "dict_tag"), info, key, ("dict_tag",)).where("dict_tag is null")
         n = len(self.model.tags)
-        scores = scoring.node_scores(nodes, [key, "pos"], self.model.weights, n)
+        scores = scoring.node_scores(nodes, [key, "pos", "word"], self.model.weights, n)
         if self.soft is not None:
             names = self.model.tags
             boost = self.soft.where(F.col("tag").isin(names)).groupBy("word").agg(*[F.sum(F.when(F.col("tag") == t, F.col("weight")).otherwise(0.0)).alias(f"b{k}") for k, t in enumerate(names)])
-            joined = scores.join(tokens.select(key, "pos", "word"), [key, "pos"]).join(boost, "word", "left")
-            scores = joined.select(key, "pos", scoring.add_scores(F.col("scores"), F.array(*[f"b{k}" for k in range(n)])).alias("scores"))
+            scores = scores.join(boost, "word", "left").select(key, "pos", scoring.add_scores(F.col("scores"), F.array(*[f"b{k}" for k in range(n)])).alias("scores"))
         names = F.array(*[F.lit(t) for t in self.model.tags])
         chosen = scores.select(key, "pos", F.element_at(names, scoring.best(F.col("scores")) + 1).alias("model_tag"))
         rows = looked.join(chosen, [key, "pos"], "left")

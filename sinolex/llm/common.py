@@ -133,26 +133,35 @@ PLACES = 64
 _table = np.random.Generator(np.random.PCG64(2024)).integers(0, 1 << 64, PLACES * 256, np.uint64, endpoint=False)
 
 
-def hash_text_words(data: bytes) -> np.ndarray:
-    """A 64-bit hash for each white-space separated word of ``data``, computed on the whole array at once.
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each word of the bytes ``raw``, computed on the whole array at once.
 
     Each byte gives a random number by its value and place; a word's numbers are summed and mixed with its length.
     """
-    raw = np.frombuffer(data, np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edge = np.flatnonzero(np.diff(space.view(np.int8), prepend=1, append=1))
-    starts, ends = edge[::2], edge[1::2]
     if not len(starts):
         return np.empty(0, np.uint64)
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
     places = np.arange(int(sizes.sum()), dtype=np.int32) - np.repeat(first.astype(np.int32), sizes)
-    value = _table[(places & (PLACES - 1)) * 256 + raw[~space]]
+    letters = raw[places + np.repeat(starts, sizes)]
+    value = _table[(places & (PLACES - 1)) * 256 + letters]
     if len(far := np.flatnonzero(places >= PLACES)):
         value[far] = mix64(value[far] + (places[far] // PLACES).astype(np.uint64) * _ODD)
     return mix64(np.add.reduceat(value, first) + sizes.astype(np.uint64) * _ODD)
 
 
+def spans(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs that are no gap."""
+    edge = np.flatnonzero(np.diff(gap.view(np.int8), prepend=1, append=1))
+    return edge[::2], edge[1::2]
+
+
+def hash_text_words(data: bytes) -> np.ndarray:
+    """A 64-bit hash for each white-space separated word of ``data``."""
+    raw = np.frombuffer(data, np.uint8)
+    return hash_spans(raw, *spans((raw == 32) | ((raw >= 9) & (raw <= 13))))
+
+
 def hash_runs(hashes: np.ndarray, size: int) -> np.ndarray:
     """A hash for each run of ``size`` neighbouring hashes."""
     out = np.full(len(hashes) - size + 1, size, np.uint64)

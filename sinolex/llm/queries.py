@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sinolex.llm import decontam, html, jaccard, langid, lm, media, mixing, quality, substring, toxicity
-from sinolex.llm.common import id_bucket, table
+from sinolex.llm import decontam, html, jaccard, langid, lm, media, mixing, phrases, quality, search, substring, toxicity, warc
+from sinolex.llm.common import durable, id_bucket, table
 from sinolex.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -66,4 +66,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op4_jaccard, op5_html, op6_media, op7_substring, op8_decontaminate, op9_language, op10_toxicity)}
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = durable(search.build(table(spark, sf_dir, "documents")))
+    return search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    found = warc.read(durable(warc.write(pages)), payloads=False)
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrases.collocations(table(spark, sf_dir, "documents"))
+    return found.withColumn("rank", F.col("rank").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lm, op4_jaccard, op5_html, op6_media, op7_substring, op8_decontaminate, op9_language, op10_toxicity, op11_search, op12_warc, op13_phrases)}

@@ -7,7 +7,7 @@ which the window would not fit, and the words at the remaining starts are compar
 
 Null and empty texts have no words: such documents have no hit and such items no window. An item of fewer words than a
 window is one window. Equal counts are ordered by the word. Repeated rows stay; rows that share a doc_id are told apart
-by their text. Items with a null id are left out, or with ``null_items`` count in all but the list of items.
+by their text. Items with a null id are hit as others are, but are not in the list of items nor counted in it.
 """
 
 from __future__ import annotations
@@ -39,21 +39,21 @@ def small(df: DataFrame, column: str) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", length: int = WINDOW, null_items: bool = False) -> DataFrame:
+def windows(items: DataFrame, id_col: str = "item_id", text: str = "text", length: int = WINDOW) -> DataFrame:
     """Distinct windows: words in order, with the items that hold them."""
-    rows = (items if null_items else items.where(F.col(id_col).isNotNull())).where(F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
+    rows = items.where(F.col(text).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
     rows = rows.select("item", "w", F.explode(starts).alias("at")).select("item", F.slice("w", F.col("at"), F.lit(length)).alias("w"))
     return rows.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("window", F.concat_ws(" ", "w"))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW, null_items: bool = False, keyed: bool = False) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = WINDOW, keyed: bool = False) -> DataFrame:
     """For each document row: its words and those inside any occurrence of a window, and the items found.
 
     ``keyed`` adds ``key``, the hash of the row's text.
     """
     base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
-    wins = durable(windows(items, length=length, null_items=null_items))
+    wins = durable(windows(items, length=length))
     spread = base.where(F.col("text").isNotNull()).select("doc_id", "key", F.posexplode(words(F.col("text"))).alias("at", "word"))
     vocabulary = wins.select(F.explode("w").alias("word")).distinct()
     rarity = durable(spread.select("word").join(small(vocabulary, "word"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n")))

@@ -9,7 +9,7 @@ Components need no link between documents that are joined already. So each posti
 (a star, not all pairs), twice; pairs of what is still apart follow, in size classes that the threshold lets meet.
 
 Null and empty texts have no n-gram and stay alone. A text of fewer words is one n-gram. Rows that share a doc_id are one
-document: all get one component. Documents with a null id get a null component.
+document: each of their texts has its own set and links, all get one component. Documents with a null id get a null component.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sinolex.llm.common import durable, hash_runs, hash_text_words, of_ids, with_least
+from sinolex.llm.common import BROADCAST_IDS, durable, hash_runs, hash_text_words, of_ids, with_least
 from sinolex.llm.components import components
 
 WORDS = 5
@@ -79,14 +79,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 d = hashlib.blake2b(g.tobytes(), digest_size=16).digest()
                 rows.append((len(g), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)))
             out = pd.DataFrame(rows, columns=["n", "s1", "s2"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out.insert(1, "none", batch["none"].to_numpy())
+            for at, name in enumerate(("doc_id", "none", "key")):
+                out.insert(at, name, batch[name].to_numpy())
             yield out
 
     # a null id passes as 0 beside a mark, so that ids stay whole numbers in pandas
-    marked = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
-    made = marked.mapInPandas(run, "doc_id long, none boolean, n long, s1 long, s2 long")
-    return made.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "n", "s1", "s2")
+    marked = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("text").alias("key"), "text")
+    made = marked.mapInPandas(run, "doc_id long, none boolean, key long, n long, s1 long, s2 long")
+    return made.select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "key", "n", "s1", "s2")
 
 
 def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -210,10 +210,13 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     base = durable(signatures(docs, words))
     full = base.where("n > 0 and doc_id is not null")
-    member = durable(with_least(full.select("doc_id", "s1", "s2"), ["s1", "s2"], "doc_id", "first").select("doc_id", "first"))
-    copies = member.where("doc_id != first").select("doc_id").distinct()
-    twice = member.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a != b").select("a", "b")
-    texts = of_ids(docs.where(F.col("doc_id").isNotNull()), durable(copies), "left_anti")
+    member = durable(with_least(full.select("doc_id", "key", "s1", "s2"), ["s1", "s2"], "doc_id", "first").select("doc_id", "key", "first"))
+    # copies go by id and text, as other texts of the same id have no other representative
+    copies = durable(member.where("doc_id != first").select("doc_id", "key").distinct())
+    several = member.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a != b").select("doc_id", "a")
+    twice = member.join(several, "doc_id").where("first != a").select("a", F.col("first").alias("b")).distinct()
+    texts = docs.where(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("text"))
+    texts = texts.join(F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies, ["doc_id", "key"], "left_anti").drop("key")
     names, counts = frequent(texts, words)
     lists = durable(prefixes(texts, words, percent, names, counts))
     postings = durable(shareable(lists).withColumn("label", F.col("doc_id")))

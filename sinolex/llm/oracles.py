@@ -47,7 +47,7 @@ NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 DECONTAMINATE = f"""
 WITH docs AS (SELECT doc_id, {words(lower("text"), NO_WORD)} AS w FROM documents),
-items AS (SELECT item_id::VARCHAR AS item, {words(lower("text"), NO_WORD)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT item_id::VARCHAR AS item, {words(lower("text"), NO_WORD)} AS w FROM benchmark),
 starts AS (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM items WHERE len(w) > 0),
 wins AS (SELECT DISTINCT item, array_to_string(w[i:i + 1], ' ') AS first, array_to_string(w[i:i + 9], ' ') AS win, least(len(w), 10) AS n FROM starts),
 {spread("ws", "docs")},
@@ -55,7 +55,7 @@ twos AS (SELECT doc_id, pos, word || ' ' || lead(word) OVER (PARTITION BY doc_id
 met AS (SELECT t.doc_id, t.pos, wins.item, wins.win, wins.n FROM twos t JOIN wins ON wins.first = t.first UNION ALL SELECT ws.doc_id, ws.pos, wins.item, wins.win, wins.n FROM ws JOIN wins ON wins.n = 1 AND wins.first = ws.word),
 hits AS (SELECT m.doc_id, m.pos, m.n, m.item FROM met m JOIN docs d ON d.doc_id = m.doc_id WHERE array_to_string(d.w[m.pos:m.pos + m.n - 1], ' ') = m.win AND m.pos + m.n - 1 <= len(d.w)),
 places AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(item) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(p.n, 0)::BIGINT AS n_hit, coalesce(n.n, 0)::BIGINT AS n_items, sha256(coalesce(n.items, '')) AS items_sha256, coalesce(p.n, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN places p ON p.doc_id = d.doc_id LEFT JOIN named n ON n.doc_id = d.doc_id
 """

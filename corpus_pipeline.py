@@ -100,7 +100,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay; items without an id count as others. Without items nothing goes. Of rows that share an id
     only those with a window go. Any further columns stay.
     """
-    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), null_items=True, keyed=True)
+    found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark"), keyed=True)
     return without(docs, found.where("contaminated"))
 
 

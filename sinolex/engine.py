@@ -62,7 +62,8 @@ class Engine:
     def cut(self, df: DataFrame, key: str, text: str) -> DataFrame:
         """(key, words), or with a tagger (key, tokens of word and tag). Words found by a rule have its name as tag.
 
-        Tags are found for normalised words; the words themselves are those of the text.
+        Tags are found for normalised words; the words themselves are those of the text. Works on batches and streams; models
+        too large for row transforms need a batch.
         """
         typed = self.segmenter.segment_typed(df, key, text).select(key, F.col("tokens.word").alias("words"), F.col("tokens.type").alias("types"))
         return typed.select(key, "words") if self.tagger is None else self.tagger.tag(typed, key, "words", types="types")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +65,10 @@ def preprocess(text: Column, convert_num_letter: bool = True, normalize_num_lett
     elif convert_num_letter:
         text = convert(text)
     return mask_unknown(text) if convert_exception else text
+
+
+def preprocess_text(convert_num_letter: bool = True, normalize_num_letter: bool = False, convert_exception: bool = True) -> Callable[[str], str]:
+    """What ``preprocess`` does, for distinct words inside tasks."""
+    tables = normalize_table() if normalize_num_letter else convert_table() if convert_num_letter else ("", "")
+    table, unknown = str.maketrans(*tables), re.compile(f"[^{ALLOWED}]")
+    return (lambda text: unknown.sub(UNKNOWN, text.translate(table))) if convert_exception else (lambda text: text.translate(table))

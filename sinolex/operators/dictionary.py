@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from sinolex.operators import tables
+from sinolex.operators.automaton import Trie, code_points
+from sinolex.operators.automaton import greedy as takes
 from sinolex.operators.chars import chars, let
+from sinolex.operators.tables import slices
 
 SPACES = "\t \r　"
 
@@ -24,11 +29,6 @@ def upsert(entries: DataFrame, order: str = "ord") -> DataFrame:
     return rows.select(F.col("key").alias("word"), "weight")
 
 
-def longest(words: DataFrame) -> int:
-    """Characters of the longest word; 1 where there is none."""
-    return words.agg(F.max(F.length("word"))).first()[0] or 1
-
-
 def substrings(text: Column, shortest: int, longest: int) -> Column:
     """All substrings of a text by place (from 0) and length. Each is made from the characters, not by a walk from the text's start."""
 
@@ -51,17 +51,65 @@ def matches(df: DataFrame, keys: list[str], text: str, words: DataFrame, shortes
     return rows.join(words, "word")
 
 
-def longest_match(df: DataFrame, keys: list[str], text: str, words: DataFrame, longest: int) -> DataFrame:
-    """For each place the longest word that begins there."""
-    return matches(df, keys, text, words, 1, longest).groupBy(*keys, "b").agg(F.max("n").alias("n"), F.max_by("weight", "n").alias("weight"))
+def _found(df: DataFrame, keys: list[str], text: str, words: pa.Table, scan: bool) -> DataFrame:
+    """(keys, m): the longest words of a small dictionary by place, or with ``scan`` those that a scan from the left takes."""
+    weight = dict(zip(*(words.column(c).to_pylist() for c in ("word", "weight")), strict=True))
+    weight.pop("", None), weight.pop(None, None)
+    table = Trie(list(weight)), np.array([float("nan") if w is None else float(w) for w in weight.values()])
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, weights = shared.value
+        for batch in batches:
+            texts = batch.column(len(keys))
+            for i, j in slices(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)):
+                codes, sizes = code_points([t or "" for t in texts[i:j].to_pylist()])
+                ends = np.cumsum(sizes)
+                found = trie.longest_at(codes, np.repeat(ends, sizes))
+                at = takes(found, trie.sizes) if scan else np.flatnonzero(found >= 0)
+                word = found[at]
+                row = np.searchsorted(ends, at, side="right")
+                columns = [pa.array((at - (ends - sizes)[row]).astype(np.int32)), pa.array(trie.sizes[word].astype(np.int32)), pa.array(weights[word], mask=np.isnan(weights[word]))]
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)), pa.StructArray.from_arrays(columns, ["b", "n", "weight"]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k)[i:j] for k in range(len(keys))), lists], names=[*keys, "m"])
+
+    given = df.select(*keys, text)
+    return given.mapInArrow(run, StructType([*[given.schema[k] for k in keys], *StructType.fromDDL(f"m {MATCH}").fields]))
+
+
+MATCH = "array<struct<b:int,n:int,weight:double>>"
+
+
+def _parts(words: DataFrame) -> Iterator[pa.Table]:
+    """The dictionary (word, weight) in parts that are within the bounds of tasks, one at a time."""
+    n, chars = words.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    parts = max(-(-n // tables.LOCAL_ROWS), -(-chars // tables.LOCAL_CHARS), 1)
+    for k in range(parts):
+        yield words.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k).select("word", "weight").toArrow()
+
+
+def longest_match(df: DataFrame, keys: list[str], text: str, words: DataFrame) -> DataFrame:
+    """For each place the longest word that begins there: (keys, b, n, weight). ``words`` (word, weight) are distinct.
+
+    The time doesn't depend on the longest word. A dictionary beyond the bounds of tasks is taken in parts by the hash of the
+    word; the longest match of all parts counts.
+    """
+    every = None
+    for k, part in enumerate(_parts(words)):
+        own = _found(df, keys, text, part, False).select(*keys, F.explode("m").alias("x")).select(*keys, "x.*")
+        every = own if every is None else every.union(own)
+    return every if k == 0 else every.groupBy(*keys, "b").agg(F.max("n").alias("n"), F.max_by("weight", "n").alias("weight"))
 
 
-def greedy(df: DataFrame, keys: list[str], text: str, words: DataFrame, longest: int) -> DataFrame:
+def greedy(df: DataFrame, keys: list[str], text: str, words: DataFrame) -> DataFrame:
     """Matches of a scan from the left that takes the longest word and goes on behind it: (keys, b, n, weight).
 
-    Only places with a match are walked, once for each text.
+    One pass over each text, without a shuffle where the dictionary is within the bounds of tasks. ``words`` are distinct.
     """
-    found = longest_match(df, keys, text, words, longest).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("b").cast("int"), F.col("n").cast("int"), F.col("weight").cast("double")))).alias("m"))
+    n, chars = words.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    if n <= tables.LOCAL_ROWS and chars <= tables.LOCAL_CHARS:
+        return _found(df, keys, text, words.select("word", "weight").toArrow(), True).select(*keys, F.explode("m").alias("x")).select(*keys, "x.*")
+    found = longest_match(df, keys, text, words).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("b", "n", "weight"))).alias("m"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -24,9 +24,9 @@ def node_scores(nodes: DataFrame, keys: list[str], weights: DataFrame, n_tags: i
 
     If any feature (or with ``miss="all"`` every one) has no weights, those of the empty feature count once.
     """
-    few = weights.select("feature", "weights").limit(LOCAL_WEIGHTS + 1).toArrow()
-    if few.num_rows <= LOCAL_WEIGHTS:
-        return _local_scores(nodes, keys, few, n_tags, features, miss)
+    few = weights.select("feature", "weights").limit(LOCAL_WEIGHTS + 1)
+    if few.count() <= LOCAL_WEIGHTS:
+        return _local_scores(nodes, keys, few.toArrow(), n_tags, features, miss)
     rows = nodes.select(*keys, F.explode_outer(features).alias("feature")).join(weights.select("feature", "weights"), "feature", "left")
     sums = [F.coalesce(F.sum(F.col("weights")[k]), F.lit(0.0)).alias(f"s{k}") for k in range(n_tags)]
     held = F.count("weights")
@@ -38,17 +38,20 @@ def node_scores(nodes: DataFrame, keys: list[str], weights: DataFrame, n_tags: i
 
 
 def _local_scores(nodes: DataFrame, keys: list[str], weights: pa.Table, n_tags: int, features: str, miss: str) -> DataFrame:
-    names = weights.column("feature").combine_chunks()
+    names = weights.column("feature").to_pylist()
     table = np.zeros((len(names) + 1, n_tags))  # the last row is that of a feature without weights
     for i, w in enumerate(weights.column("weights").to_pylist()):
         table[i, : len(w)] = w[:n_tags]
-    empty = table[pc.index(names, EMPTY).as_py()] if len(names) else table[-1]
+    empty = table[names.index(EMPTY)] if EMPTY in names else table[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = {name: i for i, name in enumerate(names)}  # one index for all batches of a task
         for batch in batches:
             lists = batch.column(len(keys))
             sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), len(names)).to_numpy(zero_copy_only=False)
+            coded = lists.flatten().dictionary_encode()
+            distinct = np.array([rows.get(f, len(names)) for f in coded.dictionary.to_pylist()] + [len(names)], np.int64)
+            found = distinct[pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)]
             ends = np.cumsum(sizes)
             running = np.concatenate((np.zeros((1, n_tags)), np.add.reduceat(table[found], (ends - sizes)[sizes > 0], axis=0))) if len(found) else np.zeros((1, n_tags))
             place = np.where(sizes > 0, np.cumsum(sizes > 0), 0)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sinolex.functions.charset import preprocess
-from sinolex.operators import dictionary, features, scoring
+from sinolex.operators import dictionary, features, local, scoring
+from sinolex.operators.tables import free
 
 # The tags and their names.
 TAGSET = {
@@ -49,12 +50,38 @@ class Tagger:
         """With the user's (word, tag, weight), which add to the model's scores."""
         return replace(self, soft=soft)
 
+    def table(self) -> local.TagTable | None:
+        """The model and the dictionaries compiled for tasks; None if they are too large."""
+        m = self.model
+        return local.tag_table(m.weights, m.tags, m.words, m.parts, m.chars, self.default, self.hard, self.soft, m.params.get("norm_text", True))
+
+    def tagged(self, df: DataFrame, words: str, types: str | None = None, out: str = "tokens", table: local.TagTable | None = None) -> DataFrame:
+        """All rows and columns of a batch or a stream, with ``out``: words and their tags. ``types`` beside the words go first."""
+        table = table or self.table()
+        if table is None:
+            raise ValueError("the model is too large for a row transform; use tag on a batch")
+        if types is None:
+            return local.tag(df, table, words, None, out)
+        name = free("types", df.columns)
+        # one type beside each word, whatever was given
+        kinds = F.transform(words, lambda _, i: F.get(F.col(types), i).cast("string"))
+        return local.tag(df.withColumn(name, kinds), table, words, name, out).drop(name)
+
     def tag(self, df: DataFrame, key: str, words: str, rule_tags: DataFrame | None = None, types: str | None = None) -> DataFrame:
         """(key, tokens of word and tag) for every row.
 
         Tags by rule go before all others: ``types`` names an array beside the words, ``rule_tags`` has (key, word, rule_tag)
-        for any equal word of the text.
+        for any equal word of the text. Words are looked up inside tasks, so a frequent word is no hot key; where the model or
+        a dictionary is too large for that, or with ``rule_tags``, by joins.
         """
+        if rule_tags is None and (table := self.table()) is not None:
+            own = [key, words] + [types] * (types is not None)
+            out = free("tokens", own)
+            return self.tagged(df.select(*own), words, types, out, table).select(key, F.col(out).alias("tokens"))
+        return self.tag_joined(df, key, words, rule_tags, types)
+
+    def tag_joined(self, df: DataFrame, key: str, words: str, rule_tags: DataFrame | None = None, types: str | None = None) -> DataFrame:
+        """As ``tag``, by joins with tables of any size; keys are unique."""
         both = F.arrays_zip(F.col(words).alias("w"), (F.col(types) if types else F.transform(words, lambda _: F.lit(None).cast("string"))).alias("t"))
         raw = df.select(F.col(key), F.posexplode(both).alias("pos", "x")).select(key, "pos", F.col("x.w").alias("raw"), F.col("x.t").alias("type"))
         tokens = raw.select(key, "pos", "raw", "type", preprocess(F.col("raw")).alias("word") if self.model.params.get("norm_text", True) else F.col("raw").alias("word"))

@@ -420,7 +420,7 @@ BENCH_WORDS_SQL = f"SELECT DISTINCT unnest({sql.WORDS.of(sql.PREPROCESS.of('text
 @query(f"WITH RECURSIVE dw AS ({BENCH_WORDS_SQL}), tx AS (SELECT conv_id * 1000 + turn AS id, text AS txt FROM conversations), {sql.greedy('tx', 'dw')} SELECT id // 1000 AS conv_id, id % 1000 AS turn, b::INTEGER AS b, n::INTEGER AS n, 2.0::DOUBLE AS weight FROM scan")
 def dict_boost_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _dictionary(spark, sf_dir).select("word", F.lit(2.0).alias("weight"))
-    return dictionary.greedy(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words, dictionary.longest(words))
+    return dictionary.greedy(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", words)
 
 
 #: A word begins at white space and behind it, where a user word begins, and behind one.

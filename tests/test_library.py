@@ -170,9 +170,9 @@ def test_dictionary_scan(spark):
     words = dictionary.upsert(entries)
     assert {tuple(r) for r in words.collect()} == {("北京", 2.0), ("北京大学", 3.0), ("abc", 1.0), ("大学生", 1.5)}
     df = column(spark, ["北京大学生", "在北京ABCabc", "大学大学生"])
-    got = {(r["id"], r["b"], r["n"], r["weight"]) for r in dictionary.greedy(df, ["id"], "text", words, 5).collect()}
+    got = {(r["id"], r["b"], r["n"], r["weight"]) for r in dictionary.greedy(df, ["id"], "text", words).collect()}
     assert got == {(0, 0, 4, 3.0), (1, 1, 2, 2.0), (1, 6, 3, 1.0), (2, 2, 3, 1.5)}
-    boost = {(r["id"], r["pos"]): (r["add_b"], r["add_i"]) for r in dictionary.boosts(dictionary.greedy(df, ["id"], "text", words, 5), ["id"]).collect()}
+    boost = {(r["id"], r["pos"]): (r["add_b"], r["add_i"]) for r in dictionary.boosts(dictionary.greedy(df, ["id"], "text", words), ["id"]).collect()}
     assert boost[0, 0] == (3.0, 0.0) and boost[0, 1] == (0.0, 3.0) and boost[0, 4] == (3.0, 0.0)
 
 

@@ -1,11 +1,12 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries are built from labelled good and bad texts. A text is compressed piece by piece with each;
-the difference of the two sizes and their mean, both divided by the text's bytes, become a score through a logistic
-curve fitted on labelled texts that neither dictionary has seen.
+the difference of the two sizes, divided by the text's bytes, becomes a score through a logistic curve fitted on labelled
+texts that neither dictionary has seen. Nothing else enters the score.
 
-A null text is an empty one and gets the calibrated score of difference 0 and ratio 0.5. If a class has no labelled row, every score
-is the share of good labels (0.5 without labels). Documents with several labels train once for each label row.
+A null text is an empty one and gets the calibrated score of difference 0. If a class has no labelled row, every score is the
+share of good labels (0.5 without labels). Documents with several labels train once for each label row. Very long texts are
+compressed whole, piece by piece. Columns but the keys and the text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ class Model:
         good = [t.encode("utf-8", "surrogatepass") for t, y in texts if y == 1]
         bad = [t.encode("utf-8", "surrogatepass") for t, y in texts if y == 0]
         share = (len(good) + 1) / (len(good) + len(bad) + 2) if texts else 0.5
-        self.dictionaries, self.beta = None, np.array([0, 0, 0, np.log(share / (1 - share))])
+        self.dictionaries, self.beta = None, np.array([0, np.log(share / (1 - share))])
         if len(good) < 2 or len(bad) < 2:
             return
         self.dictionaries = [self.build(x[::2]) for x in (good, bad)]
@@ -76,19 +77,17 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
 
     def features(self, data: bytes) -> np.ndarray:
-        """Normalised difference of the compressed sizes, their normalised mean, its square, 1."""
+        """Normalised difference of the compressed sizes, 1."""
         good, bad = self.compressors()
         g = b = 0
         for at in range(0, len(data), PIECE):
             piece = data[at : at + PIECE]
             g += len(good.compress(piece))
             b += len(bad.compress(piece))
-        n = max(1, len(data))
-        ratio = (g + b) / (2 * n) if data else 0.5
-        return np.array([(b - g) / n, ratio, ratio * ratio, 1.0])
+        return np.array([(b - g) / max(1, len(data)), 1.0])
 
     def score(self, text: str | None) -> float:
-        x = self.features((text or "").encode("utf-8", "surrogatepass")) if self.dictionaries else np.array([0.0, 0, 0, 1])
+        x = self.features((text or "").encode("utf-8", "surrogatepass")) if self.dictionaries else np.array([0.0, 1])
         return float(1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30))))
 
 

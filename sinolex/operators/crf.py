@@ -1,7 +1,12 @@
-"""Linear-chain conditional random fields: marginals, decoding, and training by distributed gradients.
+"""Linear-chain conditional random fields: marginals, decoding, and training with weights that stay in Spark.
 
-A sample is (sent_id, features: array of arrays of feature numbers, tags). The driver keeps one weight table; each step is
-a Spark job in which tasks compute expected and observed counts and Spark sums them by feature.
+A sample is (sent_id, features: array of arrays of feature numbers, tags). Samples are dealt to blocks. The weights are a
+table (idx, weights); for a step each block pulls those of its own features by a join, computes expected and observed counts
+for its sentences at once, and Spark sums what comes back by feature and joins it to the weights. Neither the driver nor a
+task holds all weights or all gradients: the driver keeps the edge table, the ratio and a row of figures for each epoch.
+
+The edge gradient is indexed as the weights are, and is not scaled by the ratio. Samples are dealt to mini-batches by block
+and epoch, without padding. The error of an epoch is the mean log loss of its samples.
 """
 
 from __future__ import annotations
@@ -10,187 +15,300 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql.types import StructType
+
+from sinolex.operators import evaluate
+from sinolex.operators.lattice import Lattice, log_sum
+from sinolex.operators.tables import durable
+
+__all__ = ["Edges", "Weights", "converged", "decode", "gain", "gradient", "log_sum", "node_marginals", "prune", "train", "weight_stats"]
+
+#: Feature occurrences of a block of samples.
+BLOCK = 2_000_000
+#: Losses that a gain is measured over, the factor of the second ratio that is decoded, and the least share of tags that it must change.
+WINDOW = 10
+LESS = 0.99
+LEAST_CHANGE = 2e-5
+MOST_STEP, MOST_WEIGHT, LEAST_RATIO = 1.0, 10.0, 1e-6
 
 
 @dataclass
-class Weights:
-    """node: [features, tags]; edge: [previous tag, next tag]; ratio: weight of the edges."""
+class Edges:
+    """edge: [previous tag, next tag]; ratio: weight of the edges."""
 
-    node: np.ndarray
     edge: np.ndarray
     ratio: float = 1e-4
 
+    @property
+    def scaled(self) -> np.ndarray:
+        return self.edge * self.ratio
+
+
+@dataclass
+class Weights(Edges):
+    """Edges and node weights [features, tags] of a model that fits into tasks."""
+
+    node: np.ndarray | None = None
+
     @staticmethod
     def zeros(n_features: int, n_tags: int) -> Weights:
-        return Weights(np.zeros((n_features, n_tags)), np.zeros((n_tags, n_tags)))
+        return Weights(np.zeros((n_tags, n_tags)), node=np.zeros((n_features, n_tags)))
 
-    @staticmethod
-    def random(n_features: int, n_tags: int, seed: int = 0) -> Weights:
-        rng = np.random.default_rng(seed)
-        return Weights(rng.normal(0, 0.4, (n_features, n_tags)), rng.normal(0, 0.4, (n_tags, n_tags)), float(rng.uniform()))
 
+def start_weights(index: DataFrame, n_tags: int, seed: int | None = None) -> DataFrame:
+    """(idx, weights): zeros, or with a seed normal numbers of deviation 0.4."""
+    one = [F.lit(0.0) if seed is None else F.randn(seed + k) * 0.4 for k in range(n_tags)]
+    return index.select("idx", F.array(*one).alias("weights"))
 
-def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of arrays of arrays of numbers: positions of each row, numbers of each position, and the numbers."""
+    def sizes(lists: pa.Array) -> np.ndarray:
+        return pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
-def scores(features: list, w: Weights) -> np.ndarray:
+    inner = column.flatten()
+    return sizes(column), sizes(inner), inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def scores(node: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Summed weights of the features of each position."""
-    return np.array([w.node[np.asarray(f, np.int64)].sum(axis=0) for f in features]).reshape(len(features), w.edge.shape[0])
-
-
-def marginals(y: np.ndarray, w: Weights) -> tuple[float, np.ndarray, np.ndarray]:
-    """log Z, tag probabilities at each position, and summed probabilities of (previous, next) tags."""
-    n, t = y.shape
-    edge = w.edge * w.ratio
-    forward, backward = np.empty((n, t)), np.zeros((n, t))
-    forward[0] = y[0]
-    for i in range(1, n):
-        forward[i] = log_sum(forward[i - 1][:, None] + edge, 0) + y[i]
-    for i in range(n - 2, -1, -1):
-        backward[i] = log_sum(edge + y[i + 1] + backward[i + 1], 1)
-    z = float(log_sum(forward[-1], 0))
-    pairs = np.zeros((t, t))
-    for i in range(1, n):
-        pairs += np.exp(forward[i - 1][:, None] + edge + y[i] + backward[i] - z)
-    return z, np.exp(forward + backward - z), pairs
-
-
-def viterbi(y: np.ndarray, w: Weights) -> np.ndarray:
-    """The best tag sequence, decoded from the right; smaller tags at ties."""
-    n, t = y.shape
-    if not n:
-        return np.empty(0, np.int64)
-    edge = w.edge * w.ratio
-    best, after = y[-1].copy(), np.zeros((n, t), np.int64)
-    for i in range(n - 2, -1, -1):
-        total = edge + best
-        after[i] = total.argmax(axis=1)
-        best = y[i] + total.max(axis=1)
-    path = [int(best.argmax())]
-    for i in range(n - 1):
-        path.append(int(after[i][path[-1]]))
-    return np.array(path)
+    out = np.zeros((len(sizes), node.shape[1]))
+    held = np.flatnonzero(sizes)
+    if len(held):
+        out[held] = np.add.reduceat(node[rows], (np.cumsum(sizes) - sizes)[held], axis=0)
+    return out
+
+
+def _columns(batch: pa.RecordBatch, key: str) -> tuple[pa.Array, Lattice, np.ndarray, np.ndarray]:
+    positions, sizes, rows = flat(batch.column("features"))
+    return batch.column(key), Lattice(positions), sizes, rows
 
 
 def decode(df: DataFrame, w: Weights, key: str = "sent_id") -> DataFrame:
     """(key, tags) by Viterbi."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "tags": [viterbi(scores(f, w), w).astype(np.int32) for f in batch["features"]]})
+            keys, lattice, sizes, rows = _columns(batch, key)
+            tags = lattice.viterbi(scores(w.node, sizes, rows), w.scaled[None])[0]
+            yield pa.RecordBatch.from_arrays([keys, listed(tags.astype(np.int32), lattice.sizes)], names=[key, "tags"])
+
+    given = df.select(key, "features")
+    return given.mapInArrow(run, StructType([given.schema[key], *StructType.fromDDL("tags array<int>").fields]))
 
-    return df.select(key, "features").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, tags array<int>")
+
+def listed(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(values))
 
 
 def node_marginals(df: DataFrame, w: Weights, key: str = "sent_id") -> DataFrame:
     """(key, pos, tag, prob)."""
+    t = w.edge.shape[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, f in zip(batch[key], batch["features"], strict=True):
-                if len(f):
-                    p = marginals(scores(f, w), w)[1]
-                    yield pd.DataFrame({key: k, "pos": np.repeat(np.arange(len(p)), p.shape[1]), "tag": np.tile(np.arange(p.shape[1]), len(p)), "prob": p.ravel()})
+            keys, lattice, sizes, rows = _columns(batch, key)
+            prob = lattice.marginals(scores(w.node, sizes, rows), w.scaled)[1]
+            pos = np.arange(len(prob)) - lattice.starts[lattice.owner]
+            columns = [keys.take(pa.array(np.repeat(lattice.owner, t))), pa.array(np.repeat(pos, t).astype(np.int32)), pa.array(np.tile(np.arange(t, dtype=np.int32), len(prob))), pa.array(prob.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "pos", "tag", "prob"])
 
-    return df.select(key, "features").mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, pos int, tag int, prob double")
+    given = df.select(key, "features")
+    return given.mapInArrow(run, StructType([given.schema[key], *StructType.fromDDL("pos int, tag int, prob double").fields]))
 
 
-def gradient(df: DataFrame, w: Weights) -> tuple[dict[int, np.ndarray], np.ndarray, float, float, int]:
-    """Gradient of the log loss over the samples: by feature (its sum over the samples that hold it), edges, ratio; the
-    loss; and the samples. What comes back has a row for each feature of the batch."""
-    t = w.edge.shape[0]
+# Steps with weights that stay in Spark.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        node: dict[int, np.ndarray] = {}
-        held: dict[int, int] = {}
-        edge, ratio, loss, n = np.zeros((t, t)), 0.0, 0.0, 0
-        for batch in batches:
-            for features, tags in zip(batch["features"], batch["tags"], strict=True):
-                if not len(tags):
-                    continue
-                y, tags = scores(features, w), np.asarray(tags)
-                z, prob, pairs = marginals(y, w)
-                seen = np.zeros((t, t))
-                np.add.at(seen, (tags[:-1], tags[1:]), 1)
-                delta = prob.copy()
-                delta[np.arange(len(tags)), tags] -= 1
-                loss += z - float(y[np.arange(len(tags)), tags].sum()) - float((seen * w.edge).sum()) * w.ratio
-                own = set()
-                for f, d in zip(features, delta, strict=True):
-                    for i in f:
-                        node[i] = node.get(i, 0) + d
-                        own.add(i)
-                for i in own:
-                    held[i] = held.get(i, 0) + 1
-                edge += (pairs - seen) * w.ratio
-                ratio += float(((pairs - seen) * w.edge).sum())
-                n += 1
-        ids = list(node)
-        yield pd.DataFrame({"f": np.array([*ids, -1], np.int64), "g": [*(node[i] for i in ids), edge.ravel()], "n": [*(held[i] for i in ids), n], "loss": [0.0] * len(ids) + [loss], "ratio": [0.0] * len(ids) + [ratio]})
-
-    parts = df.select("features", "tags").mapInPandas(run, "f long, g array<double>, n long, loss double, ratio double")
-    size = F.max(F.size("g"))
-    rows = parts.groupBy("f").agg(F.array(*[F.sum(F.try_element_at("g", F.lit(k + 1))) for k in range(max(t * t, t))]).alias("g"), F.sum("n").alias("n"), F.sum("loss").alias("loss"), F.sum("ratio").alias("ratio"), size.alias("size")).collect()
-    node, edge, ratio, loss, n = {}, np.zeros((t, t)), 0.0, 0.0, 0
-    for r in rows:
-        g = np.array(r["g"][: r["size"]], float)
-        if r["f"] < 0:
-            edge, ratio, loss, n = g.reshape(t, t), r["ratio"], r["loss"], r["n"]
-        else:
-            node[r["f"]] = g / r["n"]
-    return node, edge, ratio, loss, n
-
-
-def train(df: DataFrame, n_features: int, n_tags: int, epochs: int = 5, batches: int = 1, rate: float = 1.0, drop: float = 0.1, patience: float = 1e-4, l2: float = 0.0, seed: int = 0) -> tuple[Weights, list[float]]:
-    """Stochastic gradient descent; samples are dealt to mini-batches by a hash that changes with the epoch.
-
-    Node steps are clipped to 1 and weights to 10; the rate falls with the epochs; training ends early once the mean gain
-    over the last ten losses is small.
+
+def blocks(samples: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """The samples with their block, and (block, idx): the features of each block."""
+    occurrences = samples.agg(F.coalesce(F.sum(F.aggregate("features", F.lit(0).cast("long"), lambda a, f: a + F.size(f))), F.lit(0))).first()[0]
+    dealt = durable(samples.select(F.pmod(F.xxhash64("sent_id"), F.lit(max(1, -(-occurrences // block)))).alias("block"), *samples.columns))
+    return dealt, durable(dealt.select("block", F.explode(F.array_distinct(F.flatten("features")).cast("array<long>")).alias("idx")).distinct())
+
+
+def pulled(needs: DataFrame, weights: DataFrame) -> DataFrame:
+    """(of, idx, weights): the weights that each block needs."""
+    return needs.join(weights.select(F.col("idx").cast("long").alias("idx"), "weights"), "idx").select(F.col("block").alias("of"), "idx", "weights")
+
+
+def _block(samples: pa.Table, weights: pa.Table, t: int) -> tuple[Lattice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its lattice, sizes of its positions, their features as rows, the features, and the scores."""
+    positions, sizes, features = flat(samples.column("features").combine_chunks())
+    names = weights.column("idx").to_numpy()
+    by = np.argsort(names)
+    node = weights.column("weights").combine_chunks().flatten().to_numpy().reshape(-1, t)[by]
+    rows = np.searchsorted(names[by], features)
+    return Lattice(positions), sizes, rows, names[by], scores(node, sizes, rows)
+
+
+STEP = "idx long, g array<double>, n long, loss double, ratio double, nodes long, now long, less long"
+
+
+def gradient(samples: DataFrame, needs: DataFrame, weights: DataFrame, edges: Edges) -> tuple[DataFrame, dict]:
+    """(idx, g, n): gradient of the log loss by feature and the samples that hold it; and figures of the whole step.
+
+    The figures are the edge gradient, that of the ratio, the loss, the samples, the positions, and how many of them are
+    tagged right under the ratio and under a slightly smaller one, which are decoded in one pass.
+    """
+    t = edges.edge.shape[0]
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        lattice, sizes, rows, names, y = _block(own, known, t)
+        tags = own.column("tags").combine_chunks().flatten().to_numpy().astype(np.int64)
+        z, prob, pairs = lattice.marginals(y, edges.scaled)
+        seen = lattice.seen_pairs(tags, t)
+        here = np.arange(len(tags))
+        loss = z.sum() - y[here, tags].sum() - (seen * edges.scaled).sum()
+        best = lattice.viterbi(y, np.stack((edges.scaled, edges.scaled * LESS)))
+        delta = prob
+        delta[here, tags] -= 1
+        of = np.repeat(here, sizes)
+        g = np.stack([np.bincount(rows, delta[of, k], len(names)) for k in range(t)], axis=1)
+        held = np.bincount(np.unique(lattice.owner[of] * len(names) + rows) % max(len(names), 1), minlength=len(names))
+        values = np.concatenate((g.ravel(), (pairs - seen).ravel()))
+        none = np.zeros(len(names))
+        figures = {"loss": loss, "ratio": float(((pairs - seen) * edges.edge).sum()), "nodes": len(tags), "now": int((best[0] == tags).sum()), "less": int((best[1] == tags).sum())}
+        kinds = {"loss": float, "ratio": float, "nodes": np.int64, "now": np.int64, "less": np.int64}
+        columns = [pa.array(np.append(names, -1)), listed(values, np.append(np.full(len(names), t), t * t)), pa.array(np.append(held, int((lattice.sizes > 0).sum())).astype(np.int64))]
+        columns += [pa.array(np.append(none, v).astype(kinds[k])) for k, v in figures.items()]
+        return pa.Table.from_arrays(columns, names=[f.split(" ")[0] for f in STEP.split(", ")])
+
+    parts = durable(samples.where("size(features) > 0").groupBy("block").cogroup(pulled(needs, weights).groupBy("of")).applyInArrow(run, STEP))
+    by_feature = parts.where("idx >= 0").groupBy("idx").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(t)]).alias("g"), F.sum("n").alias("n"))
+    total = parts.where("idx < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "loss", "ratio", "nodes", "now", "less")], F.array(*[F.coalesce(F.sum(F.col("g")[k]), F.lit(0.0)) for k in range(t * t)]).alias("edge")).first()
+    return by_feature, total.asDict() | {"edge": np.array(total["edge"]).reshape(t, t)}
+
+
+def clipped(x: Column, most: float) -> Column:
+    return F.greatest(F.least(x, F.lit(most)), F.lit(-most))
+
+
+def stepped(weights: DataFrame, by_feature: DataFrame, rate: float, decay: bool) -> DataFrame:
+    """The weights after a step: mean gradients of features, steps and weights clipped, then, if asked, all shrunk by the rate."""
+    own = by_feature.select(F.col("idx").cast("long").alias("idx"), "g", "n")
+    rows = weights.select(F.col("idx").cast("long").alias("idx"), "weights").join(own, "idx", "left")
+    new = F.when(F.col("g").isNull(), F.col("weights")).otherwise(F.zip_with("weights", "g", lambda w, g: clipped(w - clipped(g / F.col("n") * rate, MOST_STEP), MOST_WEIGHT)))
+    return rows.select("idx", (F.transform(new, lambda w: w - w * rate) if decay else new).alias("weights"))
+
+
+def step_edges(edges: Edges, figures: dict, rate: float, decay: bool) -> Edges:
+    """The edges and the ratio after a step. The ratio follows how many tags a smaller one gets wrong, unless those are few."""
+    if not figures["n"]:
+        return edges
+    edge = np.clip(edges.edge - rate * figures["edge"] / figures["n"], -MOST_WEIGHT, MOST_WEIGHT)
+    better = figures["now"] - figures["less"]
+    change = 0.0 if abs(better) < np.ceil(figures["nodes"] * LEAST_CHANGE) else better / figures["nodes"]
+    ratio = edges.ratio + rate * change / (0.01 * edges.ratio)
+    return Edges(edge * (1 - rate) if decay else edge, ratio if ratio >= 0 else LEAST_RATIO)
+
+
+def gain(losses: list[float]) -> float:
+    """Mean gain of the last loss over those of the window before it, relative to itself; the first loss is its own gain."""
+    *before, last = losses[-WINDOW - 1 :]
+    return (before[0] - last) / len(before) / abs(last) if before and last else last
+
+
+def converged(losses: list[float], patience: float) -> bool:
+    return len(losses) > 2 and gain(losses) < patience
+
+
+def decode_blocks(samples: DataFrame, needs: DataFrame, weights: DataFrame, edges: Edges) -> DataFrame:
+    """(sent_id, gold, pred) of dealt samples by Viterbi, with weights that stay in Spark."""
+    t = edges.edge.shape[0]
+    kind = samples.schema["sent_id"].dataType.simpleString()
+
+    def run(own: pa.Table, known: pa.Table) -> pa.Table:
+        lattice, _, _, _, y = _block(own, known, t)
+        tags = lattice.viterbi(y, edges.scaled[None])[0]
+        return pa.Table.from_arrays([own.column("sent_id"), own.column("tags").cast(pa.list_(pa.int32())), listed(tags.astype(np.int32), lattice.sizes)], names=["sent_id", "gold", "pred"])
+
+    return samples.where("size(features) > 0").groupBy("block").cogroup(pulled(needs, weights).groupBy("of")).applyInArrow(run, f"sent_id {kind}, gold array<int>, pred array<int>")
+
+
+LOG = "epoch int, loss double, gain double, rate double, ratio double, edge array<double>, token_acc double, precision double, recall double, f1 double, max_w double, min_w double, mean_w double, mean_abs_w double"
+
+
+@dataclass
+class Trained:
+    """weights: (idx, weights); log: a row of figures for each epoch."""
+
+    weights: DataFrame
+    edges: Edges
+    log: list[dict]
+
+    @property
+    def losses(self) -> list[float]:
+        return [r["loss"] for r in self.log]
+
+
+def resumed(weights: DataFrame, edges: Edges, state: str) -> Trained:
+    """What the state table at ``state`` holds: the last whole epoch, or the start."""
+    spark = weights.sparkSession
+    try:
+        log = [r.asDict() for r in spark.read.schema(LOG).parquet(f"{state}/log").orderBy("epoch").collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return Trained(weights, edges, [])
+    last = log[-1]
+    t = edges.edge.shape[0]
+    return Trained(spark.read.parquet(f"{state}/weights/{last['epoch']}"), Edges(np.array(last["edge"]).reshape(t, t), last["ratio"]), log)
+
+
+def train(samples: DataFrame, weights: DataFrame, n_tags: int, epochs: int = 5, batches: int = 1, rate: float = 1.0, drop: float = 0.1, patience: float = 1e-4, decay: bool = False, seed: int = 0, held_out: DataFrame | None = None, state: str | None = None, block: int = BLOCK) -> Trained:
+    """Stochastic gradient descent from ``weights`` (idx, weights) over samples with tags.
+
+    The rate falls with the epochs and inside them. After each epoch ``held_out`` samples are decoded for the log. With
+    ``state``, a folder that the cluster shares, each epoch's weights and figures are written there, the figures last; a run
+    that finds such a folder goes on behind its last whole epoch. Training ends once the gain is under ``patience``.
     """
-    w, losses = Weights.zeros(n_features, n_tags), []
-    df = df.persist()
-    for epoch in range(epochs):
-        total = 0.0
+    spark = samples.sparkSession
+    found = Trained(weights, Edges(np.zeros((n_tags, n_tags))), [])
+    if state:
+        found = resumed(weights, found.edges, state)
+    weights, edges, log = durable(found.weights), found.edges, found.log
+    dealt, needs = blocks(samples, block)
+    tests = blocks(held_out, block) if held_out is not None else None
+    while len(log) < epochs and not converged([r["loss"] for r in log], patience):
+        epoch, loss, n, step = len(log), 0.0, 0, rate
         for b in range(batches):
-            part = df.where(F.pmod(F.xxhash64("sent_id", F.lit(seed + epoch)), F.lit(batches)) == b) if batches > 1 else df
-            node, edge, ratio, loss, n = gradient(part, w)
-            step = rate * np.exp(-(epoch + b / batches) * drop)
-            for i, g in node.items():
-                w.node[i] = np.clip(w.node[i] - np.clip(step * g, -1, 1) - step * l2 * w.node[i], -10, 10)
-            if n:
-                w.edge = np.clip(w.edge - step * edge / n, -10, 10)
-                w.ratio = max(1e-6, w.ratio - step * ratio / n)
-            total += loss
-        losses.append(total)
-        if converged(losses, patience):
-            break
-    df.unpersist()
-    return w, losses
-
-
-def converged(losses: list[float], patience: float, window: int = 10) -> bool:
-    """Whether the mean relative gain of the last losses is under ``patience``."""
-    last = losses[-window:]
-    if len(last) < 3 or not last[-1]:
-        return False
-    return abs(last[0] - last[-1]) / (len(last) - 1) / abs(last[-1]) < patience
-
-
-def prune(w: Weights, keep: int = 0, share: float = 1e-4) -> np.ndarray:
-    """Which features to keep: those with a wide enough range or a large enough mean weight; number ``keep`` always."""
-    spread, mean = w.node.max(axis=1) - w.node.min(axis=1), np.abs(w.node).mean(axis=1)
-    good = (spread >= share * (w.node.max() - w.node.min())) | (10 * mean > mean.mean())
-    good[keep] = True
-    return good
+            chosen = F.pmod(F.xxhash64("block", F.lit(seed + epoch)), F.lit(batches)) == b
+            part, own = (dealt.where(chosen), needs.where(chosen)) if batches > 1 else (dealt, needs)
+            by_feature, figures = gradient(part, own, weights, edges)
+            step = rate * float(np.exp(-(epoch + b / batches) * drop))
+            weights, edges = durable(stepped(weights, by_feature, step, decay)), step_edges(edges, figures, step, decay)
+            loss, n = loss + figures["loss"], n + figures["n"]
+        row = {"epoch": epoch, "loss": loss / max(n, 1), "rate": step, "ratio": float(edges.ratio), "edge": edges.edge.ravel().tolist()} | weight_stats(weights).first().asDict()
+        row["gain"] = gain([r["loss"] for r in log] + [row["loss"]])
+        if tests:
+            tags = durable(decode_blocks(*tests, weights, edges))
+            row |= {k: v for k, v in (evaluate.accuracy(tags, "gold", "pred").first().asDict() | evaluate.f1(tags, "sent_id", "gold", "pred").first().asDict()).items() if k in LOG}
+        if state:
+            weights.write.mode("overwrite").parquet(f"{state}/weights/{epoch}")
+            names = StructType.fromDDL(LOG).fieldNames()
+            spark.createDataFrame([tuple(row.get(c) for c in names)], LOG).coalesce(1).write.mode("append").parquet(f"{state}/log")
+        log.append(row)
+    return Trained(weights, edges, log)
+
+
+def prune(weights: DataFrame, keep: int = 0, share: float = 1e-4) -> DataFrame:
+    """Without features whose weights hardly differ and are small: a range under ``share`` of that of all weights, and ten times
+    their mean not above the mean of all. Feature ``keep`` always stays."""
+    low, high = F.array_min("weights"), F.array_max("weights")
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    whole = weights.agg(F.min(low).alias("low"), F.max(high).alias("high"), (F.sum(total) / F.sum(F.size("weights"))).alias("mean"))
+    flat_one = (high - low < (F.col("high") - F.col("low")) * share) & (10 * total / F.size("weights") <= F.col("mean"))
+    return weights.join(F.broadcast(whole)).where(~flat_one | (F.col("idx") == keep)).select(weights.columns)  # one row
 
 
 def weight_stats(weights: DataFrame) -> DataFrame:
     """Largest, smallest, mean and mean absolute weight; means are over features, not cells."""
-    cells = weights.select(F.explode("weights").alias("w"))
-    n = weights.agg(F.count("*").alias("n"))
-    return cells.agg(F.max("w").alias("max_w"), F.min("w").alias("min_w"), F.sum("w").alias("s"), F.sum(F.abs("w")).alias("a")).join(n).select("max_w", "min_w", (F.col("s") / F.col("n")).alias("mean_w"), (F.col("a") / F.col("n")).alias("mean_abs_w"))
+    total = F.aggregate("weights", F.lit(0.0), lambda a, x: a + x)
+    size = F.aggregate("weights", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return weights.agg(F.max(F.array_max("weights")).alias("max_w"), F.min(F.array_min("weights")).alias("min_w"), (F.sum(total) / F.count("*")).alias("mean_w"), (F.sum(size) / F.count("*")).alias("mean_abs_w"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +38,40 @@ def chunk_rows(df: DataFrame, key: str, tags: str) -> DataFrame:
     return df.select(key, F.explode(chunks(F.col(tags))).alias("c")).select(key, "c.*")
 
 
+def tag_chunks(gold: pa.Array, pred: pa.Array) -> list[np.ndarray]:
+    """For each side of a batch a number for each chunk (0 begins, 1 goes on, others end it) from its row, place and length."""
+    sides = []
+    for tags in (gold, pred):
+        sizes = pc.fill_null(tags.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        sides.append((sizes, pc.fill_null(tags.flatten().cast(pa.int64()), 1).to_numpy(zero_copy_only=False)))
+    room = np.maximum(sides[0][0], sides[1][0])
+    base, out = np.cumsum(room) - room, []
+    for sizes, flat in sides:
+        starts = np.cumsum(sizes) - sizes
+        # a break is a tag that does not go on, or a row's first one; a chunk reaches to the next break
+        breaks = flat != 1
+        breaks[starts[sizes > 0]] = True
+        at = np.flatnonzero(breaks)
+        length = np.diff(np.append(at, len(flat)))
+        row = np.repeat(np.arange(len(sizes)), sizes)[at]
+        out.append(((base[row] + at - starts[row]) << 31 | length)[flat[at] == 0])
+    return out
+
+
 def f1(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
     """One row of micro-averaged figures over the corpus; null precision or recall without chunks, F1 0 without a correct one.
 
     Chunks are counted inside each row; only the three counts are summed.
     """
-    def coded(tags: str) -> Column:  # whole numbers are compared by hashing
-        return F.transform(chunks(F.col(tags)), lambda c: c["pos"].cast("long") * (1 << 32) + c["len"])
-
-    both = df.select(coded(gold).alias("g"), coded(pred).alias("p"))
-    sizes = {"n_gold": F.size("g"), "n_pred": F.size("p"), "n_correct": F.size(F.array_intersect("g", "p"))}
-    counts = both.agg(*[F.coalesce(F.sum(F.greatest(n, F.lit(0))), F.lit(0)).cast("long").alias(name) for name, n in sizes.items()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(3, np.int64)
+        for batch in batches:
+            spans = tag_chunks(batch.column(0), batch.column(1))
+            total += len(spans[0]), len(spans[1]), len(np.intersect1d(*spans, assume_unique=True))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=["n_gold", "n_pred", "n_correct"])
+
+    parts = df.select(gold, pred).mapInArrow(run, "n_gold long, n_pred long, n_correct long")
+    counts = parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_gold", "n_pred", "n_correct")])
     precision, recall = F.col("n_correct") / F.nullif("n_pred", F.lit(0)), F.col("n_correct") / F.nullif("n_gold", F.lit(0))
     score = F.when(F.col("n_correct") == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
     return counts.select("n_gold", "n_pred", "n_correct", precision.alias("precision"), recall.alias("recall"), score.alias("f1"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Features, words and pairs up to which a table is compiled and sent to the tasks; larger ones are joined.
@@ -54,3 +55,25 @@ def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
             begin, held = i + 1, 0
     if begin < len(sizes):
         yield begin, len(sizes)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the cluster shares.
+
+    Sets a folder of its own only where none is set and the session has a single machine; on a cluster it raises.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="sinolex-checkpoint-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

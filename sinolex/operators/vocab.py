@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from sinolex.functions import predicates as P
 from sinolex.operators.chars import chars
+from sinolex.operators.tables import durable
 
 
 def long_words(df: DataFrame, key: str, words: Column) -> DataFrame:
@@ -43,6 +44,13 @@ def pairs(words: DataFrame) -> DataFrame:
     return rows.groupBy("pre", "suf").agg(F.count("*").alias("freq"))
 
 
+def pairs_in(df: DataFrame, words: Column) -> DataFrame:
+    """As ``pairs``, from arrays of words, in which neighbours lie side by side."""
+    rows = df.select(words.alias("w"))
+    both = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("pre"), b.alias("suf")))
+    return rows.select(F.explode(both).alias("x")).groupBy(F.col("x.pre").alias("pre"), F.col("x.suf").alias("suf")).agg(F.count("*").alias("freq"))
+
+
 def ending(word: Column, n: int) -> Column:
     """The slice from length - n on; a start below 0 counts from the end once more, as slices do."""
     size = F.length(word)
@@ -50,12 +58,9 @@ def ending(word: Column, n: int) -> Column:
     return F.substring(word, start + 1, size)
 
 
-def ambiguous(words: DataFrame, known: DataFrame) -> DataFrame:
-    """Neighbours of which a known word could be cut across the border: (pre, suf, freq).
-
-    The pairs are counted first, so candidates are made once for each distinct pair.
-    """
-    counted = pairs(words).where("pre != '' and suf != ''")
+def ambiguous(counts: DataFrame, known: DataFrame) -> DataFrame:
+    """Of counted neighbours those of which a known word could be cut across the border: (pre, suf, freq)."""
+    counted = counts.where("pre != '' and suf != ''")
     u = known.select("word").distinct()
     after = [F.concat(F.substring("pre", -1, 1), F.substring("suf", 1, i)) for i in (3, 2, 1)]
     before = [F.concat(ending(F.col("pre"), i), F.substring("suf", 1, 1)) for i in (3, 2, 1)]
@@ -97,13 +102,13 @@ def index_features(freqs: DataFrame, always: list[str] | None = None) -> DataFra
     Numbers come from counts of whole partitions of a range sort, so no task sees all features.
     """
     spark = freqs.sparkSession
-    rows = freqs.select("feature", "freq")
+    rows = durable(freqs.select("feature", "freq"))  # the range sort looks at it twice
     if always:
         extra = spark.createDataFrame([(f,) for f in always], "feature string").join(rows, "feature", "left_anti")
         rows = rows.union(extra.select("feature", F.lit(-1).cast("long")))
     rows = rows.where("feature != '/'").orderBy(F.desc("freq"), "feature").withColumn("part", F.spark_partition_id())
     inside = Window.partitionBy("part").orderBy(F.desc("freq"), "feature")
-    rows = rows.withColumn("n", F.row_number().over(inside)).persist()
+    rows = durable(rows.withColumn("n", F.row_number().over(inside)))
     sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", F.coalesce("before", F.lit(0)).alias("before"))
     numbered = rows.join(F.broadcast(before), "part").select("feature", (F.col("before") + F.col("n")).cast("int").alias("idx"))
@@ -149,9 +154,11 @@ def trim_parts(parts: DataFrame, longest: int = 4, chinese: int = 300, numbers:
 
 def unknown_words(words: DataFrame, dictionary: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
     """Words outside the dictionary and the known words of which no beginning or ending is a known part."""
-    counted = frequencies(without(without(words, dictionary), known))
-    cuts = F.when(F.length("word") > 1, F.sequence(F.lit(1), F.length("word") - 1)).otherwise(F.array().cast("array<int>"))
-    own = F.flatten(F.transform(cuts, lambda i: F.array(F.col("word").substr(F.lit(1), i), F.col("word").substr(i + 1, F.length("word")))))
+    counted = durable(frequencies(without(without(words, dictionary), known)))
+    longest = parts.agg(F.coalesce(F.max(F.length("part")), F.lit(0))).first()[0]
+    # only beginnings and endings as long as a part can be one
+    cuts = F.when(F.least(F.length("word") - 1, F.lit(longest)) > 0, F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest)))).otherwise(F.array().cast("array<int>"))
+    own = F.flatten(F.transform(cuts, lambda i: F.array(F.substring("word", F.lit(1), i), F.substring("word", -i, i))))
     having = counted.select("word", F.explode(own).alias("part")).join(parts.select("part"), "part", "left_semi").select("word").distinct()
     return counted.join(having, "word", "left_anti")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql.window import Window
 from sinolex.functions import charset, predicates as P
 from sinolex.engine import Engine
 from sinolex.operators import crf, dictionary, evaluate, features, rules, scoring, vocab
-from sinolex.operators.chars import char_features, chars, explode_chars, tag_to_word, word_to_tag, words_of
+from sinolex.operators.chars import char_feature_counts, chars, explode_chars, tag_to_word, word_to_tag, words_of
 from sinolex.operators.segment import Segmenter, SegmenterModel
+from sinolex.operators.tables import durable, shared_folder
 from sinolex.operators.tagging import Tagger, TaggerModel, tagset
-from sinolex.plans import fixtures, sql
-from sinolex.sources import lines
+from sinolex.plans import fixtures, sql, train
+from sinolex.sources import lines, models
 from sinolex.streaming import text as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,10 +72,15 @@ def word_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("word", P.is_number(w).alias("is_number"), P.is_pure_number(w).alias("is_pure"), P.has_time(w).alias("is_time"), P.has_chinese(w).alias("is_chinese"), P.is_name(w).alias("is_name"))
 
 
-@query(f"SELECT word, regexp_matches(word, '{sql.NUMBER}') AS is_number, regexp_matches(word, '{sql.TIME}') AS is_time, word LIKE '%百分之%' AS is_percent, {sql.CHINESE.of('word')} AS is_chinese, {sql.NAME.of('word')} AS is_name, {sql.PREPROCESS.of('word')} AS clean FROM (VALUES {fixtures.values(fixtures.ZH_WORDS)}) t(word)")
+#: Words of the orders: surnames, numbers, units and other signs put together by key; both engines read this expression.
+ZH_WORD = "CASE o_orderkey % 5 WHEN 0 THEN substr('王李欧阳诸葛赵上', CAST(o_custkey % 8 AS INT) + 1, CAST(o_orderkey % 2 AS INT) + 1) || substr('小明修孔华军红', CAST(o_orderkey % 7 AS INT) + 1, CAST(o_custkey % 3 AS INT)) WHEN 1 THEN CAST(o_custkey AS STRING) || substr('万%月时元亿', CAST(o_orderkey % 6 AS INT) + 1, 1) || substr('份前间', CAST(o_custkey % 4 AS INT) + 1, 1) WHEN 2 THEN substr('一二三百五千几十', CAST(o_custkey % 8 AS INT) + 1, CAST(o_orderkey % 4 AS INT) + 1) WHEN 3 THEN '百分之' || substr('二五十', CAST(o_custkey % 3 AS INT) + 1, 1) ELSE substr('Ａｂ１⑪ⓐé🙂中国。…　', CAST(o_custkey % 12 AS INT) + 1, CAST(o_orderkey % 3 AS INT) + 1) END"
+
+
+@query(f"WITH w AS (SELECT DISTINCT {ZH_WORD} AS word FROM orders) SELECT word, regexp_matches(word, '{sql.NUMBER}') AS is_number, regexp_matches(word, '{sql.TIME}') AS is_time, word LIKE '%百分之%' AS is_percent, {sql.CHINESE.of('word')} AS is_chinese, {sql.NAME.of('word')} AS is_name, {sql.PREPROCESS.of('word')} AS clean FROM w")
 def word_predicates_zh(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.col("word")
-    return fixtures.words(spark).select("word", P.is_number(w).alias("is_number"), P.has_time(w).alias("is_time"), P.has_percent(w).alias("is_percent"), P.has_chinese(w).alias("is_chinese"), P.is_name(w).alias("is_name"), charset.preprocess(w).alias("clean"))
+    words = load(spark, sf_dir, "orders").select(F.expr(ZH_WORD).alias("word")).distinct()
+    return words.select("word", P.is_number(w).alias("is_number"), P.has_time(w).alias("is_time"), P.has_percent(w).alias("is_percent"), P.has_chinese(w).alias("is_chinese"), P.is_name(w).alias("is_name"), charset.preprocess(w).alias("clean"))
 
 
 # Corpus statistics
@@ -109,7 +116,7 @@ PAIRS_SQL = "pairs AS (SELECT pre, suf, count(*) AS freq FROM (SELECT word AS pr
 
 @query(f"WITH {WORDS_SQL}, {PAIRS_SQL} SELECT pre, suf, freq FROM pairs")
 def adjacent_bigram_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.pairs(doc_words(spark, sf_dir))
+    return vocab.pairs_in(load(spark, sf_dir), words_of(charset.preprocess(F.col("text"))))
 
 
 def _end(i: int) -> str:
@@ -127,7 +134,7 @@ AMBIGUOUS_SQL = (
 def _ambiguous(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     words = doc_words(spark, sf_dir)
     known = vocab.unigrams(vocab.frequencies(words), P.keep_unigram(F.col("word"), F.col("freq"), 2, 4, 5, chinese=False)).select("word")
-    return vocab.ambiguous(words, known), known
+    return vocab.ambiguous(adjacent_bigram_freq(spark, sf_dir), known), known
 
 
 @query(f"WITH {AMBIGUOUS_SQL} SELECT pre, suf, freq FROM amb")
@@ -180,7 +187,15 @@ def parts_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.trim_parts(vocab.part_frequencies(words, known), numbers=40, others=100)
 
 
-@query(f"WITH {PARTS_SQL}, often AS (SELECT part FROM parts WHERE length(part) <= 4 AND freq >= 100), pieces AS (SELECT word, substr(word, 1, i) AS part FROM cuts WHERE i <= 4 UNION ALL SELECT word, substr(word, i + 1) FROM cuts WHERE length(word) - i <= 4), having_part AS (SELECT DISTINCT word FROM pieces SEMI JOIN often USING (part)) SELECT word, freq FROM openf ANTI JOIN having_part USING (word)")
+UNKNOWN_SQL = (
+    f"{WORDS_SQL}, freqs AS MATERIALIZED (SELECT word, count(*) AS freq FROM words GROUP BY word), tagged AS (SELECT word FROM freqs WHERE {sql.tag_unigram('word', 'freq', 8, 5)}), "
+    f"dict AS MATERIALIZED (SELECT DISTINCT unnest({sql.WORDS.of(sql.PREPROCESS.of('text'))}) AS word FROM benchmark), knownp AS MATERIALIZED (SELECT word FROM tagged UNION SELECT word FROM dict), "
+    "openf AS MATERIALIZED (SELECT word, freq FROM freqs ANTI JOIN knownp USING (word)), ends AS MATERIALIZED (SELECT word, freq, unnest([substr(word, 1, i), substr(word, length(word) - i + 1)]) AS part FROM openf, (VALUES (1), (2), (3), (4)) l(i) WHERE i < length(word)), "
+    "often AS MATERIALIZED (SELECT part FROM ends GROUP BY part HAVING sum(freq) >= 100), having_part AS MATERIALIZED (SELECT DISTINCT word FROM ends SEMI JOIN often USING (part))"
+)
+
+
+@query(f"WITH {UNKNOWN_SQL} SELECT word, freq FROM openf ANTI JOIN having_part USING (word)")
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, dic, known = _known(spark, sf_dir)
     parts = vocab.trim_parts(vocab.part_frequencies(words, known), chinese=100, numbers=100, others=100)
@@ -244,8 +259,7 @@ TRIM_SQL = "CASE WHEN substr(feature, 1, 2) IN ('zc', 'cf') THEN freq > 8 WHEN s
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").select(F.explode(F.flatten(char_features(F.col("text")))).alias("feature"))
-    return rows.groupBy("feature").agg(F.count("*").alias("freq"))
+    return char_feature_counts(load(spark, sf_dir, "conversations"), "text")
 
 
 @query(f"WITH {FEATURES_SQL} SELECT feature, freq FROM ff")
@@ -289,20 +303,25 @@ SCORE_SQL = f"{CHARS_SQL}, near AS (SELECT conv_id, turn, i, {_CODE.format('c')}
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = features.segment_features(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
-    return scoring.node_scores(nodes, ["conv_id", "turn", "pos"], F.broadcast(_letter_weights(spark)), 2)
+    """(conv_id, turn, scores of all characters)."""
+    model = SegmenterModel(_letter_weights(spark), params={"norm_text": False})
+    return Segmenter(model).scored(load(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text").where("size(scores) > 0")
 
 
 @query(f"WITH {SCORE_SQL} SELECT conv_id, turn, sum(CASE WHEN s1 > s0 THEN 1 ELSE 0 END)::BIGINT AS n_inside, sum(s0)::DOUBLE AS s0, sum(s1)::DOUBLE AS s1 FROM scored GROUP BY 1, 2")
 def sum_score_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scores(spark, sf_dir).select("conv_id", "turn", scoring.best(F.col("scores")).alias("tag"), F.col("scores")[0].alias("s0"), F.col("scores")[1].alias("s1"))
-    return rows.groupBy("conv_id", "turn").agg(F.sum("tag").alias("n_inside"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    def total(name: str) -> Column:
+        return F.aggregate("scores", F.lit(0.0), lambda a, x: a + x[name])
+
+    n_inside = F.aggregate("scores", F.lit(0).cast("long"), lambda a, x: a + scoring.best(F.array(x["b"], x["i"])))
+    return _scores(spark, sf_dir).select("conv_id", "turn", n_inside.alias("n_inside"), total("b").alias("s0"), total("i").alias("s1"))
 
 
 @query(f"WITH {SCORE_SQL} SELECT sum(CASE WHEN s1 + CASE WHEN pos % 2 = 0 THEN 0.5 ELSE 0 END > s0 THEN 1 ELSE 0 END)::BIGINT AS n_inside, count(*) AS n FROM scored")
 def soft_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boosted = scoring.add_scores(F.col("scores"), F.array(F.lit(0.0), F.when(F.col("pos") % 2 == 0, 0.5)))
-    return _scores(spark, sf_dir).agg(F.sum(scoring.best(boosted)).alias("n_inside"), F.count("*").alias("n"))
+    boosted = F.transform("scores", lambda x, i: scoring.best(scoring.add_scores(F.array(x["b"], x["i"]), F.array(F.lit(0.0), F.when(i % 2 == 0, 0.5)))))
+    rows = _scores(spark, sf_dir).select(F.aggregate(boosted, F.lit(0).cast("long"), lambda a, k: a + k).alias("k"), F.size("scores").alias("n"))
+    return rows.agg(F.sum("k").alias("n_inside"), F.sum("n").alias("n"))
 
 
 TAGS_SQL = f"gold AS (SELECT doc_id, unnest(string_split(g, ''))::INTEGER AS gold, generate_subscripts(string_split(g, ''), 1) - 1 AS pos FROM (SELECT doc_id, array_to_string(list_transform({sql.WORDS.of('text')}, lambda w: '0' || repeat('1', length(w) - 1)), '') AS g FROM documents) WHERE length(g) > 0), tags AS (SELECT doc_id, pos, gold, CASE WHEN pos % 5 = 0 OR pos % 7 = 3 THEN 0 ELSE gold END AS pred FROM gold)"
@@ -335,14 +354,29 @@ def line_source_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"), F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query(
+    "WITH given AS (SELECT props AS value FROM events UNION ALL SELECT replace(text, chr(10), '') FROM conversations), trimmed AS (SELECT regexp_replace(value, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS value FROM given), "
+    "known AS (SELECT value, json_valid(value) AS is_json FROM trimmed WHERE value != '') SELECT is_json, CASE WHEN is_json THEN CAST(json_extract_string(value, '$.k') AS INTEGER) END AS k, CASE WHEN NOT is_json THEN value END AS text, count(*) AS n FROM known GROUP BY 1, 2, 3"
+)
+def line_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested values and texts written as lines and read back: JSON as variants, all else as text."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    nested = load(spark, sf_dir, "events").select(F.from_json("props", "map<string,int>").alias("v"))
+    lines.to_lines(nested, "v").union(lines.to_lines(load(spark, sf_dir, "conversations"), "text")).write.text(folder)
+    rows = lines.read_values(spark, folder)
+    return rows.groupBy(F.col("data").isNotNull().alias("is_json"), F.try_variant_get("data", "$.k", "int").alias("k"), "text").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, copy FROM documents, (SELECT unnest(generate_series(1, 3))::INTEGER AS copy)")
 def sample_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.repeat(load(spark, sf_dir).select("doc_id"), 3)
 
 
-@query(f"SELECT * FROM (VALUES {fixtures.tagset_values()}) t(grp, tag, name)")
+@query(f"WITH {WORDS_SQL}, {DICT_SQL} SELECT t.grp, t.tag, t.name, count(w.word) AS n FROM (VALUES {fixtures.tagset_values()}) t(grp, tag, name) LEFT JOIN (SELECT word, coalesce(h.tag, d.tag) AS tag FROM words LEFT JOIN dict d USING (word) LEFT JOIN hard h USING (word)) w ON w.tag = t.tag GROUP BY 1, 2, 3")
 def pos_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tagset(spark)
+    """The tags with their names and how many tokens the dictionaries give each."""
+    found = dictionary.look_up(doc_words(spark, sf_dir), _dictionary(spark, sf_dir), _hard(spark, sf_dir)).groupBy(F.col("dict_tag").alias("tag")).agg(F.count("*").alias("n"))
+    return tagset(spark).join(found, "tag", "left").select("grp", "tag", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 # Rules
@@ -364,11 +398,11 @@ def _hits(df: DataFrame, key: str, text: str, hits: Column) -> DataFrame:
     return df.select(key, F.explode(hits).alias("h")).select(key, "h.s", "h.b", "h.e", "h.t")
 
 
-def _rule(name: str, table: str = "documents", key: str = "doc_id", text: str = "text", oracle: str | None = None):
+def _rule(name: str, table: str = "documents", key: str = "doc_id", text: str = "text", oracle: str | None = None, query_name: str | None = None):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _hits(load(spark, sf_dir, table), key, text, rules.extract_phone(F.col(text)) if name == "tel" else rules.extract(F.col(text), name))
 
-    run.__name__ = f"rule_{name}"
+    run.__name__ = query_name or f"rule_{name}"
     return query(oracle)(run)
 
 
@@ -378,13 +412,61 @@ _CELL = r"(?:(?:\+\+86)?(?:--|  )?)?1[3-9][0-9](?:--|  )?\p{Nd}{4}(?:--|  )?\p{N
 _LANDLINE = r"(?:(?:\(\(|（（)?0\p{Nd}{2,3}(?:\)\)|））|  |——|--){1,2}\p{Nd}{7,8}|\p{Nd}{3,4}(?:  |--)\p{Nd}{3,4}(?:  |--)\p{Nd}{4})"
 rule_email = _rule("email", oracle=sql.hits("email", r"[^0-9a-zA-Z.\-]", r"(?:[a-zA-Z0-9.-]|__)+@@(?:[a-zA-Z0-9.-]|__)+(?:\.(?:[a-zA-Z0-9.-]|__)+)*\.[a-zA-Z0-9]{2,6}"))
 rule_ip = _rule("ip", oracle=sql.hits("ip", "[^0-9]", r"\.\.".join([_OCTET] * 4)))
-rule_id = _rule("id", oracle=sql.hits("id", "[^0-9a-zA-Z]", _ID))
-rule_tel = _rule("tel", oracle=f"{sql.hits('tel', r'[^\p{Nd}]', _CELL)} UNION ALL {sql.hits('tel', r'[^\p{Nd}]', _LANDLINE)}")
-rule_url = _rule("url", "pages", "page_id", "html")
+#: Numbers and dates of the orders in the shapes of the rules; both engines read these expressions. Every third identity card
+#: follows a letter and every fourth telephone number a digit: those are none.
+_DATE = "CAST(year(o_orderdate) AS STRING) || lpad(CAST(month(o_orderdate) AS STRING), 2, '0') || lpad(CAST(day(o_orderdate) AS STRING), 2, '0')"
+ENTITIES = {
+    "id": f"'110105' || {_DATE} || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0') || CAST(o_custkey % 10 AS STRING)",
+    "tel": "'13' || lpad(CAST(o_orderkey * 7919 % 1000000000 AS STRING), 9, '0')",
+    "url": "'http://www.shop' || CAST(o_custkey AS STRING) || '.com/o?k=' || CAST(o_orderkey AS STRING)",
+    "ip": "'10.' || CAST(o_custkey % 256 AS STRING) || '.' || CAST(o_orderkey % 256 AS STRING) || '.7'",
+    "email": "'c' || CAST(o_custkey AS STRING) || '@mail.example.org'",
+}
+BEFORE = {"id": "CASE WHEN o_orderkey % 3 = 0 THEN '订单x' ELSE '订单' END", "tel": "CASE WHEN o_orderkey % 4 = 0 THEN '，电话9' ELSE '，电话' END", "url": "'，见 '", "ip": "' 从'", "email": "'发给'"}
+IS_HIT = {"id": "o_orderkey % 3 != 0", "tel": "o_orderkey % 4 != 0", "url": "true", "ip": "true", "email": "true"}
+ORDER_TEXT = " || ".join(f"{BEFORE[k]} || {e}" for k, e in ENTITIES.items()) + " || '。'"
+#: The same text with marks around what the rules must find.
+MARKED_TEXT = " || ".join(f"{BEFORE[k]} || CASE WHEN {IS_HIT[k]} THEN '⟦{k}:' || {e} || '⟧' ELSE {e} END" for k, e in ENTITIES.items()) + " || '。'"
+
+
+def _order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(ORDER_TEXT).alias("text"))
+
+
+def _order_hits(kind: str) -> str:
+    """SQL for the hits of a rule, from how the texts are made."""
+    before = [x for k in ENTITIES for x in (BEFORE[k], ENTITIES[k])]
+    ahead = " || ".join(before[: 2 * list(ENTITIES).index(kind) + 1])
+    return f"SELECT o_orderkey AS doc_id, {ENTITIES[kind]} AS s, length({ahead})::INTEGER AS b, length({ahead} || {ENTITIES[kind]})::INTEGER AS e, '{kind}' AS t FROM orders WHERE {IS_HIT[kind]}"
+
+
+def _rule_over_both(name: str, oracle: str):
+    """The hits in documents and, as those hold none, in the orders' texts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        texts = load(spark, sf_dir).select("doc_id", "text").union(_order_texts(spark, sf_dir))
+        return _hits(texts, "doc_id", "text", rules.extract_phone(F.col("text")) if name == "tel" else rules.extract(F.col("text"), name))
+
+    run.__name__ = f"rule_{name}"
+    return query(f"{oracle} UNION ALL {_order_hits(name)}")(run)
+
+
+_ID_HITS = sql.hits("id", "[^0-9a-zA-Z]", _ID)
+_TEL_HITS = f"{sql.hits('tel', r'[^\p{Nd}]', _CELL)} UNION ALL {sql.hits('tel', r'[^\p{Nd}]', _LANDLINE)}"
+rule_id = _rule_over_both("id", _ID_HITS)
+rule_tel = _rule_over_both("tel", _TEL_HITS)
+
+
+@query(_order_hits("url"))
+def rule_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(_order_texts(spark, sf_dir), "doc_id", "text", rules.extract(F.col("text"), "url"))
+
+
+rule_url_pages = _rule("url", "pages", "page_id", "html", query_name="rule_url_pages")
 
 
 #: Hits of all rules but url, which the documents don't hold; of overlapping ones the first.
-_ALL_HITS = " UNION ALL ".join(f"({ORACLES[f'rule_{r}']})" for r in ("email", "id", "ip", "tel"))
+_ALL_HITS = " UNION ALL ".join(f"({r})" for r in (ORACLES["rule_email"], _ID_HITS, ORACLES["rule_ip"], _TEL_HITS))
 
 
 @query(f"SELECT doc_id, s, b, e, t FROM (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_ALL_HITS})) WHERE before IS NULL OR b >= before")
@@ -392,11 +474,12 @@ def rule_all_nonoverlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(load(spark, sf_dir), "doc_id", "text", rules.resolve(rules.extract_info(F.col("text"))))
 
 
-@query("SELECT doc_id, text AS whole FROM documents")
+@query(f"SELECT d.doc_id, d.text AS whole, coalesce(h.n, 0)::BIGINT AS n_hits FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({ORACLES['rule_all_nonoverlap']}) GROUP BY doc_id) h ON h.doc_id = d.doc_id")
 def rule_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces between and inside hits, joined again: nothing is lost."""
-    hits = rules.resolve(rules.extract_info(F.col("text")))
-    return load(spark, sf_dir).select("doc_id", F.array_join(F.transform(rules.cut_by_rules(F.col("text"), hits), lambda p: p["s"]), "").alias("whole"))
+    """The pieces between and inside hits joined again, as nothing is lost, and how many are hits."""
+    pieces = rules.cut_by_rules(F.col("text"), rules.resolve(rules.extract_info(F.col("text"))))
+    rows = load(spark, sf_dir).select("doc_id", pieces.alias("p"))
+    return rows.select("doc_id", F.array_join(F.transform("p", lambda p: p["s"]), "").alias("whole"), F.size(F.filter("p", lambda p: p["t"].isNotNull())).cast("long").alias("n_hits"))
 
 
 # Segmentation, tagging, models
@@ -474,68 +557,88 @@ def cut_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _written(Engine(Segmenter(_space_model(spark)), _tagger(spark, sf_dir)).cut(rows, "id", "text"))
 
 
-RULE_TEXTS = ["a@b.com 110101199003077571", "￥13912345678，8.8.8.8", "tel 010-12345678 or 139-1234-5678", "none here", "", "x.y@site.org", "id11010119900307757X。", "go 10.0.0.1 https://a.example/x?y=1 now"]
-RULE_PIECES = [
-    ("a@b.com", "email"), (" ", None), ("110101199003077571", "id"), None, ("￥", None), ("13912345678", "tel"), ("，", None), ("8.8.8.8", "ip"), None, ("tel ", None), ("010-12345678", "tel"), (" or", None), (" 139-1234-5678", "tel"), None,
-    ("none here", None), None, None, ("x.y@site.org", "email"), None, ("id11010119900307757X。", None), None, ("go ", None), ("10.0.0.1", "ip"), (" ", None), ("https://a.example/x?y=1", "url"), (" now", None), None,
-]
-
-
-def _pieces_values() -> str:
-    rows, doc, k = [], 0, 0
-    for piece in RULE_PIECES:
-        if piece is None:
-            doc, k = doc + 1, 0
-        else:
-            rows.append(f"({doc}, {k}, {sql.quote(piece[0])}, {sql.quote(piece[1]) if piece[1] else 'NULL'})")
-            k += 1
-    return ", ".join(rows)
-
-
-@query(f"SELECT id, seg, piece, type FROM (VALUES {_pieces_values()}) t(id, seg, piece, type)")
+@query(f"SELECT o_orderkey AS doc_id, {MARKED_TEXT} AS marked FROM orders")
 def rule_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of fixture texts of all kinds of rules, as stated by hand."""
-    texts = spark.createDataFrame(list(enumerate(RULE_TEXTS)), "id int, text string")
-    return streams.pieces(texts.withColumn("seg", F.lit(0))).select("id", (F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1).alias("seg"), "piece", "type")
-
-
-RULE_WORDS = ["a@b.com| |110101199003077571", "￥|13912345678|，|8.8.8.8", "tel| |010-12345678| |or| 139-1234-5678", "none| |here", "", "x.y@site.org", "id11010119900307757X。", "go| |10.0.0.1| |https://a.example/x?y=1| |now"]
+    """The orders' texts put together again from their pieces, with marks around hits."""
+    pieces = streams.pieces(_order_texts(spark, sf_dir))
+    one = F.when(F.col("type").isNull(), F.col("piece")).otherwise(F.concat(F.lit("⟦"), "type", F.lit(":"), "piece", F.lit("⟧")))
+    return pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", one.alias("x")))).alias("x")).select("doc_id", F.array_join("x.x", "").alias("marked"))
+
+
+#: Pieces of the orders' texts: gaps and hits in turns.
+_CUT_TEXT = " || ".join(f"{BEFORE[k]} || CASE WHEN {IS_HIT[k]} THEN chr(1) || {e} || chr(1) ELSE {e} END" for k, e in ENTITIES.items()) + " || '。'"
+ORDER_TOKENS = (
+    f"cut AS (SELECT o_orderkey AS id, string_split({_CUT_TEXT}, chr(1)) AS p FROM orders), parts AS (SELECT id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM cut), "
+    "kinds AS (SELECT *, CASE WHEN k % 2 = 1 THEN NULL WHEN piece LIKE '%@%' THEN 'email' WHEN piece LIKE 'http%' THEN 'url' WHEN piece LIKE '10.%' THEN 'ip' WHEN length(piece) = 18 THEN 'id' ELSE 'tel' END AS type FROM parts), "
+    "pieces AS (SELECT id, k, type, w, unnest(w) AS raw, generate_subscripts(w, 1) AS j FROM (SELECT *, regexp_extract_all(piece, '[ \\n]|[^ \\n]+') AS w FROM kinds)), toks AS (SELECT id, type, raw, row_number() OVER (PARTITION BY id ORDER BY k, j) AS pos FROM pieces)"
+)
 
 
-@query("SELECT conv_id * 1000 + turn AS id, array_to_string(regexp_extract_all(text, '[ \\n]|[^ \\n]+'), '|') AS words FROM conversations UNION ALL SELECT id, words FROM (VALUES " + ", ".join(f"({-1 - i}, {sql.quote(w)})" for i, w in enumerate(RULE_WORDS)) + ") t(id, words)")
+@query(f"WITH {ORDER_TOKENS} SELECT conv_id * 1000 + turn AS id, array_to_string(regexp_extract_all(text, '[ \\n]|[^ \\n]+'), '|') AS words FROM conversations UNION ALL SELECT -1 - id, string_agg(raw, '|' ORDER BY pos) FROM toks GROUP BY id")
 def segment_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With rules, over conversations and fixture texts: what a rule finds is one word."""
+    """With rules, over conversations and the orders' texts: what a rule finds is one word."""
     rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    rows = rows.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(RULE_TEXTS)], "id long, text string"))
+    rows = rows.union(_order_texts(spark, sf_dir).select(-1 - F.col("doc_id"), "text"))
     return Segmenter(_space_model(spark), use_rules=True).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
 
 
+@query(f"WITH {ORDER_TOKENS}, {TAGS_OF_WORDS_SQL.replace('t AS (SELECT id, pos, raw,', 't AS (SELECT id, pos, type, raw,').replace('s.raw, coalesce(', 's.raw, coalesce(s.type, ')} SELECT id, string_agg(raw || '/' || tag, ' ' ORDER BY pos) AS tagged FROM tagged GROUP BY id")
+def cut_pos_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From texts to tagged words with rules on: what a rule finds has its name as tag, before dictionaries and model."""
+    engine = Engine(Segmenter(_space_model(spark), use_rules=True), _tagger(spark, sf_dir))
+    return _written(engine.cut(_order_texts(spark, sf_dir).withColumnRenamed("doc_id", "id"), "id", "text"))
+
+
 def _crf_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, crf.Weights]:
-    """Benchmark items as samples: the feature of a character is its class."""
+    """Conversations as samples: the feature of a character is its class."""
     kinds = F.transform(chars(F.col("text")), lambda c: F.array(F.when(c.rlike(r"\s"), 0).when(c.rlike("[aeiouAEIOU]"), 1).when(c.rlike("[a-zA-Z]"), 2).otherwise(3)))
     w = crf.Weights.zeros(4, 2)
     w.node[:] = [[2, -2], [-0.5, 0.5], [0.25, -0.25], [0.5, 0.5]]
     w.edge[:] = [[-1, 1], [0.5, 0]]
     w.ratio = 0.5
-    return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sent_id"), kinds.alias("features")), w
+    return load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), kinds.alias("features")), w
+
+
+def _crf_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, crf.Weights]:
+    """The samples with every third character as a beginning, and the weights as a table."""
+    samples, w = _crf_samples(spark, sf_dir)
+    table = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(w.node)], "idx int, weights array<double>")
+    return samples.withColumn("tags", F.transform("features", lambda _, i: (i % 3 != 0).cast("int"))), table, w
 
 
 CRF_SQL = (
-    "kinds AS (SELECT item_id AS sent_id, i, length(text) AS n, CASE WHEN regexp_matches(c, '[ \\t\\n\\f\\r\\v]') THEN 0 WHEN regexp_matches(c, '[aeiouAEIOU]') THEN 1 WHEN regexp_matches(c, '[a-zA-Z]') THEN 2 ELSE 3 END AS kind FROM (SELECT item_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM benchmark WHERE length(text) > 0)), "
-    "cs AS (SELECT sent_id, i, n, kind, CASE kind WHEN 0 THEN 2 WHEN 1 THEN -0.5 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS y0, CASE kind WHEN 0 THEN -2 WHEN 1 THEN 0.5 WHEN 2 THEN -0.25 ELSE 0.5 END::DOUBLE AS y1 FROM kinds)"
+    "kinds AS MATERIALIZED (SELECT sent_id, i, length(text) AS n, CASE WHEN regexp_matches(c, '[ \\t\\n\\f\\r\\v]') THEN 0 WHEN regexp_matches(c, '[aeiouAEIOU]') THEN 1 WHEN regexp_matches(c, '[a-zA-Z]') THEN 2 ELSE 3 END AS kind FROM (SELECT conv_id * 1000 + turn AS sent_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM conversations WHERE length(text) > 0)), "
+    "cs AS MATERIALIZED (SELECT sent_id, i, n, kind, CASE kind WHEN 0 THEN 2 WHEN 1 THEN -0.5 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS y0, CASE kind WHEN 0 THEN -2 WHEN 1 THEN 0.5 WHEN 2 THEN -0.25 ELSE 0.5 END::DOUBLE AS y1 FROM kinds)"
 )
 
 
-@query(
-    f"WITH RECURSIVE {CRF_SQL}, back AS (SELECT sent_id, i, y0 AS b0, y1 AS b1, 0 AS a0, 0 AS a1 FROM cs WHERE i = n UNION ALL SELECT c.sent_id, c.i, c.y0 + greatest(b0 - 0.5, b1 + 0.5), c.y1 + greatest(b0 + 0.25, b1), CASE WHEN b0 - 0.5 >= b1 + 0.5 THEN 0 ELSE 1 END, CASE WHEN b0 + 0.25 >= b1 THEN 0 ELSE 1 END FROM back r JOIN cs c ON c.sent_id = r.sent_id AND c.i = r.i - 1), "
-    "path AS (SELECT sent_id, i, CASE WHEN b0 >= b1 THEN 0 ELSE 1 END AS s FROM back WHERE i = 1 UNION ALL SELECT p.sent_id, p.i + 1, CASE p.s WHEN 0 THEN r.a0 ELSE r.a1 END FROM path p JOIN back r ON r.sent_id = p.sent_id AND r.i = p.i JOIN cs c ON c.sent_id = p.sent_id AND c.i = p.i + 1) "
-    "SELECT b.item_id AS sent_id, coalesce(string_agg(s, '' ORDER BY i), '') AS tags FROM benchmark b LEFT JOIN path ON path.sent_id = b.item_id GROUP BY b.item_id"
-)
+def _best_path(ratio: float, back: str, path: str) -> str:
+    """CTEs: the best scores from the right under a ratio, and the path (sent_id, i, s)."""
+    e00, e01, e10 = -ratio, ratio, ratio / 2
+    return (
+        f"{back} AS (SELECT sent_id, i, y0 AS b0, y1 AS b1, 0 AS a0, 0 AS a1 FROM cs WHERE i = n UNION ALL SELECT c.sent_id, c.i, c.y0 + greatest(b0 + {e00}, b1 + {e01}), c.y1 + greatest(b0 + {e10}, b1), CASE WHEN b0 + {e00} >= b1 + {e01} THEN 0 ELSE 1 END, CASE WHEN b0 + {e10} >= b1 THEN 0 ELSE 1 END FROM {back} r JOIN cs c ON c.sent_id = r.sent_id AND c.i = r.i - 1), "
+        f"{path} AS (SELECT sent_id, i, CASE WHEN b0 >= b1 THEN 0 ELSE 1 END AS s, CASE WHEN b0 >= b1 THEN a0 ELSE a1 END AS next FROM {back} WHERE i = 1 UNION ALL SELECT p.sent_id, p.i + 1, p.next, CASE p.next WHEN 0 THEN r.a0 ELSE r.a1 END FROM {path} p JOIN {back} r ON r.sent_id = p.sent_id AND r.i = p.i + 1)"
+    )
+
+
+@query(f"WITH RECURSIVE {CRF_SQL}, {_best_path(0.5, 'back', 'path')} SELECT c.conv_id * 1000 + c.turn AS sent_id, coalesce(string_agg(s, '' ORDER BY i), '') AS tags FROM conversations c LEFT JOIN path ON path.sent_id = c.conv_id * 1000 + c.turn GROUP BY 1")
 def viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, w = _crf_samples(spark, sf_dir)
     return crf.decode(samples, w).select("sent_id", F.array_join(F.col("tags").cast("array<string>"), "").alias("tags"))
 
 
+@query(
+    f"WITH RECURSIVE {CRF_SQL}, {_best_path(0.5, 'b1', 'p1')}, {_best_path(0.5 * 0.99, 'b2', 'p2')}, n AS (SELECT count(*)::BIGINT AS nodes, sum(CASE WHEN p1.s = CASE WHEN p1.i % 3 = 1 THEN 0 ELSE 1 END THEN 1 ELSE 0 END)::BIGINT AS now, sum(CASE WHEN p2.s = CASE WHEN p2.i % 3 = 1 THEN 0 ELSE 1 END THEN 1 ELSE 0 END)::BIGINT AS less FROM p1 JOIN p2 USING (sent_id, i)) "
+    "SELECT nodes, now AS n_right, less AS n_right_less, round(CASE WHEN abs(now - less) < ceil(nodes * 0.00002) THEN 0.5 ELSE greatest(0.5 + (now - less) / nodes / 0.005, 0) END, 9) AS ratio FROM n"
+)
+def bi_ratio_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags that are right under the ratio and under a smaller one, and the ratio after a step of rate 1."""
+    samples, table, w = _crf_table(spark, sf_dir)
+    figures = crf.gradient(*crf.blocks(samples), table, w)[1]
+    ratio = crf.step_edges(w, figures, 1.0, False).ratio
+    return spark.createDataFrame([(figures["nodes"], figures["now"], figures["less"], round(float(ratio), 9))], "nodes long, n_right long, n_right_less long, ratio double")
+
+
 def _log_sum(a: str, b: str) -> str:
     return f"(greatest({a}, {b}) + ln(1 + exp(-abs(({a}) - ({b})))))"
 
@@ -547,26 +650,135 @@ PROBS_SQL = (
 )
 
 
-@query(f"{PROBS_SQL} SELECT sent_id, pos::INTEGER AS pos, tag, round(prob, 6) AS prob FROM probs")
+@query(f"{PROBS_SQL} SELECT sent_id, pos::INTEGER AS pos, tag, round(prob, 5) AS prob FROM probs")
 def crf_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, w = _crf_samples(spark, sf_dir)
-    return crf.node_marginals(samples, w).withColumn("prob", F.round("prob", 6))
+    return crf.node_marginals(samples, w).withColumn("prob", F.round("prob", 5))
 
 
 @query(f"{PROBS_SQL} SELECT kind AS feature, tag, round((sum(prob) - sum(CASE WHEN CASE WHEN pos % 3 = 0 THEN 0 ELSE 1 END = tag THEN 1 ELSE 0 END)) / count(DISTINCT sent_id), 6) AS gradient FROM probs JOIN cs USING (sent_id) WHERE cs.i = pos + 1 GROUP BY 1, 2")
 def crf_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gradient of the log loss by feature and tag, where every third character begins a word."""
-    samples, w = _crf_samples(spark, sf_dir)
-    node = crf.gradient(samples.withColumn("tags", F.transform("features", lambda _, i: (i % 3 != 0).cast("int"))), w)[0]
-    return spark.createDataFrame([(int(f), k, round(float(g), 6)) for f, row in node.items() for k, g in enumerate(row)], "feature int, tag int, gradient double")
+    """Gradient of the log loss by feature and tag, where every third character begins a word; weights and sums stay in Spark."""
+    samples, table, w = _crf_table(spark, sf_dir)
+    rows = crf.gradient(*crf.blocks(samples), table, w)[0]
+    return rows.select(F.col("idx").cast("int").alias("feature"), F.posexplode(F.transform("g", lambda g: g / F.col("n"))).alias("tag", "g")).select("feature", "tag", F.round("g", 6).alias("gradient"))
+
+
+GOLD_SQL = (
+    f"given AS (SELECT conv_id, turn, array_to_string(w, '') AS text, array_to_string(list_transform(w, lambda x: '0' || repeat('1', length(x) - 1)), '') AS gold FROM (SELECT conv_id, turn, {sql.WORDS.of(sql.PREPROCESS.of('text'))} AS w FROM conversations) WHERE len(w) > 0), "
+    "cs AS MATERIALIZED (SELECT conv_id, turn, text, length(text) AS n, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i, unnest(string_split(gold, ''))::INTEGER AS gold FROM given)"
+)
+
+
+@query(
+    f"WITH {GOLD_SQL}, feats AS ({_SINGLE}), known AS MATERIALIZED (SELECT feature FROM feats GROUP BY feature HAVING count(*) >= 3), rows AS (SELECT f.conv_id, f.turn, f.i, f.feature FROM feats f SEMI JOIN known USING (feature) UNION ALL SELECT DISTINCT conv_id, turn, i, '/' FROM feats f ANTI JOIN known USING (feature)), "
+    "sums AS (SELECT r.feature, sum(0.5 - CASE WHEN gold = 0 THEN 1 ELSE 0 END) AS g0, sum(0.5 - gold) AS g1, count(DISTINCT r.conv_id * 1000 + r.turn) AS n FROM rows r JOIN cs ON cs.conv_id = r.conv_id AND cs.turn = r.turn AND cs.i = r.i GROUP BY 1) "
+    "SELECT feature, round(-greatest(least(g0 / n, 1), -1), 9)::DOUBLE + 0.0 AS w0, round(-greatest(least(g1 / n, 1), -1), 9)::DOUBLE + 0.0 AS w1 FROM sums"
+)
+def train_segmenter_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The weights after the first epoch over all conversations, whose words are the gold ones; features come three times or more."""
+    words = words_of(charset.preprocess(F.col("text")))
+    corpus = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sent_id"), words.alias("words")).where("size(words) > 0")
+    nodes = features.segment_features(corpus.select("sent_id", F.array_join("words", "").alias("text")), ["sent_id"], "text")
+    counts = nodes.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("freq")).where("freq >= 3")
+    index = vocab.index_features(counts)
+    samples = lines.feature_numbers(nodes, index, ["sent_id"], corpus.select("sent_id", word_to_tag(F.col("words")).alias("tags")))
+    trained = crf.train(samples, crf.start_weights(index, 2), 2, epochs=1, rate=1.0)
+    rows = train.weight_table(index, trained.weights)
+    return rows.select("feature", (F.round(F.col("weights")[0], 9) + 0.0).alias("w0"), (F.round(F.col("weights")[1], 9) + 0.0).alias("w1"))
+
+
+#: Weights by the count of a feature of the conversations: both engines read these expressions.
+FREQ_WEIGHTS = "CAST((freq % 17 - 8) / 8.0 AS DOUBLE)", "CAST(CASE WHEN freq % 3 = 0 THEN freq % 5 - 2 ELSE -(freq % 17 - 8) / 8.0 END AS DOUBLE)"
+
+
+def _freq_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(feature, idx, weights) of the features of all conversations."""
+    return feature_freq_trim(spark, sf_dir).select("feature", F.xxhash64("feature").alias("idx"), F.array(*map(F.expr, FREQ_WEIGHTS)).alias("weights"))
+
 
+WEIGHTS_SQL = f"{FEATURES_SQL}, ws AS MATERIALIZED (SELECT feature, {FREQ_WEIGHTS[0]} AS b, {FREQ_WEIGHTS[1]} AS i FROM ff WHERE {TRIM_SQL})"
 
-@query("WITH w AS (SELECT (i - 109) / 8.0 AS w FROM generate_series(97, 122) t(i)), cells AS (SELECT w AS x FROM w UNION ALL SELECT 0.25 FROM w UNION ALL SELECT 0.5 FROM w UNION ALL SELECT w FROM w UNION ALL SELECT -w FROM w UNION ALL SELECT 0.125 FROM w UNION ALL SELECT 0.5 UNION ALL SELECT 0.75) SELECT max(x)::DOUBLE AS max_w, min(x)::DOUBLE AS min_w, sum(x)::DOUBLE / 79 AS mean_w, sum(abs(x))::DOUBLE / 79 AS mean_abs_w FROM cells")
+
+@query(f"WITH {WEIGHTS_SQL} SELECT feature, b + 0.0 AS b, i + 0.0 AS i FROM ws")
+def compressed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights as half-precision numbers and exceptions, and back; these ones lose nothing."""
+    rows = models.decompress(*models.compress(_freq_weights(spark, sf_dir)))
+    return rows.select("feature", (F.col("weights")[0] + 0.0).alias("b"), (F.col("weights")[1] + 0.0).alias("i"))
+
+
+@query(f"WITH {WEIGHTS_SQL}, whole AS (SELECT min(least(b, i)) AS low, max(greatest(b, i)) AS high, sum(b + i) / (2 * count(*)) AS mean FROM ws) SELECT feature FROM ws, whole WHERE NOT (abs(b - i) < (high - low) * 0.0001 AND 10 * (b + i) / 2 <= mean)")
+def prune_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.prune(_freq_weights(spark, sf_dir)).select("feature")
+
+
+@query(f"WITH {WEIGHTS_SQL} SELECT max(greatest(b, i)) AS max_w, min(least(b, i)) AS min_w, sum(b + i) / count(*) AS mean_w, sum(abs(b) + abs(i)) / count(*) AS mean_abs_w FROM ws")
 def weight_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crf.weight_stats(_letter_weights(spark))
+    return crf.weight_stats(_freq_weights(spark, sf_dir))
+
+
+#: A weight by the hash of the feature's name, from -7/8 to 1.
+def _md5_weight(k: int) -> str:
+    return f"CAST((instr('0123456789abcdef', substr(md5(feature), {k}, 1)) - 8) / 8.0 AS DOUBLE)"
+
+
+ALL_FEATURES_SQL = (
+    f"{FILL_SQL}, bigrams AS MATERIALIZED (SELECT pre, suf FROM often WHERE pre IN (SELECT word FROM filled) AND suf IN (SELECT word FROM filled)), vocabulary AS MATERIALIZED (SELECT word FROM filled), {CHARS_SQL}, "
+    "cuts3 AS MATERIALIZED (SELECT conv_id, turn, i AS b, k, substr(text, i + 1, k) AS word FROM cs CROSS JOIN (VALUES (2), (3), (4)) l(k) WHERE i + k <= n), found AS MATERIALIZED (SELECT * FROM cuts3 SEMI JOIN vocabulary USING (word)), "
+    "ends AS MATERIALIZED (SELECT conv_id, turn, b + k - 1 AS i, max_by(word, k) AS w FROM found GROUP BY 1, 2, 3), starts AS MATERIALIZED (SELECT conv_id, turn, b AS i, max_by(word, k) AS w FROM found GROUP BY 1, 2, 3), "
+    "pl AS MATERIALIZED (SELECT s.conv_id, s.turn, s.i, e.w AS pre, s.w AS post FROM starts s JOIN ends e ON e.conv_id = s.conv_id AND e.turn = s.turn AND e.i = s.i - 1), pr AS (SELECT conv_id, turn, i - 1 AS i, pre, post FROM pl), "
+    "wfeats AS (SELECT conv_id, turn, i, 'v' || w AS feature FROM ends UNION ALL SELECT conv_id, turn, i, 'x' || w FROM starts UNION ALL SELECT conv_id, turn, i, 'wl' || length(pre) || length(post) FROM pl UNION ALL SELECT conv_id, turn, i, 'wr' || length(pre) || length(post) FROM pr "
+    "UNION ALL SELECT conv_id, turn, i, 'wl' || pre || '*' || post FROM pl SEMI JOIN bigrams g ON g.pre = pl.pre AND g.suf = pl.post UNION ALL SELECT conv_id, turn, i, 'wr' || pre || '*' || post FROM pr SEMI JOIN bigrams g ON g.pre = pr.pre AND g.suf = pr.post), "
+    f"feats AS MATERIALIZED ({_SINGLE} UNION ALL SELECT * FROM wfeats), weighed AS MATERIALIZED (SELECT feature, {_md5_weight(1)} AS b, {_md5_weight(2)} AS s FROM feats GROUP BY feature HAVING count(*) >= 2), "
+    "scored AS (SELECT f.conv_id, f.turn, f.i, coalesce(sum(b), 0) + CASE WHEN count(b) < count(*) THEN 0.25 ELSE 0 END AS s0, coalesce(sum(s), 0) + CASE WHEN count(b) < count(*) THEN 0.5 ELSE 0 END AS s1 FROM feats f LEFT JOIN weighed w USING (feature) GROUP BY 1, 2, 3)"
+)
+
+
+@query(f"WITH {ALL_FEATURES_SQL} SELECT conv_id * 1000 + turn AS id, coalesce(string_agg(CASE WHEN i > 0 AND s1 <= s0 THEN '|' ELSE '' END || c, '' ORDER BY i), '') AS words FROM conversations v LEFT JOIN (SELECT cs.conv_id AS cid, cs.turn AS t, cs.c, scored.* EXCLUDE (conv_id, turn) FROM cs JOIN scored ON scored.conv_id = cs.conv_id AND scored.turn = cs.turn AND scored.i = cs.i) x ON x.cid = v.conv_id AND x.t = v.turn GROUP BY 1")
+def segment_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations cut with all kinds of features: characters, vocabulary words, their lengths and known bigrams."""
+    bigrams, words = bigram_back_fill(spark, sf_dir), unigram_back_fill(spark, sf_dir)
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    nodes = features.segment_features(rows, ["id"], "text", words, bigrams)
+    names = nodes.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("freq")).where("freq >= 2")
+    weights = names.select("feature", F.array(F.expr(_md5_weight(1)), F.expr(_md5_weight(2))).alias("weights")).union(spark.createDataFrame([("/", [0.25, 0.5])], "feature string, weights array<double>"))
+    model = SegmenterModel(durable(weights), durable(words), durable(bigrams), {"norm_text": False})
+    return Segmenter(model).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
+
+
+def _pair_sql(left: str, right: str, kinds: str, others: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{a}{b}' || {left}{x} || '*' || {right}{y} FROM near WHERE {left}{x} IS NOT NULL AND {right}{y} IS NOT NULL" for a, x in zip(kinds.split(), "wlr") for b, y in zip(others.split(), "wlr"))
+
+
+TAG_FEATURES_SQL = (
+    f"{UNKNOWN_SQL}, charset AS MATERIALIZED (SELECT ch FROM (SELECT unnest(string_split(word, '')) AS ch FROM words) WHERE NOT {sql.CHINESE.of('ch')} GROUP BY ch HAVING count(*) >= 10), "
+    "cut AS (SELECT word, i, substr(word, 1, i) AS l, substr(word, length(word) - i + 1) AS r FROM openf, (VALUES (1), (2), (3), (4)) l(i) WHERE i < length(word)), "
+    "ls AS MATERIALIZED (SELECT word, max_by(l, i) AS l FROM cut SEMI JOIN often ON often.part = cut.l GROUP BY word), rs AS MATERIALIZED (SELECT word, max_by(r, i) AS r FROM cut SEMI JOIN often ON often.part = cut.r GROUP BY word), "
+    "info AS MATERIALIZED (SELECT f.word, k.word AS w, ls.l, rs.r FROM freqs f LEFT JOIN knownp k ON k.word = f.word LEFT JOIN ls ON ls.word = f.word LEFT JOIN rs ON rs.word = f.word), "
+    "near AS MATERIALIZED (SELECT t.word, w AS mw, l AS ml, r AS mr, pos = first_pos AS is_first, pos = last_pos AS is_last, lag(w) OVER s AS pw, lag(l) OVER s AS pl, lag(r) OVER s AS pr, lead(w) OVER s AS sw, lead(l) OVER s AS sl, lead(r) OVER s AS sr FROM (SELECT *, min(pos) OVER (PARTITION BY sent_id) AS first_pos, max(pos) OVER (PARTITION BY sent_id) AS last_pos FROM words) t JOIN info USING (word) WINDOW s AS (PARTITION BY sent_id ORDER BY pos)), "
+    "bare AS (SELECT word FROM near WHERE coalesce(mw, ml, mr) IS NULL), own AS (SELECT word, 'c' || k AS name, CASE WHEN k <= 4 THEN substr(word, k, 1) WHEN k = 5 THEN substr(word, -2, 1) ELSE substr(word, -1, 1) END AS ch FROM bare, (VALUES (1), (2), (3), (4), (5), (6)) l(k) WHERE CASE k WHEN 5 THEN length(word) > 5 WHEN 6 THEN length(word) >= 5 ELSE length(word) >= k END), "
+    "feats AS (SELECT 'w' || mw AS feature FROM near UNION ALL SELECT 'cl' || ml FROM near UNION ALL SELECT 'cr' || mr FROM near UNION ALL SELECT 'wk' FROM bare UNION ALL SELECT 'ck' FROM bare WHERE length(word) BETWEEN 1 AND 3 UNION ALL SELECT name || ch FROM own SEMI JOIN charset USING (ch) "
+    "UNION ALL SELECT '[START]' FROM near WHERE is_first UNION ALL SELECT 'v' || pw FROM near UNION ALL SELECT 'bl' || pl FROM near UNION ALL SELECT 'br' || pr FROM near UNION ALL SELECT 'vk' FROM near WHERE NOT is_first AND coalesce(pw, pl, pr) IS NULL "
+    "UNION ALL SELECT '[END]' FROM near WHERE is_last UNION ALL SELECT 'x' || sw FROM near UNION ALL SELECT 'dl' || sl FROM near UNION ALL SELECT 'dr' || sr FROM near UNION ALL SELECT 'xk' FROM near WHERE NOT is_last AND coalesce(sw, sl, sr) IS NULL "
+    f"UNION ALL {_pair_sql('p', 'm', 'v bl br', 'w cl cr')} UNION ALL {_pair_sql('m', 's', 'w cl cr', 'x dl dr')})"
+)
+
+
+@query(f"WITH {TAG_FEATURES_SQL} SELECT feature, count(*) AS freq FROM feats WHERE feature IS NOT NULL GROUP BY feature")
+def tag_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all words of the documents, with words, parts and characters that come from them."""
+    words, _, known = _known(spark, sf_dir)
+    known = durable(known)
+    parts = vocab.trim_parts(vocab.part_frequencies(words, known), chinese=100, numbers=100, others=100)
+    info = features.word_info(words, known, parts, vocab.char_frequencies(words, 10))
+    nodes = features.tag_features(words, info)
+    return nodes.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("freq"))
+
+
+_FOUND_TEXT = " || '|' || ".join(f"CASE WHEN {IS_HIT[k]} THEN {e} ELSE '' END" for k, e in ENTITIES.items())
 
 
-@query(f"SELECT conv_id, turn, {sql.PREPROCESS.of('text')} AS clean FROM conversations")
+@query(f"SELECT o_orderkey AS doc_id, {sql.PREPROCESS.of(f'({ORDER_TEXT})')} AS clean, array_to_string(list_filter(string_split({_FOUND_TEXT}, '|'), lambda x: x != ''), '|') AS found FROM orders")
 def stream_annotate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The normalised text that the streaming job adds; ``rule_pieces`` checks its hits."""
-    return streams.annotate(load(spark, sf_dir, "conversations")).select("conv_id", "turn", "clean")
+    """What the streaming job adds to the orders' texts: the normalised text and the hits."""
+    return streams.annotate(_order_texts(spark, sf_dir)).select("doc_id", "clean", F.array_join("hits.s", "|").alias("found"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +28,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     Lines are counted by block of a file; only the blocks' counts are summed up file by file.
     """
     block = F.col("_metadata.file_block_start").alias("block")
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), block, "value").withColumn("at", F.monotonically_increasing_id())
+    rows = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), block, "value").withColumn("at", F.monotonically_increasing_id())
     ahead = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
     counts = rows.groupBy("path", "block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(ahead) - F.col("n"))
     inside = Window.partitionBy("path", "block").orderBy("at")
@@ -39,6 +36,19 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.select("path", (F.col("before") + F.col("k")).alias("line"), "value")
 
 
+def read_values(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(path, line, data, text): each line as a VARIANT where it is JSON, else as trimmed text; empty lines are left out.
+
+    ``most`` ends each file after so many lines, empty ones counted.
+    """
+    rows = numbered_lines(spark, path)
+    if most is not None:
+        rows = rows.where(F.col("line") < most)
+    text = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
+    rows = rows.select("path", "line", F.try_parse_json("value").alias("data"), text.alias("text")).where("text != ''")
+    return rows.select("path", "line", "data", F.when(F.col("data").isNull(), F.col("text")).alias("text"))
+
+
 def first_lines(lines: DataFrame, order: str, n: int, skip_empty: bool = True) -> DataFrame:
     """The first n lines by a line number; empty lines that are skipped count towards n."""
     kept = lines.where(F.col(order) < n)
@@ -115,21 +125,6 @@ def repeat(df: DataFrame, times: int) -> DataFrame:
     return df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(times))))
 
 
-def save_model(path: str, index: DataFrame, node: np.ndarray, edge: np.ndarray, params: dict) -> None:
-    """Weights, edges and parameters as Parquet below ``path``."""
-    spark = index.sparkSession
-    n, t = node.shape
-    rows = spark.createDataFrame([(i, [float(x) for x in node[i]]) for i in range(n)], "idx int, weights array<double>")
-    index.join(rows, "idx").write.mode("overwrite").parquet(f"{path}/weights")
-    spark.createDataFrame([(i, j, float(edge[i, j])) for i in range(t) for j in range(t)], "prev int, next int, weight double").write.mode("overwrite").parquet(f"{path}/edges")
-    spark.createDataFrame([(json.dumps(params, ensure_ascii=False),)], "params string").write.mode("overwrite").parquet(f"{path}/params")
-
-
-def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    """(weights by feature, edges, parameters)."""
-    return spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/edges"), json.loads(spark.read.parquet(f"{path}/params").first()[0])
-
-
 def load_params(params: dict, known: dict) -> dict:
     """The known parameters, overlaid by those that are stored."""
     return known | {k: v for k, v in params.items() if k in known}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sinolex.functions import charset, predicates
 from sinolex.operators import crf, dictionary, evaluate, features, rules, scoring, vocab
-from sinolex.operators.chars import char_features, tag_to_word, word_to_tag
+from sinolex.operators.chars import char_feature_counts, char_features, tag_to_word, word_to_tag
 from sinolex.operators.segment import Segmenter, SegmenterModel
 from sinolex.operators.tagging import Tagger, TaggerModel, tagset
 from sinolex.plans import fixtures, sql, train
@@ -180,8 +180,8 @@ def test_statistics(spark):
     sentences = [["亲口", "交代", "工作"], ["业务", "口交", "代"], ["亲口", "交代"]]
     words = spark.createDataFrame([(i, p, w) for i, s in enumerate(sentences) for p, w in enumerate(s)], "sent_id long, pos int, word string")
     known = spark.createDataFrame([("亲口",), ("交代",), ("口交",)], "word string")
-    assert {tuple(r) for r in vocab.ambiguous(words, known).collect()} == {("亲口", "交代", 2), ("口交", "代", 1)}
-    words2, kept = vocab.back_fill(vocab.ambiguous(words, known), known, 2)
+    assert {tuple(r) for r in vocab.ambiguous(vocab.pairs(words), known).collect()} == {("亲口", "交代", 2), ("口交", "代", 1)}
+    words2, kept = vocab.back_fill(vocab.ambiguous(vocab.pairs(words), known), known, 2)
     assert {r["word"] for r in words2.collect()} == {"亲口", "交代", "口交"} and kept.count() == 1
     parts = {r["part"]: r["freq"] for r in vocab.part_frequencies(words, known).collect()}
     assert parts == {"工": 1, "作": 1, "业": 1, "务": 1}
@@ -190,6 +190,24 @@ def test_statistics(spark):
     assert len(vocab.length_features()) == 162
 
 
+def test_counts_of_features_and_pairs_inside_tasks(spark):
+    texts = ["", None, "a", "ab.c", "明abc明abc", "🙂é\n x", "a" * 50]
+    df = column(spark, texts)
+    rows = df.select(F.explode(F.flatten(char_features(F.col("text")))).alias("f")).groupBy("f").count()
+    assert {tuple(r) for r in char_feature_counts(df, "text").collect()} == {tuple(r) for r in rows.collect()}
+    words = [["a", "b", "a", "b"], ["c"], [], None, ["a", "b"]]
+    arrays = spark.createDataFrame(list(enumerate(words)), "sent_id long, w array<string>")
+    assert {tuple(r) for r in vocab.pairs_in(arrays, F.col("w")).collect()} == {tuple(r) for r in vocab.pairs(vocab.long_words(arrays, "sent_id", F.col("w"))).collect()} == {("a", "b", 3), ("b", "a", 1)}
+
+
+def test_f1_against_chunk_rows(spark):
+    rows = [(1, [0, 1, 0, 2, 1, 0], [0, 1, 0, 0, 1, 0]), (2, [1, 0], [0, 0, 1]), (3, [], []), (4, None, [0]), (5, [0, None, 1], [0, 1, 1])]
+    df = spark.createDataFrame(rows, "id long, gold array<int>, pred array<int>")
+    sets = [{tuple(r) for r in evaluate.chunk_rows(df, "id", c).collect()} for c in ("gold", "pred")]
+    got = evaluate.f1(df, "id", "gold", "pred").first()
+    assert (got["n_gold"], got["n_pred"], got["n_correct"]) == (len(sets[0]), len(sets[1]), len(sets[0] & sets[1]))
+
+
 def test_evaluation(spark):
     rows = [(1, [0, 1, 0, 1], [0, 1, 0, 1]), (2, [1, 1, 0], [0, 1, 1]), (3, [0, 1, 1], [0, 0, 1]), (4, [1, 1], [1, 1])]
     df = spark.createDataFrame(rows, "id long, gold array<int>, pred array<int>")
@@ -202,59 +220,13 @@ def test_evaluation(spark):
     assert abs(a["token_acc"] - 9 / 12) < 1e-9 and a["sample_acc"] == 0.5
 
 
-def test_crf_by_enumeration():
-    from itertools import product
-
-    rng = np.random.default_rng(0)
-    w = crf.Weights(rng.normal(size=(5, 3)), rng.normal(size=(3, 3)), 0.7)
-    f = [[0, 1], [2], [3, 4], [1]]
-    y = crf.scores(f, w)
-
-    def value(z):
-        return sum(y[i, t] for i, t in enumerate(z)) + 0.7 * sum(w.edge[a, b] for a, b in zip(z, z[1:]))
-
-    paths = list(product(range(3), repeat=4))
-    p = np.exp([value(z) for z in paths])
-    z, node, pairs = crf.marginals(y, w)
-    assert abs(z - np.log(p.sum())) < 1e-9
-    assert abs(node[2, 1] - sum(q for q, s in zip(p, paths) if s[2] == 1) / p.sum()) < 1e-9
-    assert abs(pairs[0, 2] - sum(q * sum(s[i] == 0 and s[i + 1] == 2 for i in range(3)) for q, s in zip(p, paths)) / p.sum()) < 1e-9
-    assert tuple(crf.viterbi(y, w)) == max(paths, key=value)
-
-
-def test_gradient_and_training(spark):
-    samples = spark.createDataFrame([(1, [[1], [2], [1, 3]], [0, 1, 0]), (2, [[2], [3]], [1, 1]), (3, [[1]], [0])], "sent_id long, features array<array<int>>, tags array<int>")
-    rng = np.random.default_rng(1)
-    w = crf.Weights(rng.normal(size=(4, 2)), rng.normal(size=(2, 2)), 0.5)
-    node, edge, ratio, loss, n = crf.gradient(samples, w)
-    assert n == 3
-
-    def at(change):
-        v = crf.Weights(w.node.copy(), w.edge.copy(), w.ratio)
-        change(v)
-        return crf.gradient(samples, v)[3]
-
-    def bump(name, place, h):
-        def f(v):
-            getattr(v, name)[place] += h
-        return f
-
-    held = {1: 2, 2: 2, 3: 2}
-    assert abs((at(bump("node", (1, 0), 1e-4)) - at(bump("node", (1, 0), -1e-4))) / 2e-4 - node[1][0] * held[1]) < 1e-3
-    assert abs((at(bump("edge", (0, 1), 1e-4)) - at(bump("edge", (0, 1), -1e-4))) / 2e-4 - edge[0, 1]) < 1e-3
-    trained, losses = crf.train(samples, 4, 2, epochs=4)
-    assert losses[-1] < losses[0]
-    assert {r["sent_id"]: r["tags"] for r in crf.decode(samples, trained).collect()} == {1: [0, 1, 0], 2: [1, 1], 3: [0]}
-    assert crf.prune(crf.Weights(np.array([[0.0, 0], [3, -3], [0, 0]]), np.zeros((2, 2)))).tolist() == [True, True, False]
-
-
 GOLD = [["我们", "在", "北京", "大学", "学习"], ["他", "在", "大学", "学习", "中文"], ["北京", "是", "首都"], ["我们", "学习", "中文"], ["他们", "是", "学生"], ["学生", "在", "学习"]]
 
 
 def test_trained_segmenter(spark):
     corpus = spark.createDataFrame(list(enumerate(GOLD)), "sent_id long, words array<string>")
-    model, losses = train.train_segmenter(corpus, epochs=6)
-    assert losses[-1] < losses[0]
+    model, trained = train.train_segmenter(corpus, epochs=6)
+    assert trained.losses[-1] < trained.losses[0]
     texts = column(spark, ["".join(s) for s in GOLD] + ["", None, "我", "电话13912345678在北京"])
     got = {r["id"]: r["words"] for r in Segmenter(model).segment(texts, "id", "text").collect()}
     assert [got[i] for i in range(len(GOLD))] == GOLD and got[6] == got[7] == [] and got[8] == ["我"]
@@ -285,8 +257,8 @@ def test_tagger(spark):
     tags = {"我们": "r", "他": "r", "他们": "r", "在": "p", "是": "v", "北京": "ns", "大学": "n", "学习": "v", "中文": "nz", "首都": "n", "学生": "n"}
     corpus = spark.createDataFrame([(i, [(w, tags[w]) for w in s]) for i, s in enumerate(GOLD)], "sent_id long, tokens array<struct<word:string,tag:string>>")
     default = spark.createDataFrame([("北京", "ns")], "word string, tag string")
-    model, losses = train.train_tagger(corpus, default, epochs=6)
-    assert losses[-1] < losses[0] and model.tags == sorted(set(tags.values()))
+    model, trained = train.train_tagger(corpus, default, epochs=6)
+    assert trained.losses[-1] < trained.losses[0] and model.tags == sorted(set(tags.values()))
     texts = spark.createDataFrame([*enumerate(GOLD), (9, [])], "id long, words array<string>")
     tagger = Tagger(model, default)
 
@@ -322,10 +294,7 @@ def test_sources(spark, tmp_path):
     assert lines.read_samples(spark, f"{tmp_path}/f.parquet").first()["features"] == [[0, 1], [1]]
     with pytest.raises(ValueError):
         lines.read_samples(spark, f"{tmp_path}/f.parquet", 0)
-    lines.save_model(f"{tmp_path}/m", index, np.array([[0.0, 1], [2, 3]]), np.eye(2), {"word_max": 4})
-    weights, edges, params = lines.load_model(spark, f"{tmp_path}/m")
-    assert {r["feature"]: r["weights"] for r in weights.collect()} == {"/": [0, 1], "f": [2, 3]} and edges.count() == 4
-    assert lines.load_params(params | {"odd": 1}, {"word_max": 3, "word_min": 2}) == {"word_max": 4, "word_min": 2}
+    assert lines.load_params({"word_max": 4} | {"odd": 1}, {"word_max": 3, "word_min": 2}) == {"word_max": 4, "word_min": 2}
 
 
 def test_stream(spark, tmp_path):

@@ -14,6 +14,8 @@ from sinolex.operators import automaton, dictionary, features, tables
 from sinolex.operators.segment import Segmenter, SegmenterModel
 from sinolex.operators.tagging import Tagger, TaggerModel
 from sinolex.plans import fixtures
+from sinolex.plans.speed import throughput
+from sinolex.sources import lines
 from sinolex.streaming.dictionaries import Snapshots, cutter
 
 RNG = random.Random(2)
@@ -212,3 +214,19 @@ def test_a_word_added_between_two_batches_changes_the_second_only(spark, tmp_pat
     assert seen == [(1, 0, 0, ["x", "a", "b", "y"]), (2, 1, 1, ["x", "ab", "y"]), (3, 2, 2, ["xa", "b", "y"])]
     # a batch that runs again takes the snapshot it had
     assert [words.of_batch("s", k) for k in (0, 1, 2, 9)] == [0, 1, 2, 2] and words.of_batch("other", 0) == 2
+
+
+def test_throughput_by_file(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("甲乙 丙\n\nabc\n12\n", encoding="utf-8")
+    engine = Engine(Segmenter(SegmenterModel(spark.createDataFrame([("/", [0.0, 0.0])], "feature string, weights array<double>"))))
+    whole, part = (throughput(spark, str(tmp_path), engine, most).first() for most in (None, 2))
+    assert (whole["lines"], whole["chars"], part["lines"], part["chars"]) == (8, 18, 4, 8) and whole["seconds"] > 0
+    assert whole["chars_per_s"] == pytest.approx(whole["chars"] / whole["seconds"])
+
+
+def test_values_of_lines(spark, tmp_path):
+    (tmp_path / "x.txt").write_text('{"k": 3}\n  plain　\n\n[1, 2]\n{bad\n7\nlast', encoding="utf-8")
+    rows = {r["line"]: (r["data"], r["text"]) for r in lines.read_values(spark, str(tmp_path)).select("line", F.to_json("data").alias("data"), "text").collect()}
+    assert rows == {0: ('{"k":3}', None), 1: (None, "plain"), 3: ("[1,2]", None), 4: (None, "{bad"), 5: ("7", None), 6: (None, "last")}
+    assert lines.read_values(spark, str(tmp_path), 3).count() == 2

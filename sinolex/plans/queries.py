@@ -34,8 +34,22 @@ def query(oracle: str | None = None):
     return register
 
 
+#: Bytes of a table's files between which it is dealt to all cores if it has fewer files: a file of few row groups keeps few cores busy.
+LEAST_SPREAD, MOST_SPREAD = 1 << 20, 1 << 28
+
+
 def load(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one in few files is dealt to all cores, any other is read as it lies."""
+    path = f"{sf_dir}/{name}.parquet"
+    rows, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if path not in _sizes:
+        _sizes[path] = spark.read.format("binaryFile").load(path).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    files, size = _sizes[path]
+    return rows.repartition(cores) if files < cores and LEAST_SPREAD <= size <= MOST_SPREAD else rows
+
+
+#: Files and bytes of the tables that were read.
+_sizes: dict[str, tuple[int, int]] = {}
 
 
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -747,7 +761,7 @@ def segment_all_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pair_sql(left: str, right: str, kinds: str, others: str) -> str:
-    return " UNION ALL ".join(f"SELECT '{a}{b}' || {left}{x} || '*' || {right}{y} FROM near WHERE {left}{x} IS NOT NULL AND {right}{y} IS NOT NULL" for a, x in zip(kinds.split(), "wlr") for b, y in zip(others.split(), "wlr"))
+    return " UNION ALL ".join(f"SELECT sent_id, pos, '{a}{b}' || {left}{x} || '*' || {right}{y} FROM near WHERE {left}{x} IS NOT NULL AND {right}{y} IS NOT NULL" for a, x in zip(kinds.split(), "wlr") for b, y in zip(others.split(), "wlr"))
 
 
 TAG_FEATURES_SQL = (
@@ -755,24 +769,107 @@ TAG_FEATURES_SQL = (
     "cut AS (SELECT word, i, substr(word, 1, i) AS l, substr(word, length(word) - i + 1) AS r FROM openf, (VALUES (1), (2), (3), (4)) l(i) WHERE i < length(word)), "
     "ls AS MATERIALIZED (SELECT word, max_by(l, i) AS l FROM cut SEMI JOIN often ON often.part = cut.l GROUP BY word), rs AS MATERIALIZED (SELECT word, max_by(r, i) AS r FROM cut SEMI JOIN often ON often.part = cut.r GROUP BY word), "
     "info AS MATERIALIZED (SELECT f.word, k.word AS w, ls.l, rs.r FROM freqs f LEFT JOIN knownp k ON k.word = f.word LEFT JOIN ls ON ls.word = f.word LEFT JOIN rs ON rs.word = f.word), "
-    "near AS MATERIALIZED (SELECT t.word, w AS mw, l AS ml, r AS mr, pos = first_pos AS is_first, pos = last_pos AS is_last, lag(w) OVER s AS pw, lag(l) OVER s AS pl, lag(r) OVER s AS pr, lead(w) OVER s AS sw, lead(l) OVER s AS sl, lead(r) OVER s AS sr FROM (SELECT *, min(pos) OVER (PARTITION BY sent_id) AS first_pos, max(pos) OVER (PARTITION BY sent_id) AS last_pos FROM words) t JOIN info USING (word) WINDOW s AS (PARTITION BY sent_id ORDER BY pos)), "
-    "bare AS (SELECT word FROM near WHERE coalesce(mw, ml, mr) IS NULL), own AS (SELECT word, 'c' || k AS name, CASE WHEN k <= 4 THEN substr(word, k, 1) WHEN k = 5 THEN substr(word, -2, 1) ELSE substr(word, -1, 1) END AS ch FROM bare, (VALUES (1), (2), (3), (4), (5), (6)) l(k) WHERE CASE k WHEN 5 THEN length(word) > 5 WHEN 6 THEN length(word) >= 5 ELSE length(word) >= k END), "
-    "feats AS (SELECT 'w' || mw AS feature FROM near UNION ALL SELECT 'cl' || ml FROM near UNION ALL SELECT 'cr' || mr FROM near UNION ALL SELECT 'wk' FROM bare UNION ALL SELECT 'ck' FROM bare WHERE length(word) BETWEEN 1 AND 3 UNION ALL SELECT name || ch FROM own SEMI JOIN charset USING (ch) "
-    "UNION ALL SELECT '[START]' FROM near WHERE is_first UNION ALL SELECT 'v' || pw FROM near UNION ALL SELECT 'bl' || pl FROM near UNION ALL SELECT 'br' || pr FROM near UNION ALL SELECT 'vk' FROM near WHERE NOT is_first AND coalesce(pw, pl, pr) IS NULL "
-    "UNION ALL SELECT '[END]' FROM near WHERE is_last UNION ALL SELECT 'x' || sw FROM near UNION ALL SELECT 'dl' || sl FROM near UNION ALL SELECT 'dr' || sr FROM near UNION ALL SELECT 'xk' FROM near WHERE NOT is_last AND coalesce(sw, sl, sr) IS NULL "
+    "near AS MATERIALIZED (SELECT t.sent_id, t.pos, t.word, w AS mw, l AS ml, r AS mr, pos = first_pos AS is_first, pos = last_pos AS is_last, lag(w) OVER s AS pw, lag(l) OVER s AS pl, lag(r) OVER s AS pr, lead(w) OVER s AS sw, lead(l) OVER s AS sl, lead(r) OVER s AS sr FROM (SELECT *, min(pos) OVER (PARTITION BY sent_id) AS first_pos, max(pos) OVER (PARTITION BY sent_id) AS last_pos FROM words) t JOIN info USING (word) WINDOW s AS (PARTITION BY sent_id ORDER BY pos)), "
+    "bare AS (SELECT sent_id, pos, word FROM near WHERE coalesce(mw, ml, mr) IS NULL), own AS (SELECT sent_id, pos, word, 'c' || k AS name, CASE WHEN k <= 4 THEN substr(word, k, 1) WHEN k = 5 THEN substr(word, -2, 1) ELSE substr(word, -1, 1) END AS ch FROM bare, (VALUES (1), (2), (3), (4), (5), (6)) l(k) WHERE CASE k WHEN 5 THEN length(word) > 5 WHEN 6 THEN length(word) >= 5 ELSE length(word) >= k END), "
+    "feats AS MATERIALIZED (SELECT sent_id, pos, 'w' || mw AS feature FROM near UNION ALL SELECT sent_id, pos, 'cl' || ml FROM near UNION ALL SELECT sent_id, pos, 'cr' || mr FROM near UNION ALL SELECT sent_id, pos, 'wk' FROM bare UNION ALL SELECT sent_id, pos, 'ck' FROM bare WHERE length(word) BETWEEN 1 AND 3 UNION ALL SELECT sent_id, pos, name || ch FROM own SEMI JOIN charset USING (ch) "
+    "UNION ALL SELECT sent_id, pos, '[START]' FROM near WHERE is_first UNION ALL SELECT sent_id, pos, 'v' || pw FROM near UNION ALL SELECT sent_id, pos, 'bl' || pl FROM near UNION ALL SELECT sent_id, pos, 'br' || pr FROM near UNION ALL SELECT sent_id, pos, 'vk' FROM near WHERE NOT is_first AND coalesce(pw, pl, pr) IS NULL "
+    "UNION ALL SELECT sent_id, pos, '[END]' FROM near WHERE is_last UNION ALL SELECT sent_id, pos, 'x' || sw FROM near UNION ALL SELECT sent_id, pos, 'dl' || sl FROM near UNION ALL SELECT sent_id, pos, 'dr' || sr FROM near UNION ALL SELECT sent_id, pos, 'xk' FROM near WHERE NOT is_last AND coalesce(sw, sl, sr) IS NULL "
     f"UNION ALL {_pair_sql('p', 'm', 'v bl br', 'w cl cr')} UNION ALL {_pair_sql('m', 's', 'w cl cr', 'x dl dr')})"
 )
 
 
-@query(f"WITH {TAG_FEATURES_SQL} SELECT feature, count(*) AS freq FROM feats WHERE feature IS NOT NULL GROUP BY feature")
-def tag_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of all words of the documents, with words, parts and characters that come from them."""
+def _tag_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents' words, and their features with words, parts and characters that come from the documents."""
     words, _, known = _known(spark, sf_dir)
     known = durable(known)
     parts = vocab.trim_parts(vocab.part_frequencies(words, known), chinese=100, numbers=100, others=100)
-    info = features.word_info(words, known, parts, vocab.char_frequencies(words, 10))
-    nodes = features.tag_features(words, info)
-    return nodes.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("freq"))
+    return words, features.tag_features(words, features.word_info(words, known, parts, vocab.char_frequencies(words, 10)))
+
+
+@query(f"WITH {TAG_FEATURES_SQL} SELECT feature, count(*) AS freq FROM feats WHERE feature IS NOT NULL GROUP BY feature")
+def tag_context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of all words of the documents."""
+    return _tag_nodes(spark, sf_dir)[1].select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("freq"))
+
+
+@query(
+    f"WITH {TAG_FEATURES_SQL}, opened AS MATERIALIZED (SELECT sent_id, pos, CASE WHEN length(word) > 3 THEN 0 ELSE 1 END AS tag FROM words ANTI JOIN dict USING (word)), mine AS MATERIALIZED (SELECT f.*, tag FROM feats f JOIN opened USING (sent_id, pos) WHERE feature IS NOT NULL), "
+    "index AS MATERIALIZED (SELECT feature FROM mine GROUP BY feature HAVING count(*) >= 5), held AS MATERIALIZED (SELECT * FROM mine SEMI JOIN index USING (feature)), "
+    "rows AS (SELECT sent_id, pos, feature, tag FROM held UNION ALL SELECT sent_id, pos, '/', tag FROM opened ANTI JOIN held USING (sent_id, pos)), sums AS (SELECT feature, sum(0.5 - CASE WHEN tag = 0 THEN 1 ELSE 0 END) AS g0, sum(0.5 - tag) AS g1, count(DISTINCT sent_id) AS n FROM rows GROUP BY feature) "
+    "SELECT feature, round(-greatest(least(g0 / n, 1), -1), 9)::DOUBLE + 0.0 AS w0, round(-greatest(least(g1 / n, 1), -1), 9)::DOUBLE + 0.0 AS w1 FROM sums"
+)
+def train_tagger_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagger's weights after the first epoch over all documents: long and short words have tags of their own, dictionary
+    words are context but no samples, and features come five times or more."""
+    words, nodes = _tag_nodes(spark, sf_dir)
+    dic = _dictionary(spark, sf_dir).select("word").distinct()
+    nodes = durable(nodes.join(dic, "word", "left_anti"))
+    counts = nodes.select(F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("freq")).where("freq >= 5")
+    index = durable(vocab.index_features(counts))
+    tag = F.when(F.length("word") > 3, 0).otherwise(1)
+    gold = vocab.without(words, dic).groupBy("sent_id").agg(F.array_sort(F.collect_list(F.struct("pos", tag.alias("k")))).alias("g")).select("sent_id", F.col("g.k").alias("tags"))
+    trained = crf.train(lines.feature_numbers(nodes, index, ["sent_id"], gold, miss="all"), crf.start_weights(index, 2), 2, epochs=1, rate=1.0)
+    rows = train.weight_table(index, trained.weights)
+    used = F.col("feature") != "/"
+    return rows.where(used | (F.abs(F.col("weights")[0]) > 0)).select("feature", (F.round(F.col("weights")[0], 9) + 0.0).alias("w0"), (F.round(F.col("weights")[1], 9) + 0.0).alias("w1"))
+
+
+# Files of dictionaries, features and models
+
+#: Lines of dictionary files by a word's count: whole ones, some with other cases and blanks, and some that are malformed.
+USER_LINE = "CASE freq % 6 WHEN 0 THEN word WHEN 1 THEN ' ' || upper(word) || chr(9) || '2.5' WHEN 2 THEN word || chr(9) || CAST(freq AS STRING) WHEN 3 THEN word || chr(9) || 'x' WHEN 4 THEN word || chr(9) || '1' || chr(9) || '2' ELSE '' END"
+TAG_LINE = "CASE freq % 5 WHEN 0 THEN word || chr(9) || 'n' WHEN 1 THEN word || chr(9) || 'v' || chr(9) || '0.5' WHEN 2 THEN word || chr(9) || 'v' || chr(9) || 'much' WHEN 3 THEN word ELSE word || chr(9) || 'nz' || chr(9) || CAST(freq AS STRING) END"
+STEM = "CASE length(word) % 4 WHEN 0 THEN 'n' WHEN 1 THEN 'nr1' WHEN 2 THEN 'nrf' ELSE 'v' END"
+DEFAULT_LINE = "word || chr(9) || CASE WHEN freq % 3 = 0 THEN '0.5' WHEN freq % 3 = 1 THEN '0.995' ELSE '1.0' END || chr(9) || CAST(freq - 1 AS STRING)"
+
+
+def _word_lines(spark: SparkSession, sf_dir: str, line: str) -> DataFrame:
+    """Lines made of the documents' words, written as a text file and read back."""
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines.write_lines(vocab.frequencies(doc_words(spark, sf_dir)).select(F.expr(line).alias("value")), "value", folder)
+    return lines.read_lines(spark, folder, strip=False)
+
+
+@query(f"WITH {FREQ_SQL}, l AS (SELECT word, freq FROM freqs) SELECT lower(word) AS word, CASE freq % 6 WHEN 0 THEN 1.0 WHEN 1 THEN 2.5 ELSE freq END::DOUBLE AS weight, count(*) AS n FROM l WHERE freq % 6 IN (0, 1, 2) GROUP BY 1, 2")
+def segment_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary file of the segmenter: words with or without a weight; other lines are dropped."""
+    return lines.parse_segment_dictionary(_word_lines(spark, sf_dir, USER_LINE)).groupBy("word", "weight").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {FREQ_SQL} SELECT word, CASE freq % 5 WHEN 0 THEN 'n' WHEN 1 THEN 'v' ELSE 'nz' END AS tag, CASE freq % 5 WHEN 1 THEN 0.5 WHEN 4 THEN freq END::DOUBLE AS weight FROM freqs WHERE freq % 5 IN (0, 1, 4)")
+def tag_dictionary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary file of the tagger: words with a tag, and for soft ones a weight."""
+    return lines.parse_tag_dictionary(_word_lines(spark, sf_dir, TAG_LINE))
+
+
+@query(f"WITH {FREQ_SQL} SELECT word, CASE WHEN length(word) % 4 IN (1, 2) THEN 'nr' WHEN length(word) % 4 = 0 THEN 'n' ELSE 'v' END AS tag, CASE WHEN freq % 3 = 1 THEN 0.995 ELSE 1.0 END::DOUBLE AS prob, freq - 1 AS freq FROM freqs WHERE freq % 3 != 0 AND freq > 1")
+def default_dictionary_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a default dictionary, which name the tag: sure and frequent enough words, tags joined."""
+    freqs = vocab.frequencies(doc_words(spark, sf_dir))
+    return lines.parse_default_dictionary(freqs.select(F.concat(F.lit("/d/"), F.expr(STEM), F.lit(".txt")).alias("path"), F.expr(DEFAULT_LINE).alias("value")))
+
+
+@query(ORACLES["segment"])
+def segment_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations cut by a model that was stored and loaded."""
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    models.save_segmenter(_space_model(spark), folder)
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return Segmenter(models.load_segmenter(spark, folder)).segment(rows, "id", "text").select("id", F.array_join("words", "|").alias("words"))
+
+
+@query(
+    f"WITH {FEATURES_SQL}, numbered AS MATERIALIZED (SELECT feature, row_number() OVER (ORDER BY freq DESC, feature) AS idx FROM ff WHERE {TRIM_SQL}), met AS MATERIALIZED (SELECT f.conv_id, f.turn, f.i, idx FROM feats f LEFT JOIN numbered USING (feature)), "
+    "spots AS (SELECT conv_id, turn, i, count(idx) AS n, coalesce(sum(idx), 0) AS s, count(*) > count(idx) AS lost FROM met GROUP BY 1, 2, 3) SELECT conv_id, turn, count(*) AS n_positions, sum(n + lost::INT)::BIGINT AS n_ids, sum(s)::BIGINT AS sum_ids FROM spots GROUP BY 1, 2"
+)
+def feature_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature numbers of all conversations, written as samples and read back."""
+    folder = f"{shared_folder(spark)}/samples-{uuid.uuid4().hex}"
+    nodes = features.segment_features(load(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    lines.write_features(nodes, durable(feature_index(spark, sf_dir)), ["conv_id", "turn"], folder)
+    ids = F.flatten("features")
+    rows = lines.read_samples(spark, folder)
+    return rows.select("conv_id", "turn", F.size("features").cast("long").alias("n_positions"), F.size(ids).cast("long").alias("n_ids"), F.aggregate(ids, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_ids"))
 
 
 _FOUND_TEXT = " || '|' || ".join(f"CASE WHEN {IS_HIT[k]} THEN {e} ELSE '' END" for k, e in ENTITIES.items())

@@ -13,7 +13,7 @@ checks every response against its digest.
 
 A null html is an empty payload. Equal page_ids are ordered by url, null before all; rows that are equal in both and in their
 payload are told apart by a copy number, and only one is the response. A null page_id comes before all others. Line breaks in
-a url are escaped. Payloads of any length are kept whole; a record longer than a frame has a frame of its own. Empty tables
+a url are stored and read as %0D and %0A, all else in it as it is. Payloads of any length are kept whole; a record longer than a frame has a frame of its own. Empty tables
 give no bundle. Only the three columns are read, so other columns' names cannot clash.
 """
 
@@ -54,12 +54,13 @@ def payload_digest(payload: bytes) -> str:
 def record_id(page_id: str | None, url: str | None, digest: str, copy: int) -> str:
     """The same row gives the same id in every run."""
     name = hashlib.sha256(repr((url, digest, copy)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
-    return f"<urn:page:{'' if page_id is None else page_id}:{name}>"
+    return f"<urn:page:{'-' if page_id is None else '=' + quote(page_id, safe='')}:{name}>"
 
 
 def page_of(name: str | None) -> str | None:
     """The page_id inside a record id."""
-    return (name.split(":")[2] or None) if name else None
+    part = name.split(":")[2] if name else "-"
+    return None if part == "-" else unquote(part[1:])
 
 
 def make_record(page_id: str | None, url: str | None, digest: str, size: int, copy: int, owner: str | None, payload: bytes | None, date: str = DATE) -> tuple[str, bytes]:
@@ -69,12 +70,12 @@ def make_record(page_id: str | None, url: str | None, digest: str, size: int, co
     body = http if payload is None else http + payload
     head = [f"WARC-Type: {'revisit' if owner else 'response'}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=''.join(map(chr, range(33, 127))).replace('%', ''))}")
+        head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if owner:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {owner}", f"X-Payload-Length: {size}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    return name, ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + body + b"\r\n\r\n"
+    return name, ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
 class Bundle:
@@ -131,7 +132,7 @@ def frame(data: bytes, table: list[tuple[int, int, int]], k: int) -> bytes:
 def parse(plain: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers and payload of the record at an offset, and where the next one begins."""
     end = plain.index(b"\r\n\r\n", at)
-    lines = plain[at:end].decode().split("\r\n")
+    lines = plain[at:end].decode("utf-8", "surrogatepass").split("\r\n")
     if lines[0] != "WARC/1.1":
         raise ValueError(f"no record at {at}")
     head = dict(line.split(": ", 1) for line in lines[1:])
@@ -147,8 +148,8 @@ def row_of(head: dict[str, str], payload: bytes) -> tuple:
     if kind == "response" and payload_digest(payload) != digest:
         raise ValueError(f"digest of {head['WARC-Record-ID']} differs")
     size = len(payload) if kind == "response" else int(head["X-Payload-Length"])
-    url, target = head.get("WARC-Target-URI"), head.get("WARC-Refers-To")
-    return page_of(head["WARC-Record-ID"]), url and unquote(url), head["WARC-Record-ID"], kind, page_of(target), size, digest, payload if kind == "response" else None
+    target = head.get("WARC-Refers-To")
+    return page_of(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), head["WARC-Record-ID"], kind, page_of(target), size, digest, payload if kind == "response" else None
 
 
 def with_owner(pages: DataFrame) -> DataFrame:

@@ -110,7 +110,8 @@ def test_warc_round_trip(spark, size):
     assert len(got) == len(PAGES)
     groups = defaultdict(list)
     for page, url, html in PAGES:
-        groups[html or ""].append((page is not None, page or 0, url is not None, url or "", page, url))
+        shown = url and url.replace("\r", "%0D").replace("\n", "%0A")
+        groups[html or ""].append((page is not None, page or 0, url is not None, url or "", page, shown))
     left = Counter()
     for html, rows in groups.items():
         top = max(rows)
@@ -152,6 +153,14 @@ def test_bundles_as_files(spark, tmp_path):
     assert warc.read(bundles(spark, [])).collect() == []
 
 
+def test_page_ids_of_any_text(spark):
+    ids = ["a:b", "", None, "x\r\ny", "é %3A", "-"]
+    pages = spark.createDataFrame([(i, "http://u/a%20b?c=d e", f"html {k}") for k, i in enumerate(ids)] + [("z", None, "html 0")], "page_id string, url string, html string")
+    got = {bytes(r["payload"]).decode() if r["payload"] else None: (r["page_id"], r["url"], r["refers_to"]) for r in warc.read(warc.write(pages)).collect()}
+    assert [got[f"html {k}"][0] for k in range(1, 6)] == ids[1:] and got["html 1"][1] == "http://u/a%20b?c=d e"
+    assert got["html 0"] == ("z", None, None) and got[None] == ("a:b", "http://u/a%20b?c=d e", "z")
+
+
 def test_damaged_payloads_are_seen():
     name, record = warc.make_record("1", "u", warc.payload_digest(b"good"), 4, 0, None, b"good")
     assert warc.row_of(*warc.parse(record)[:2])[0] == "1" and name == warc.parse(record)[0]["WARC-Record-ID"]

@@ -136,9 +136,15 @@ def char_frequencies(words: DataFrame, trim: int = 1) -> DataFrame:
     return counts.where(~P.has_chinese(F.col("ch")) & (F.col("freq") >= trim))
 
 
+def counts_of(words: DataFrame) -> DataFrame:
+    """(word, freq) of tokens, or of words that are counted already."""
+    return words if "freq" in words.columns else frequencies(words)
+
+
 def part_frequencies(words: DataFrame, known: DataFrame) -> DataFrame:
-    """Proper beginnings and endings of the words that are not known. Words are counted before they are cut."""
-    counted = frequencies(without(words, known)).where(F.length("word") > 1)
+    """Proper beginnings and endings of the words that are not known. Words are counted before known ones go and before they are
+    cut; ``words`` may be counted already."""
+    counted = without(counts_of(words), known).where(F.length("word") > 1)
     cuts = F.sequence(F.lit(1), F.length("word") - 1)
     parts = F.flatten(F.transform(cuts, lambda i: F.array(F.col("word").substr(F.lit(1), i), F.col("word").substr(i + 1, F.length("word")))))
     return counted.select("freq", F.explode(parts).alias("part")).groupBy("part").agg(F.sum("freq").alias("freq"))
@@ -154,7 +160,7 @@ def trim_parts(parts: DataFrame, longest: int = 4, chinese: int = 300, numbers:
 
 def unknown_words(words: DataFrame, dictionary: DataFrame, known: DataFrame, parts: DataFrame) -> DataFrame:
     """Words outside the dictionary and the known words of which no beginning or ending is a known part."""
-    counted = durable(frequencies(without(without(words, dictionary), known)))
+    counted = durable(without(without(counts_of(words), dictionary), known))
     longest = parts.agg(F.coalesce(F.max(F.length("part")), F.lit(0))).first()[0]
     # only beginnings and endings as long as a part can be one
     cuts = F.when(F.least(F.length("word") - 1, F.lit(longest)) > 0, F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest)))).otherwise(F.array().cast("array<int>"))

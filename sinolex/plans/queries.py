@@ -146,8 +146,7 @@ AMBIGUOUS_SQL = (
 
 
 def _ambiguous(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    words = doc_words(spark, sf_dir)
-    known = vocab.unigrams(vocab.frequencies(words), P.keep_unigram(F.col("word"), F.col("freq"), 2, 4, 5, chinese=False)).select("word")
+    known = vocab.unigrams(vocab.frequencies(doc_words(spark, sf_dir)), P.keep_unigram(F.col("word"), F.col("freq"), 2, 4, 5, chinese=False)).select("word")
     return vocab.ambiguous(adjacent_bigram_freq(spark, sf_dir), known), known
 
 
@@ -181,8 +180,9 @@ def _dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    words, dic = doc_words(spark, sf_dir), _dictionary(spark, sf_dir)
-    tagged = vocab.unigrams(vocab.frequencies(words), P.keep_tag_unigram(F.col("word"), F.col("freq"), 8, 5)).select("word")
+    """Counted words of the documents, the dictionary, and all words that are known."""
+    words, dic = durable(vocab.frequencies(doc_words(spark, sf_dir))), _dictionary(spark, sf_dir)
+    tagged = vocab.unigrams(words, P.keep_tag_unigram(F.col("word"), F.col("freq"), 8, 5)).select("word")
     return words, dic, tagged.union(dic.select("word")).distinct()
 
 
@@ -232,8 +232,9 @@ def _hard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WORDS_SQL}, {DICT_SQL} SELECT coalesce(h.tag, d.tag) AS dict_tag, count(*) AS n FROM words w LEFT JOIN dict d USING (word) LEFT JOIN hard h ON h.word = w.word GROUP BY 1")
 def dict_tag_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dictionary.look_up(doc_words(spark, sf_dir), _dictionary(spark, sf_dir), _hard(spark, sf_dir))
-    return found.groupBy("dict_tag").agg(F.count("*").alias("n"))
+    # looked up once for each distinct word
+    found = dictionary.look_up(vocab.frequencies(doc_words(spark, sf_dir)), _dictionary(spark, sf_dir), _hard(spark, sf_dir))
+    return found.groupBy("dict_tag").agg(F.sum("freq").alias("n"))
 
 
 @query(f"WITH {WORDS_SQL}, {DICT_SQL} SELECT sent_id, count(*) AS n FROM words WHERE word NOT IN (SELECT word FROM dict) GROUP BY sent_id")
@@ -389,7 +390,7 @@ def sample_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {WORDS_SQL}, {DICT_SQL} SELECT t.grp, t.tag, t.name, count(w.word) AS n FROM (VALUES {fixtures.tagset_values()}) t(grp, tag, name) LEFT JOIN (SELECT word, coalesce(h.tag, d.tag) AS tag FROM words LEFT JOIN dict d USING (word) LEFT JOIN hard h USING (word)) w ON w.tag = t.tag GROUP BY 1, 2, 3")
 def pos_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tags with their names and how many tokens the dictionaries give each."""
-    found = dictionary.look_up(doc_words(spark, sf_dir), _dictionary(spark, sf_dir), _hard(spark, sf_dir)).groupBy(F.col("dict_tag").alias("tag")).agg(F.count("*").alias("n"))
+    found = dictionary.look_up(vocab.frequencies(doc_words(spark, sf_dir)), _dictionary(spark, sf_dir), _hard(spark, sf_dir)).groupBy(F.col("dict_tag").alias("tag")).agg(F.sum("freq").alias("n"))
     return tagset(spark).join(found, "tag", "left").select("grp", "tag", "name", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -780,9 +781,9 @@ TAG_FEATURES_SQL = (
 
 def _tag_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents' words, and their features with words, parts and characters that come from the documents."""
-    words, _, known = _known(spark, sf_dir)
-    known = durable(known)
-    parts = vocab.trim_parts(vocab.part_frequencies(words, known), chinese=100, numbers=100, others=100)
+    counted, _, known = _known(spark, sf_dir)
+    words, known = doc_words(spark, sf_dir), durable(known)
+    parts = vocab.trim_parts(vocab.part_frequencies(counted, known), chinese=100, numbers=100, others=100)
     return words, features.tag_features(words, features.word_info(words, known, parts, vocab.char_frequencies(words, 10)))
 
 

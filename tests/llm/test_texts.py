@@ -102,7 +102,7 @@ def test_gradients_of_the_network():
         q = toxicity.sigmoid(model.forward(vectors(), grid, mask))
         return -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
 
-    grads = model.backward(vectors(), grid, mask, y, rows, pieces)
+    grads = model.backward(grid, mask, y, rows, pieces)
     for name, place in (("inf", (2, 3)), ("ub", (1, 14)), ("v", (4,)), ("w", (7,)), ("ab", (2,)), ("uf", (0, 13)), ("word", (rows[1], 0)), ("char", (int(pieces[1][0]), 2))):
         p, step = model.p[name], 1e-2
         p[place] += step

@@ -53,10 +53,11 @@ class FmIndex:
 
     It holds the wavelet matrix of the Burrows-Wheeler transform, the symbol starts, and bit marks at the rows where the
     first ``depth`` or ``depth - 1`` words change. It answers for patterns of up to ``depth`` words. Neither the text nor
-    its suffix order stays in memory.
+    its suffix order stays in memory. ``least`` holds the smallest owner of the texts in each group of rows with equal
+    first ``depth`` words.
     """
 
-    def __init__(self, sequences: list[np.ndarray], depth: int, symbols: int):
+    def __init__(self, sequences: list[np.ndarray], depth: int, symbols: int, owners: list[int]):
         self.depth = depth
         sizes = np.array([len(s) for s in sequences])
         text = np.zeros(int((sizes + 1).sum()), np.int64)
@@ -69,7 +70,8 @@ class FmIndex:
         self.starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=symbols + 1))))
         self.n = len(text)
         self.fresh, firsts = self.marks(rank[order])
-        self.n_groups = len(firsts)
+        self.least = np.full(len(firsts), np.iinfo(np.int64).max)
+        np.minimum.at(self.least, rank, np.repeat(np.array(owners, np.int64), sizes + 1))  # ranks number the groups
         self.wide, edges = self.marks(short[order])
         self.edges = np.append(edges, self.n)
 

@@ -2,12 +2,14 @@
 
 Every window of ``WINDOW`` words has an anchor, the word run of ``ANCHOR`` words in it with the smallest hash. Equal
 windows have equal anchors, so windows are dealt to shards by their anchor; only anchors that occur in two documents take
-part. A shard holds the stretches of words around its anchors in a compressed FM-index; backward search over its wavelet
-matrix streams every stretch against it and gives, window by window, the smallest document that holds the same words.
-Windows with a smaller document lose their words.
+part. A shard holds, in a compressed FM-index, the stretches of words around its anchors from the documents that can own
+them, which are all but an anchor's last; the stretches of all but an anchor's first are streamed against it. Backward
+search over the wavelet matrix gives, window by window, the smallest indexed document that holds the same words, if any
+does. Windows with a smaller document lose their words.
 
 Anchors of more than ``HOT`` documents would fill a shard. Their windows are taken one by one, equal ones are put together
-before they are shuffled, and the distinct windows are dealt to shards of their own by their words.
+before they are shuffled, and the distinct windows, each with its smallest document, are dealt to shards of their own by
+their words, indexed and looked up there once.
 
 Documents of the same words are searched once: all copies but the smallest lose everything if they hold a window.
 
@@ -25,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sinolex.llm.common import durable, hash_runs, hash_text_words, map_texts, with_least
+from sinolex.llm.common import SALTS, durable, hash_runs, hash_text_words, map_texts, with_least
 from sinolex.llm.fmindex import FmIndex
 
 WINDOW = 50
@@ -54,41 +56,54 @@ def stretches(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], edge)), np.concatenate((edge, [len(names)])) - 1
 
 
-def index_of(least: dict[bytes, int], window: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """For each content the groups of index rows that its windows lead to by backward search, and the smallest document of each group."""
-    sequences = [np.frombuffer(c, np.uint64) for c in least]
+def index_of(owned: dict[bytes, int], window: int) -> tuple[np.ndarray, FmIndex]:
+    """The distinct words of the contents, in order, and the index of the contents with the document that each belongs to."""
+    sequences = [np.frombuffer(c, np.uint64) for c in owned]
     names, flat = np.unique(np.concatenate(sequences), return_inverse=True)
-    sequences = np.split(flat.astype(np.int64) + 1, np.cumsum([len(s) for s in sequences])[:-1])
-    index = FmIndex(sequences, window, len(names))
-    found = index.match(sequences)
-    owner = np.full(index.n_groups, np.iinfo(np.int64).max)
-    for groups, doc in zip(found, least.values(), strict=True):
-        np.minimum.at(owner, groups[groups >= 0], doc)
-    return owner, found
+    numbers = np.split(flat.astype(np.int64) + 1, np.cumsum([len(x) for x in sequences])[:-1])
+    return names, FmIndex(numbers, window, len(names), list(owned.values()))
+
+
+def stream(contents: list[bytes], names: np.ndarray, index: FmIndex) -> list[np.ndarray]:
+    """The smallest indexed document that holds each window of the contents; the largest number where none does.
+
+    Words that the index does not hold are number 0, which no match passes.
+    """
+    flat = np.frombuffer(b"".join(contents), np.uint64)
+    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
+    numbers = np.where(names[at] == flat, at + 1, 0)
+    least = np.append(index.least, np.iinfo(np.int64).max)  # -1 means no group
+    return [least[g] for g in index.match(np.split(numbers, np.cumsum([len(c) // 8 for c in contents])[:-1]))]
 
 
 def search(rows: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
-    """The windows of a shard's stretches that a smaller document holds: (doc_id, key, windows)."""
-    docs, contents = rows["doc_id"].tolist(), rows["words"].tolist()
-    least: dict[bytes, int] = {}
-    for d, c in zip(docs, contents, strict=True):
-        if d < least.get(c, d + 1):
-            least[c] = d
-    owner, found = index_of(least, window)
-    groups = dict(zip(least, found, strict=True))
+    """The windows of a shard's stretches that a smaller document holds: (doc_id, key, windows).
+
+    Of each anchor all but the last document can hold a window first, and all but the first can repeat one: the former
+    are indexed, the latter streamed against the index.
+    """
+    docs = rows["doc_id"]
+    by_anchor = docs.groupby(rows["anchor"])
+    first, last = (docs > by_anchor.transform("min")).to_numpy(), (docs < by_anchor.transform("max")).to_numpy()
+    owned = rows[last].groupby("words", sort=False)["doc_id"].min().to_dict()
+    later = rows[first]
+    if not owned or later.empty:
+        return pd.DataFrame({"doc_id": np.empty(0, np.int64), "key": np.empty(0, np.int64), "windows": []})
+    contents = list(dict.fromkeys(later["words"]))
+    found = dict(zip(contents, stream(contents, *index_of(owned, window)), strict=True))
     out = []
-    for d, key, first, c in zip(docs, rows["key"].tolist(), rows["first"].tolist(), contents, strict=True):
-        g = groups[c]
-        hit = np.flatnonzero((g >= 0) & (owner[g] < d))
+    for d, key, start, c in zip(later["doc_id"].tolist(), later["key"].tolist(), later["first"].tolist(), later["words"], strict=True):
+        hit = np.flatnonzero(found[c] < d)
         if len(hit):
-            out.append((d, key, (hit + first).astype(np.int32)))
+            out.append((d, key, (hit + start).astype(np.int32)))
     return pd.DataFrame(out, columns=["doc_id", "key", "windows"])
 
 
 def owners(rows: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:
     """The smallest document of each distinct window of a shard: (code, owner)."""
-    owner, found = index_of(dict(zip(rows["words"].tolist(), rows["least"].tolist(), strict=True)), window)
-    return pd.DataFrame({"code": rows["code"], "owner": [int(owner[g[0]]) for g in found]})
+    contents = rows["words"].tolist()
+    found = stream(contents, *index_of(dict(zip(contents, rows["least"].tolist(), strict=True)), window))
+    return pd.DataFrame({"code": rows["code"], "owner": [int(f[0]) for f in found]})
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None, names: tuple[str, str, str] = ("n_words", "n_removed", "kept"), window: int = WINDOW, size: int = ANCHOR) -> DataFrame:
@@ -140,7 +155,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
         """Stretches with an anchor of the column, as they are or window by window."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            names_out = ["shard", "doc_id", "key", "first", "words"]
+            names_out = ["shard", "anchor", "doc_id", "key", "first", "words"]
             for batch in batches:
                 out, held = [], 0
                 for d, key, t, wanted in zip(batch["doc_id"], batch["key"], batch["text"], batch[column], strict=True):
@@ -149,10 +164,10 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
                     first, last = stretches(runs[places])
                     names = runs[places[first]]
                     for i in np.flatnonzero(np.isin(names.view(np.int64), wanted)).tolist():
-                        shard = int(names[i] % np.uint64(shards))
+                        shard, anchor = int(names[i] % np.uint64(shards)), int(names[i].view(np.int64))
                         spans = [(int(first[i]), int(last[i]) + window)] if whole else [(at, at + window) for at in range(int(first[i]), int(last[i]) + 1)]
                         for begin, end in spans:
-                            out.append((shard, d, key, begin, words[begin:end].tobytes()))
+                            out.append((shard, anchor, d, key, begin, words[begin:end].tobytes()))
                             held += end - begin
                     if held > 500_000:
                         yield pd.DataFrame(out, columns=names_out)
@@ -161,7 +176,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
 
         return run
 
-    schema = "shard long, doc_id long, key long, first int, words binary"
+    schema = "shard long, anchor long, doc_id long, key long, first int, words binary"
     found = texts.join(hits, ["doc_id", "key"])
     pieces = found.where("size(anchors) > 0").select("doc_id", "key", "text", "anchors").mapInPandas(cut("anchors", True), schema)
     gone = pieces.groupBy("shard").applyInPandas(lambda rows: search(rows, window), "doc_id long, key long, windows array<int>")
@@ -171,8 +186,11 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: l
         distinct = distinct.select("words", "least", F.xxhash64("words").alias("code"))
         dealt = durable(distinct.withColumn("shard", F.pmod("code", F.lit(max(1, hot * window // SHARD_WORDS)))))
         named = dealt.groupBy("shard").applyInPandas(lambda rows: owners(rows, window), "code long, owner long")
-        places = single.select("doc_id", "key", "first", F.xxhash64("words").alias("code"))
-        gone = gone.union(places.join(named, "code").where("owner < doc_id").groupBy("doc_id", "key").agg(F.collect_list("first").alias("windows")))
+        # the places of one window, which many documents may hold, go to SALTS tasks; its owner is two numbers
+        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+        places = single.select("doc_id", "key", "first", F.xxhash64("words").alias("code"), salt.alias("salt"))
+        named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        gone = gone.union(places.join(named, ["code", "salt"]).where("owner < doc_id").groupBy("doc_id", "key").agg(F.collect_list("first").alias("windows")))
     gone = gone.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("windows")).alias("windows"))
     gone = gone.select("doc_id", "key", "windows", F.lit(False).alias("whole")).union(copies.select("doc_id", "key", F.lit(None).cast("array<int>"), F.lit(True)))
     joined = docs.alias("d").join(gone.alias("g"), (F.col("d.doc_id") == F.col("g.doc_id")) & (F.col("d.key") == F.col("g.key")), "left")

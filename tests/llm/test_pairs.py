@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,18 +114,41 @@ def test_passages_carry_columns_of_any_name(docs_of):
 def test_fm_index_finds_windows_of_other_texts():
     rng = np.random.default_rng(0)
     sequences = [rng.integers(1, 5, n) for n in (30, 7, 100, 3)]
-    index = fmindex.FmIndex(sequences, 6, 6)
+    index = fmindex.FmIndex(sequences, 6, 6, [8, 5, 9, 5])
     where = defaultdict(set)
     for s, found in zip(sequences, index.match(sequences), strict=True):
         for k in range(len(s) - 5):
             where[tuple(s[k : k + 6].tolist())].add(int(found[k]))
     groups = [next(iter(g)) for g in where.values()]
     assert all(len(g) == 1 for g in where.values()) and len(set(groups)) == len(groups) and min(groups) >= 0
+    owner = {}
+    for s, doc in zip(sequences, (8, 5, 9, 5), strict=True):
+        for k in range(len(s) - 5):
+            run = tuple(s[k : k + 6].tolist())
+            owner[run] = min(doc, owner.get(run, doc))
+    assert all(index.least[next(iter(g))] == owner[run] for run, g in where.items())
     queries = [rng.integers(1, 7, 200), sequences[2], rng.integers(1, 5, 5)]
     for q, found in zip(queries, index.match(queries), strict=True):
         assert [int(g) for g in found] == [next(iter(where.get(tuple(q[k : k + 6].tolist()), {-1}))) for k in range(len(q) - 5)]
 
 
+def test_a_shard_streams_later_documents_against_owners():
+    rng = np.random.default_rng(4)
+    shared = [rng.integers(1, 1 << 60, n, np.uint64) for n in (14, 9, 30)]
+    rows = []
+    for doc, anchor, parts in ((5, 1, (0,)), (3, 1, (0, 1)), (9, 1, (1, 0)), (9, 1, (1, 0)), (7, 2, (2,)), (7, 2, (2,)), (8, 3, (1,)), (2, 3, (2, 1)), (8, 3, (2,))):
+        own = [rng.integers(1, 1 << 60, 5, np.uint64)]
+        rows.append((doc, anchor, 100 * len(rows), np.concatenate([own[0], *[shared[i] for i in parts], own[0]])))
+    frame = pd.DataFrame([(d, d, a, f, w.tobytes()) for d, a, f, w in rows], columns=["doc_id", "key", "anchor", "first", "words"])
+    got = {(r.doc_id, int(w)) for r in substring.search(frame, 8).itertuples() for w in r.windows}
+    least = {}
+    for d, a, _, w in rows:
+        for k in range(len(w) - 7):
+            run = (a, *w[k : k + 8].tolist())
+            least[run] = min(d, least.get(run, d))
+    assert got == {(d, f + k) for d, a, f, w in rows for k in range(len(w) - 7) if least[(a, *w[k : k + 8].tolist())] < d}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))

@@ -56,24 +56,43 @@ def stretches(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], edge)), np.concatenate((edge, [len(names)])) - 1
 
 
-def index_of(owned: dict[bytes, int], window: int) -> tuple[np.ndarray, FmIndex]:
-    """The distinct words of the contents, in order, and the index of the contents with the document that each belongs to."""
+def index_of(owned: dict[bytes, int], window: int) -> tuple[np.ndarray, np.ndarray, FmIndex]:
+    """The distinct words and short word runs of the contents, in order, and the index of the contents with their documents."""
     sequences = [np.frombuffer(c, np.uint64) for c in owned]
-    names, flat = np.unique(np.concatenate(sequences), return_inverse=True)
+    whole = np.concatenate(sequences)
+    names, flat = np.unique(whole, return_inverse=True)
     numbers = np.split(flat.astype(np.int64) + 1, np.cumsum([len(x) for x in sequences])[:-1])
-    return names, FmIndex(numbers, window, len(names), list(owned.values()))
+    return names, np.unique(hash_runs(whole, min(ANCHOR, window))), FmIndex(numbers, window, len(names), list(owned.values()))
 
 
-def stream(contents: list[bytes], names: np.ndarray, index: FmIndex) -> list[np.ndarray]:
+def among(values: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in the ordered ``known``, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return at, known[at] == values
+
+
+def stream(contents: list[bytes], names: np.ndarray, runs: np.ndarray, index: FmIndex) -> list[np.ndarray]:
     """The smallest indexed document that holds each window of the contents; the largest number where none does.
 
-    Words that the index does not hold are number 0, which no match passes.
+    Only windows whose short word runs all occur in the index can be found, so only the parts made of such windows are
+    searched, where a search seldom fails; words that the index does not hold are number 0, which no match passes.
     """
-    flat = np.frombuffer(b"".join(contents), np.uint64)
-    at = np.minimum(np.searchsorted(names, flat), len(names) - 1)
-    numbers = np.where(names[at] == flat, at + 1, 0)
-    least = np.append(index.least, np.iinfo(np.int64).max)  # -1 means no group
-    return [least[g] for g in index.match(np.split(numbers, np.cumsum([len(c) // 8 for c in contents])[:-1]))]
+    flat, sizes = np.frombuffer(b"".join(contents), np.uint64), np.array([len(c) // 8 for c in contents])
+    depth, ends = index.depth, np.cumsum(sizes)
+    out = np.full(len(flat), np.iinfo(np.int64).max)
+    missing = np.concatenate(([0], np.cumsum(~among(hash_runs(flat, min(ANCHOR, depth)), runs)[1])))
+    span = depth - min(ANCHOR, depth) + 1
+    possible = np.zeros(len(flat), bool)
+    possible[: len(missing) - span] = missing[span:] == missing[: len(missing) - span]
+    possible &= np.arange(len(flat)) + depth <= np.repeat(ends, sizes)
+    edge = np.flatnonzero(np.diff(possible, prepend=False))
+    edge = np.append(edge, len(flat)) if len(edge) % 2 else edge
+    first, last = edge[::2], edge[1::2]
+    at, there = among(flat, names)
+    numbers, least = np.where(there, at + 1, 0), np.append(index.least, np.iinfo(np.int64).max)  # -1 means no group
+    for i, j, groups in zip(first.tolist(), last.tolist(), index.match([numbers[i : j + depth - 1] for i, j in zip(first, last, strict=True)]) if len(first) else [], strict=True):
+        out[i:j] = least[groups]
+    return [x[: max(0, len(x) - depth + 1)] for x in np.split(out, ends[:-1])]
 
 
 def search(rows: pd.DataFrame, window: int = WINDOW) -> pd.DataFrame:

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sinolex.operators.chars import char_features, chars
 from sinolex.operators.dictionary import matches
+from sinolex.operators.tables import durable, fetched, within
+
+#: Words up to which what is known of them is sent to the tasks that spell out pairs.
+FEW_WORDS = 200_000
 
 
 def segment_features(df: DataFrame, keys: list[str], text: str, words: DataFrame | None = None, bigrams: DataFrame | None = None, word_min: int = 2, word_max: int = 4) -> DataFrame:
@@ -42,6 +49,8 @@ def segment_features(df: DataFrame, keys: list[str], text: str, words: DataFrame
 def word_info(words: DataFrame, known: DataFrame, parts: DataFrame, char_set: DataFrame, longest: int = 4) -> DataFrame:
     """For each distinct word: whether it is known, else its longest known proper beginning and ending, and its rare characters."""
     distinct = words.select("word").distinct()
+    if (tables := fetched((known.select("word").distinct(), ("word",)), (parts.select("part").distinct(), ("part",)), (char_set.select("ch").distinct(), ("ch",)))) is not None:
+        return _word_info_in_tasks(distinct, *tables, longest)
     flagged = distinct.join(known.select("word").distinct().withColumn("known", F.lit(True)), "word", "left").select("word", F.coalesce("known", F.lit(False)).alias("known"))
     open_words = flagged.where(~F.col("known")).select("word")
     cuts = F.when(F.length("word") > 1, F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(longest)))).otherwise(F.array().cast("array<int>"))
@@ -54,6 +63,28 @@ def word_info(words: DataFrame, known: DataFrame, parts: DataFrame, char_set: Da
     return info.withColumn("held", F.coalesce("held", F.array().cast("array<string>")))
 
 
+def _word_info_in_tasks(distinct: DataFrame, *tables: pa.Table) -> DataFrame:
+    """As ``word_info``, where known words, parts and characters are within the bounds of tasks."""
+    *found, longest = tables
+    shared = distinct.sparkSession.sparkContext.broadcast([set(t.column(0).to_pylist()) for t in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, chars = shared.value
+        for batch in batches:
+            rows = []
+            for w in batch.column(0).to_pylist():
+                cuts = range(min(len(w or "") - 1, longest), 0, -1)
+                open_word = w is not None and w not in known
+                lft = next((w[:n] for n in cuts if w[:n] in parts), None) if open_word else None
+                rgt = next((w[-n:] for n in cuts if w[-n:] in parts), None) if open_word else None
+                rows.append((w is not None and not open_word, lft, rgt, list({c for c in w if c in chars}) if open_word else []))
+            columns = [list(c) for c in zip(*rows, strict=True)] or [[], [], [], []]
+            kinds = pa.bool_(), pa.string(), pa.string(), pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["word", "known", "lft", "rgt", "held"])
+
+    return distinct.mapInArrow(run, "word string, known boolean, lft string, rgt string, held array<string>")
+
+
 def _own_chars(w: Column, held: Column) -> list[Column]:
     """Features of the characters of a word of which nothing is known."""
     n = F.length(w)
@@ -69,31 +100,89 @@ def _own_chars(w: Column, held: Column) -> list[Column]:
     return [*out, one("c6", -1, n >= 5), one("c5", -2, n > 5)]
 
 
+def _single(x, w: str, left: str, right: str, unknown: str, there: Column) -> list[Column]:
+    """Features of one word: itself, or its known beginning and ending, or that nothing is known of it."""
+    none = there & ~x["known"] & x["lft"].isNull() & x["rgt"].isNull()
+    return [F.when(there & x["known"], F.concat(F.lit(w), x["word"])), F.when(there & ~x["known"], F.concat(F.lit(left), x["lft"])), F.when(there & ~x["known"], F.concat(F.lit(right), x["rgt"])), F.when(none, F.lit(unknown))]
+
+
+def _names(x) -> dict[str, Column]:
+    """The forms under which a word enters a pair; null where it has none."""
+    return {"w": F.when(x["known"], x["word"]), "l": F.when(~x["known"], x["lft"]), "r": F.when(~x["known"], x["rgt"])}
+
+
+#: Kinds of the features of the word before, the word itself and the one behind.
+BEFORE, OWN, BEHIND = {"w": "v", "l": "bl", "r": "br"}, {"w": "w", "l": "cl", "r": "cr"}, {"w": "x", "l": "dl", "r": "dr"}
+
+
+def _paired(left: dict[str, Column], kinds: dict[str, str], right: dict[str, Column], others: dict[str, str]) -> list[Column]:
+    return [F.concat(F.lit(kinds[i] + others[j]), left[i], F.lit("*"), right[j]) for i in "wlr" for j in "wlr"]
+
+
+def _own(x) -> list[Column]:
+    bare = ~x["known"] & x["lft"].isNull() & x["rgt"].isNull()
+    return [*_single(x, *OWN.values(), "wk", F.lit(True)), *[F.when(bare, c) for c in _own_chars(x["word"], x["held"])]]
+
+
+def tag_feature_counts(pairs: DataFrame, info: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
+    """(feature, freq) of ``tag_features`` over all words, from counted neighbours (pre, suf, freq), null at the ends of texts.
+
+    Each feature is one of a word or of two neighbours, so distinct words and pairs are joined and spelt out, not all words of
+    all texts. Words of ``skipped`` are context only.
+    """
+    n, before, behind = F.col("freq"), F.col("pre").isNotNull(), F.col("suf").isNotNull()
+    # how often a word is one of its own features, how often it is before and behind a word that has features, and at an end
+    counts = [F.when(behind, n), F.when(behind & ~before, n), F.when(before & ~behind, n), F.when(before & behind, n)]
+    open_pre = open_suf = F.lit(True)
+    if skipped is not None:
+        gone = skipped.select("word").distinct()
+        gone = F.broadcast(gone) if within(gone, "word") else gone
+        for side in ("pre", "suf"):
+            pairs = pairs.join(gone.select(F.col("word").alias(side), F.lit(True).alias(f"{side}_gone")), side, "left")
+        open_pre, open_suf = F.col("pre_gone").isNull(), F.col("suf_gone").isNull()
+    zero = F.lit(0).cast("long")
+
+    def by(side: str, **sums: Column) -> DataFrame:
+        return pairs.where(F.col(side).isNotNull()).groupBy(F.col(side).alias("word")).agg(*[F.coalesce(F.sum(c), zero).alias(k) for k, c in sums.items()])
+
+    after = by("suf", own=F.when(open_suf, counts[0]), first=F.when(open_suf, counts[1]), ahead=F.when(open_pre, counts[3]))
+    ahead = by("pre", last=F.when(open_pre, counts[2]), back=F.when(open_suf, counts[3]))
+    words = after.join(ahead, "word", "left").join(info, "word")
+    me = {c: F.col(c) for c in ("word", "known", "lft", "rgt", "held")}
+    yes = F.lit(True)
+    kinds = [("own", _own(me)), ("back", _single(me, *BEFORE.values(), "vk", yes)), ("ahead", _single(me, *BEHIND.values(), "xk", yes)), ("first", [F.lit("[START]")]), ("last", [F.lit("[END]")])]
+    rows = [F.struct(f.alias("feature"), F.coalesce(c, zero).alias("freq")) for c, features in kinds for f in features]
+    singles = durable(words.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("feature is not null and freq > 0").groupBy("feature").agg(F.sum("freq").alias("freq")))
+    forms = F.when(F.col("known"), F.array(F.struct(F.lit("w").alias("k"), F.col("word").alias("f")))).otherwise(F.filter(F.array(F.struct(F.lit("l").alias("k"), F.col("lft").alias("f")), F.struct(F.lit("r").alias("k"), F.col("rgt").alias("f"))), lambda x: x["f"].isNotNull()))
+    facts = info.select("word", forms.alias("forms")).where("size(forms) > 0")
+    facts = F.broadcast(facts) if within(facts, "word", FEW_WORDS) else facts
+    both = pairs.where(before & behind)
+    for side in ("pre", "suf"):
+        both = both.join(facts.select(F.col("word").alias(side), F.col("forms").alias(f"{side}_forms")), side)
+    both = both.select(F.when(open_suf, n).otherwise(zero).alias("to_suf"), F.when(open_pre, n).otherwise(zero).alias("to_pre"), F.explode("pre_forms").alias("p"), "suf_forms").select("to_suf", "to_pre", "p", F.explode("suf_forms").alias("q"))
+    # a pair of forms makes two features, which are spelt out once it is summed
+    summed = both.groupBy(F.col("p.k").alias("i"), F.col("q.k").alias("j"), F.concat("p.f", F.lit("*"), "q.f").alias("name")).agg(F.sum("to_suf").alias("to_suf"), F.sum("to_pre").alias("to_pre"))
+
+    def kind(of: dict[str, str], column: str) -> Column:
+        return F.when(F.col(column) == "w", of["w"]).when(F.col(column) == "l", of["l"]).otherwise(of["r"])
+
+    spelt = F.array(*[F.struct(F.concat(kind(left, "i"), kind(right, "j"), "name").alias("feature"), F.col(c).alias("freq")) for left, right, c in ((BEFORE, OWN, "to_suf"), (OWN, BEHIND, "to_pre"))])
+    paired = summed.select(F.explode(spelt).alias("x")).select("x.*").where("freq > 0")
+    every = singles.union(paired)
+    # only a single feature with a star can be spelt as one of a pair
+    return every if singles.where(F.col("feature").contains("*")).isEmpty() else every.groupBy("feature").agg(F.sum("freq").alias("freq"))
+
+
 def tag_features(tokens: DataFrame, info: DataFrame, key: str = "sent_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """(key, pos, word, carried columns, features) for every word, from what is known of it and of its two neighbours."""
     rows = tokens.join(info, "word")
     order = Window.partitionBy(key).orderBy("pos")
     own = F.struct("word", "known", "lft", "rgt")
     rows = rows.withColumn("p", F.lag(own).over(order)).withColumn("q", F.lead(own).over(order))
-    me = {"word": F.col("word"), "known": F.col("known"), "lft": F.col("lft"), "rgt": F.col("rgt")}
+    me = {c: F.col(c) for c in ("word", "known", "lft", "rgt", "held")}
     pre, suf = F.col("p"), F.col("q")
-
-    def single(x, w: str, left: str, right: str, unknown: str, there: Column) -> list[Column]:
-        none = there & ~x["known"] & x["lft"].isNull() & x["rgt"].isNull()
-        return [F.when(there & x["known"], F.concat(F.lit(w), x["word"])), F.when(there & ~x["known"], F.concat(F.lit(left), x["lft"])), F.when(there & ~x["known"], F.concat(F.lit(right), x["rgt"])), F.when(none, F.lit(unknown))]
-
-    def names(x) -> dict[str, Column]:
-        """The forms under which a word enters a pair; null where it has none."""
-        return {"w": F.when(x["known"], x["word"]), "l": F.when(~x["known"], x["lft"]), "r": F.when(~x["known"], x["rgt"])}
-
     has_pre, has_suf = pre.isNotNull(), suf.isNotNull()
-    out = single(pre, "v", "bl", "br", "vk", has_pre) + [F.when(~has_pre, F.lit("[START]"))]
-    out += single(me, "w", "cl", "cr", "wk", F.lit(True))
-    bare = ~me["known"] & me["lft"].isNull() & me["rgt"].isNull()
-    out += [F.when(bare, c) for c in _own_chars(F.col("word"), F.col("held"))]
-    out += single(suf, "x", "dl", "dr", "xk", has_suf) + [F.when(~has_suf, F.lit("[END]"))]
-    before, current, after = names(pre), names(me), names(suf)
-    b, c, d = {"w": "v", "l": "bl", "r": "br"}, {"w": "w", "l": "cl", "r": "cr"}, {"w": "x", "l": "dl", "r": "dr"}
-    out += [F.concat(F.lit(b[i] + c[j]), before[i], F.lit("*"), current[j]) for i in "wlr" for j in "wlr"]
-    out += [F.concat(F.lit(c[i] + d[j]), current[i], F.lit("*"), after[j]) for i in "wlr" for j in "wlr"]
+    out = _single(pre, *BEFORE.values(), "vk", has_pre) + [F.when(~has_pre, F.lit("[START]"))] + _own(me)
+    out += _single(suf, *BEHIND.values(), "xk", has_suf) + [F.when(~has_suf, F.lit("[END]"))]
+    out += _paired(_names(pre), BEFORE, _names(me), OWN) + _paired(_names(me), OWN, _names(suf), BEHIND)
     return rows.select(key, "pos", "word", *carry, F.array_compact(F.array(*out)).alias("features"))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sinolex.operators.chars import char_features, chars
+from sinolex.operators.automaton import Trie, code_points
+from sinolex.operators.chars import char_feature_counts, char_features, chars
 from sinolex.operators.dictionary import matches
-from sinolex.operators.tables import durable, fetched, within
+from sinolex.operators.tables import durable, fetched, slices, within
 
 #: Words up to which what is known of them is sent to the tasks that spell out pairs.
 FEW_WORDS = 200_000
@@ -46,6 +49,73 @@ def segment_features(df: DataFrame, keys: list[str], text: str, words: DataFrame
     return rows.select(*keys, "pos", F.concat("features", F.array_compact(F.array(*more))).alias("features"))
 
 
+def segment_feature_counts(df: DataFrame, text: str, words: DataFrame | None = None, bigrams: DataFrame | None = None, word_min: int = 2, word_max: int = 4, of_chars: bool = True) -> DataFrame:
+    """(feature, freq) of ``segment_features`` over all texts; without ``of_chars`` of words only.
+
+    Features are counted inside tasks, where words and bigrams are within their bounds; only the counts are shuffled.
+    """
+    counts = char_feature_counts(df, text) if of_chars else None
+    if words is None:
+        return counts
+    asked = [(words.select("word").where(F.length("word").between(word_min, word_max)).distinct(), ("word",))]
+    if bigrams is not None:
+        asked.append((bigrams.select("pre", "suf").distinct(), ("pre", "suf")))
+    if (found := fetched(*asked)) is None:
+        rows = segment_features(df.select(F.monotonically_increasing_id().alias("row"), text), ["row"], text, words, bigrams, word_min, word_max)
+        names = F.col("features") if of_chars else F.filter("features", lambda f: f.rlike(r"(?s)^(?:v|x|w[lr]\d).+|^w[lr]\d\d$|^w[lr].+\*"))
+        return rows.select(F.explode(names).alias("feature")).groupBy("feature").agg(F.count("*").alias("freq"))
+    given = _word_feature_counts(df, text, found[0].column(0).to_pylist(), [tuple(r.values()) for r in found[1].to_pylist()] if bigrams is not None else [])
+    every = given if counts is None else counts.union(given)
+    return every.groupBy("feature").agg(F.sum("freq").alias("freq"))
+
+
+def _word_feature_counts(df: DataFrame, text: str, words: list[str], bigrams: list[tuple[str, str]]) -> DataFrame:
+    """(feature, freq), one part for each task."""
+    of = {w: i for i, w in enumerate(words)}
+    pairs = np.array(sorted({of[p] * len(words) + of[s] for p, s in bigrams if p in of and s in of}), np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((words, Trie(words), Trie([w[::-1] for w in words]), pairs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, trie, backwards, pairs = shared.value
+        starts, ends, together = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), np.zeros(len(pairs), np.int64)
+        most = int(trie.sizes.max()) + 1 if len(words) else 1
+        sizes_of = np.zeros(most * most, np.int64)
+        for batch in batches:
+            column = batch.column(0)
+            for i, j in slices(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)):
+                codes, sizes = code_points([t or "" for t in column[i:j].to_pylist()])
+                if not len(codes) or not len(words):
+                    continue
+                stop = np.repeat(np.cumsum(sizes), sizes)
+                start = stop - np.repeat(sizes, sizes)
+                begin = trie.longest_at(codes, stop)
+                end = backwards.longest_at(codes[::-1], len(codes) - start[::-1])[::-1]
+                starts += np.bincount(begin[begin >= 0], minlength=len(words))
+                ends += np.bincount(end[end >= 0], minlength=len(words))
+                at = np.flatnonzero((end[:-1] >= 0) & (begin[1:] >= 0) & (start[:-1] == start[1:]))
+                left, right = end[at].astype(np.int64), begin[at + 1].astype(np.int64)
+                sizes_of += np.bincount(trie.sizes[left] * most + trie.sizes[right], minlength=most * most)
+                if len(pairs):
+                    keys = left * len(words) + right
+                    place = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+                    together += np.bincount(place[pairs[place] == keys], minlength=len(pairs))
+        names, freq = [], []
+        for kind, n in (("v", ends), ("x", starts)):
+            held = np.flatnonzero(n)
+            names += [kind + words[k] for k in held.tolist()]
+            freq += n[held].tolist()
+        for side in ("wl", "wr"):  # each is seen from both of its sides
+            for k in np.flatnonzero(sizes_of).tolist():
+                names.append(f"{side}{k // most}{k % most}")
+                freq.append(int(sizes_of[k]))
+            for k in np.flatnonzero(together).tolist():
+                names.append(f"{side}{words[pairs[k] // len(words)]}*{words[pairs[k] % len(words)]}")
+                freq.append(int(together[k]))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(freq, pa.int64())], names=["feature", "freq"])
+
+    return df.select(text).mapInArrow(run, "feature string, freq long")
+
+
 def word_info(words: DataFrame, known: DataFrame, parts: DataFrame, char_set: DataFrame, longest: int = 4) -> DataFrame:
     """For each distinct word: whether it is known, else its longest known proper beginning and ending, and its rare characters."""
     distinct = words.select("word").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sinolex.functions.charset import preprocess
@@ -20,10 +20,14 @@ def annotate(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("clean", preprocess(F.col(text))).withColumn("hits", rules.resolve(rules.extract_info(F.col(text))))
 
 
+def piece_list(text: str = "text") -> Column:
+    """The pieces (s, t) of a text between and inside rule hits, in the row."""
+    return rules.cut_by_rules(F.col(text), rules.resolve(rules.extract_info(F.col(text))))
+
+
 def pieces(df: DataFrame, text: str = "text") -> DataFrame:
     """The texts' pieces between and inside rule hits, as rows with their place ``at`` in the text's pieces."""
-    hits = rules.resolve(rules.extract_info(F.col(text)))
-    return df.select("*", F.posexplode(rules.cut_by_rules(F.col(text), hits)).alias("at", "p")).select("*", F.col("p.s").alias("piece"), F.col("p.t").alias("type")).drop("p")
+    return df.select("*", F.posexplode(piece_list(text)).alias("at", "p")).select("*", F.col("p.s").alias("piece"), F.col("p.t").alias("type")).drop("p")
 
 
 def with_features(df: DataFrame, text: str = "text") -> DataFrame:

@@ -24,12 +24,14 @@ from pyspark.sql.types import StructType
 
 from sinolex.operators import evaluate
 from sinolex.operators.lattice import Lattice, log_sum
-from sinolex.operators.tables import durable
+from sinolex.operators.tables import durable, slices, within
 
 __all__ = ["Edges", "Weights", "converged", "decode", "gain", "gradient", "log_sum", "node_marginals", "prune", "train", "weight_stats"]
 
 #: Feature occurrences of a block of samples.
 BLOCK = 2_000_000
+#: Weights up to which all are sent to the tasks.
+LOCAL_WEIGHTS = 200_000
 #: Losses that a gain is measured over, the factor of the second ratio that is decoded, and the least share of tags that it must change.
 WINDOW = 10
 LESS = 0.99
@@ -125,10 +127,17 @@ def node_marginals(df: DataFrame, w: Weights, key: str = "sent_id") -> DataFrame
 # Steps with weights that stay in Spark.
 
 
+def with_blocks(samples: DataFrame, block: int, batches: int = 0) -> DataFrame:
+    """The samples with their block; where there is one batch only, all are of one."""
+    if batches == 1:
+        return samples.select(F.lit(0).alias("block"), *samples.columns)
+    occurrences = samples.agg(F.coalesce(F.sum(F.aggregate("features", F.lit(0).cast("long"), lambda a, f: a + F.size(f))), F.lit(0))).first()[0]
+    return samples.select(F.pmod(F.xxhash64("sent_id"), F.lit(max(1, -(-occurrences // block)))).alias("block"), *samples.columns)
+
+
 def blocks(samples: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """The samples with their block, and (block, idx): the features of each block."""
-    occurrences = samples.agg(F.coalesce(F.sum(F.aggregate("features", F.lit(0).cast("long"), lambda a, f: a + F.size(f))), F.lit(0))).first()[0]
-    dealt = durable(samples.select(F.pmod(F.xxhash64("sent_id"), F.lit(max(1, -(-occurrences // block)))).alias("block"), *samples.columns))
+    dealt = durable(with_blocks(samples, block))
     return dealt, durable(dealt.select("block", F.explode(F.array_distinct(F.flatten("features")).cast("array<long>")).alias("idx")).distinct())
 
 
@@ -161,25 +170,61 @@ def gradient(samples: DataFrame, needs: DataFrame, weights: DataFrame, edges: Ed
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
         lattice, sizes, rows, names, y = _block(own, known, t)
         tags = own.column("tags").combine_chunks().flatten().to_numpy().astype(np.int64)
-        z, prob, pairs = lattice.marginals(y, edges.scaled)
-        seen = lattice.seen_pairs(tags, t)
-        here = np.arange(len(tags))
-        loss = z.sum() - y[here, tags].sum() - (seen * edges.scaled).sum()
-        best = lattice.viterbi(y, np.stack((edges.scaled, edges.scaled * LESS)))
-        delta = prob
-        delta[here, tags] -= 1
-        of = np.repeat(here, sizes)
-        g = np.stack([np.bincount(rows, delta[of, k], len(names)) for k in range(t)], axis=1)
-        held = np.bincount(np.unique(lattice.owner[of] * len(names) + rows) % max(len(names), 1), minlength=len(names))
-        values = np.concatenate((g.ravel(), (pairs - seen).ravel()))
-        none = np.zeros(len(names))
-        figures = {"loss": loss, "ratio": float(((pairs - seen) * edges.edge).sum()), "nodes": len(tags), "now": int((best[0] == tags).sum()), "less": int((best[1] == tags).sum())}
-        kinds = {"loss": float, "ratio": float, "nodes": np.int64, "now": np.int64, "less": np.int64}
-        columns = [pa.array(np.append(names, -1)), listed(values, np.append(np.full(len(names), t), t * t)), pa.array(np.append(held, int((lattice.sizes > 0).sum())).astype(np.int64))]
-        columns += [pa.array(np.append(none, v).astype(kinds[k])) for k, v in figures.items()]
-        return pa.Table.from_arrays(columns, names=[f.split(" ")[0] for f in STEP.split(", ")])
-
-    parts = durable(samples.where("size(features) > 0").groupBy("block").cogroup(pulled(needs, weights).groupBy("of")).applyInArrow(run, STEP))
+        return pa.Table.from_arrays(*_step_columns(names, *_step(lattice, sizes, rows, len(names), y, tags, edges)))
+
+    return _summed(samples.where("size(features) > 0").groupBy("block").cogroup(pulled(needs, weights).groupBy("of")).applyInArrow(run, STEP), t)
+
+
+def _step(lattice: Lattice, sizes: np.ndarray, rows: np.ndarray, n: int, y: np.ndarray, tags: np.ndarray, edges: Edges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some samples: gradients of n features, samples that hold each, the edge gradient, and the figures of STEP with the samples first."""
+    t = edges.edge.shape[0]
+    z, prob, pairs = lattice.marginals(y, edges.scaled)
+    seen = lattice.seen_pairs(tags, t)
+    here = np.arange(len(tags))
+    loss = z.sum() - y[here, tags].sum() - (seen * edges.scaled).sum()
+    best = lattice.viterbi(y, np.stack((edges.scaled, edges.scaled * LESS)))
+    delta = prob
+    delta[here, tags] -= 1
+    of = np.repeat(here, sizes)
+    g = np.stack([np.bincount(rows, delta[of, k], n) for k in range(t)], axis=1)
+    held = np.bincount(np.unique(lattice.owner[of] * n + rows) % max(n, 1), minlength=n)
+    return g, held, pairs - seen, np.array([(lattice.sizes > 0).sum(), loss, ((pairs - seen) * edges.edge).sum(), len(tags), (best[0] == tags).sum(), (best[1] == tags).sum()], float)
+
+
+def _step_columns(names: np.ndarray, g: np.ndarray, held: np.ndarray, pairs: np.ndarray, figures: np.ndarray) -> tuple[list[pa.Array], list[str]]:
+    """The columns of STEP: a row for each feature, and a last one with the edge gradient and the figures."""
+    t, none = g.shape[1], np.zeros(len(names))
+    columns = [pa.array(np.append(names, -1)), listed(np.concatenate((g.ravel(), pairs.ravel())), np.append(np.full(len(names), t), t * t)), pa.array(np.append(held, figures[0]).astype(np.int64))]
+    columns += [pa.array(np.append(none, v).astype(kind)) for v, kind in zip(figures[1:], (float, float, np.int64, np.int64, np.int64), strict=True)]
+    return columns, [f.split(" ")[0] for f in STEP.split(", ")]
+
+
+def gradient_in_tasks(samples: DataFrame, weights: pa.Table, edges: Edges) -> tuple[DataFrame, dict]:
+    """As ``gradient``, with weights (idx, weights) that fit into tasks: samples stay where they are, each task sums its own."""
+    t = edges.edge.shape[0]
+    by = np.argsort(weights.column("idx").to_numpy())
+    names = weights.column("idx").to_numpy()[by].astype(np.int64)
+    shared = samples.sparkSession.sparkContext.broadcast((names, weights.column("weights").combine_chunks().flatten().to_numpy().reshape(-1, t)[by]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, node = shared.value
+        sums = [np.zeros((len(names), t)), np.zeros(len(names), np.int64), np.zeros((t, t)), np.zeros(6)]
+        for batch in batches:
+            lists, tags = batch.column(0), batch.column(1)
+            for i, j in slices(lists.value_lengths().to_numpy(zero_copy_only=False)):
+                positions, sizes, features = flat(lists[i:j])
+                rows = np.searchsorted(names, features)
+                own = tags[i:j].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                for total, part in zip(sums, _step(Lattice(positions), sizes, rows, len(names), scores(node, sizes, rows), own, edges), strict=True):
+                    total += part
+        held = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays(*_step_columns(names[held], sums[0][held], sums[1][held], *sums[2:]))
+
+    return _summed(samples.where("size(features) > 0").select("features", "tags").mapInArrow(run, STEP), t)
+
+
+def _summed(rows: DataFrame, t: int) -> tuple[DataFrame, dict]:
+    parts = durable(rows)
     by_feature = parts.where("idx >= 0").groupBy("idx").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(t)]).alias("g"), F.sum("n").alias("n"))
     total = parts.where("idx < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "loss", "ratio", "nodes", "now", "less")], F.array(*[F.coalesce(F.sum(F.col("g")[k]), F.lit(0.0)) for k in range(t * t)]).alias("edge")).first()
     return by_feature, total.asDict() | {"edge": np.array(total["edge"]).reshape(t, t)}
@@ -261,26 +306,32 @@ def resumed(weights: DataFrame, edges: Edges, state: str) -> Trained:
     return Trained(spark.read.parquet(f"{state}/weights/{last['epoch']}"), Edges(np.array(last["edge"]).reshape(t, t), last["ratio"]), log)
 
 
-def train(samples: DataFrame, weights: DataFrame, n_tags: int, epochs: int = 5, batches: int = 1, rate: float = 1.0, drop: float = 0.1, patience: float = 1e-4, decay: bool = False, seed: int = 0, held_out: DataFrame | None = None, state: str | None = None, block: int = BLOCK) -> Trained:
+def train(samples: DataFrame, weights: DataFrame, n_tags: int, epochs: int = 5, batches: int = 1, rate: float = 1.0, drop: float = 0.1, patience: float = 1e-4, decay: bool = False, seed: int = 0, held_out: DataFrame | None = None, state: str | None = None, block: int = BLOCK, keep: bool = True) -> Trained:
     """Stochastic gradient descent from ``weights`` (idx, weights) over samples with tags.
 
     The rate falls with the epochs and inside them. After each epoch ``held_out`` samples are decoded for the log. With
     ``state``, a folder that the cluster shares, each epoch's weights and figures are written there, the figures last; a run
     that finds such a folder goes on behind its last whole epoch. Training ends once the gain is under ``patience``.
+
+    Without ``keep`` samples are not stored but made again for each step, and not shuffled, if the weights fit into tasks.
     """
     spark = samples.sparkSession
     found = Trained(weights, Edges(np.zeros((n_tags, n_tags))), [])
     if state:
         found = resumed(weights, found.edges, state)
     weights, edges, log = durable(found.weights), found.edges, found.log
-    dealt, needs = blocks(samples, block)
+    few = not keep and within(weights.select(F.col("idx").cast("string").alias("idx")), "idx", LOCAL_WEIGHTS)
+    dealt, needs = (with_blocks(samples, block, batches), None) if few else blocks(samples, block)
     tests = blocks(held_out, block) if held_out is not None else None
     while len(log) < epochs and not converged([r["loss"] for r in log], patience):
         epoch, loss, n, step = len(log), 0.0, 0, rate
         for b in range(batches):
             chosen = F.pmod(F.xxhash64("block", F.lit(seed + epoch)), F.lit(batches)) == b
-            part, own = (dealt.where(chosen), needs.where(chosen)) if batches > 1 else (dealt, needs)
-            by_feature, figures = gradient(part, own, weights, edges)
+            part = dealt.where(chosen) if batches > 1 else dealt
+            if few:
+                by_feature, figures = gradient_in_tasks(part, weights.select("idx", "weights").toArrow(), edges)
+            else:
+                by_feature, figures = gradient(part, needs.where(chosen) if batches > 1 else needs, weights, edges)
             step = rate * float(np.exp(-(epoch + b / batches) * drop))
             weights, edges = durable(stepped(weights, by_feature, step, decay)), step_edges(edges, figures, step, decay)
             loss, n = loss + figures["loss"], n + figures["n"]

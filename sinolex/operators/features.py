@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sinolex.operators import local
 from sinolex.operators.automaton import Trie, code_points
 from sinolex.operators.chars import char_feature_counts, char_features, chars
 from sinolex.operators.dictionary import matches
 from sinolex.operators.tables import durable, fetched, slices, within
+from sinolex.sources.lines import feature_numbers
 
 #: Words up to which what is known of them is sent to the tasks that spell out pairs.
 FEW_WORDS = 200_000
@@ -69,6 +71,17 @@ def segment_feature_counts(df: DataFrame, text: str, words: DataFrame | None = N
     return every.groupBy("feature").agg(F.sum("freq").alias("freq"))
 
 
+def text_samples(df: DataFrame, keys: list[str], text: str, index: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, carried columns, feature numbers of the characters) of the texts that have characters; keys are unique.
+
+    An index within the bounds of tasks is sent to them, and nothing is shuffled; a larger one is joined.
+    """
+    rows = df.where(F.length(text) > 0)
+    if (found := fetched((index, ("feature", "idx")))) is not None:
+        return local.number_texts(rows.select(*keys, *carry, text), text, found[0])
+    return feature_numbers(segment_features(rows, keys, text), index, keys, rows.select(*keys, *carry) if carry else None)
+
+
 def _word_feature_counts(df: DataFrame, text: str, words: list[str], bigrams: list[tuple[str, str]]) -> DataFrame:
     """(feature, freq), one part for each task."""
     of = {w: i for i, w in enumerate(words)}

@@ -88,14 +88,40 @@ class SegmentTable:
     def scores(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The scores (beginning, inside) of characters, whose pieces begin and end at the given places."""
         n, none = len(codes), len(self.w) - 1
-        here = np.arange(n)
-        number = self.number[codes]
         total, missing = np.zeros((n, 2)), np.zeros(n, bool)
 
         def add(at: np.ndarray, rows: np.ndarray) -> None:
             total[at] += self.w[rows]
             missing[at[rows == none]] = True
 
+        self.visit(codes, begins, ends, add)
+        total[missing] += self.w[self.empty]
+        if self.user is not None:
+            self.add_boosts(codes, ends, total)
+        return total
+
+    def numbers(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each character how many features have a number, and the numbers in order; 0 comes first where one has none."""
+        none, columns = len(self.w) - 1, []
+        missing = np.full(len(codes), -1, np.int64)
+
+        def add(at: np.ndarray, rows: np.ndarray) -> None:
+            own = np.full(len(codes), -1, np.int64)
+            held = rows != none
+            own[at[held]] = idx[rows[held]]
+            missing[at[~held]] = 0
+            columns.append(own)
+
+        self.visit(codes, begins, ends, add)
+        table = np.sort(np.stack([missing, *columns], axis=1), axis=1)
+        return (table >= 0).sum(axis=1), table[table >= 0]
+
+    def visit(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, add) -> None:
+        """Calls add(places, rows) for each kind of feature; a place has one of a kind at most."""
+        n = len(codes)
+        here = np.arange(n)
+        number = self.number[codes]
+
         def near(step: int) -> np.ndarray:
             """Places whose neighbour so far away is in their piece."""
             return np.flatnonzero((here + step >= begins) & (here + step < ends))
@@ -112,10 +138,6 @@ class SegmentTable:
             add(at, self.pair_rows[self.pairs.find(self.pair_keys(np.int64(kind), a.astype(np.int64), b.astype(np.int64)))])
         if self.words is not None:
             self.add_words(codes, begins, ends, near, add)
-        total[missing] += self.w[self.empty]
-        if self.user is not None:
-            self.add_boosts(codes, ends, total)
-        return total
 
     def add_words(self, codes, begins, ends, near, add) -> None:
         n = len(codes)
@@ -169,6 +191,28 @@ def segment_table(weights: DataFrame, words: DataFrame | None, bigrams: DataFram
     )
 
 
+def number_texts(df: DataFrame, text: str, index: pa.Table) -> DataFrame:
+    """The rows of ``df`` without ``text`` but with the feature numbers of its characters, by an index (feature, idx)."""
+    idx = index.column("idx").to_numpy().astype(np.int64)
+    zeros = pa.FixedSizeListArray.from_arrays(pa.array(np.zeros(2 * len(idx))), 2).cast(pa.list_(pa.float64()))
+    shared = df.sparkSession.sparkContext.broadcast((SegmentTable(pa.table({"feature": index.column("feature"), "weights": zeros}), None, None, []), idx))
+    kept = [c for c in df.columns if c != text]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, idx = shared.value
+        for batch in batches:
+            column = batch.column(text)
+            for i, j in slices(pc.fill_null(pc.utf8_length(column), 0).to_numpy(zero_copy_only=False)):
+                codes, sizes = code_points([t or "" for t in column[i:j].to_pylist()])
+                ends = np.cumsum(sizes)
+                own, numbers = table.numbers(codes, np.repeat(ends - sizes, sizes), np.repeat(ends, sizes), idx)
+                inner = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(own))).astype(np.int32)), pa.array(numbers.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), inner)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[i:j] for c in kept), lists], names=[*kept, "features"])
+
+    return df.mapInArrow(run, StructType([*[df.schema[c] for c in kept], *StructType.fromDDL("features array<array<int>>").fields]))
+
+
 TOKENS = "array<struct<word:string,type:string>>"
 TOKEN = pa.struct([("word", pa.string()), ("type", pa.string())])
 

@@ -102,6 +102,11 @@ def write_features(nodes: DataFrame, index: DataFrame, keys: list[str], path: st
     feature_numbers(nodes, index, keys, tags, miss).write.mode("overwrite").parquet(path)
 
 
+def write_samples(samples: DataFrame, path: str) -> None:
+    """Samples whose features have numbers already, as ``write_features`` writes them."""
+    samples.write.mode("overwrite").parquet(path)
+
+
 def feature_numbers(nodes: DataFrame, index: DataFrame, keys: list[str], tags: DataFrame | None = None, miss: str = "any") -> DataFrame:
     rows = nodes.select(*keys, "pos", F.explode_outer("features").alias("feature")).join(index, "feature", "left")
     held = F.count("idx")

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from sinolex.operators import evaluate
 from sinolex.operators.lattice import Lattice, log_sum
-from sinolex.operators.tables import durable, slices, within
+from sinolex.operators.tables import durable, list_sizes, parts, slices, within
 
 __all__ = ["Edges", "Weights", "converged", "decode", "gain", "gradient", "log_sum", "node_marginals", "prune", "train", "weight_stats"]
 
@@ -95,7 +95,7 @@ def decode(df: DataFrame, w: Weights, key: str = "sent_id") -> DataFrame:
     """(key, tags) by Viterbi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, list_sizes(b.column("features")))):
             keys, lattice, sizes, rows = _columns(batch, key)
             tags = lattice.viterbi(scores(w.node, sizes, rows), w.scaled[None])[0]
             yield pa.RecordBatch.from_arrays([keys, listed(tags.astype(np.int32), lattice.sizes)], names=[key, "tags"])
@@ -113,7 +113,7 @@ def node_marginals(df: DataFrame, w: Weights, key: str = "sent_id") -> DataFrame
     t = w.edge.shape[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, list_sizes(b.column("features")))):
             keys, lattice, sizes, rows = _columns(batch, key)
             prob = lattice.marginals(scores(w.node, sizes, rows), w.scaled)[1]
             pos = np.arange(len(prob)) - lattice.starts[lattice.owner]
@@ -224,9 +224,9 @@ def gradient_in_tasks(samples: DataFrame, weights: pa.Table, edges: Edges) -> tu
 
 
 def _summed(rows: DataFrame, t: int) -> tuple[DataFrame, dict]:
-    parts = durable(rows)
-    by_feature = parts.where("idx >= 0").groupBy("idx").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(t)]).alias("g"), F.sum("n").alias("n"))
-    total = parts.where("idx < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "loss", "ratio", "nodes", "now", "less")], F.array(*[F.coalesce(F.sum(F.col("g")[k]), F.lit(0.0)) for k in range(t * t)]).alias("edge")).first()
+    sums = durable(rows)
+    by_feature = sums.where("idx >= 0").groupBy("idx").agg(F.array(*[F.sum(F.col("g")[k]) for k in range(t)]).alias("g"), F.sum("n").alias("n"))
+    total = sums.where("idx < 0").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "loss", "ratio", "nodes", "now", "less")], F.array(*[F.coalesce(F.sum(F.col("g")[k]), F.lit(0.0)) for k in range(t * t)]).alias("edge")).first()
     return by_feature, total.asDict() | {"edge": np.array(total["edge"]).reshape(t, t)}
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sinolex.operators.chars import let
+from sinolex.operators.tables import list_sizes, parts
 
 
 def tokens_of(tags: Column, names: list[str]) -> Column:
@@ -65,13 +66,13 @@ def f1(df: DataFrame, key: str, gold: str, pred: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3, np.int64)
-        for batch in batches:
+        for batch in (p for b in batches for p in parts(b, np.maximum(list_sizes(b.column(0)), list_sizes(b.column(1))))):
             spans = tag_chunks(batch.column(0), batch.column(1))
             total += len(spans[0]), len(spans[1]), len(np.intersect1d(*spans, assume_unique=True))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names=["n_gold", "n_pred", "n_correct"])
 
-    parts = df.select(gold, pred).mapInArrow(run, "n_gold long, n_pred long, n_correct long")
-    counts = parts.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_gold", "n_pred", "n_correct")])
+    sums = df.select(gold, pred).mapInArrow(run, "n_gold long, n_pred long, n_correct long")
+    counts = sums.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_gold", "n_pred", "n_correct")])
     precision, recall = F.col("n_correct") / F.nullif("n_pred", F.lit(0)), F.col("n_correct") / F.nullif("n_gold", F.lit(0))
     score = F.when(F.col("n_correct") == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
     return counts.select("n_gold", "n_pred", "n_correct", precision.alias("precision"), recall.alias("recall"), score.alias("f1"))

@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from sinolex.functions.charset import preprocess_text
 from sinolex.operators import dictionary
 from sinolex.operators.automaton import Keys, Trie, code_points, greedy, mixed
-from sinolex.operators.tables import fetched, slices, text_bytes
+from sinolex.operators.tables import fetched, list_sizes, parts, slices, text_bytes
 
 START, END, EMPTY = "[START]", "[END]", "/"
 SINGLES = {"c": 0, "b": -1, "a": -2, "z": -3, "d": 1, "e": 2, "f": 3}
@@ -260,11 +260,9 @@ def cut(df: DataFrame, table: SegmentTable, text: str, clean: str, hits: str, ou
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = {name: batch.column(name) for name in (text, clean, hits)}
-            sizes = pc.fill_null(pc.utf8_length(given[text]), 0).to_numpy(zero_copy_only=False)
-            parts = [cut_batch(shared.value, *(c[i:j] for c in given.values())) for i, j in slices(sizes)]
-            tokens = pa.concat_arrays(parts) if parts else pa.array([], pa.list_(TOKEN))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), tokens], names=[*kept, out])
+            for part in parts(batch, pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)):
+                tokens = cut_batch(shared.value, *(part.column(c) for c in (text, clean, hits)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), tokens], names=[*kept, out])
 
     return df.mapInArrow(run, StructType([*[df.schema[c] for c in kept], *StructType.fromDDL(f"`{out}` {TOKENS}").fields]))
 
@@ -391,7 +389,6 @@ def tag_table(weights: DataFrame, tags: list[str], words: DataFrame, parts: Data
 
 
 TAGGED = "array<struct<word:string,tag:string>>"
-TAGGED_TYPE = pa.list_(pa.struct([("word", pa.string()), ("tag", pa.string())]))
 
 
 def tag_batch(table: TagTable, words: pa.Array, types: pa.Array) -> pa.Array:
@@ -417,9 +414,8 @@ def tag(df: DataFrame, table: TagTable, words: str, types: str | None, out: str)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, kinds = batch.column(words), batch.column(types) if types else pa.array([], pa.list_(pa.string()))
-            sizes = pc.fill_null(own.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            parts = [tag_batch(shared.value, own[i:j], kinds[i:j]) for i, j in slices(sizes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(parts) if parts else pa.array([], TAGGED_TYPE)], names=[*kept, out])
+            for part in parts(batch, list_sizes(batch.column(words))):
+                kinds = part.column(types) if types else pa.array([], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, tag_batch(shared.value, part.column(words), kinds)], names=[*kept, out])
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *StructType.fromDDL(f"`{out}` {TAGGED}").fields]))

@@ -11,8 +11,8 @@ and epoch, without padding. The error of an epoch is the mean log loss of its sa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ __all__ = ["Edges", "Weights", "converged", "decode", "gain", "gradient", "log_s
 
 #: Feature occurrences of a block of samples.
 BLOCK = 2_000_000
+#: Feature occurrences whose gradients are summed at once.
+OCCURRENCES = 4_000_000
 #: Weights up to which all are sent to the tasks.
 LOCAL_WEIGHTS = 200_000
 #: Losses that a gain is measured over, the factor of the second ratio that is decoded, and the least share of tags that it must change.
@@ -185,9 +187,14 @@ def _step(lattice: Lattice, sizes: np.ndarray, rows: np.ndarray, n: int, y: np.n
     best = lattice.viterbi(y, np.stack((edges.scaled, edges.scaled * LESS)))
     delta = prob
     delta[here, tags] -= 1
-    of = np.repeat(here, sizes)
-    g = np.stack([np.bincount(rows, delta[of, k], n) for k in range(t)], axis=1)
-    held = np.bincount(np.unique(lattice.owner[of] * n + rows) % max(n, 1), minlength=n)
+    g, held = np.zeros((n, t)), np.zeros(n, np.int64)
+    ends, stops = np.append(0, np.cumsum(lattice.sizes)), np.append(0, np.cumsum(sizes))
+    for i, j in slices(np.diff(stops[ends]), OCCURRENCES):  # whole sentences
+        (a, b), own = ends[[i, j]], rows[stops[ends[i]] : stops[ends[j]]]
+        of = np.repeat(here[a:b], sizes[a:b])
+        g += np.stack([np.bincount(own, delta[of, k], n) for k in range(t)], axis=1)
+        met = np.sort(lattice.owner[of] * n + own)
+        held += np.bincount(met[np.diff(met, prepend=-1) > 0] % max(n, 1), minlength=n)
     return g, held, pairs - seen, np.array([(lattice.sizes > 0).sum(), loss, ((pairs - seen) * edges.edge).sum(), len(tags), (best[0] == tags).sum(), (best[1] == tags).sum()], float)
 
 
@@ -230,6 +237,101 @@ def _summed(rows: DataFrame, t: int) -> tuple[DataFrame, dict]:
     return by_feature, total.asDict() | {"edge": np.array(total["edge"]).reshape(t, t)}
 
 
+# Steps over packed blocks.
+
+
+@dataclass
+class Packed:
+    """Samples in blocks that are opened inside tasks, for models of any size.
+
+    blocks: one row for each, with its number ``block``; needs: (block, shard, idx): the features of a block that are of a shard,
+    in order and packed, where a feature's shard is its number modulo ``shards``; opened: gives, of a block's row and its
+    features in order, positions of each sentence, features of each position, their places, and the tags.
+    """
+
+    blocks: DataFrame
+    needs: DataFrame
+    shards: int
+    opened: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Numbers as compressed planes of their bytes; rising ones as steps."""
+    x = np.ascontiguousarray(x).ravel()
+    x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return len(x).to_bytes(8, "little") + pa.compress(pa.py_buffer(planes), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=n * size, codec="zstd"), np.uint8)
+    x = np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+    return np.cumsum(x) if rising else x
+
+
+def numbers(column: pa.ChunkedArray, kind: type, rising: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers that packed rows hold, one row after the other, and how many each holds."""
+    rows = [unpack(r, kind, rising) for c in column.chunks for r in c.to_pylist()]
+    return np.concatenate([*rows, np.empty(0, kind)]), np.array([len(r) for r in rows], np.int64)
+
+
+def pulled_packed(samples: Packed, weights: DataFrame, t: int) -> DataFrame:
+    """(block, idx, weights): the weights that each block needs, packed."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        names = known.column("idx").to_numpy()
+        by = np.argsort(names)
+        node = np.concatenate((known.column("weights").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, t)[by], np.zeros((1, t))))
+        names, (keys, sizes) = names[by], numbers(asked.column("idx"), np.int64, True)
+        at = np.searchsorted(names, keys)
+        at[np.append(names, -1)[at] != keys] = len(names)
+        ends = np.cumsum(np.append(0, sizes)).tolist()
+        pulled = [pack(node[at[i:j]]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.table({"block": asked.column("block"), "idx": asked.column("idx"), "weights": pa.array(pulled, pa.binary())})
+
+    idx = F.col("idx").cast("long")
+    own = weights.select(F.pmod(idx, F.lit(samples.shards)).cast("int").alias("of"), idx.alias("idx"), "weights")
+    return samples.needs.groupBy("shard").cogroup(own.groupBy("of")).applyInArrow(run, "block long, idx binary, weights binary")
+
+
+PUSHED = "shard int, idx binary, g binary, n binary, figures array<double>"
+
+
+def gradient_packed(samples: Packed, weights: DataFrame, edges: Edges) -> tuple[DataFrame, dict]:
+    """As ``gradient``, over packed blocks: what blocks and shards exchange are rows of packed numbers."""
+    t, shards, opened = edges.edge.shape[0], samples.shards, samples.opened
+
+    def run(block: pa.Table, known: pa.Table) -> pa.Table:
+        names, _ = numbers(known.column("idx"), np.int64, True)
+        by = np.argsort(names)
+        names, node = names[by], numbers(known.column("weights"), np.float64)[0].reshape(-1, t)[by]
+        positions, sizes, rows, tags = opened(block, names)
+        y, stops = np.zeros((len(sizes), t)), np.append(0, np.cumsum(sizes))
+        for i, j in slices(sizes, OCCURRENCES):
+            y[i:j] = scores(node, sizes[i:j], rows[stops[i] : stops[j]])
+        g, held, pairs, figures = _step(Lattice(positions), sizes, rows, len(names), y, tags, edges)
+        shard = names % shards
+        by = np.flatnonzero(held)
+        by = by[np.argsort(shard[by], kind="stable")]
+        ends = np.searchsorted(shard[by], np.arange(shards + 1))
+        some = np.flatnonzero(np.diff(ends)).tolist()
+        columns = [pa.array([pack(x[by[ends[s] : ends[s + 1]]], x is names) for s in some] + [None], pa.binary()) for x in (names, g, held.astype(np.int32))]
+        return pa.Table.from_arrays([pa.array([*some, -1], pa.int32()), *columns, pa.array([None] * len(some) + [[*figures, *pairs.ravel()]], pa.list_(pa.float64()))], names=["shard", "idx", "g", "n", "figures"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        names, of = np.unique(numbers(rows.column("idx"), np.int64, True)[0], return_inverse=True)
+        g, n = numbers(rows.column("g"), np.float64)[0].reshape(-1, t), numbers(rows.column("n"), np.int32)[0]
+        g = np.stack([np.bincount(of, g[:, k], len(names)) for k in range(t)], axis=1)
+        return pa.table({"idx": names, "g": listed(g.ravel(), np.full(len(names), t)), "n": np.bincount(of, n, len(names)).astype(np.int64)})
+
+    pushed = durable(samples.blocks.groupBy("block").cogroup(pulled_packed(samples, weights, t).groupBy("block")).applyInArrow(run, PUSHED))
+    by_feature = pushed.where("shard >= 0").groupBy("shard").applyInArrow(add, "idx long, g array<double>, n long")
+    total = np.array(pushed.where("shard < 0").agg(*[F.coalesce(F.sum(F.col("figures")[k]), F.lit(0.0)) for k in range(6 + t * t)]).first())
+    n, loss, ratio, nodes, now, less = total[:6].tolist()
+    return by_feature, {"n": int(n), "loss": loss, "ratio": ratio, "nodes": int(nodes), "now": int(now), "less": int(less), "edge": total[6:].reshape(t, t)}
+
+
 def clipped(x: Column, most: float) -> Column:
     return F.greatest(F.least(x, F.lit(most)), F.lit(-most))
 
@@ -306,29 +408,32 @@ def resumed(weights: DataFrame, edges: Edges, state: str) -> Trained:
     return Trained(spark.read.parquet(f"{state}/weights/{last['epoch']}"), Edges(np.array(last["edge"]).reshape(t, t), last["ratio"]), log)
 
 
-def train(samples: DataFrame, weights: DataFrame, n_tags: int, epochs: int = 5, batches: int = 1, rate: float = 1.0, drop: float = 0.1, patience: float = 1e-4, decay: bool = False, seed: int = 0, held_out: DataFrame | None = None, state: str | None = None, block: int = BLOCK, keep: bool = True) -> Trained:
+def train(samples: DataFrame | Packed, weights: DataFrame, n_tags: int, epochs: int = 5, batches: int = 1, rate: float = 1.0, drop: float = 0.1, patience: float = 1e-4, decay: bool = False, seed: int = 0, held_out: DataFrame | None = None, state: str | None = None, block: int = BLOCK, keep: bool = True) -> Trained:
     """Stochastic gradient descent from ``weights`` (idx, weights) over samples with tags.
 
     The rate falls with the epochs and inside them. After each epoch ``held_out`` samples are decoded for the log. With
     ``state``, a folder that the cluster shares, each epoch's weights and figures are written there, the figures last; a run
     that finds such a folder goes on behind its last whole epoch. Training ends once the gain is under ``patience``.
 
-    Without ``keep`` samples are not stored but made again for each step, and not shuffled, if the weights fit into tasks.
+    ``Packed`` samples stay in their blocks. Without ``keep`` others are not stored but made again for each step, and not shuffled, if the weights fit into tasks.
     """
-    spark = samples.sparkSession
+    spark = weights.sparkSession
     found = Trained(weights, Edges(np.zeros((n_tags, n_tags))), [])
     if state:
         found = resumed(weights, found.edges, state)
     weights, edges, log = durable(found.weights), found.edges, found.log
-    few = not keep and within(weights.select(F.col("idx").cast("string").alias("idx")), "idx", LOCAL_WEIGHTS)
-    dealt, needs = (with_blocks(samples, block, batches), None) if few else blocks(samples, block)
+    whole = isinstance(samples, Packed)
+    few = not whole and not keep and within(weights.select(F.col("idx").cast("string").alias("idx")), "idx", LOCAL_WEIGHTS)
+    dealt, needs = (samples.blocks, samples.needs) if whole else (with_blocks(samples, block, batches), None) if few else blocks(samples, block)
     tests = blocks(held_out, block) if held_out is not None else None
     while len(log) < epochs and not converged([r["loss"] for r in log], patience):
         epoch, loss, n, step = len(log), 0.0, 0, rate
         for b in range(batches):
             chosen = F.pmod(F.xxhash64("block", F.lit(seed + epoch)), F.lit(batches)) == b
             part = dealt.where(chosen) if batches > 1 else dealt
-            if few:
+            if whole:
+                by_feature, figures = gradient_packed(replace(samples, blocks=part, needs=needs.where(chosen) if batches > 1 else needs), weights, edges)
+            elif few:
                 by_feature, figures = gradient_in_tasks(part, weights.select("idx", "weights").toArrow(), edges)
             else:
                 by_feature, figures = gradient(part, needs.where(chosen) if batches > 1 else needs, weights, edges)

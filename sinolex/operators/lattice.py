@@ -34,6 +34,10 @@ class Lattice:
 
     def marginals(self, y: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log Z by sentence, tag probabilities by position, and summed probabilities of (previous, next) tags."""
+        if not edge.any():  # no position hangs on another
+            total = log_sum(y, 1)
+            prob, at = np.exp(y - total[:, None]), self.followers()
+            return np.bincount(self.owner, total, len(self.sizes)), prob, prob[at - 1].T @ prob[at]
         forward, backward = y.copy(), np.zeros_like(y)
         for step in range(1, self.longest):
             at = self.at(step)
@@ -55,6 +59,8 @@ class Lattice:
     def viterbi(self, y: np.ndarray, edges: np.ndarray) -> np.ndarray:
         """The best tags under each of several edge tables [tables, previous, next], decoded from the right; smaller tags at ties."""
         tables, n, t = len(edges), *y.shape
+        if not edges.any():
+            return np.broadcast_to(y.argmax(axis=1), (tables, n)).astype(np.int64)
         best, after = np.broadcast_to(y, (tables, n, t)).copy(), np.zeros((tables, n, t), np.int16)
         for step in range(self.longest - 1, 0, -1):
             at = self.at(step)

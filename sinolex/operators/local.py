@@ -333,41 +333,49 @@ class TagTable:
         missing[of[rows == none]] = True
         return out, missing
 
-    def tag(self, words: list[str], code: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Tags as places in a list of names. ``words`` are the distinct words, ``code`` the tokens, in sentences that begin and end as given."""
+    def tag(self, words: list[str], code: np.ndarray, begins: np.ndarray, ends: np.ndarray, done: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
+        """Tags as places in a list of names. ``words`` are the distinct words, ``code`` the tokens, in sentences that begin and end as given.
+
+        Tokens that are ``done`` need no tag and are context only; their place is that of the dictionaries, else -1. Features and
+        their sums are found once for each form under which words are known, as most words share a few.
+        """
         names = sorted(set(self.fixed.values()) | set(self.tags))
         place = {t: i for i, t in enumerate(names)}
         fixed = np.array([place[self.fixed[w]] if w in self.fixed else -1 for w in words], np.int64)
         out = fixed[code]
-        at = np.flatnonzero(out < 0)
+        at = np.flatnonzero(out < 0 if done is None else (out < 0) & ~done)
         if not len(at):
             return names, out
-        forms = [self.names(w) for w in words]
-        bare = np.array([f == (None, None, None) for f in forms])
-        wanted = set(code[at].tolist())
-        me, me_missing = self.summed([self.single(f, ("w", "cl", "cr"), "wk") + (self.own_chars(w) if f == (None, None, None) else []) if i in wanted else [] for i, (w, f) in enumerate(zip(words, forms, strict=True))])
-        total, missing = me[code[at]], me_missing[code[at]]
+        numbers: dict[tuple, int] = {}
+        form = np.array([numbers.setdefault(self.names(w), len(numbers)) for w in words], np.int64)
+        forms, none = list(numbers), numbers.get((None, None, None), -1)
+        wanted, which = np.unique(code[at], return_inverse=True)
+        own_features: dict[tuple, int] = {}
+        mine = [(f, tuple(self.own_chars(words[i])) if f == none else ()) for i, f in zip(wanted.tolist(), form[wanted].tolist(), strict=True)]
+        row = np.array([own_features.setdefault(x, len(own_features)) for x in mine], np.int64)[which]
+        sums, lost = self.summed([self.single(forms[f], ("w", "cl", "cr"), "wk") + list(more) for f, more in own_features])
+        total, missing = sums[row], lost[row]
         sides = ((-1, at > begins[at], ("v", "bl", "br"), "vk", START), (1, at + 1 < ends[at], ("x", "dl", "dr"), "xk", END))
         for step, there, kinds, unknown, edge in sides:
             inner, outer = np.flatnonzero(there), np.flatnonzero(~there)
             sums, lost = self.summed([[edge]])
             total[outer] += sums[0]
             missing[outer] |= lost[0]
-            other, own = code[at[inner] + step], code[at[inner]]
+            other, own = form[code[at[inner] + step]], form[code[at[inner]]]
             near, which = np.unique(other, return_inverse=True)
             sums, lost = self.summed([self.single(forms[i], kinds, unknown) for i in near.tolist()])
             total[inner] += sums[which]
             missing[inner] |= lost[which]
-            both = np.flatnonzero(~bare[other] & ~bare[own])
-            pairs, which = np.unique(other[both] * len(words) + own[both], return_inverse=True)
-            left, right = np.divmod(pairs, len(words))
-            mine = ("w", "cl", "cr")
-            lists = [self.pair(forms[i], forms[j], kinds, mine) if step < 0 else self.pair(forms[j], forms[i], mine, kinds) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
+            both = np.flatnonzero((other != none) & (own != none))
+            pairs, which = np.unique(other[both] * len(forms) + own[both], return_inverse=True)
+            left, right = np.divmod(pairs, len(forms))
+            of_me = ("w", "cl", "cr")
+            lists = [self.pair(forms[i], forms[j], kinds, of_me) if step < 0 else self.pair(forms[j], forms[i], of_me, kinds) for i, j in zip(left.tolist(), right.tolist(), strict=True)]
             sums, lost = self.summed(lists)
             total[inner[both]] += sums[which]
             missing[inner[both]] |= lost[which]
         total[missing] += self.w[self.empty]
-        for i in (i for i in wanted if words[i] in self.soft):
+        for i in (i for i in wanted.tolist() if words[i] in self.soft):
             total[code[at] == i] += self.soft[words[i]]
         out[at] = np.array([place[t] for t in self.tags], np.int64)[total.argmax(axis=1)]
         return names, out
@@ -400,10 +408,12 @@ def tag_batch(table: TagTable, words: pa.Array, types: pa.Array) -> pa.Array:
         # different words may be one after normalisation
         again = pa.array(map(preprocess_text(), distinct), pa.string()).dictionary_encode()
         distinct, code = again.dictionary.to_pylist(), again.indices.to_numpy(zero_copy_only=False).astype(np.int64)[code]
-    names, at = table.tag(distinct, code, np.repeat(offsets[:-1], sizes), np.repeat(offsets[1:], sizes))
-    tags = pa.array(names, pa.string()).take(pa.array(at)) if len(at) else pa.array([], pa.string())
-    if len(types):
-        tags = pc.coalesce(types.flatten().cast(pa.string()), tags)
+    kinds = types.flatten().cast(pa.string()) if len(types) else None
+    done = None if kinds is None else kinds.is_valid().to_numpy(zero_copy_only=False)
+    names, at = table.tag(distinct, code, np.repeat(offsets[:-1], sizes), np.repeat(offsets[1:], sizes), done)
+    tags = pa.array(names, pa.string()).take(pa.array(at, mask=at < 0)) if len(at) else pa.array([], pa.string())
+    if kinds is not None:
+        tags = pc.coalesce(kinds, tags)
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays([words.flatten(), tags], ["word", "tag"]))
 
 

@@ -2,11 +2,13 @@
 
 import numpy as np
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sinolex.functions.charset import preprocess
 from sinolex.operators import coded, crf, features, rules, vocab
 from sinolex.operators.chars import char_feature_counts, words_of
 from sinolex.operators.lattice import Lattice
+from sinolex.operators.tagging import Tagger, TaggerModel
 from sinolex.plans import queries
 from sinolex.sources import lines
 from sinolex.streaming import text as streams
@@ -121,6 +123,34 @@ def test_rules_in_one_pass_and_pieces_in_the_row(spark):
     assert found[4]["bare"] == [] and found[4]["h"][0]["b"] == 0
 
 
+def test_words_are_tagged_by_distinct_forms(spark, monkeypatch):
+    """cut_pos_rules: features were spelt out and summed for every distinct word, also for words that a rule had tagged."""
+    rows = [(1, ["a1", "of", "x9", "known", "x9"], ["tel", None, None, "ip", None]), (2, [], []), (3, None, None), (4, ["b2", None, "c3"], None), (5, ["d4", "e5"], ["url"]), (6, ["f6", "known", "g7"], ["id", None, "id"]), (6, ["f6", "known", "g7"], [None, None, None])]
+    df = spark.createDataFrame(rows, "id long, words array<string>, types array<string>")
+    names = [("wk", [0.5, 0.0]), ("vk", [0.0, 0.25]), ("xknown", [0.0, 2.0]), ("vknown", [1.0, 0.0]), ("wknown", [0.0, 0.125]), ("ck", [0.0, 0.375]), ("c1x", [0.0, 1.0]), ("[START]", [0.0, 0.75]), ("/", [0.0, 0.125])]
+    weights = spark.createDataFrame(names, "feature string, weights array<double>")
+    held = [spark.createDataFrame([(v,)], f"{c} string") for c, v in (("word", "known"), ("part", "zz"), ("ch", "x"))]
+    tagger = Tagger(TaggerModel(weights, ["n", "v"], *held), spark.createDataFrame([("of", "p")], "word string, tag string"))
+    keyed = df.withColumn("k", F.row_number().over(Window.orderBy("id", F.desc("types"))))
+    for types in (None, "types"):
+        got, want = ({r["k"]: [tuple(t) for t in r["tokens"]] for r in f(keyed, "k", "words", types=types).collect()} for f in (tagger.tag, tagger.tag_joined))
+        full = {k for k, v in got.items() if all(w is not None for w, _ in v)}
+        assert {k: got[k] for k in full} == {k: want[k] for k in full} and len(got) == len(rows) and len(full) == 6
+    assert got[1] == [("a1", "tel"), ("of", "p"), ("x9", "v"), ("known", "ip"), ("x9", "n")]
+
+    table, spelt, chars_of = tagger.table(), [], []
+    single, own_chars = table.single, table.own_chars
+    monkeypatch.setattr(table, "single", lambda *a: spelt.append(a) or single(*a))
+    monkeypatch.setattr(table, "own_chars", lambda w: chars_of.append(w) or own_chars(w))
+    words = [f"y{i}" for i in range(500)]
+    code, begins, ends = np.arange(500), np.zeros(500, np.int64), np.full(500, 500)
+    names, plain = table.tag(words, code, begins, ends)
+    assert len(spelt) < 20 and len(chars_of) == 500
+    chars_of.clear()
+    names, some = table.tag(words, code, begins, ends, code % 2 == 0)
+    assert len(chars_of) == 250 and (some[1::2] == plain[1::2]).all() and (some[::2] == -1).all()
+
+
 def _texts_with_tags(spark):
     texts = ["abcab", "", None, "b", "中abc aab", "zzq"]
     df = spark.createDataFrame(list(enumerate(texts)), "sent_id long, text string")
